@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 import meterspark as ms
+from meterspark.operators import reports as ms_reports
+from meterspark.operators import rules as ms_rules
+from meterspark.operators import views as ms_views
 from meterspark.sources.readings import APPLIANCES, ORACLE_READINGS_SQL
 
 DIGITS = 4
@@ -203,5 +206,219 @@ def q_warmup_report(spark, sf_dir):
     return ms.warmup_report(ms.add_rolling_features(t))
 
 
+
+
+# --- rules, summaries and dashboard datasets --------------------------------
+# Stand-in model outputs (rule tests need no trained model):
+# is_anomaly = |z| > 2 or minute % 10 == 0, cluster_distance = |z|.
+_SCORED = """
+scored AS (
+  SELECT *, CAST(abs(z_score) > 2 OR minute % 10 = 0 AS INTEGER) AS is_anomaly, abs(z_score) AS cluster_distance
+  FROM features
+)"""
+
+
+def scored_standin(spark, sf_dir):
+    f = features(spark, sf_dir)
+    return f.withColumns({
+        "is_anomaly": ((F.abs("z_score") > 2) | (F.col("minute") % 10 == 0)).cast("int"),
+        "cluster_distance": F.abs("z_score"),
+    })
+
+
+def _alerts_sql(src: str, with_model: bool = True) -> str:
+    R = ms_rules.RECS
+    an = "is_anomaly <> 0" if with_model else "false"
+    cd = "coalesce(cluster_distance > 2.5, false)" if with_model else "false"
+    ts = "strftime(\"Time\", '%Y-%m-%d %H:%M')"
+    w = "format('{:.0f}', Aggregate)"
+    parts = [
+        ("k1", "0", 1, "critical", "🔴",
+         "'🔴 CRITICAL: reading is ' || format('{:.1f}', abs(z_score)) || ' std devs away from its baseline'"),
+        ("k2", "0", 2, "warning", "🌙",
+         f"'🌙 Night-time usage out of pattern: ' || {w} || ' W at ' || lpad(CAST(hour AS VARCHAR), 2, '0') || ':00'"),
+        ("k3", "0", 3, "warning", "🔺",
+         f"'🔺 Spike: ' || {w} || ' W against a baseline of ' || format('{{:.0f}}', Aggregate - deviation) || ' W (' || format('{{:+.0f}}', deviation) || ' W)'"),
+        ("k4", "0", 4, "info", "⚠️", f"'⚠️ Model flags unusual usage (' || {w} || ' W)'"),
+        ("k5", "CAST(k1 OR k2 OR k3 OR k4 AS INTEGER)", 5, "info", "💡",
+         f"'💡 High total usage: ' || {w} || ' W (threshold 3000 W)'"),
+        ("k6", "CAST(k1 OR k2 OR k3 OR k4 AS INTEGER) + CAST(k5 AS INTEGER)", 6, "info", "🔍",
+         "'🔍 Reading fits none of the learned usage patterns'"),
+    ]
+    sel = "\nUNION ALL\n".join(
+        f"SELECT house_id, \"Time\", CAST({pos} AS INTEGER) AS rule_pos, CAST({r} AS INTEGER) AS rule, {ts} AS timestamp, "
+        f"'{sev}' AS severity, {msg} AS message, '{R[r]}' AS recommendation, Aggregate AS value, '{icon}' AS icon "
+        f"FROM f2 WHERE {k}" for k, pos, r, sev, icon, msg in parts)
+    return f"""
+flags AS (
+  SELECT *, coalesce(abs(z_score) > 3.5, false) AS k1, {an} AS an, is_night <> 0 AS ni,
+         coalesce(deviation > 2.0 * rolling_std, false) AS sp, coalesce(Aggregate > 3000, false) AS k5,
+         {cd} AND {an} AS k6
+  FROM {src}),
+f2 AS (SELECT *, NOT k1 AND an AND ni AS k2, NOT k1 AND an AND NOT ni AND sp AS k3,
+              NOT k1 AND an AND NOT ni AND NOT sp AS k4 FROM flags),
+alerts AS ({sel})"""
+
+
+_ALERT_DOUBLES = ["value"]
+
+
+@register("rule_alerts", "WITH " + _SCORED.strip() + "," + _alerts_sql("scored") + "\nSELECT * FROM alerts",
+          _ALERT_DOUBLES)
+def q_rule_alerts(spark, sf_dir):
+    return ms_rules.alerts(scored_standin(spark, sf_dir))
+
+
+@register("critical_and_high_alerts", "WITH " + _alerts_sql("features", with_model=False).strip() + "\nSELECT * FROM alerts",
+          _ALERT_DOUBLES)
 def q_entry_alerts(spark, sf_dir):
-    return QUERIES["rule_alerts"](spark, sf_dir) if "rule_alerts" in QUERIES else QUERIES["engineered_features"](spark, sf_dir)
+    """Flagship slice: no model yet, so only K1 (critical z) and K5 (high usage)."""
+    return ms_rules.newest_first(ms_rules.alerts(features(spark, sf_dir)))
+
+
+@register("top_critical", "WITH " + _SCORED.strip() + "," + _alerts_sql("scored") + """
+SELECT *, CAST(row_number() OVER (PARTITION BY house_id ORDER BY timestamp DESC, "Time", rule_pos) AS INTEGER) AS rank
+FROM alerts WHERE severity = 'critical'
+QUALIFY rank <= 5""", _ALERT_DOUBLES)
+def q_top_critical(spark, sf_dir):
+    return ms_rules.top_critical(ms_rules.alerts(scored_standin(spark, sf_dir)), 5)
+
+
+@register("alert_counts", "WITH " + _SCORED.strip() + "," + _alerts_sql("scored") + """
+SELECT s.house_id, CAST(coalesce(a.alerts, 0) AS BIGINT) AS alerts, s.anomalies
+FROM (SELECT house_id, CAST(sum(is_anomaly) AS BIGINT) AS anomalies FROM scored GROUP BY house_id) s
+LEFT JOIN (SELECT house_id, count(*) AS alerts FROM alerts GROUP BY house_id) a USING (house_id)""")
+def q_alert_counts(spark, sf_dir):
+    return ms_rules.alert_counts(scored_standin(spark, sf_dir))
+
+
+@register("standby_recommendations", "WITH " + _SCORED.strip() + """
+SELECT house_id, "Time", strftime("Time", '%Y-%m-%d %H:%M') AS timestamp, Aggregate AS value,
+       '💤 Overnight standby draw of ' || format('{:.0f}', Aggregate) || ' W: switch off idle chargers, screens and computers.' AS recommendation
+FROM scored WHERE is_night <> 0 AND NOT (is_anomaly <> 0) AND Aggregate > 100""", ["value"])
+def q_standby(spark, sf_dir):
+    return ms_rules.standby_recommendations(scored_standin(spark, sf_dir))
+
+
+_SUMMARY_SQL = """
+SELECT house_id, count(*) AS total_readings, CAST(sum(is_anomaly) AS BIGINT) AS anomaly_count,
+       round_even(avg(is_anomaly) * 100 * 100.0, 0) / 100.0 AS anomaly_pct,
+       round_even(avg(Aggregate) * 10.0, 0) / 10.0 AS avg_consumption_w,
+       round_even(max(Aggregate) * 10.0, 0) / 10.0 AS peak_consumption_w,
+       count(*) FILTER (WHERE is_anomaly = 1 AND is_night = 1) AS night_anomalies,
+       count(*) FILTER (WHERE Aggregate > 3000) AS high_consumption,
+       round_even(sum(Aggregate) * 1.0 / 1000 / 60 * 100.0, 0) / 100.0 AS estimated_kwh
+FROM scored GROUP BY house_id"""
+
+
+@register("house_summary", "WITH " + _SCORED.strip() + _SUMMARY_SQL,
+          ["anomaly_pct", "avg_consumption_w", "peak_consumption_w", "estimated_kwh"])
+def q_house_summary(spark, sf_dir):
+    return ms_reports.summary(scored_standin(spark, sf_dir))
+
+
+@register("detection_rate", "WITH " + _SCORED.strip() + """
+SELECT house_id, CAST(sum(is_anomaly) AS BIGINT) AS flagged, count(*) AS total, avg(is_anomaly) * 100 AS detection_pct
+FROM scored GROUP BY house_id""", ["detection_pct"])
+def q_detection_rate(spark, sf_dir):
+    return ms_reports.detection_rate(scored_standin(spark, sf_dir))
+
+
+@register("date_range", 'SELECT house_id, min("Time") AS first_time, max("Time") AS last_time FROM features GROUP BY house_id')
+def q_date_range(spark, sf_dir):
+    return ms_reports.date_range(features(spark, sf_dir))
+
+
+_UNPIV = ", ".join(APPLIANCES)
+
+
+@register("appliance_breakdown", f"""
+SELECT *, CAST(row_number() OVER (PARTITION BY house_id ORDER BY avg_w DESC, appliance) AS INTEGER) AS rank
+FROM (SELECT house_id, appliance, avg(watts) AS avg_w
+      FROM (UNPIVOT (SELECT house_id, {_UNPIV} FROM features) ON {_UNPIV} INTO NAME appliance VALUE watts)
+      GROUP BY ALL HAVING avg(watts) > 1)""", ["avg_w"])
+def q_appliance_breakdown(spark, sf_dir):
+    return ms_reports.appliance_breakdown(features(spark, sf_dir))
+
+
+_HEAT = ", ".join(f"avg(Aggregate) FILTER (WHERE hour = {h}) AS h{h:02d}" for h in range(24))
+
+
+@register("hour_heatmap", f"""
+SELECT house_id, day_of_week, ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][day_of_week + 1] AS day, {_HEAT}
+FROM features GROUP BY house_id, day_of_week""", [f"h{h:02d}" for h in range(24)])
+def q_hour_heatmap(spark, sf_dir):
+    return ms_reports.hour_heatmap(features(spark, sf_dir))
+
+
+@register("baseline_band", """
+SELECT house_id, "Time", Aggregate, rolling_mean, rolling_mean - rolling_std AS band_low,
+       rolling_mean + rolling_std AS band_high FROM features""",
+          ["Aggregate", "rolling_mean", "band_low", "band_high"])
+def q_baseline_band(spark, sf_dir):
+    return ms_views.baseline_band(features(spark, sf_dir))
+
+
+@register("anomaly_markers", "WITH " + _SCORED.strip() + """
+SELECT house_id, "Time", Aggregate FROM scored WHERE is_anomaly = 1""", ["Aggregate"])
+def q_anomaly_markers(spark, sf_dir):
+    return ms_views.anomaly_markers(scored_standin(spark, sf_dir))
+
+
+@register("recent_anomalies", "WITH " + _SCORED.strip() + """
+SELECT house_id, "Time", Aggregate, z_score, is_anomaly FROM scored WHERE is_anomaly = 1
+QUALIFY row_number() OVER (PARTITION BY house_id ORDER BY "Time" DESC) <= 6""", ["Aggregate", "z_score"])
+def q_recent_anomalies(spark, sf_dir):
+    return ms_views.recent_anomalies(scored_standin(spark, sf_dir), 6).select(
+        "house_id", "Time", "Aggregate", "z_score", "is_anomaly")
+
+
+@register("alert_panel", "WITH " + _SCORED.strip() + """,
+recent AS (SELECT * FROM scored WHERE is_anomaly = 1
+           QUALIFY row_number() OVER (PARTITION BY house_id ORDER BY "Time" DESC) <= 6),""" + _alerts_sql("recent") + """
+SELECT *, strftime("Time", '%H:%M %d %b') AS display_time FROM alerts""", _ALERT_DOUBLES)
+def q_alert_panel(spark, sf_dir):
+    return ms_rules.alert_panel(scored_standin(spark, sf_dir), 6)
+
+
+@register("latest_reading", """
+SELECT * FROM features QUALIFY row_number() OVER (PARTITION BY house_id ORDER BY "Time" DESC) = 1""",
+          _FEATURE_DOUBLES)
+def q_latest_reading(spark, sf_dir):
+    return ms_views.latest(features(spark, sf_dir))
+
+
+_IDX = """
+idx AS (SELECT *, row_number() OVER (PARTITION BY house_id ORDER BY "Time") - 1 AS j,
+               count(*) OVER (PARTITION BY house_id) AS n FROM scored)"""
+
+
+@register("sliding_views", "WITH " + _SCORED.strip() + "," + _IDX + """,
+fr AS (SELECT *, count(*) OVER w AS rows, min("Time") OVER w AS start_time, avg(Aggregate) OVER w AS avg_w,
+              max(Aggregate) OVER w AS peak_w, CAST(sum(is_anomaly) OVER w AS BIGINT) AS anomalies
+       FROM idx WINDOW w AS (PARTITION BY house_id ORDER BY j ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+ids AS (SELECT house_id, n, unnest(range(0, CAST(ceil(n / 5.0) AS BIGINT))) AS i
+        FROM (SELECT DISTINCT house_id, n FROM idx))
+SELECT f.house_id, ids.i AS window_id, f.start_time, f."Time" AS end_time, f.rows, f.avg_w, f.peak_w, f.anomalies
+FROM ids JOIN fr f ON f.house_id = ids.house_id AND f.j = least(ids.i * 5 + 100, ids.n) - 1""",
+          ["avg_w", "peak_w"])
+def q_sliding_views(spark, sf_dir):
+    return ms_views.sliding_views(scored_standin(spark, sf_dir), size=100, step=5)
+
+
+@register("row_batches", "WITH " + _SCORED.strip() + "," + _IDX + """
+SELECT house_id, CAST(j // 10 AS BIGINT) AS batch_id, count(*) AS rows, min("Time") AS start_time,
+       max("Time") AS end_time, avg(Aggregate) AS avg_w, max(Aggregate) AS peak_w,
+       CAST(sum(is_anomaly) AS BIGINT) AS anomalies
+FROM idx GROUP BY ALL""", ["avg_w", "peak_w"])
+def q_row_batches(spark, sf_dir):
+    return ms_views.row_batches(scored_standin(spark, sf_dir), 10)
+
+
+@register("view_at", "WITH " + _SCORED.strip() + "," + _IDX + """
+SELECT house_id, "Time", Aggregate, j AS row_idx FROM idx
+WHERE j >= 200 + (7 % (greatest(floor((n - 200) / 5), 0) + 1)) * 5 - 200
+  AND j < 200 + (7 % (greatest(floor((n - 200) / 5), 0) + 1)) * 5""", ["Aggregate"])
+def q_view_at(spark, sf_dir):
+    return ms_views.view_at(scored_standin(spark, sf_dir), 7, size=200, step=5).select(
+        "house_id", "Time", "Aggregate", "row_idx")
