@@ -46,4 +46,7 @@ def exact_percentile(df: DataFrame, keys: list[str], col: str, p: float, out: st
         width *= 4
     lo = F.element_at("_in", (F.col("_lo") - F.col("_below") + 1).cast("int"))
     hi = F.element_at("_in", (F.col("_hi") - F.col("_below") + 1).cast("int"))
-    return stats.select(*keys, (lo + (hi - lo) * F.col("_f")).alias(out))
+    # NumPy's interpolation: a + (b - a) t, or b - (b - a)(1 - t) from t = 0.5.
+    f = F.col("_f")
+    val = F.when(f >= 0.5, hi - (hi - lo) * (1 - f)).otherwise(lo + (hi - lo) * f)
+    return stats.select(*keys, val.alias(out))

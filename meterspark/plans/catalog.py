@@ -14,6 +14,9 @@ import meterspark as ms
 from meterspark.operators import reports as ms_reports
 from meterspark.operators import rules as ms_rules
 from meterspark.operators import views as ms_views
+from meterspark.models import forest as ms_forest
+from meterspark.models import kmeans as ms_kmeans
+from meterspark.config import FOREST_FEATURES, KMEANS_FEATURES
 from meterspark.sources.readings import APPLIANCES, ORACLE_READINGS_SQL
 
 DIGITS = 4
@@ -43,6 +46,7 @@ def oracle(select_sql: str, doubles: list[str]) -> str:
     return f"WITH {_CTES},\nq AS (\n{select_sql}\n)\n{outer}"
 
 
+
 # --- oracle building blocks (DuckDB SQL) -----------------------------------
 _APP = ", ".join(APPLIANCES)
 _APP_CLEAN = ", ".join(f"greatest(coalesce({a}, 0.0), 0.0) AS {a}" for a in APPLIANCES)
@@ -422,3 +426,118 @@ WHERE j >= 200 + (7 % (greatest(floor((n - 200) / 5), 0) + 1)) * 5 - 200
 def q_view_at(spark, sf_dir):
     return ms_views.view_at(scored_standin(spark, sf_dir), 7, size=200, step=5).select(
         "house_id", "Time", "Aggregate", "row_idx")
+
+
+# --- models ----------------------------------------------------------------
+# Fixed centers (scaled space; features Aggregate, hour, rolling_mean,
+# is_weekend) so that assignment, labels and distances have an oracle.
+FIXED_CENTERS = [
+    [-0.8, -1.0, -0.8, -0.5],
+    [0.0, 0.0, 0.0, 1.5],
+    [1.5, 0.5, 1.0, -0.5],
+    [-0.5, -1.4, -0.5, -0.5],
+]
+
+
+def _stats_sql(feats: list[str], name: str, fill: bool) -> str:
+    v = (lambda c: f"coalesce(CAST({c} AS DOUBLE), 0.0)") if fill else (lambda c: f"CAST({c} AS DOUBLE)")
+    cols = ", ".join(f"avg({v(c)}) AS m{i}, CASE WHEN coalesce(stddev_pop({v(c)}), 0) = 0 THEN 1.0 "
+                     f"ELSE stddev_pop({v(c)}) END AS s{i}" for i, c in enumerate(feats))
+    return f"{name} AS (SELECT house_id, count(*) AS n, {cols} FROM features GROUP BY house_id)"
+
+
+def _z_sql(feats: list[str], stats: str) -> str:
+    return ", ".join(f"(coalesce(CAST({c} AS DOUBLE), 0.0) - {stats}.m{i}) / {stats}.s{i} AS z{i}"
+                     for i, c in enumerate(feats))
+
+
+_KC = "VALUES " + ", ".join(f"({j}, " + ", ".join(repr(float(v)) for v in c) + ")" for j, c in enumerate(FIXED_CENTERS))
+_KD = ", ".join("(" + " + ".join(f"pow(z{f} - {repr(float(c[f]))}, 2)" for f in range(4)) + f") AS d{j}"
+                for j, c in enumerate(FIXED_CENTERS))
+_KMEANS_CTES = f"""
+{_stats_sql(KMEANS_FEATURES, 'kst', True)},
+kcent AS (SELECT * FROM ({_KC}) t(cluster, c0, c1, c2, c3)),
+kprof AS (SELECT kst.house_id, CAST(kcent.cluster AS INTEGER) AS cluster,
+                 c0 * s0 + m0 AS Aggregate, c1 * s1 + m1 AS hour, c2 * s2 + m2 AS rolling_mean, c3 * s3 + m3 AS is_weekend
+          FROM kst CROSS JOIN kcent),
+klab AS (SELECT house_id, cluster,
+                CASE WHEN rk = 0 THEN '💤 Standby / Idle' WHEN rk = last THEN '⚡ Peak Usage'
+                     WHEN hour < 8 OR hour >= 22 THEN '🌙 Night Low' ELSE '🏠 Daytime Moderate' END AS cluster_label
+         FROM (SELECT *, row_number() OVER (PARTITION BY house_id ORDER BY Aggregate, cluster) - 1 AS rk,
+                      count(*) OVER (PARTITION BY house_id) - 1 AS last FROM kprof)),
+kd AS (SELECT f.house_id, f."Time", {_KD}
+       FROM (SELECT features.house_id, features."Time", {_z_sql(KMEANS_FEATURES, 'kst')}
+             FROM features JOIN kst USING (house_id)) f),
+kasg AS (SELECT house_id, "Time",
+                CAST(CASE WHEN d0 <= d1 AND d0 <= d2 AND d0 <= d3 THEN 0 WHEN d1 <= d2 AND d1 <= d3 THEN 1
+                          WHEN d2 <= d3 THEN 2 ELSE 3 END AS INTEGER) AS cluster,
+                sqrt(least(d0, d1, d2, d3)) AS cluster_distance FROM kd)"""
+
+
+def fixed_kmeans(spark, sf_dir):
+    return ms_kmeans.fixed_model(features(spark, sf_dir), FIXED_CENTERS)
+
+
+@register("scaler_stats", f"""WITH {_stats_sql(KMEANS_FEATURES, 'kst', True)}
+SELECT house_id, n AS _n, {", ".join(f"m{i} AS {c}_mean, s{i} AS {c}_scale" for i, c in enumerate(KMEANS_FEATURES))}
+FROM kst""", [f"{c}_{s}" for c in KMEANS_FEATURES for s in ("mean", "scale")])
+def q_scaler_stats(spark, sf_dir):
+    return fixed_kmeans(spark, sf_dir).scaler.drop("_nonconst")
+
+
+@register("kmeans_assign_fixed", f"""WITH {_KMEANS_CTES.strip()}
+SELECT kasg.house_id, kasg."Time", kasg.cluster, klab.cluster_label, kasg.cluster_distance
+FROM kasg JOIN klab USING (house_id, cluster)""", ["cluster_distance"])
+def q_kmeans_assign_fixed(spark, sf_dir):
+    return ms_kmeans.assign_clusters(features(spark, sf_dir), fixed_kmeans(spark, sf_dir)).select(
+        "house_id", "Time", "cluster", "cluster_label", "cluster_distance")
+
+
+@register("cluster_auto_label", f"WITH {_KMEANS_CTES.strip()}\nSELECT * FROM klab")
+def q_cluster_auto_label(spark, sf_dir):
+    return ms_kmeans.auto_labels(fixed_kmeans(spark, sf_dir))
+
+
+@register("centroid_profile", f"""WITH {_KMEANS_CTES.strip()}
+SELECT house_id, cluster, {", ".join(f"round_even({c} * 10.0, 0) / 10.0 AS {c}" for c in KMEANS_FEATURES)}
+FROM kprof""", list(KMEANS_FEATURES))
+def q_centroid_profile(spark, sf_dir):
+    return ms_kmeans.centroid_profile(fixed_kmeans(spark, sf_dir))
+
+
+@register("cluster_distribution", f"""WITH {_KMEANS_CTES.strip()}
+SELECT house_id, cluster, cluster_label, count, round_even(count / sum(count) OVER (PARTITION BY house_id) * 100 * 10.0, 0) / 10.0 AS pct
+FROM (SELECT house_id, cluster, cluster_label, count(*) AS count FROM kasg JOIN klab USING (house_id, cluster) GROUP BY ALL)""",
+          ["pct"])
+def q_cluster_distribution(spark, sf_dir):
+    a = ms_kmeans.assign_clusters(features(spark, sf_dir), fixed_kmeans(spark, sf_dir))
+    return ms_reports.cluster_distribution(a)
+
+
+def _tree_sql(tree: dict, node: int = 0) -> str:
+    if node in tree["leaf"]:
+        depth, size = tree["leaf"][node]
+        return repr(ms_forest.fixed_leaf_value(depth, size))
+    f, thr, lft, rgt = tree["inner"][node]
+    return f"CASE WHEN z{f} <= {repr(float(thr))} THEN {_tree_sql(tree, lft)} ELSE {_tree_sql(tree, rgt)} END"
+
+
+_FH = " + ".join(f"({_tree_sql(t)})" for t in ms_forest.FIXED_TREES)
+_FOREST_SQL = f"""WITH {_stats_sql(FOREST_FEATURES, 'fst', False)},
+fz AS (SELECT features.house_id, features."Time", {_z_sql(FOREST_FEATURES, 'fst')} FROM features JOIN fst USING (house_id)),
+fs AS (SELECT house_id, "Time", -pow(2.0, -(({_FH}) / {len(ms_forest.FIXED_TREES)}.0) / {repr(ms_forest.fixed_c_psi())}) AS s FROM fz),
+fr AS (SELECT s, house_id, row_number() OVER (PARTITION BY house_id ORDER BY s) - 1 AS rk,
+              count(*) OVER (PARTITION BY house_id) AS n FROM fs),
+fp AS (SELECT house_id, 0.05 * (n - 1) AS pos, floor(0.05 * (n - 1)) AS lo, ceil(0.05 * (n - 1)) AS hi FROM fr GROUP BY house_id, n),
+fv AS (SELECT fp.house_id, fp.pos - fp.lo AS t,
+              max(fr.s) FILTER (WHERE fr.rk = fp.lo) AS a, max(fr.s) FILTER (WHERE fr.rk = fp.hi) AS b
+       FROM fp JOIN fr ON fr.house_id = fp.house_id GROUP BY fp.house_id, fp.pos, fp.lo),
+foff AS (SELECT house_id, CASE WHEN t >= 0.5 THEN b - (b - a) * (1 - t) ELSE a + (b - a) * t END AS offset FROM fv)
+SELECT fs.house_id, fs."Time", fs.s - foff.offset AS anomaly_score, CAST(fs.s - foff.offset < 0 AS INTEGER) AS is_anomaly
+FROM fs JOIN foff USING (house_id)"""
+
+
+@register("forest_score_fixed", _FOREST_SQL, ["anomaly_score"])
+def q_forest_score_fixed(spark, sf_dir):
+    f = features(spark, sf_dir)
+    return ms_forest.score_forest(f, ms_forest.fixed_forest(f)).select("house_id", "Time", "anomaly_score", "is_anomaly")
