@@ -1,0 +1,57 @@
+"""k-means on one bounded group inside a task (NumPy): k-means++ seeding,
+Lloyd iterations, several restarts, the least inertia wins."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def kmeans_pp(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    n = x.shape[0]
+    centers = np.empty((k, x.shape[1]))
+    centers[0] = x[rng.integers(n)]
+    d2 = ((x - centers[0]) ** 2).sum(axis=1)
+    for s in range(1, k):
+        tot = d2.sum()
+        if tot <= 0:
+            centers[s] = centers[0]
+            continue
+        i = int(np.searchsorted(np.cumsum(d2), rng.random() * tot, side="right"))
+        centers[s] = x[min(i, n - 1)]
+        d2 = np.minimum(d2, ((x - centers[s]) ** 2).sum(axis=1))
+    return centers
+
+
+def _assign(x: np.ndarray, c: np.ndarray):
+    d = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+    lab = d.argmin(axis=1)
+    return lab, d[np.arange(x.shape[0]), lab]
+
+
+def lloyd(x: np.ndarray, centers: np.ndarray, max_iter: int, tol: float):
+    c = centers.copy()
+    k = c.shape[0]
+    it = 0
+    for it in range(1, max_iter + 1):
+        lab, _ = _assign(x, c)
+        cnt = np.bincount(lab, minlength=k).astype(np.float64)
+        sums = np.zeros_like(c)
+        np.add.at(sums, lab, x)
+        new = np.where(cnt[:, None] > 0, sums / np.maximum(cnt, 1)[:, None], c)
+        shift = ((new - c) ** 2).sum()
+        c = new
+        if shift <= tol:
+            break
+    _, m = _assign(x, c)
+    return c, float(m.sum()), it
+
+
+def fit_group(x: np.ndarray, k: int, restarts: int, max_iter: int, tol: float, seed: int, key_seed: int):
+    """Best of ``restarts`` runs: (restart, centers, inertia, iterations)."""
+    best = None
+    for r in range(restarts):
+        rng = np.random.default_rng([seed, r, key_seed])
+        c, inertia, it = lloyd(x, kmeans_pp(x, k, rng), max_iter, tol)
+        if best is None or inertia < best[2]:
+            best = (r, c, inertia, it)
+    return best

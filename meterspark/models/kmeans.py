@@ -132,6 +132,9 @@ def _assign_stats(z: DataFrame, packed: DataFrame, keys: list[str], k: int, d: i
 
 
 _DEBUG = False
+# Scope keys with at most this many rows are fit inside one task each
+# (bounded group); larger ones run the distributed Lloyd iterations.
+LOCAL_FIT_ROWS = 2_000_000
 
 
 def _packed_local(spark, keys: list[str], key_types, centers: dict, restarts_only=None) -> DataFrame:
@@ -240,13 +243,64 @@ def fit_kmeans(df: DataFrame, k: int = 4, restarts: int = 10, max_iter: int = 30
     z = apply_scaler(filled, scaler, feats, keys, known_rows=n_groups)
     z = z.withColumn("_rid", _row_id(keys, d, ["Time"] if "Time" in filled.columns else []))
     z = _checkpoint(z.select(*keys, "_rid", *_z(d)))
+    key_types = [scaler.schema[k_].dataType for k_ in keys]
+    small = scaler.filter(F.col("_n") <= LOCAL_FIT_ROWS)
+    n_small = small.count()
+    if n_small:
+        best_l, chosen_l = _fit_in_tasks(z, small, keys, key_types, k, d, restarts, max_iter, tol, seed)
+        if n_small == n_groups:
+            return KMeansModel(keys, feats, k, scope, scaler, chosen_l, best_l)
+        # Remaining (large) scope keys: distributed Lloyd below, then union.
+        z = z.join(F.broadcast(small.select(*keys)), keys, "left_anti") if n_small <= 1_000_000 else \
+            z.join(small.select(*keys), keys, "left_anti")
+        z = _checkpoint(z)
+        scaler_big = scaler.filter(F.col("_n") > LOCAL_FIT_ROWS)
+        sub = _fit_distributed(z, scaler_big, keys, key_types, k, d, restarts, max_iter, tol, seed,
+                               n_groups - n_small)
+        return KMeansModel(keys, feats, k, scope, scaler, chosen_l.unionByName(sub[1]), best_l.unionByName(sub[0]))
+    best, chosen = _fit_distributed(z, scaler, keys, key_types, k, d, restarts, max_iter, tol, seed, n_groups)
+    return KMeansModel(keys, feats, k, scope, scaler, chosen, best)
+
+
+def _fit_in_tasks(z, small, keys, key_types, k, d, restarts, max_iter, tol, seed):
+    """Scope keys with at most LOCAL_FIT_ROWS rows: each fit in one task."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+    from meterspark.functions.lloyd import fit_group
+    zc = [f"_z{f}" for f in range(d)]
+    rows = lookup_join(z, small.select(*keys, "_nonconst"), keys, "inner")
+    schema = T.StructType([T.StructField(k_, t) for k_, t in zip(keys, key_types)] + [
+        T.StructField("restart", T.IntegerType()), T.StructField("inertia", T.DoubleType()),
+        T.StructField("iterations", T.IntegerType()), T.StructField("cluster", T.IntegerType())] + [
+        T.StructField(f"c{f}", T.DoubleType()) for f in range(d)])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rid", kind="mergesort")
+        kv = [pdf[k_].iloc[0] for k_ in keys]
+        ks = int(kv[0]) & 0x7FFFFFFF if isinstance(kv[0], (int, np.integer)) else 0
+        tol_g = tol * float(pdf["_nonconst"].iloc[0]) / d
+        r, c, inertia, it = fit_group(pdf[zc].to_numpy(np.float64), k, restarts, max_iter, tol_g, seed, ks)
+        out = {k_: [v] * k for k_, v in zip(keys, kv)}
+        out.update(restart=[r] * k, inertia=[inertia] * k, iterations=[it] * k, cluster=list(range(k)))
+        for f in range(d):
+            out[f"c{f}"] = c[:, f]
+        return pd.DataFrame(out)
+
+    parts = max(1, min(small.count(), 4 * z.sparkSession.sparkContext.defaultParallelism))
+    res = _checkpoint(rows.repartition(parts, *keys).groupBy(*keys).applyInPandas(fit, schema))
+    best = res.filter(F.col("cluster") == 0).select(*keys, "restart", "inertia", "iterations")
+    chosen = res.select(*keys, "cluster", *[f"c{f}" for f in range(d)])
+    return best, chosen
+
+
+def _fit_distributed(z, scaler, keys, key_types, k, d, restarts, max_iter, tol, seed, n_groups):
+    """Lloyd iterations as Spark jobs (scope keys too large for one task)."""
     if n_groups * restarts * k <= MAX_LOCAL_CENTER_ROWS:
         srows = scaler.select(*keys, "_nonconst", "_n").collect()
         tol_by_key = {tuple(r[k_] for k_ in keys): tol * r["_nonconst"] / d for r in srows}
-        key_types = [scaler.schema[k_].dataType for k_ in keys]
-        best, chosen = _fit_local(z, keys, key_types, k, d, restarts, max_iter, tol_by_key, seed, n_groups,
-                                  sum(r["_n"] for r in srows))
-        return KMeansModel(keys, feats, k, scope, scaler, chosen, best)
+        return _fit_local(z, keys, key_types, k, d, restarts, max_iter, tol_by_key, seed, n_groups,
+                          sum(r["_n"] for r in srows))
 
     tol_tab = scaler.select(*keys, (F.lit(tol) * F.col("_nonconst") / d).alias("_tol"))
     centers = _seed_centers(z, keys, k, d, restarts, seed, n_groups)
@@ -277,7 +331,7 @@ def fit_kmeans(df: DataFrame, k: int = 4, restarts: int = 10, max_iter: int = 30
     best = _checkpoint(best)
     chosen = (centers.join(best.select(*keys, F.col("restart").alias("r")), keys + ["r"], "inner")
               .select(*keys, F.col("j").alias("cluster"), *[F.col(f"c{f}") for f in range(d)]))
-    return KMeansModel(keys, feats, k, scope, scaler, _checkpoint(chosen), best)
+    return best, _checkpoint(chosen)
 
 
 def centroid_profile(model: KMeansModel, digits: int | None = 1) -> DataFrame:

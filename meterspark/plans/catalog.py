@@ -541,3 +541,29 @@ FROM fs JOIN foff USING (house_id)"""
 def q_forest_score_fixed(spark, sf_dir):
     f = features(spark, sf_dir)
     return ms_forest.score_forest(f, ms_forest.fixed_forest(f)).select("house_id", "Time", "anomaly_score", "is_anomaly")
+
+
+# --- fitted models and the whole pipeline (no SQL oracle: randomised fits;
+# checked by invariants in tests) --------------------------------------------
+@register("kmeans_fit")
+def q_kmeans_fit(spark, sf_dir):
+    m = ms_kmeans.fit_kmeans(features(spark, sf_dir), k=4, restarts=10, max_iter=300, seed=42)
+    return ms_kmeans.centroid_profile(m).join(ms_kmeans.auto_labels(m), ["house_id", "cluster"])
+
+
+@register("elbow_table")
+def q_elbow_table(spark, sf_dir):
+    return ms_kmeans.elbow(features(spark, sf_dir), ks=range(2, 9), restarts=10, seed=42)
+
+
+@register("forest_fit_score")
+def q_forest_fit_score(spark, sf_dir):
+    f = features(spark, sf_dir)
+    m = ms_forest.fit_forest(f, contamination=0.05, trees=200, seed=42)
+    return ms_forest.score_forest(f, m).select("house_id", "Time", "Aggregate", "anomaly_score", "is_anomaly")
+
+
+@register("full_pipeline")
+def q_full_pipeline(spark, sf_dir):
+    from meterspark.plans.pipeline import run_pipeline
+    return run_pipeline(readings(spark, sf_dir), contamination=0.05, k=4)
