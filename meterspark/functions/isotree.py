@@ -120,5 +120,8 @@ class PackedForest:
         return self.value[node].mean(axis=0)
 
     def score_samples(self, x: np.ndarray) -> np.ndarray:
-        """-(2 ** (-E[h] / c(psi))): lower = more anomalous."""
+        """-(2 ** (-E[h] / c(psi))): lower = more anomalous. A one-row sample
+        (c(psi) = 0) isolates nothing: every row scores -1."""
+        if self.c_psi <= 0:
+            return np.full(x.shape[0], -1.0)
         return -np.power(2.0, -self.mean_path_length(x) / self.c_psi)

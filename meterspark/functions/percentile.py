@@ -16,10 +16,10 @@ from meterspark.functions.lookup import lookup_join
 
 
 def exact_percentile(df: DataFrame, keys: list[str], col: str, p: float, out: str = "percentile",
-                     accuracy: int = 10_000, max_tries: int = 4) -> DataFrame:
+                     accuracy: int = 10_000, max_tries: int = 10) -> DataFrame:
     """One row per group with the ``p`` quantile (0..1) of ``col``."""
     v = F.col(col)
-    base = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
+    base = df.select(*keys, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     width = 2.0 / accuracy
     stats = None
     for _ in range(max_tries):
@@ -40,7 +40,7 @@ def exact_percentile(df: DataFrame, keys: list[str], col: str, p: float, out: st
         stats = stats.cache()
         ok = stats.filter((F.col("_lo") < F.col("_below"))
                           | (F.col("_hi") >= F.col("_below") + F.size("_in"))).isEmpty()
-        if ok or width >= 1.0:
+        if ok or width >= 1.0:      # width 1: the bracket is the whole range
             break
         stats.unpersist()
         width *= 4

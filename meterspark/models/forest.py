@@ -125,8 +125,10 @@ def fit_forest(df: DataFrame, contamination: float = 0.05, trees: int = 200, max
     scaler = _checkpoint(fit_scaler(x, feats, keys))
     n_groups = scaler.count()
     params = _checkpoint(_params(scaler, keys, max_samples))
+    # Row identity from the raw inputs, so the sample does not depend on
+    # partitioning (scaled values differ in their last bits by summation order).
+    x = x.withColumn("_rid", F.xxhash64(*[F.col(c) for c in keys + extra + feats]))
     z = apply_scaler(x, scaler, feats, keys, known_rows=n_groups)
-    z = z.withColumn("_rid", F.xxhash64(*[F.col(c) for c in keys + extra], *[F.col(f"_z{f}") for f in range(d)]))
     z = lookup_join(z, params.select(*keys, F.col("_n"), F.col("psi").alias("_psi"), F.col("max_depth").alias("_depth")),
                     keys, "inner", known_rows=n_groups)
     sample = _sample(z, keys, d, trees, seed)
@@ -220,9 +222,8 @@ def score_forest(df: DataFrame, model: ForestModel) -> DataFrame:
     and is_anomaly (1 when anomaly_score < 0). Nulls count as 0."""
     keys = model.keys
     src = with_scope(df, model.scope)
+    src = src.withColumn("_rid", F.xxhash64(*[F.col(c) for c in keys + model.features]))
     z = apply_scaler(src, model.scaler, model.features, keys)
-    d = len(model.features)
-    z = z.withColumn("_rid", F.xxhash64(*[F.col(c) for c in keys], *[F.col(f"_z{f}") for f in range(d)]))
     s = _score_samples(z, model)
     s = lookup_join(s, model.params.select(*keys, "offset"), keys, "inner")
     score = (F.col("_score") - F.col("offset")).alias("anomaly_score")

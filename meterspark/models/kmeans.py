@@ -240,8 +240,11 @@ def fit_kmeans(df: DataFrame, k: int = 4, restarts: int = 10, max_iter: int = 30
                         *([F.col("Time")] if "Time" in src.columns else []))
     scaler = _checkpoint(fit_scaler(filled, feats, keys))
     n_groups = scaler.count()
+    # Row identity from the raw inputs (not from scaled values, whose last
+    # bits depend on summation order), so fits do not depend on partitioning.
+    filled = filled.withColumn("_rid", F.xxhash64(*[F.col(c) for c in keys + feats + (
+        ["Time"] if "Time" in filled.columns else [])]))
     z = apply_scaler(filled, scaler, feats, keys, known_rows=n_groups)
-    z = z.withColumn("_rid", _row_id(keys, d, ["Time"] if "Time" in filled.columns else []))
     z = _checkpoint(z.select(*keys, "_rid", *_z(d)))
     key_types = [scaler.schema[k_].dataType for k_ in keys]
     small = scaler.filter(F.col("_n") <= LOCAL_FIT_ROWS)
