@@ -2,7 +2,7 @@
 
 Every query reads ``events`` (readings derived from it) at whatever scale
 ``sf_dir`` holds, over whole tables. Doubles are rounded to ``DIGITS``
-decimals on both sides before comparison."""
+decimals on both sides (through DECIMAL(38, 9)) before comparison."""
 
 from __future__ import annotations
 
@@ -24,8 +24,14 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 
+def _round_col(name: str):
+    # Through DECIMAL(38, 9) first: summation-order noise (~1e-13) is gone
+    # before the half-up rounding, so exact decimal ties round alike.
+    return F.round(F.expr(f"try_cast(`{name}` AS DECIMAL(38, 9))"), DIGITS).cast("double")
+
+
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(F.col(f.name), DIGITS).alias(f.name) if isinstance(f.dataType, DoubleType)
+    return df.select(*[_round_col(f.name).alias(f.name) if isinstance(f.dataType, DoubleType)
                        else F.col(f.name) for f in df.schema.fields])
 
 
@@ -41,7 +47,7 @@ def register(name: str, sql: str | None = None, doubles: list[str] | None = None
 
 
 def oracle(select_sql: str, doubles: list[str]) -> str:
-    rep = ", ".join(f"round({c}, {DIGITS}) + 0.0 AS {c}" for c in doubles)
+    rep = ", ".join(f"CAST(round(TRY_CAST({c} AS DECIMAL(38, 9)), {DIGITS}) AS DOUBLE) AS {c}" for c in doubles)
     outer = f"SELECT * REPLACE ({rep}) FROM q" if doubles else "SELECT * FROM q"
     return f"WITH {_CTES},\nq AS (\n{select_sql}\n)\n{outer}"
 
