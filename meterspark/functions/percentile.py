@@ -15,10 +15,22 @@ from pyspark.sql import functions as F
 from meterspark.functions.lookup import lookup_join
 
 
+# Values per group that the exact step may sort (the bracket around the rank).
+BRACKET_ROWS = 1_000_000
+
+
 def exact_percentile(df: DataFrame, keys: list[str], col: str, p: float, out: str = "percentile",
-                     accuracy: int = 10_000, max_tries: int = 10) -> DataFrame:
-    """One row per group with the ``p`` quantile (0..1) of ``col``."""
+                     accuracy: int | None = None, max_group_rows: int | None = None,
+                     max_tries: int = 10) -> DataFrame:
+    """One row per group with the ``p`` quantile (0..1) of ``col``.
+
+    ``accuracy`` defaults to a value that keeps the bracket of the largest
+    group (``max_group_rows``, counted when not given) near BRACKET_ROWS."""
     v = F.col(col)
+    if accuracy is None:
+        if max_group_rows is None:
+            max_group_rows = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]) or 0
+        accuracy = int(min(2**31 - 1, max(10_000, -(-4 * max_group_rows // BRACKET_ROWS))))
     base = df.select(*keys, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     width = 2.0 / accuracy
     stats = None

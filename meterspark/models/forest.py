@@ -146,7 +146,8 @@ def fit_forest(df: DataFrame, contamination: float = 0.05, trees: int = 200, max
                         params.select(*keys, "psi", "max_depth", "c_psi", F.lit(0.0).alias("offset")))
     scored = _checkpoint(_score_samples(z.drop("_n", "_psi", "_depth"), model, known_groups=n_groups)
                          .select(*keys, "_score"))
-    offset = exact_percentile(scored, keys, "_score", contamination, out="offset")
+    biggest = scaler.agg(F.max("_n")).first()[0]
+    offset = exact_percentile(scored, keys, "_score", contamination, out="offset", max_group_rows=biggest)
     model.params = _checkpoint(params.select(*keys, "psi", "max_depth", "c_psi").join(offset, keys, "inner"))
     return model
 

@@ -10,7 +10,7 @@ from meterspark.config import (ACTIVE_APPLIANCE_W, DIFF_CLIP, PCT_CLIP, ROLLING_
 from meterspark.functions.columns import clip, row_count_if, row_sum
 from meterspark.functions.lookup import lookup_join
 from meterspark.operators.cleaning import appliance_columns
-from meterspark.operators.windows import row_windows
+from meterspark.operators.windows import HouseStats, row_windows
 
 
 def _a():
@@ -81,11 +81,14 @@ def hourly_profile(df: DataFrame) -> DataFrame:
     return df.groupBy("house_id", "hour").agg(F.avg(_a()).alias("hourly_avg"))
 
 
-def add_hourly_pattern(df: DataFrame) -> DataFrame:
-    """hourly_avg (mean for this hour over the whole frame) and above_hourly."""
+def add_hourly_pattern(df: DataFrame, houses: int | None = None) -> DataFrame:
+    """hourly_avg (mean for this hour over the whole frame) and above_hourly.
+    The profile has at most 24 rows per house; with ``houses`` known that
+    bound decides the broadcast without counting the table."""
     if "hour" not in df.columns:
         df = df.withColumn("hour", F.hour("Time"))
-    out = lookup_join(df, hourly_profile(df), ["house_id", "hour"], "left")
+    known = 24 * houses if houses is not None else None
+    out = lookup_join(df, hourly_profile(df), ["house_id", "hour"], "left", known_rows=known)
     cols = [c for c in df.columns] + ["hourly_avg"]
     return out.select(*cols, F.coalesce((_a() > F.col("hourly_avg")).cast("int"), F.lit(0)).alias("above_hourly"))
 
@@ -97,13 +100,14 @@ def engineer_features(df: DataFrame, window: int = ROLLING_WINDOW, min_rows: int
     Rolling and lag columns share one window pass (one exchange, one sort);
     the hourly means are a partial aggregation joined back by (house, hour)."""
     halo = max(window - 1, 5)
+    stats = HouseStats(df)
     out = row_windows(df, lambda w: _rolling_cols(w, window, min_rows) + _lag_cols(w),
-                      halo=halo, chunk_rows=chunk_rows)
+                      halo=halo, chunk_rows=chunk_rows, stats=stats)
     out = _rate_derived(_rolling_derived(out))
     order = [c for c in df.columns] + ["rolling_mean", "rolling_std", "deviation", "z_score",
                                        "diff_1", "diff_5", "pct_change"]
     out = add_appliance_features(out.select(*order))
-    out = add_hourly_pattern(out)
+    out = add_hourly_pattern(out, houses=stats.houses)
     return out.filter(F.col("rolling_mean").isNotNull() & F.col("rolling_std").isNotNull())
 
 

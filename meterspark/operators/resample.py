@@ -35,12 +35,17 @@ def downsample(df: DataFrame, freq: str = "1 minute") -> DataFrame:
     Bins line up with midnight of each house's first day, as in a per-house
     resample. When ``freq`` divides a day that equals epoch alignment, so no
     lookup is needed; otherwise each house's origin comes from a small
-    per-house table. One shuffle on (house, bin) with map-side partial means."""
+    per-house table (that arithmetic assumes a session time zone without
+    daylight saving, e.g. UTC). One shuffle on (house, bin) with map-side
+    partial means."""
     step_us = freq_seconds(freq) * 1_000_000
     numeric = [f.name for f in df.schema.fields
                if isinstance(f.dataType, NumericType) and f.name != "house_id"]
     if (86400 * 1_000_000) % step_us == 0:
-        src = df.withColumn("_origin", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+        # Bins that divide a day: window() on TIMESTAMP_NTZ (no time zone).
+        return (df.groupBy("house_id", F.window("Time", f"{step_us // 1_000_000} seconds").alias("_w"))
+                .agg(*[F.avg(c).alias(c) for c in numeric])
+                .select("house_id", F.col("_w.start").alias("Time"), *numeric))
     else:
         origins = df.groupBy("house_id").agg(
             F.to_date(F.min("Time")).cast("timestamp_ntz").alias("_origin"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterspark.functions.lookup import lookup_join
-from meterspark.operators.windows import day_counts, row_windows, with_row_index
+from meterspark.operators.windows import HouseStats, row_windows, with_row_index
 
 
 def baseline_band(df: DataFrame) -> DataFrame:
@@ -46,15 +46,11 @@ def latest(df: DataFrame) -> DataFrame:
             .select("house_id", "r.*"))
 
 
-def _totals(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    counts = day_counts(df).cache()
-    totals = counts.groupBy("house_id").agg(F.sum("_n").alias("_total"))
-    return counts, totals
 
 
 def row_batches(df: DataFrame, size: int = 10) -> DataFrame:
     """Consecutive batches of ``size`` rows per house (the last may be short)."""
-    x = with_row_index(df).withColumn("batch_id", F.floor(F.col("_idx") / size))
+    x = with_row_index(df, stats=HouseStats(df)).withColumn("batch_id", F.floor(F.col("_idx") / size))
     aggs = [F.count(F.lit(1)).alias("rows"), F.min("Time").alias("start_time"), F.max("Time").alias("end_time"),
             F.avg("Aggregate").alias("avg_w"), F.max("Aggregate").alias("peak_w")]
     if "is_anomaly" in df.columns:
@@ -70,7 +66,7 @@ def sliding_views(df: DataFrame, size: int = 100, step: int = 1, chunk_rows: int
     window is the ``size``-row frame ending at row ``e - 1``. The frames are
     one rolling pass; the rows that end a window are kept and the last row
     of a house is repeated for the tail windows that all end there."""
-    counts, totals = _totals(df)
+    stats = HouseStats(df)
     has_anom = "is_anomaly" in df.columns
 
     def build(w):
@@ -81,10 +77,10 @@ def sliding_views(df: DataFrame, size: int = 100, step: int = 1, chunk_rows: int
             cols.append(F.sum("is_anomaly").over(f).cast("bigint").alias("anomalies"))
         return cols
 
-    x = with_row_index(df, counts=counts)
-    x = lookup_join(x, totals, ["house_id"], "inner")
+    x = with_row_index(df, stats=stats)
+    x = lookup_join(x, stats.totals(), ["house_id"], "inner", known_rows=stats.houses)
     x = row_windows(x.withColumn("_j", F.col("_idx")), build, halo=size - 1, order=("_idx",),
-                    chunk_rows=chunk_rows)
+                    chunk_rows=chunk_rows, stats=stats)
     j, n = F.col("_j"), F.col("_total")
     n_windows = F.ceil(n / step)
     first_tail = F.greatest(F.ceil((n - size) / step), F.lit(0))
@@ -107,9 +103,26 @@ def view_at(df: DataFrame, i: int, size: int = 200, step: int = 5) -> DataFrame:
     ``size`` once it passes the end, so after ``i`` calls it is at
     ``size + (i mod (M + 1)) * step`` with ``M = max(0, (n - size) div step)``;
     the view is rows ``[pos - size, pos)``."""
-    counts, totals = _totals(df)
-    x = lookup_join(with_row_index(df, counts=counts), totals, ["house_id"], "inner")
+    stats = HouseStats(df)
+    x = lookup_join(with_row_index(df, stats=stats), stats.totals(), ["house_id"], "inner",
+                    known_rows=stats.houses)
     m = F.greatest(F.floor((F.col("_total") - size) / step), F.lit(0))
     pos = F.lit(size) + (F.lit(i) % (m + 1)) * step
     return (x.filter((F.col("_idx") >= pos - size) & (F.col("_idx") < pos))
             .withColumnRenamed("_idx", "row_idx").drop("_total"))
+
+
+def preview(df: DataFrame, n: int = 3) -> DataFrame:
+    """First ``n`` rows per house by time (window group limit)."""
+    w = Window.partitionBy("house_id").orderBy("Time")
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+
+
+def metric_row(view: DataFrame, minutes_per_row: float = 1.0) -> DataFrame:
+    """Dashboard metric row per house: the view's latest power and its
+    deviation from baseline, with the view's summary."""
+    from meterspark.operators.reports import summary
+    last = latest(view.select("house_id", "Time", "Aggregate", "deviation")).select(
+        "house_id", F.col("Time").alias("latest_time"), F.col("Aggregate").alias("current_w"),
+        F.col("deviation").alias("current_deviation_w"))
+    return last.join(summary(view, minutes_per_row), "house_id")

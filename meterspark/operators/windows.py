@@ -33,42 +33,58 @@ def day_counts(df: DataFrame, key: str = "house_id") -> DataFrame:
     return df.groupBy(key, F.to_date("Time").alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
 
 
+class HouseStats:
+    """Sizes gathered in one pass: rows per (house, day) (cached, tiny),
+    number of houses, of (house, day) cells, and the largest house."""
+
+    def __init__(self, df: DataFrame, key: str = "house_id"):
+        self.key = key
+        self.counts = day_counts(df, key).cache()
+        per_house = self.counts.groupBy(key).agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("d"))
+        r = per_house.agg(F.count(F.lit(1)).alias("houses"), F.sum("d").alias("cells"),
+                          F.max("n").alias("biggest")).first()
+        self.houses, self.cells, self.biggest = r["houses"] or 0, r["cells"] or 0, r["biggest"] or 0
+
+    def totals(self) -> DataFrame:
+        return self.counts.groupBy(self.key).agg(F.sum("_n").alias("_total"))
+
+
 def with_row_index(df: DataFrame, order: Sequence[str] = ("Time",), key: str = "house_id",
-                   counts: DataFrame | None = None) -> DataFrame:
+                   stats: HouseStats | None = None) -> DataFrame:
     """Add ``_idx``: 0-based position of each row within its house by ``order``.
     Parallel over (house, day); the only per-house step runs on day counts."""
-    counts = counts if counts is not None else day_counts(df, key)
-    offs = counts.select(
+    stats = stats or HouseStats(df, key)
+    offs = stats.counts.select(
         key, "_day",
         F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_day")
                                     .rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"))
-    x = lookup_join(df.withColumn("_day", F.to_date("Time")), offs, [key, "_day"], "inner")
+    x = lookup_join(df.withColumn("_day", F.to_date("Time")), offs, [key, "_day"], "inner",
+                    known_rows=stats.cells)
     w = Window.partitionBy(key, "_day").orderBy(*order)
     return x.withColumn("_idx", F.col("_off") + F.row_number().over(w) - 1).drop("_off", "_day")
 
 
 def row_windows(df: DataFrame, build: Callable[[WindowSpec], list[Column]], halo: int,
                 order: Sequence[str] = ("Time",), key: str = "house_id",
-                chunk_rows: int | None = None) -> DataFrame:
+                chunk_rows: int | None = None, stats: HouseStats | None = None) -> DataFrame:
     """Add the columns ``build(w)`` makes from a per-house window spec ``w``
     ordered by ``order``. ``build`` may use ``w.rowsBetween(-k, 0)`` with
     ``k <= halo`` and ``lag(.., n)`` with ``n <= halo``.
 
     ``chunk_rows``: None = decide from the largest house (checked on the day
-    counts); 0 = one window task per house; N = chunks of N rows."""
+    counts); 0 = one window task per house; N = chunks of N rows.
+    ``stats``: sizes already gathered for ``df`` (saves a pass)."""
     if chunk_rows is None or chunk_rows > 0:
-        counts = day_counts(df, key).cache()
+        stats = stats or HouseStats(df, key)
         if chunk_rows is None:
-            biggest = (counts.groupBy(key).agg(F.sum("_n").alias("n"))
-                       .agg(F.max("n")).first()[0]) or 0
-            chunk_rows = 0 if biggest <= DEFAULT_CHUNK_ROWS else DEFAULT_CHUNK_ROWS
+            chunk_rows = 0 if stats.biggest <= DEFAULT_CHUNK_ROWS else DEFAULT_CHUNK_ROWS
     if not chunk_rows:
         w = Window.partitionBy(key).orderBy(*order)
         return df.select("*", *build(w))
     if chunk_rows <= halo:
         raise ValueError("chunk_rows must exceed the halo")
-    x = with_row_index(df, order, key, counts)
+    x = with_row_index(df, order, key, stats)
     home = F.floor(F.col("_idx") / chunk_rows)
     x = x.withColumn("_home", home).withColumn(
         "_wchunk",

@@ -573,3 +573,51 @@ def q_forest_fit_score(spark, sf_dir):
 def q_full_pipeline(spark, sf_dir):
     from meterspark.plans.pipeline import run_pipeline
     return run_pipeline(readings(spark, sf_dir), contamination=0.05, k=4)
+
+
+# --- remaining dashboard pieces ------------------------------------------------
+@register("house_list", "SELECT DISTINCT house_id FROM readings")
+def q_house_list(spark, sf_dir):
+    return ms.list_houses(readings(spark, sf_dir))
+
+
+@register("preview", """
+SELECT house_id, "Time", Aggregate, hour, is_night, is_peak FROM timed
+QUALIFY row_number() OVER (PARTITION BY house_id ORDER BY "Time") <= 3""", ["Aggregate"])
+def q_preview(spark, sf_dir):
+    return ms_views.preview(timed(spark, sf_dir).select("house_id", "Time", "Aggregate", "hour", "is_night",
+                                                         "is_peak"), 3)
+
+
+@register("cluster_series", f"""WITH {_KMEANS_CTES.strip()}
+SELECT kasg.house_id, kasg."Time", f.Aggregate, kasg.cluster, klab.cluster_label
+FROM kasg JOIN klab USING (house_id, cluster) JOIN features f ON f.house_id = kasg.house_id AND f."Time" = kasg."Time\"""",
+          ["Aggregate"])
+def q_cluster_series(spark, sf_dir):
+    a = ms_kmeans.assign_clusters(features(spark, sf_dir), fixed_kmeans(spark, sf_dir))
+    return ms_views.cluster_series(a)
+
+
+@register("kmeans_assign_fixed_labels", f"""WITH {_KMEANS_CTES.strip()}
+SELECT house_id, "Time", cluster,
+       coalesce(CASE cluster WHEN 0 THEN '🌙 Night Low' WHEN 1 THEN '🏠 Daytime Moderate'
+                             WHEN 2 THEN '⚡ Peak Usage' WHEN 3 THEN '💤 Standby / Idle' END, 'Unknown') AS cluster_label
+FROM kasg""")
+def q_kmeans_assign_fixed_labels(spark, sf_dir):
+    a = ms_kmeans.assign_clusters(features(spark, sf_dir), fixed_kmeans(spark, sf_dir), labels="fixed")
+    return a.select("house_id", "Time", "cluster", "cluster_label")
+
+
+@register("metric_row", "WITH " + _SCORED.strip() + "," + _IDX + """,
+vw AS (SELECT * FROM idx
+       WHERE j >= 200 + (7 % (greatest(floor((n - 200) / 5), 0) + 1)) * 5 - 200
+         AND j < 200 + (7 % (greatest(floor((n - 200) / 5), 0) + 1)) * 5),
+lastrow AS (SELECT house_id, "Time" AS latest_time, Aggregate AS current_w, deviation AS current_deviation_w
+            FROM vw QUALIFY row_number() OVER (PARTITION BY house_id ORDER BY "Time" DESC) = 1),
+summ AS (""" + _SUMMARY_SQL.replace("FROM scored", "FROM vw") + """)
+SELECT * FROM lastrow JOIN summ USING (house_id)""",
+          ["current_w", "current_deviation_w", "anomaly_pct", "avg_consumption_w", "peak_consumption_w",
+           "estimated_kwh"])
+def q_metric_row(spark, sf_dir):
+    view = ms_views.view_at(scored_standin(spark, sf_dir), 7, size=200, step=5)
+    return ms_views.metric_row(view)
