@@ -32,52 +32,89 @@ def height_limit(psi: int) -> int:
     return int(math.ceil(math.log2(max(psi, 2))))
 
 
-def _c(n: int) -> float:
-    if n > 2:
-        return 2.0 * (math.log(n - 1.0) + EULER_GAMMA) - 2.0 * (n - 1.0) / n
-    return 1.0 if n == 2 else 0.0
+def build_trees(x: np.ndarray, tree_of_row: np.ndarray, rng: np.random.Generator, max_depth: int):
+    """Isolation trees for several samples at once, grown level by level.
+
+    ``x`` holds the rows of all samples, ``tree_of_row`` their tree ids.
+    At each depth every open node gets its rows' min and max per feature
+    (``reduceat`` over rows sorted by node); a node with one row, only
+    constant features or at ``max_depth`` becomes a leaf with value
+    depth + c(rows); otherwise its split feature is uniform among the
+    non-constant ones and the split value uniform in [min, max). Rows with
+    x <= threshold go left.
+
+    Returns (tree, node, feature, threshold, left, right, value) with node
+    ids local to each tree (root 0) and feature -1 on leaves."""
+    trees, roots_of_row = np.unique(tree_of_row, return_inverse=True)
+    n_trees, n = trees.size, x.shape[0]
+    cap = 2 * n + n_trees + 1
+    owner = np.zeros(cap, np.int64)
+    feature = np.full(cap, -1, np.int64)
+    threshold = np.zeros(cap)
+    left = np.full(cap, -1, np.int64)
+    right = np.full(cap, -1, np.int64)
+    value = np.zeros(cap)
+    owner[:n_trees] = np.arange(n_trees)
+    used = n_trees
+    node_of_row = roots_of_row.astype(np.int64)
+    active = np.arange(n)
+    slot = np.full(cap, -1, np.int64)
+    for depth in range(max_depth + 1):
+        if active.size == 0:
+            break
+        r = active[np.argsort(node_of_row[active], kind="stable")]
+        nr = node_of_row[r]
+        uniq, starts, counts = np.unique(nr, return_index=True, return_counts=True)
+        xr = x[r]
+        mins = np.minimum.reduceat(xr, starts, axis=0)
+        maxs = np.maximum.reduceat(xr, starts, axis=0)
+        nonconst = maxs > mins
+        ncand = nonconst.sum(axis=1)
+        split = (counts > 1) & (ncand > 0) & (depth < max_depth)
+        value[uniq[~split]] = depth + average_path_length(counts[~split])
+        if not split.any():
+            break
+        su, m = uniq[split], int(split.sum())
+        u = rng.random((m, 2))
+        nc = ncand[split]
+        k = np.minimum((u[:, 0] * nc).astype(np.int64), nc - 1)
+        f = np.argmax(np.cumsum(nonconst[split], axis=1) > k[:, None], axis=1)
+        idx = np.arange(m)
+        lo, hi = mins[split][idx, f], maxs[split][idx, f]
+        thr = lo + u[:, 1] * (hi - lo)
+        thr = np.where(thr >= hi, lo, thr)
+        lid = used + 2 * idx
+        feature[su], threshold[su], left[su], right[su] = f, thr, lid, lid + 1
+        owner[lid], owner[lid + 1] = owner[su], owner[su]
+        used += 2 * m
+        slot[su] = idx
+        si = slot[nr]
+        keep = si >= 0
+        r2, s2 = r[keep], si[keep]
+        go_left = x[r2, f[s2]] <= thr[s2]
+        node_of_row[r2] = np.where(go_left, lid[s2], lid[s2] + 1)
+        slot[su] = -1
+        active = r2
+    owner, feature, threshold = owner[:used], feature[:used], threshold[:used]
+    left, right, value = left[:used], right[:used], value[:used]
+    # node ids local to each tree, in creation order (root first)
+    order = np.lexsort((np.arange(used), owner))
+    first = np.searchsorted(owner[order], np.arange(n_trees))
+    local = np.empty(used, np.int64)
+    local[order] = np.arange(used) - first[owner[order]]
+    lft = np.where(left >= 0, local[np.maximum(left, 0)], -1)
+    rgt = np.where(right >= 0, local[np.maximum(right, 0)], -1)
+    return trees[owner], local, feature, threshold, lft, rgt, value
 
 
 def build_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int):
-    """One isolation tree over the rows of ``x`` (n x d).
-
-    Returns arrays (feature, threshold, left, right, value); leaves have
-    feature -1 and value = depth + c(rows in leaf). Rows with x <= threshold
-    go left. The split feature is uniform among the node's non-constant
-    features and the split value uniform between their min and max."""
-    n = x.shape[0]
-    cap = 2 * max(n, 1) + 1
-    feature = np.full(cap, -1, np.int32)
-    threshold = np.zeros(cap, np.float64)
-    left = np.full(cap, -1, np.int32)
-    right = np.full(cap, -1, np.int32)
-    value = np.zeros(cap, np.float64)
-    u = rng.random((cap, 2))
-    used = 1
-    stack = [(0, np.arange(n), 0)]
-    while stack:
-        node, idx, depth = stack.pop()
-        m = idx.size
-        if depth >= max_depth or m <= 1:
-            value[node] = depth + _c(m)
-            continue
-        sub = x[idx]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        cand = np.flatnonzero(hi > lo)
-        if cand.size == 0:
-            value[node] = depth + _c(m)
-            continue
-        f = int(cand[min(int(u[node, 0] * cand.size), cand.size - 1)])
-        t = float(lo[f] + u[node, 1] * (hi[f] - lo[f]))
-        if t >= hi[f]:
-            t = float(lo[f])
-        go_left = sub[:, f] <= t
-        ln, rn = used, used + 1
-        used += 2
-        feature[node], threshold[node], left[node], right[node] = f, t, ln, rn
-        stack.append((rn, idx[~go_left], depth + 1))
-        stack.append((ln, idx[go_left], depth + 1))
-    return feature[:used], threshold[:used], left[:used], right[:used], value[:used]
+    """One isolation tree over the rows of ``x``: (feature, threshold, left,
+    right, value) indexed by node id."""
+    _, node, feature, threshold, left, right, value = build_trees(
+        x, np.zeros(x.shape[0], np.int64), rng, max_depth)
+    order = np.argsort(node)
+    return (feature[order].astype(np.int32), threshold[order], left[order].astype(np.int32),
+            right[order].astype(np.int32), value[order])
 
 
 class PackedForest:

@@ -6,11 +6,12 @@ Fit, as Spark jobs:
    sample does not depend on partitioning. A pool of about
    1.25 * trees * psi rows per scope key is kept (all rows when fewer), each
    pool row joins the trees whose per-tree uniform falls below a rate that
-   gives ~1.5 * psi candidates per tree, and each (key, tree) keeps the psi
+   gives ~1.5 * psi candidates per tree, and each tree keeps the psi
    candidates with the smallest second uniform: a uniform psi-row sample
    per tree with psi = min(max_samples, rows);
-3. build each tree from its <= psi rows with ``applyInPandas`` grouped by
-   (key, tree): bounded groups;
+3. build the trees ``TREES_PER_TASK`` at a time with ``applyInPandas``
+   grouped by (key, block of trees): groups hold about
+   1.5 * psi * TREES_PER_TASK candidate rows;
 4. threshold: the ``contamination`` percentile of the training scores, an
    exact per-key percentile (``functions.percentile``).
 
@@ -25,12 +26,13 @@ from __future__ import annotations
 import dataclasses
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterspark.config import FOREST_FEATURES, ensure_checkpoint_dir
-from meterspark.functions.isotree import PackedForest, average_path_length, build_tree
+from meterspark.functions.isotree import PackedForest, average_path_length, build_trees
 from meterspark.functions.lookup import lookup_join
 from meterspark.functions.percentile import exact_percentile
 from meterspark.functions.random import uniform
@@ -51,6 +53,7 @@ class ForestModel:
     scaler: DataFrame   # keys, _n, <f>_mean, <f>_scale
     nodes: DataFrame    # keys, tree, node, feature, threshold, left, right, value
     params: DataFrame   # keys, psi, max_depth, c_psi, offset
+    broadcast: object = dataclasses.field(default=None, repr=False, compare=False)
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -74,17 +77,18 @@ def _builder(keys: list[str], d: int, seed: int):
     zc = [f"_z{f}" for f in range(d)]
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Trees of one (key, block of trees); each tree from its own rows."""
-        parts = []
-        for tree, g in pdf.groupby("tree", sort=True):
-            g = g.sort_values("_rid", kind="mergesort")
-            rng = np.random.default_rng([seed, int(tree)] + [_key_seed(g[k].iloc[0]) for k in keys])
-            feat, thr, left, right, value = build_tree(g[zc].to_numpy(np.float64), rng, int(g["_depth"].iloc[0]))
-            out = {k: np.repeat(g[k].iloc[0], feat.size) for k in keys}
-            out.update(tree=np.full(feat.size, tree, np.int32), node=np.arange(feat.size, dtype=np.int32),
-                       feature=feat, threshold=thr, left=left, right=right, value=value)
-            parts.append(pd.DataFrame(out))
-        return pd.concat(parts, ignore_index=True)
+        """All trees of one (key, block of trees), grown together."""
+        pdf = pdf.sort_values(["tree", "_h", "_rid"], kind="mergesort")
+        psi = int(pdf["_psi"].iloc[0])
+        pdf = pdf[pdf.groupby("tree", sort=False).cumcount() < psi]      # psi smallest _h per tree
+        blk = int(pdf["_blk"].iloc[0])
+        rng = np.random.default_rng([seed, blk] + [_key_seed(pdf[k].iloc[0]) for k in keys])
+        tree, node, feat, thr, left, right, value = build_trees(
+            pdf[zc].to_numpy(np.float64), pdf["tree"].to_numpy(np.int64), rng, int(pdf["_depth"].iloc[0]))
+        out = {k: np.repeat(pdf[k].iloc[0], tree.size) for k in keys}
+        out.update(tree=tree.astype(np.int32), node=node.astype(np.int32), feature=feat.astype(np.int32),
+                   threshold=thr, left=left.astype(np.int32), right=right.astype(np.int32), value=value)
+        return pd.DataFrame(out)
 
     return build
 
@@ -99,10 +103,8 @@ def _sample(z: DataFrame, keys: list[str], d: int, trees: int, seed: int) -> Dat
     cand = (pool.select(*keys, "_rid", "_psi", "_depth", "_q", *[f"_z{f}" for f in range(d)],
                         F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
             .filter(uniform(F.lit(seed), F.col("tree"), F.col("_rid")) < F.col("_q")).drop("_q"))
-    cand = cand.withColumn("_h", uniform(F.lit(seed + 7919), F.col("tree"), F.col("_rid")))
-    from pyspark.sql import Window
-    w = Window.partitionBy(*keys, "tree").orderBy("_h", "_rid")
-    return cand.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= F.col("_psi")).drop("_k", "_h")
+    # each tree then keeps its psi candidates with the smallest _h (in the build task)
+    return cand.withColumn("_h", uniform(F.lit(seed + 7919), F.col("tree"), F.col("_rid")))
 
 
 def _params(scaler: DataFrame, keys: list[str], max_samples: int) -> DataFrame:
@@ -116,12 +118,26 @@ def _params(scaler: DataFrame, keys: list[str], max_samples: int) -> DataFrame:
 
 def fit_forest(df: DataFrame, contamination: float = 0.05, trees: int = 200, max_samples: int = 256,
                seed: int = 42, features: list[str] | None = None, scope: str = "house") -> ForestModel:
+    return fit_score_forest(df, contamination, trees, max_samples, seed, features, scope, keep_scores=False)[0]
+
+
+def fit_score_forest(df: DataFrame, contamination: float = 0.05, trees: int = 200, max_samples: int = 256,
+                     seed: int = 42, features: list[str] | None = None, scope: str = "house",
+                     keep_scores: bool = True):
+    """Fit, and score the training rows once: their scores give the
+    threshold and, with ``keep_scores``, the returned scored frame (the same
+    as ``score_forest(df, model)``, without a second scoring pass)."""
     keys = scope_keys(scope)
     src = with_scope(df, scope)
     feats = available(src, features or FOREST_FEATURES)
     d = len(feats)
     extra = ["Time"] if "Time" in src.columns else []
+    # The fit reads its input several times (scaler, sample, scores): keep it
+    # (lost blocks are recomputed from lineage) and release it at the end.
+    src = src.persist(StorageLevel.MEMORY_AND_DISK) if keep_scores else src
     x = src.select(*keys, *extra, *[F.col(c).cast("double").alias(c) for c in feats])
+    if not keep_scores:
+        x = x.persist(StorageLevel.MEMORY_AND_DISK)
     scaler = _checkpoint(fit_scaler(x, feats, keys))
     n_groups = scaler.count()
     params = _checkpoint(_params(scaler, keys, max_samples))
@@ -144,12 +160,26 @@ def fit_forest(df: DataFrame, contamination: float = 0.05, trees: int = 200, max
     nodes = _checkpoint(nodes)
     model = ForestModel(keys, feats, scope, trees, contamination, scaler, nodes,
                         params.select(*keys, "psi", "max_depth", "c_psi", F.lit(0.0).alias("offset")))
-    scored = _checkpoint(_score_samples(z.drop("_n", "_psi", "_depth"), model, known_groups=n_groups)
-                         .select(*keys, "_score"))
+    if keep_scores:
+        full = src.withColumn("_rid", F.xxhash64(*[F.col(c) for c in keys + extra + feats]))
+        full = apply_scaler(full, scaler, feats, keys, known_rows=n_groups)
+        scored = _checkpoint(_score_samples(full, model, known_groups=n_groups))
+    else:
+        scored = _checkpoint(_score_samples(z.drop("_n", "_psi", "_depth"), model, known_groups=n_groups)
+                             .select(*keys, "_score"))
     biggest = scaler.agg(F.max("_n")).first()[0]
     offset = exact_percentile(scored, keys, "_score", contamination, out="offset", max_group_rows=biggest)
     model.params = _checkpoint(params.select(*keys, "psi", "max_depth", "c_psi").join(offset, keys, "inner"))
-    return model
+    (x if not keep_scores else src).unpersist()
+    if not keep_scores:
+        return model, None
+    return model, _finish_scores(scored, df, model, n_groups)
+
+
+def _finish_scores(scored: DataFrame, df: DataFrame, model: ForestModel, n_groups: int | None = None) -> DataFrame:
+    s = lookup_join(scored, model.params.select(*model.keys, "offset"), model.keys, "inner", known_rows=n_groups)
+    out = s.select(*df.columns, (F.col("_score") - F.col("offset")).alias("anomaly_score"))
+    return out.withColumn("is_anomaly", (F.col("anomaly_score") < 0).cast("int"))
 
 
 def _packed(model: ForestModel) -> dict:
@@ -170,9 +200,11 @@ def _packed(model: ForestModel) -> dict:
 def _score_samples(z: DataFrame, model: ForestModel, known_groups: int | None = None) -> DataFrame:
     """Add ``_score`` (= -2^(-E[h]/c(psi))) to scaled rows ``z``."""
     keys, d = model.keys, len(model.features)
-    n_nodes = model.nodes.count()
-    if n_nodes <= MAX_BROADCAST_NODES:
-        bc = z.sparkSession.sparkContext.broadcast(_packed(model))
+    n_nodes = model.nodes.count() if model.broadcast is None else 0
+    if model.broadcast is not None or n_nodes <= MAX_BROADCAST_NODES:
+        if model.broadcast is None:
+            model.broadcast = z.sparkSession.sparkContext.broadcast(_packed(model))
+        bc = model.broadcast
         nk = len(keys)
 
         @F.pandas_udf(T.DoubleType())
@@ -225,11 +257,7 @@ def score_forest(df: DataFrame, model: ForestModel) -> DataFrame:
     src = with_scope(df, model.scope)
     src = src.withColumn("_rid", F.xxhash64(*[F.col(c) for c in keys + model.features]))
     z = apply_scaler(src, model.scaler, model.features, keys)
-    s = _score_samples(z, model)
-    s = lookup_join(s, model.params.select(*keys, "offset"), keys, "inner")
-    score = (F.col("_score") - F.col("offset")).alias("anomaly_score")
-    out = s.select(*df.columns, score)
-    return out.withColumn("is_anomaly", (F.col("anomaly_score") < 0).cast("int"))
+    return _finish_scores(_score_samples(z, model), df, model)
 
 
 # --- a fixed forest, for checking scoring and thresholds against SQL ---------

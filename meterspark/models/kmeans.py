@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import dataclasses
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -238,6 +239,7 @@ def fit_kmeans(df: DataFrame, k: int = 4, restarts: int = 10, max_iter: int = 30
     d = len(feats)
     filled = src.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats],
                         *([F.col("Time")] if "Time" in src.columns else []))
+    filled = filled.persist(StorageLevel.MEMORY_AND_DISK)     # read by the scaler and the scaled copy
     scaler = _checkpoint(fit_scaler(filled, feats, keys))
     n_groups = scaler.count()
     # Row identity from the raw inputs (not from scaled values, whose last
@@ -246,6 +248,7 @@ def fit_kmeans(df: DataFrame, k: int = 4, restarts: int = 10, max_iter: int = 30
         ["Time"] if "Time" in filled.columns else [])]))
     z = apply_scaler(filled, scaler, feats, keys, known_rows=n_groups)
     z = _checkpoint(z.select(*keys, "_rid", *_z(d)))
+    filled.unpersist()
     key_types = [scaler.schema[k_].dataType for k_ in keys]
     small = scaler.filter(F.col("_n") <= LOCAL_FIT_ROWS)
     n_small = small.count()

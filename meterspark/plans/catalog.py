@@ -565,8 +565,8 @@ def q_elbow_table(spark, sf_dir):
 @register("forest_fit_score")
 def q_forest_fit_score(spark, sf_dir):
     f = features(spark, sf_dir)
-    m = ms_forest.fit_forest(f, contamination=0.05, trees=200, seed=42)
-    return ms_forest.score_forest(f, m).select("house_id", "Time", "Aggregate", "anomaly_score", "is_anomaly")
+    _, scored = ms_forest.fit_score_forest(f, contamination=0.05, trees=200, seed=42)
+    return scored.select("house_id", "Time", "Aggregate", "anomaly_score", "is_anomaly")
 
 
 @register("full_pipeline")

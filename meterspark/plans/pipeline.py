@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from meterspark.config import ensure_checkpoint_dir
-from meterspark.models.forest import fit_forest, score_forest
+from meterspark.models.forest import fit_score_forest, score_forest
 from meterspark.models.kmeans import assign_clusters, fit_kmeans
 from meterspark.operators.calendar import add_time_features
 from meterspark.operators.cleaning import clean
@@ -37,9 +37,9 @@ def run_pipeline(readings: DataFrame, contamination: float = 0.05, k: int = 4, f
     if model_path:
         from meterspark.sources.model_store import fit_or_load
         forest = fit_or_load(feats, model_path, "forest", overwrite, **fp)
+        scored = score_forest(feats, forest)
     else:
-        forest = fit_forest(feats, **fp)
-    scored = score_forest(feats, forest)
+        forest, scored = fit_score_forest(feats, **fp)
     if model_path:
         km = fit_or_load(scored, model_path, "kmeans", overwrite, **kp)
     else:

@@ -116,3 +116,12 @@ def test_model_store_round_trip(spark, tmp_dir):
     pd.testing.assert_frame_equal(a, b)
     f1 = fit_or_load(_outlier_frame(spark), tmp_dir, "forest", trees=10, seed=2)
     assert f1.nodes.count() > 0 and f1.params.count() == 1
+
+
+def test_fit_score_equals_fit_then_score(spark):
+    df = _outlier_frame(spark)
+    m, scored = FO.fit_score_forest(df, contamination=0.05, trees=20, seed=3)
+    a = scored.toPandas().sort_values("Time")
+    b = FO.score_forest(df, m).toPandas().sort_values("Time")
+    np.testing.assert_allclose(a["anomaly_score"].to_numpy(), b["anomaly_score"].to_numpy(), rtol=1e-12)
+    assert list(a["is_anomaly"]) == list(b["is_anomaly"])
