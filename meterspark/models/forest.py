@@ -38,7 +38,7 @@ from meterspark.functions.percentile import exact_percentile
 from meterspark.functions.random import uniform
 from meterspark.models.scaler import apply_scaler, available, fit_scaler, scope_keys, with_scope
 
-MAX_BROADCAST_NODES = 20_000_000
+MAX_BROADCAST_NODES = 5_000_000
 COGROUP_CHUNK_ROWS = 500_000
 TREES_PER_TASK = 20
 

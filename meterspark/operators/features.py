@@ -46,18 +46,24 @@ def _rate_derived(df: DataFrame) -> DataFrame:
     }).drop("_lag1", "_lag5"))
 
 
+def row_order(df: DataFrame) -> list[str]:
+    """Time, then the readings themselves: without resampling two readings of
+    a house may share a timestamp, and row windows need one fixed order."""
+    return ["Time"] + [c for c in ["Aggregate"] + appliance_columns(df) if c in df.columns]
+
+
 def add_rolling_features(df: DataFrame, window: int = ROLLING_WINDOW,
                          min_rows: int = ROLLING_MIN_ROWS, chunk_rows: int | None = None) -> DataFrame:
     """rolling_mean / rolling_std over the current and ``window - 1`` previous
     rows per house (null before ``min_rows`` rows), deviation, z_score."""
     out = row_windows(df, lambda w: _rolling_cols(w, window, min_rows), halo=max(window - 1, 1),
-                      chunk_rows=chunk_rows)
+                      order=row_order(df), chunk_rows=chunk_rows)
     return _rolling_derived(out)
 
 
 def add_rate_features(df: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """diff_1, diff_5 (clipped to +-5000 W) and pct_change (clipped to +-500 %)."""
-    return _rate_derived(row_windows(df, _lag_cols, halo=5, chunk_rows=chunk_rows))
+    return _rate_derived(row_windows(df, _lag_cols, halo=5, order=row_order(df), chunk_rows=chunk_rows))
 
 
 def add_appliance_features(df: DataFrame) -> DataFrame:
@@ -102,7 +108,7 @@ def engineer_features(df: DataFrame, window: int = ROLLING_WINDOW, min_rows: int
     halo = max(window - 1, 5)
     stats = HouseStats(df)
     out = row_windows(df, lambda w: _rolling_cols(w, window, min_rows) + _lag_cols(w),
-                      halo=halo, chunk_rows=chunk_rows, stats=stats)
+                      halo=halo, order=row_order(df), chunk_rows=chunk_rows, stats=stats)
     out = _rate_derived(_rolling_derived(out))
     order = [c for c in df.columns] + ["rolling_mean", "rolling_std", "deviation", "z_score",
                                        "diff_1", "diff_5", "pct_change"]

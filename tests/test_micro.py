@@ -177,3 +177,14 @@ def test_message_numbers(spark):
     df = series(spark, [1.0]).withColumn("z_score", F.lit(-3.75))
     msg = alerts(df).collect()[0].message
     assert "3.8" in msg and msg.startswith("🔴")
+
+
+def test_equal_timestamps_get_a_fixed_order(spark):
+    # raw readings (no resampling) may share a timestamp within a house
+    rows = [{"Time": T0 + timedelta(minutes=i // 2), "Aggregate": float(v)}
+            for i, v in enumerate([5, 3, 9, 1, 7, 2, 8, 4, 6, 10])]
+    df = readings(spark, rows)
+    a = ms.add_rate_features(df).orderBy("Time", "Aggregate").collect()
+    b = ms.add_rate_features(df.repartition(5)).orderBy("Time", "Aggregate").collect()
+    assert [r.diff_1 for r in a] == [r.diff_1 for r in b]
+    assert a[1].diff_1 == 5.0 - 3.0      # within a timestamp: ascending Aggregate

@@ -125,3 +125,16 @@ def test_fit_score_equals_fit_then_score(spark):
     b = FO.score_forest(df, m).toPandas().sort_values("Time")
     np.testing.assert_allclose(a["anomaly_score"].to_numpy(), b["anomaly_score"].to_numpy(), rtol=1e-12)
     assert list(a["is_anomaly"]) == list(b["is_anomaly"])
+
+
+def test_global_scope_models(spark):
+    df = _blob_frame(spark).unionByName(_blob_frame(spark, seed=9).withColumn("house_id", F.lit(2)))
+    km = KM.fit_kmeans(df, k=4, restarts=2, max_iter=50, seed=1, scope="global")
+    assert km.centers.count() == 4
+    a = KM.assign_clusters(df, km)
+    assert a.count() == df.count() and "_scope" not in a.columns
+    f = _outlier_frame(spark)
+    fm = FO.fit_forest(f.unionByName(f.withColumn("house_id", F.lit(2))), trees=10, seed=1, scope="global")
+    assert fm.params.count() == 1
+    s = FO.score_forest(f, fm)
+    assert s.count() == f.count() and "_scope" not in s.columns
