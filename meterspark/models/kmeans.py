@@ -224,15 +224,8 @@ def _fit_local(z, keys, key_types, k, d, restarts, max_iter, tol_by_key, seed, n
     return best, chosen
 
 
-def fit_kmeans(df: DataFrame, k: int = 4, restarts: int = 10, max_iter: int = 300, tol: float = 1e-4,
-               seed: int = 42, features: list[str] | None = None, scope: str = "house") -> KMeansModel:
-    """Fit k-means on scaled features (nulls as 0, population std).
-
-    One Spark job per Lloyd iteration: rows x restarts -> nearest center ->
-    partial sums per (scope, restart, cluster). A restart stops moving once
-    its squared center shift is within ``tol`` x the mean feature variance.
-    Centers stay on the driver while scope keys x restarts x k is within
-    ``MAX_LOCAL_CENTER_ROWS``; beyond that they are a checkpointed table."""
+def _prepare(df: DataFrame, features: list[str] | None, scope: str) -> dict:
+    """Scaler fit and the scaled, checkpointed rows every fit reads."""
     keys = scope_keys(scope)
     src = with_scope(df, scope)
     feats = available(src, features or KMEANS_FEATURES)
@@ -249,26 +242,56 @@ def fit_kmeans(df: DataFrame, k: int = 4, restarts: int = 10, max_iter: int = 30
     z = apply_scaler(filled, scaler, feats, keys, known_rows=n_groups)
     z = _checkpoint(z.select(*keys, "_rid", *_z(d)))
     filled.unpersist()
-    key_types = [scaler.schema[k_].dataType for k_ in keys]
     small = scaler.filter(F.col("_n") <= LOCAL_FIT_ROWS)
-    n_small = small.count()
-    if n_small:
-        best_l, chosen_l = _fit_in_tasks(z, small, keys, key_types, k, d, restarts, max_iter, tol, seed)
-        if n_small == n_groups:
-            return KMeansModel(keys, feats, k, scope, scaler, chosen_l, best_l)
-        # Remaining (large) scope keys: distributed Lloyd below, then union.
-        z = z.join(F.broadcast(small.select(*keys)), keys, "left_anti") if n_small <= 1_000_000 else \
-            z.join(small.select(*keys), keys, "left_anti")
-        z = _checkpoint(z)
-        scaler_big = scaler.filter(F.col("_n") > LOCAL_FIT_ROWS)
-        sub = _fit_distributed(z, scaler_big, keys, key_types, k, d, restarts, max_iter, tol, seed,
-                               n_groups - n_small)
-        return KMeansModel(keys, feats, k, scope, scaler, chosen_l.unionByName(sub[1]), best_l.unionByName(sub[0]))
-    best, chosen = _fit_distributed(z, scaler, keys, key_types, k, d, restarts, max_iter, tol, seed, n_groups)
-    return KMeansModel(keys, feats, k, scope, scaler, chosen, best)
-
-
-def _fit_in_tasks(z, small, keys, key_types, k, d, restarts, max_iter, tol, seed):
+    return dict(keys=keys, feats=feats, d=d, scaler=scaler, z=z, n_groups=n_groups, scope=scope,
+                key_types=[scaler.schema[k_].dataType for k_ in keys], small=small, n_small=small.count())
+
+
+def _fit_prepared(p: dict, ks: list[int], restarts: int, max_iter: int, tol: float, seed: int) -> dict:
+    """Fits for every k in ``ks``: {k: (best, chosen)}. Scope keys with at
+    most LOCAL_FIT_ROWS rows run all ks in one task each (one job); larger
+    ones run distributed Lloyd per k."""
+    keys, d, key_types, z, scaler = p["keys"], p["d"], p["key_types"], p["z"], p["scaler"]
+    out = {}
+    local = None
+    if p["n_small"]:
+        local = _fit_in_tasks(z, p["small"], keys, key_types, ks, d, restarts, max_iter, tol, seed)
+    if p["n_small"] == p["n_groups"]:
+        for k in ks:
+            out[k] = (local[0].filter(F.col("k") == k).drop("k"), local[1].filter(F.col("k") == k).drop("k"))
+        return out
+    zb, sb = z, scaler
+    if p["n_small"]:
+        zb = _checkpoint(lookup_join(z, p["small"].select(*keys).withColumn("_small", F.lit(True)), keys, "left",
+                                     known_rows=p["n_small"]).filter(F.col("_small").isNull()).drop("_small"))
+        sb = scaler.filter(F.col("_n") > LOCAL_FIT_ROWS)
+    for k in ks:
+        best, chosen = _fit_distributed(zb, sb, keys, key_types, k, d, restarts, max_iter, tol, seed,
+                                        p["n_groups"] - p["n_small"])
+        if local is not None:
+            best = local[0].filter(F.col("k") == k).drop("k").unionByName(best)
+            chosen = local[1].filter(F.col("k") == k).drop("k").unionByName(chosen)
+        out[k] = (best, chosen)
+    return out
+
+
+def fit_kmeans(df: DataFrame, k: int = 4, restarts: int = 10, max_iter: int = 300, tol: float = 1e-4,
+               seed: int = 42, features: list[str] | None = None, scope: str = "house") -> KMeansModel:
+    """Fit k-means on scaled features (nulls as 0, population std).
+
+    Scope keys with at most ``LOCAL_FIT_ROWS`` rows are fit inside one task
+    each (bounded group). Larger ones run one Spark job per Lloyd iteration:
+    rows x restarts -> nearest center -> partial sums per (scope, restart,
+    cluster). A restart stops once its squared center shift is within
+    ``tol`` x the mean feature variance. Centers stay on the driver while
+    scope keys x restarts x k is within ``MAX_LOCAL_CENTER_ROWS``; beyond
+    that they are a checkpointed table."""
+    p = _prepare(df, features, scope)
+    best, chosen = _fit_prepared(p, [k], restarts, max_iter, tol, seed)[k]
+    return KMeansModel(p["keys"], p["feats"], k, scope, p["scaler"], chosen, best)
+
+
+def _fit_in_tasks(z, small, keys, key_types, ks, d, restarts, max_iter, tol, seed):
     """Scope keys with at most LOCAL_FIT_ROWS rows: each fit in one task."""
     import numpy as np
     import pandas as pd
@@ -277,6 +300,7 @@ def _fit_in_tasks(z, small, keys, key_types, k, d, restarts, max_iter, tol, seed
     zc = [f"_z{f}" for f in range(d)]
     rows = lookup_join(z, small.select(*keys, "_nonconst"), keys, "inner")
     schema = T.StructType([T.StructField(k_, t) for k_, t in zip(keys, key_types)] + [
+        T.StructField("k", T.IntegerType()),
         T.StructField("restart", T.IntegerType()), T.StructField("inertia", T.DoubleType()),
         T.StructField("iterations", T.IntegerType()), T.StructField("cluster", T.IntegerType())] + [
         T.StructField(f"c{f}", T.DoubleType()) for f in range(d)])
@@ -284,19 +308,24 @@ def _fit_in_tasks(z, small, keys, key_types, k, d, restarts, max_iter, tol, seed
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rid", kind="mergesort")
         kv = [pdf[k_].iloc[0] for k_ in keys]
-        ks = int(kv[0]) & 0x7FFFFFFF if isinstance(kv[0], (int, np.integer)) else 0
+        key_seed = int(kv[0]) & 0x7FFFFFFF if isinstance(kv[0], (int, np.integer)) else 0
         tol_g = tol * float(pdf["_nonconst"].iloc[0]) / d
-        r, c, inertia, it = fit_group(pdf[zc].to_numpy(np.float64), k, restarts, max_iter, tol_g, seed, ks)
-        out = {k_: [v] * k for k_, v in zip(keys, kv)}
-        out.update(restart=[r] * k, inertia=[inertia] * k, iterations=[it] * k, cluster=list(range(k)))
-        for f in range(d):
-            out[f"c{f}"] = c[:, f]
-        return pd.DataFrame(out)
+        x = pdf[zc].to_numpy(np.float64)
+        parts = []
+        for k in ks:
+            r, c, inertia, it = fit_group(x, k, restarts, max_iter, tol_g, seed, key_seed)
+            out = {k_: [v] * k for k_, v in zip(keys, kv)}
+            out.update(k=[k] * k, restart=[r] * k, inertia=[inertia] * k, iterations=[it] * k,
+                       cluster=list(range(k)))
+            for f in range(d):
+                out[f"c{f}"] = c[:, f]
+            parts.append(pd.DataFrame(out))
+        return pd.concat(parts, ignore_index=True)
 
     parts = max(1, min(small.count(), 4 * z.sparkSession.sparkContext.defaultParallelism))
     res = _checkpoint(rows.repartition(parts, *keys).groupBy(*keys).applyInPandas(fit, schema))
-    best = res.filter(F.col("cluster") == 0).select(*keys, "restart", "inertia", "iterations")
-    chosen = res.select(*keys, "cluster", *[f"c{f}" for f in range(d)])
+    best = res.filter(F.col("cluster") == 0).select(*keys, "k", "restart", "inertia", "iterations")
+    chosen = res.select(*keys, "k", "cluster", *[f"c{f}" for f in range(d)])
     return best, chosen
 
 
@@ -399,12 +428,13 @@ def assign_clusters(df: DataFrame, model: KMeansModel, labels: str = "auto") ->
     return x.drop(*drop).select(*out)
 
 
-def elbow(df: DataFrame, ks=range(2, 9), **kw) -> DataFrame:
-    """Inertia of the best restart for each k (one fit per k)."""
-    parts = []
-    for k in ks:
-        m = fit_kmeans(df, k=k, **kw)
-        parts.append(m.inertia.select(*m.keys, F.lit(k).alias("k"), "inertia"))
+def elbow(df: DataFrame, ks=range(2, 9), restarts: int = 10, max_iter: int = 300, tol: float = 1e-4,
+          seed: int = 42, features: list[str] | None = None, scope: str = "house") -> DataFrame:
+    """Inertia of the best restart for each k. The scaler and scaled rows are
+    prepared once; bounded scope keys fit every k in the same task."""
+    p = _prepare(df, features, scope)
+    fits = _fit_prepared(p, list(ks), restarts, max_iter, tol, seed)
+    parts = [best.select(*p["keys"], F.lit(k).alias("k"), "inertia") for k, (best, _) in fits.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

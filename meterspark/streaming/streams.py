@@ -147,7 +147,8 @@ def stream_alerts(features: DataFrame, hourly: DataFrame | None = None, forest=N
     from meterspark.operators.rules import alerts
     x = add_time_features(features)
     if hourly is not None:
-        x = x.join(F.broadcast(hourly), ["house_id", "hour"], "left")
+        from meterspark.functions.lookup import lookup_join
+        x = lookup_join(x, hourly, ["house_id", "hour"], "left")     # static side, size-checked
     if forest is not None:
         from meterspark.models.forest import score_forest
         x = score_forest(x, forest)
