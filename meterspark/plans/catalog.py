@@ -621,3 +621,68 @@ SELECT * FROM lastrow JOIN summ USING (house_id)""",
 def q_metric_row(spark, sf_dir):
     view = ms_views.view_at(scored_standin(spark, sf_dir), 7, size=200, step=5)
     return ms_views.metric_row(view)
+
+
+# --- streaming, run to completion (availableNow) ------------------------------
+# Inputs land as files under the session's checkpoint folder (shared on a
+# cluster); the streams read them, write Parquet sinks there, and the query
+# returns the sink read back as a batch DataFrame.
+def _stream_dir(spark) -> str:
+    import uuid
+    from meterspark.config import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/meterspark-stream-{uuid.uuid4().hex}"
+
+
+def _run_to_parquet(stream_df, wd: str, name: str, mode: str = "append"):
+    q = (stream_df.writeStream.format("parquet").outputMode(mode)
+         .option("path", f"{wd}/{name}").option("checkpointLocation", f"{wd}/{name}_ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return stream_df.sparkSession.read.parquet(f"{wd}/{name}")
+
+
+@register("stream_minute_mean", """
+SELECT * FROM minute
+WHERE "Time" + INTERVAL 1 MINUTE <= (SELECT max("Time") FROM cleaned) - INTERVAL 10 MINUTE""",
+          ["Aggregate"] + APPLIANCES)
+def q_stream_minute_mean(spark, sf_dir):
+    """T-1 + T-2: readings files as a stream, watermarked 1-minute means;
+    bins still open under the 10-minute watermark at the end are not emitted."""
+    from meterspark.streaming import streams as S
+    wd = _stream_dir(spark)
+    readings(spark, sf_dir).write.parquet(f"{wd}/in")
+    src = S.stream_readings(spark, f"{wd}/in", max_files_per_trigger=None)
+    return _run_to_parquet(S.stream_minute_mean(src), wd, "minute")
+
+
+_STREAM_FEATURES = ["house_id", "Time", "Aggregate", "rolling_mean", "rolling_std", "deviation", "z_score",
+                    "diff_1", "diff_5", "pct_change"]
+
+
+def _stream_features(spark, sf_dir, wd):
+    from meterspark.streaming import streams as S
+    m = minute(spark, sf_dir)
+    m.write.parquet(f"{wd}/minute_in")
+    src = spark.readStream.schema(m.schema).parquet(f"{wd}/minute_in")
+    return _run_to_parquet(S.stream_features(src), wd, "features")
+
+
+@register("stream_features", "SELECT " + ", ".join(f'"{c}"' for c in _STREAM_FEATURES) + " FROM features",
+          [c for c in _STREAM_FEATURES if c not in ("house_id", "Time")])
+def q_stream_features(spark, sf_dir):
+    """T-3: per-house rolling / lag state with applyInPandasWithState."""
+    return _stream_features(spark, sf_dir, _stream_dir(spark))
+
+
+@register("stream_alerts", "WITH " + _alerts_sql("(SELECT *, CAST(hour(\"Time\") AS INTEGER) AS hour, "
+                                                 "CAST(hour(\"Time\") >= 23 OR hour(\"Time\") < 5 AS INTEGER) AS is_night "
+                                                 "FROM features)", with_model=False).strip()
+          + "\nSELECT * FROM alerts", _ALERT_DOUBLES)
+def q_stream_alerts(spark, sf_dir):
+    """T-3 -> T-4 -> T-5: streamed features, rules, foreachBatch sink."""
+    from meterspark.streaming import streams as S
+    wd = _stream_dir(spark)
+    feats = _stream_features(spark, sf_dir, wd)
+    src = spark.readStream.schema(feats.schema).parquet(f"{wd}/features")
+    S.write_batches(S.stream_alerts(src), f"{wd}/out", f"{wd}/out_ckpt").awaitTermination()
+    return spark.read.parquet(f"{wd}/out/alerts").drop("batch_id")
