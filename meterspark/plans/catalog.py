@@ -64,34 +64,27 @@ def _clip(x: str, lo: float, hi: float) -> str:
     return f"CASE WHEN ({x}) IS NULL THEN NULL ELSE greatest(least({x}, {hi}), {lo}) END"
 
 
-_CTES = f"""
-readings AS ({ORACLE_READINGS_SQL}),
-cleaned AS (
-  SELECT house_id, "Time", Aggregate, {_APP_CLEAN}
-  FROM readings WHERE Aggregate > 0
-),
-minute AS (
-  SELECT house_id, time_bucket(INTERVAL 1 MINUTE, "Time") AS "Time", avg(Aggregate) AS Aggregate, {_APP_AVG}
-  FROM cleaned GROUP BY ALL
-),
-timed AS (
+def _feature_ctes(src: str, p: str = "", order: str = '"Time"') -> str:
+    """timed -> win -> feat_all -> features over ``src`` (CTE names prefixed by ``p``)."""
+    return f"""
+{p}timed AS (
   SELECT *, CAST(hour("Time") AS INTEGER) AS hour, CAST(minute("Time") AS INTEGER) AS minute,
          CAST(isodow("Time") - 1 AS INTEGER) AS day_of_week, CAST(month("Time") AS INTEGER) AS month,
          CAST(isodow("Time") >= 6 AS INTEGER) AS is_weekend,
          CAST(hour("Time") >= 23 OR hour("Time") < 5 AS INTEGER) AS is_night,
          CAST(hour("Time") BETWEEN 7 AND 9 OR hour("Time") BETWEEN 17 AND 21 AS INTEGER) AS is_peak
-  FROM minute
+  FROM {src}
 ),
-win AS (
+{p}win AS (
   SELECT *,
     CASE WHEN count(Aggregate) OVER w30 >= 5 THEN avg(Aggregate) OVER w30 END AS rolling_mean,
     CASE WHEN count(Aggregate) OVER w30 >= 5 THEN stddev_samp(Aggregate) OVER w30 END AS rolling_std,
     lag(Aggregate, 1) OVER w AS lag1, lag(Aggregate, 5) OVER w AS lag5
-  FROM timed
-  WINDOW w AS (PARTITION BY house_id ORDER BY "Time"),
-         w30 AS (PARTITION BY house_id ORDER BY "Time" ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)
+  FROM {p}timed
+  WINDOW w AS (PARTITION BY house_id ORDER BY {order}),
+         w30 AS (PARTITION BY house_id ORDER BY {order} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)
 ),
-feat_all AS (
+{p}feat_all AS (
   SELECT * EXCLUDE (lag1, lag5),
     Aggregate - rolling_mean AS deviation,
     (Aggregate - rolling_mean) / (rolling_std + 1e-5) AS z_score,
@@ -102,13 +95,25 @@ feat_all AS (
     greatest(Aggregate - ({_APP_SUM}), 0.0) AS unaccounted_load,
     CAST({_APP_ACTIVE} AS INTEGER) AS active_appliances,
     avg(Aggregate) OVER (PARTITION BY house_id, hour) AS hourly_avg
-  FROM win
+  FROM {p}win
 ),
-features AS (
+{p}features AS (
   SELECT * EXCLUDE (hourly_avg), hourly_avg, CAST(coalesce(Aggregate > hourly_avg, false) AS INTEGER) AS above_hourly
-  FROM feat_all WHERE rolling_mean IS NOT NULL AND rolling_std IS NOT NULL
+  FROM {p}feat_all WHERE rolling_mean IS NOT NULL AND rolling_std IS NOT NULL
 )"""
 
+
+_CTES = f"""
+readings AS ({ORACLE_READINGS_SQL}),
+cleaned AS (
+  SELECT house_id, "Time", Aggregate, {_APP_CLEAN}
+  FROM readings WHERE Aggregate > 0
+),
+minute AS (
+  SELECT house_id, time_bucket(INTERVAL 1 MINUTE, "Time") AS "Time", avg(Aggregate) AS Aggregate, {_APP_AVG}
+  FROM cleaned GROUP BY ALL
+),{_feature_ctes("minute")},{_feature_ctes("cleaned", "raw_", '"Time", Aggregate, ' + _APP)}"""
+
 _TIME_COLS = ["hour", "minute", "day_of_week", "month", "is_weekend", "is_night", "is_peak"]
 _FEATURE_DOUBLES = (["Aggregate"] + APPLIANCES + ["rolling_mean", "rolling_std", "deviation", "z_score",
                                                   "diff_1", "diff_5", "pct_change", "appliance_sum",
@@ -686,3 +691,9 @@ def q_stream_alerts(spark, sf_dir):
     src = spark.readStream.schema(feats.schema).parquet(f"{wd}/features")
     S.write_batches(S.stream_alerts(src), f"{wd}/out", f"{wd}/out_ckpt").awaitTermination()
     return spark.read.parquet(f"{wd}/out/alerts").drop("batch_id")
+
+
+@register("raw_features", "SELECT * FROM raw_features", _FEATURE_DOUBLES)
+def q_raw_features(spark, sf_dir):
+    """Features without resampling (every cleaned reading is a row)."""
+    return ms.engineer_features(ms.add_time_features(ms.clean(readings(spark, sf_dir))))
