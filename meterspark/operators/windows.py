@@ -78,7 +78,8 @@ def row_windows(df: DataFrame, build: Callable[[WindowSpec], list[Column]], halo
     if chunk_rows is None or chunk_rows > 0:
         stats = stats or HouseStats(df, key)
         if chunk_rows is None:
-            chunk_rows = 0 if stats.biggest <= DEFAULT_CHUNK_ROWS else DEFAULT_CHUNK_ROWS
+            size = max(DEFAULT_CHUNK_ROWS, 4 * halo)
+            chunk_rows = 0 if stats.biggest <= size else size
     if not chunk_rows:
         w = Window.partitionBy(key).orderBy(*order)
         return df.select("*", *build(w))
