@@ -138,3 +138,32 @@ def test_global_scope_models(spark):
     assert fm.params.count() == 1
     s = FO.score_forest(f, fm)
     assert s.count() == f.count() and "_scope" not in s.columns
+
+
+def test_kmeans_distributed_with_center_table(spark, monkeypatch):
+    """Large-house path with the centers kept as a checkpointed table."""
+    monkeypatch.setattr(KM, "LOCAL_FIT_ROWS", 0)
+    monkeypatch.setattr(KM, "MAX_LOCAL_CENTER_ROWS", 0)
+    df = _blob_frame(spark)
+    m = KM.fit_kmeans(df, k=4, restarts=2, max_iter=30, seed=7)
+    a = KM.assign_clusters(df, m).toPandas()
+    assert a.groupby("truth")["cluster"].nunique().max() == 1
+    assert a["cluster"].nunique() == 4
+    assert m.inertia.count() == 1
+
+
+def test_pipeline_report_and_model_reuse(spark, tmp_dir):
+    import meterspark as ms
+    from meterspark.plans.pipeline import report, run_pipeline, write_report
+    r = ms.load_readings(spark, SF_SMALL)
+    scored = run_pipeline(r, trees=20, restarts=2, model_path=f"{tmp_dir}/models")
+    cols = set(scored.columns)
+    assert {"anomaly_score", "is_anomaly", "cluster", "cluster_label", "cluster_distance"} <= cols
+    n = scored.count()
+    write_report(report(scored), f"{tmp_dir}/report")
+    summ = spark.read.parquet(f"{tmp_dir}/report/summary")
+    assert summ.agg(F.sum("total_readings")).first()[0] == n
+    again = run_pipeline(r, trees=20, restarts=2, model_path=f"{tmp_dir}/models")   # reuses saved models
+    a = scored.select("house_id", "Time", "anomaly_score").toPandas().sort_values(["house_id", "Time"])
+    b = again.select("house_id", "Time", "anomaly_score").toPandas().sort_values(["house_id", "Time"])
+    np.testing.assert_allclose(a["anomaly_score"].to_numpy(), b["anomaly_score"].to_numpy(), rtol=1e-12)
