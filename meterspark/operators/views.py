@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterspark.functions.lookup import lookup_join
-from meterspark.operators.windows import HouseStats, row_windows, with_row_index
+from meterspark.operators.windows import HouseStats, chunk_size, row_windows, with_row_index
 
 
 def baseline_band(df: DataFrame) -> DataFrame:
@@ -77,10 +77,19 @@ def sliding_views(df: DataFrame, size: int = 100, step: int = 1, chunk_rows: int
             cols.append(F.sum("is_anomaly").over(f).cast("bigint").alias("anomalies"))
         return cols
 
-    x = with_row_index(df, stats=stats)
-    x = lookup_join(x, stats.totals(), ["house_id"], "inner", known_rows=stats.houses)
-    x = row_windows(x.withColumn("_j", F.col("_idx")), build, halo=size - 1, order=("_idx",),
-                    chunk_rows=chunk_rows, stats=stats)
+    chunk = chunk_size(stats, size - 1, chunk_rows)
+    if not chunk:
+        # every house fits one task: index, house total and frames come from
+        # one Window node (one exchange, one sort)
+        w = Window.partitionBy("house_id").orderBy("Time")
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        x = df.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("_j"),
+                      F.count(F.lit(1)).over(whole).alias("_total"), *build(w))
+    else:
+        x = with_row_index(df, stats=stats)
+        x = lookup_join(x, stats.totals(), ["house_id"], "inner", known_rows=stats.houses)
+        x = row_windows(x.withColumn("_j", F.col("_idx")), build, halo=size - 1, order=("_idx",),
+                        chunk_rows=chunk, stats=stats)
     j, n = F.col("_j"), F.col("_total")
     n_windows = F.ceil(n / step)
     first_tail = F.greatest(F.ceil((n - size) / step), F.lit(0))

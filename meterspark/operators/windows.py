@@ -65,6 +65,15 @@ def with_row_index(df: DataFrame, order: Sequence[str] = ("Time",), key: str = "
     return x.withColumn("_idx", F.col("_off") + F.row_number().over(w) - 1).drop("_off", "_day")
 
 
+def chunk_size(stats: HouseStats, halo: int, chunk_rows: int | None = None) -> int:
+    """0 = one window task per house is fine (largest house within the
+    bound), else the chunk size in rows (always above the halo)."""
+    if chunk_rows is not None:
+        return chunk_rows
+    size = max(DEFAULT_CHUNK_ROWS, 4 * halo)
+    return 0 if stats.biggest <= size else size
+
+
 def row_windows(df: DataFrame, build: Callable[[WindowSpec], list[Column]], halo: int,
                 order: Sequence[str] = ("Time",), key: str = "house_id",
                 chunk_rows: int | None = None, stats: HouseStats | None = None) -> DataFrame:
@@ -77,9 +86,7 @@ def row_windows(df: DataFrame, build: Callable[[WindowSpec], list[Column]], halo
     ``stats``: sizes already gathered for ``df`` (saves a pass)."""
     if chunk_rows is None or chunk_rows > 0:
         stats = stats or HouseStats(df, key)
-        if chunk_rows is None:
-            size = max(DEFAULT_CHUNK_ROWS, 4 * halo)
-            chunk_rows = 0 if stats.biggest <= size else size
+        chunk_rows = chunk_size(stats, halo, chunk_rows)
     if not chunk_rows:
         w = Window.partitionBy(key).orderBy(*order)
         return df.select("*", *build(w))
