@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterspark.functions.lookup import lookup_join
-from meterspark.operators.windows import HouseStats, chunk_size, row_windows, with_row_index
+from meterspark.operators.windows import HouseStats, chunk_size, indexed, row_windows, with_row_index
 
 
 def baseline_band(df: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def latest(df: DataFrame) -> DataFrame:
 
 def row_batches(df: DataFrame, size: int = 10) -> DataFrame:
     """Consecutive batches of ``size`` rows per house (the last may be short)."""
-    x = with_row_index(df, stats=HouseStats(df)).withColumn("batch_id", F.floor(F.col("_idx") / size))
+    x = indexed(df).withColumn("batch_id", F.floor(F.col("_idx") / size))
     aggs = [F.count(F.lit(1)).alias("rows"), F.min("Time").alias("start_time"), F.max("Time").alias("end_time"),
             F.avg("Aggregate").alias("avg_w"), F.max("Aggregate").alias("peak_w")]
     if "is_anomaly" in df.columns:
@@ -112,9 +112,7 @@ def view_at(df: DataFrame, i: int, size: int = 200, step: int = 5) -> DataFrame:
     ``size`` once it passes the end, so after ``i`` calls it is at
     ``size + (i mod (M + 1)) * step`` with ``M = max(0, (n - size) div step)``;
     the view is rows ``[pos - size, pos)``."""
-    stats = HouseStats(df)
-    x = lookup_join(with_row_index(df, stats=stats), stats.totals(), ["house_id"], "inner",
-                    known_rows=stats.houses)
+    x = indexed(df, with_total=True)
     m = F.greatest(F.floor((F.col("_total") - size) / step), F.lit(0))
     pos = F.lit(size) + (F.lit(i) % (m + 1)) * step
     return (x.filter((F.col("_idx") >= pos - size) & (F.col("_idx") < pos))

@@ -74,6 +74,25 @@ def chunk_size(stats: HouseStats, halo: int, chunk_rows: int | None = None) -> i
     return 0 if stats.biggest <= size else size
 
 
+def indexed(df: DataFrame, stats: HouseStats | None = None, with_total: bool = False,
+            order: Sequence[str] = ("Time",), key: str = "house_id") -> DataFrame:
+    """Add ``_idx`` (0-based row position per house) and optionally ``_total``
+    (rows of the house). One Window node when every house fits one task,
+    else the parallel index from day counts plus a size-checked join."""
+    stats = stats or HouseStats(df, key)
+    if not chunk_size(stats, 0):
+        w = Window.partitionBy(key).orderBy(*order)
+        cols = [(F.row_number().over(w) - 1).cast("bigint").alias("_idx")]
+        if with_total:
+            whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            cols.append(F.count(F.lit(1)).over(whole).alias("_total"))
+        return df.select("*", *cols)
+    x = with_row_index(df, order, key, stats)
+    if with_total:
+        x = lookup_join(x, stats.totals(), [key], "inner", known_rows=stats.houses)
+    return x
+
+
 def row_windows(df: DataFrame, build: Callable[[WindowSpec], list[Column]], halo: int,
                 order: Sequence[str] = ("Time",), key: str = "house_id",
                 chunk_rows: int | None = None, stats: HouseStats | None = None) -> DataFrame:

@@ -77,3 +77,16 @@ def test_sliding_views_chunked(spark):
     a = sliding_views(t, size=10, step=4, chunk_rows=0).toPandas().sort_values(["house_id", "window_id"])
     b = sliding_views(t, size=10, step=4, chunk_rows=23).toPandas().sort_values(["house_id", "window_id"])
     pd.testing.assert_frame_equal(a.reset_index(drop=True), b.reset_index(drop=True))
+
+
+def test_row_views_chunked_index_equals_single_task(spark, monkeypatch):
+    from meterspark.operators import windows as W
+    from meterspark.operators.views import row_batches, view_at
+    t = catalog.minute(spark, SF_SMALL)
+    a1 = row_batches(t, 7).toPandas().sort_values(["house_id", "batch_id"]).reset_index(drop=True)
+    a2 = view_at(t, 3, size=20, step=4).toPandas().sort_values(["house_id", "Time"]).reset_index(drop=True)
+    monkeypatch.setattr(W, "DEFAULT_CHUNK_ROWS", 10)          # every house now "too big"
+    b1 = row_batches(t, 7).toPandas().sort_values(["house_id", "batch_id"]).reset_index(drop=True)
+    b2 = view_at(t, 3, size=20, step=4).toPandas().sort_values(["house_id", "Time"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(a1, b1[a1.columns])
+    pd.testing.assert_frame_equal(a2, b2[a2.columns])
