@@ -15,11 +15,18 @@ from meterspark.operators.resample import downsample, freq_seconds
 from meterspark.operators.rules import alert_counts, alerts, standby_recommendations, top_critical
 
 
-def prepare(readings: DataFrame, freq: str | None = "1 minute", window: int = 30) -> DataFrame:
-    """clean -> downsample (optional) -> calendar -> features."""
+def prepare(readings: DataFrame, freq: str | None = "1 minute", window: int = 30,
+            materialize: bool = False) -> DataFrame:
+    """clean -> downsample (optional) -> calendar -> features.
+
+    ``materialize`` checkpoints the cleaned (and downsampled) table first:
+    the feature step reads its input twice (size pass, then windows), and
+    this way the raw readings are scanned and aggregated once."""
     x = clean(readings)
     if freq:
         x = downsample(x, freq)
+    if materialize:
+        x = x.checkpoint(eager=True)
     return engineer_features(add_time_features(x), window)
 
 
@@ -31,7 +38,7 @@ def run_pipeline(readings: DataFrame, contamination: float = 0.05, k: int = 4, f
     (shared checkpoint folder) since both fits and both scorings read it.
     With ``model_path`` models are reused per (kind, scope, parameters)."""
     ensure_checkpoint_dir(readings.sparkSession)
-    feats = prepare(readings, freq, window).checkpoint(eager=True)
+    feats = prepare(readings, freq, window, materialize=True).checkpoint(eager=True)
     fp = dict(contamination=contamination, trees=trees, seed=seed, scope=scope)
     kp = dict(k=k, restarts=restarts, seed=seed, scope=scope)
     if model_path:
