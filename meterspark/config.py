@@ -14,10 +14,7 @@ from pyspark.sql import SparkSession
 THRESHOLDS = {
     "high_consumption_w": 3000,
     "spike_multiplier": 2.0,
-    "night_hours_start": 23,
-    "night_hours_end": 5,
     "z_score_critical": 3.5,
-    "z_score_warning": 2.0,
     "cluster_distance_high": 2.5,
     "standby_waste_w": 100,
 }
@@ -86,17 +83,14 @@ def build_session(master: str = "local[*]", app: str = "meterspark",
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins; a folder of our own is set only where
-    none is configured (tests, local runs)."""
+    The cluster's setting always wins. Only where none is configured (tests,
+    local runs), ``fallback`` or a folder beside the warehouse is set."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        if fallback is None:
-            import tempfile
-            fallback = tempfile.mkdtemp(prefix="meterspark-ckpt-")
-        d = fallback
+        d = fallback or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

@@ -177,9 +177,10 @@ def fit_score_forest(df: DataFrame, contamination: float = 0.05, trees: int = 20
 
 
 def _finish_scores(scored: DataFrame, df: DataFrame, model: ForestModel, n_groups: int | None = None) -> DataFrame:
-    s = lookup_join(scored, model.params.select(*model.keys, "offset"), model.keys, "inner", known_rows=n_groups)
-    out = s.select(*df.columns, (F.col("_score") - F.col("offset")).alias("anomaly_score"))
-    return out.withColumn("is_anomaly", (F.col("anomaly_score") < 0).cast("int"))
+    s = lookup_join(scored, model.params.select(*model.keys, "offset"), model.keys, "left", known_rows=n_groups)
+    score = F.nanvl("_score", F.lit(None).cast("double"))
+    out = s.select(*df.columns, (score - F.col("offset")).alias("anomaly_score"))
+    return out.withColumn("is_anomaly", F.coalesce(F.col("anomaly_score") < 0, F.lit(False)).cast("int"))
 
 
 def _packed(model: ForestModel) -> dict:
@@ -230,7 +231,7 @@ def _score_cogroup(z: DataFrame, model: ForestModel) -> DataFrame:
     """Forest too large to broadcast: rows are cut into chunks of at most
     ``COGROUP_CHUNK_ROWS`` per key, each chunk meets its key's trees."""
     keys, d = model.keys, len(model.features)
-    chunks = lookup_join(z, model.scaler.select(*keys, "_n"), keys, "inner")
+    chunks = lookup_join(z, model.scaler.select(*keys, "_n"), keys, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
     nch = F.greatest(F.ceil(F.col("_n") / COGROUP_CHUNK_ROWS), F.lit(1))
     rows = chunks.withColumn("_chunk", F.pmod(F.col("_rid"), nch)).drop("_n")
     trees = (model.nodes.join(model.params, keys, "inner").join(model.scaler.select(*keys, "_n"), keys, "inner")
@@ -241,6 +242,8 @@ def _score_cogroup(z: DataFrame, model: ForestModel) -> DataFrame:
     def run(rpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
         if rpdf.empty:
             return rpdf.assign(_score=pd.Series(dtype="float64"))
+        if tpdf.empty:                       # a scope that the model has not seen
+            return rpdf.assign(_score=np.nan)
         f = PackedForest.from_nodes(tpdf["tree"].to_numpy(), tpdf["node"].to_numpy(), tpdf["feature"].to_numpy(),
                                     tpdf["threshold"].to_numpy(), tpdf["left"].to_numpy(), tpdf["right"].to_numpy(),
                                     tpdf["value"].to_numpy(), tpdf["max_depth"].iloc[0], tpdf["c_psi"].iloc[0])
@@ -252,11 +255,12 @@ def _score_cogroup(z: DataFrame, model: ForestModel) -> DataFrame:
 
 def score_forest(df: DataFrame, model: ForestModel) -> DataFrame:
     """Add anomaly_score (score - threshold; lower = more anomalous, < 0 flagged)
-    and is_anomaly (1 when anomaly_score < 0). Nulls count as 0."""
+    and is_anomaly (1 when anomaly_score < 0). Nulls count as 0. Rows of a
+    scope that the model has not seen stay, without a score and not flagged."""
     keys = model.keys
     src = with_scope(df, model.scope)
     src = src.withColumn("_rid", F.xxhash64(*[F.col(c) for c in keys + model.features]))
-    z = apply_scaler(src, model.scaler, model.features, keys)
+    z = apply_scaler(src, model.scaler, model.features, keys, how="left")
     return _finish_scores(_score_samples(z, model), df, model)
 
 

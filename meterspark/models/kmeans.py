@@ -406,16 +406,18 @@ def fixed_label(cluster: Column) -> Column:
 def assign_clusters(df: DataFrame, model: KMeansModel, labels: str = "auto") -> DataFrame:
     """Add cluster (nearest center), cluster_label and cluster_distance
     (Euclidean, scaled space). Nearest-center search is a Column argmin over
-    the scope's k centers, fetched as one flat array per scope key."""
+    the scope's k centers, fetched as one flat array per scope key. Rows of a
+    scope that the model has not seen stay, without a cluster and 'Unknown'."""
     keys, d, k = model.keys, model.d, model.k
     src = with_scope(df, model.scope)
     n_groups = None
-    x = apply_scaler(src, model.scaler, model.features, keys)
+    x = apply_scaler(src, model.scaler, model.features, keys, how="left")
     packed = _pack(model.centers.withColumnRenamed("cluster", "j").withColumn("r", F.lit(0)), keys, d)
-    x = lookup_join(x, packed.select(*keys, F.col("_cr")[0]["cf"].alias("_cf")), keys, "inner",
+    x = lookup_join(x, packed.select(*keys, F.col("_cr")[0]["cf"].alias("_cf")), keys, "left",
                     known_rows=n_groups)
     j, m = _argmin([_d2(jj, d) for jj in range(k)])
-    x = x.withColumn("cluster", j).withColumn("cluster_distance", F.sqrt(m))
+    known = F.col("_cf").isNotNull()
+    x = x.withColumn("cluster", F.when(known, j)).withColumn("cluster_distance", F.when(known, F.sqrt(m)))
     drop = ["_cf"] + [f"_z{f}" for f in range(d)] + ([k_ for k_ in keys if k_ not in df.columns])
     if labels == "auto":
         x = lookup_join(x, auto_labels(model), keys + ["cluster"], "left")

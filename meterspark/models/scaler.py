@@ -52,9 +52,10 @@ def scaled(c: str, fill_null: bool = True) -> Column:
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, cols: list[str], keys: list[str],
-                 prefix: str = "_z", fill_null: bool = True, known_rows: int | None = None) -> DataFrame:
-    """Add ``<prefix>0..`` scaled columns (nulls as 0 first, as at prediction)."""
+                 prefix: str = "_z", fill_null: bool = True, known_rows: int | None = None, how: str = "inner") -> DataFrame:
+    """Add ``<prefix>0..`` scaled columns (nulls as 0 first, as at prediction).
+    With ``how="left"`` rows of a scope without a scaler stay, unscaled."""
     x = lookup_join(df, scaler.select(*keys, *[f"{c}_{s}" for c in cols for s in ("mean", "scale")]),
-                    keys, "inner", known_rows=known_rows)
+                    keys, how, known_rows=known_rows)
     x = x.select("*", *[scaled(c, fill_null).alias(f"{prefix}{i}") for i, c in enumerate(cols)])
     return x.drop(*[f"{c}_{s}" for c in cols for s in ("mean", "scale")])

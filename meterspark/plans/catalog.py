@@ -242,23 +242,30 @@ def scored_standin(spark, sf_dir):
 
 
 def _alerts_sql(src: str, with_model: bool = True) -> str:
-    R = ms_rules.RECS
+    R = {
+        1: "Act on this first: the reading lies far outside its rolling band.",
+        2: "Compare this hour with the same hour of earlier nights.",
+        3: "See which channel rose together with the total.",
+        4: "Watch whether the next readings are flagged as well.",
+        5: "Move part of the load to another hour.",
+        6: "Review the clusters of this house, or its meter.",
+    }
     an = "is_anomaly <> 0" if with_model else "false"
     cd = "coalesce(cluster_distance > 2.5, false)" if with_model else "false"
     ts = "strftime(\"Time\", '%Y-%m-%d %H:%M')"
     w = "format('{:.0f}', Aggregate)"
     parts = [
         ("k1", "0", 1, "critical", "🔴",
-         "'🔴 CRITICAL: reading is ' || format('{:.1f}', abs(z_score)) || ' std devs away from its baseline'"),
+         "'🔴 |z| = ' || format('{:.1f}', abs(z_score)) || ' in the rolling window'"),
         ("k2", "0", 2, "warning", "🌙",
-         f"'🌙 Night-time usage out of pattern: ' || {w} || ' W at ' || lpad(CAST(hour AS VARCHAR), 2, '0') || ':00'"),
+         f"'🌙 flagged by night: ' || {w} || ' W in hour ' || lpad(CAST(hour AS VARCHAR), 2, '0')"),
         ("k3", "0", 3, "warning", "🔺",
-         f"'🔺 Spike: ' || {w} || ' W against a baseline of ' || format('{{:.0f}}', Aggregate - deviation) || ' W (' || format('{{:+.0f}}', deviation) || ' W)'"),
-        ("k4", "0", 4, "info", "⚠️", f"'⚠️ Model flags unusual usage (' || {w} || ' W)'"),
+         f"'🔺 flagged rise: ' || {w} || ' W, rolling mean ' || format('{{:.0f}}', Aggregate - deviation) || ' W, difference ' || format('{{:+.0f}}', deviation) || ' W'"),
+        ("k4", "0", 4, "info", "⚠️", f"'⚠️ flagged reading: ' || {w} || ' W'"),
         ("k5", "CAST(k1 OR k2 OR k3 OR k4 AS INTEGER)", 5, "info", "💡",
-         f"'💡 High total usage: ' || {w} || ' W (threshold 3000 W)'"),
+         f"'💡 total ' || {w} || ' W, limit 3000 W'"),
         ("k6", "CAST(k1 OR k2 OR k3 OR k4 AS INTEGER) + CAST(k5 AS INTEGER)", 6, "info", "🔍",
-         "'🔍 Reading fits none of the learned usage patterns'"),
+         "'🔍 flagged reading far from its cluster center'"),
     ]
     sel = "\nUNION ALL\n".join(
         f"SELECT house_id, \"Time\", CAST({pos} AS INTEGER) AS rule_pos, CAST({r} AS INTEGER) AS rule, {ts} AS timestamp, "
@@ -309,7 +316,7 @@ def q_alert_counts(spark, sf_dir):
 
 @register("standby_recommendations", "WITH " + _SCORED.strip() + """
 SELECT house_id, "Time", strftime("Time", '%Y-%m-%d %H:%M') AS timestamp, Aggregate AS value,
-       '💤 Overnight standby draw of ' || format('{:.0f}', Aggregate) || ' W: switch off idle chargers, screens and computers.' AS recommendation
+       '💤 night total ' || format('{:.0f}', Aggregate) || ' W, limit 100 W' AS recommendation
 FROM scored WHERE is_night <> 0 AND NOT (is_anomaly <> 0) AND Aggregate > 100""", ["value"])
 def q_standby(spark, sf_dir):
     return ms_rules.standby_recommendations(scored_standin(spark, sf_dir))
@@ -548,6 +555,20 @@ SELECT fs.house_id, fs."Time", fs.s - foff.offset AS anomaly_score, CAST(fs.s -
 FROM fs JOIN foff USING (house_id)"""
 
 
+_HEAD, _TAIL = _FOREST_SQL.rsplit("\nSELECT fs.house_id", 1)
+
+
+@register("score_unseen_house", f"""{_HEAD},
+seen AS (SELECT fs.house_id{_TAIL})
+SELECT f.house_id, f."Time", s.anomaly_score, coalesce(s.is_anomaly, 0) AS is_anomaly
+FROM features f LEFT JOIN (SELECT * FROM seen WHERE house_id <= 10) s ON f.house_id = s.house_id AND f."Time" = s."Time\"""", ["anomaly_score"])
+def q_score_unseen_house(spark, sf_dir):
+    """A model of houses 1 to 10 over all houses: no row is lost."""
+    f = features(spark, sf_dir)
+    return ms_forest.score_forest(f, ms_forest.fixed_forest(f.filter("house_id <= 10"))).select(
+        "house_id", "Time", "anomaly_score", "is_anomaly")
+
+
 @register("forest_score_fixed", _FOREST_SQL, ["anomaly_score"])
 def q_forest_score_fixed(spark, sf_dir):
     f = features(spark, sf_dir)

@@ -36,19 +36,21 @@ def run_pipeline(readings: DataFrame, contamination: float = 0.05, k: int = 4, f
     """Readings -> scored frame (features + anomaly_score, is_anomaly, cluster,
     cluster_label, cluster_distance). The feature table is checkpointed once
     (shared checkpoint folder) since both fits and both scorings read it.
-    With ``model_path`` models are reused per (kind, scope, parameters)."""
+    With ``model_path`` models are reused per (kind, scope, parameters, freq,
+    window)."""
     ensure_checkpoint_dir(readings.sparkSession)
     feats = prepare(readings, freq, window, materialize=True).checkpoint(eager=True)
     fp = dict(contamination=contamination, trees=trees, seed=seed, scope=scope)
     kp = dict(k=k, restarts=restarts, seed=seed, scope=scope)
+    made = {"freq": (freq or "raw").replace(" ", "-"), "window": window}
     if model_path:
         from meterspark.sources.model_store import fit_or_load
-        forest = fit_or_load(feats, model_path, "forest", overwrite, **fp)
+        forest = fit_or_load(feats, model_path, "forest", overwrite, made, **fp)
         scored = score_forest(feats, forest)
     else:
         forest, scored = fit_score_forest(feats, **fp)
     if model_path:
-        km = fit_or_load(scored, model_path, "kmeans", overwrite, **kp)
+        km = fit_or_load(scored, model_path, "kmeans", overwrite, made, **kp)
     else:
         km = fit_kmeans(scored, **kp)
     return assign_clusters(scored, km)
@@ -74,8 +76,3 @@ def write_report(tables: dict[str, DataFrame], path: str) -> None:
     """Each report table as Parquet under ``path`` (S7)."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
-
-
-def scored_columns() -> list[str]:
-    return ["anomaly_score", "is_anomaly", "cluster", "cluster_label", "cluster_distance"]
-

@@ -4,6 +4,7 @@ fit-or-load keyed by model kind, scope and parameters."""
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,17 +34,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def save_model(model, path: str) -> None:
-    """Write each model table as Parquet under ``path`` plus a meta record."""
+    """Write each model table as Parquet in a new folder under ``path``, then
+    the meta record that names the folder: a reader sees one model whole."""
     spark = model.scaler.sparkSession
+    version = f"tables-{uuid.uuid4().hex}"
     for name in _TABLES[_kind(model)]:
-        getattr(model, name).write.mode("overwrite").parquet(f"{path}/{name}")
-    (spark.createDataFrame([(json.dumps(_meta(model)),)], "meta string")
+        getattr(model, name).write.parquet(f"{path}/{version}/{name}")
+    (spark.createDataFrame([(json.dumps(_meta(model) | {"version": version}),)], "meta string")
      .coalesce(1).write.mode("overwrite").text(f"{path}/meta"))
 
 
 def load_model(spark: SparkSession, path: str):
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    t = {name: spark.read.parquet(f"{path}/{name}") for name in _TABLES[meta["kind"]]}
+    t = {name: spark.read.parquet(f"{path}/{meta['version']}/{name}") for name in _TABLES[meta["kind"]]}
     if meta["kind"] == "kmeans":
         return KMeansModel(meta["keys"], meta["features"], meta["k"], meta["scope"],
                            t["scaler"], t["centers"], t["inertia"])
@@ -55,11 +58,12 @@ def model_key(kind: str, params: dict) -> str:
     return kind + "".join(f"_{k}={params[k]}" for k in sorted(params))
 
 
-def fit_or_load(df: DataFrame, path: str, kind: str, overwrite: bool = False, **params):
-    """Reuse the model saved for (kind, scope, parameters) unless ``overwrite``
-    (the retrain button); otherwise fit, save and return it."""
+def fit_or_load(df: DataFrame, path: str, kind: str, overwrite: bool = False, prepared: dict | None = None, **params):
+    """Reuse the model saved for (kind, scope, parameters, and how the rows
+    were ``prepared``) unless ``overwrite`` (the retrain button); otherwise
+    fit, save and return it."""
     spark = df.sparkSession
-    target = f"{path.rstrip('/')}/{model_key(kind, params)}"
+    target = f"{path.rstrip('/')}/{model_key(kind, params | (prepared or {}))}"
     if not overwrite and path_exists(spark, f"{target}/meta/_SUCCESS"):
         return load_model(spark, target)
     model = fit_kmeans(df, **params) if kind == "kmeans" else fit_forest(df, **params)

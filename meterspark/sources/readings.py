@@ -25,22 +25,27 @@ def _nan_to_null(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
-def read_readings(spark: SparkSession, path: str, house: int | None = None) -> DataFrame:
-    """Read house CSV files (``House_<n>.csv``) under ``path`` in one scan.
-
-    ``house_id`` comes from the file name. ``Time`` is parsed as ISO-8601;
-    without it, ``Unix`` epoch seconds are used. ``Unix`` is dropped.
-    ``house`` selects one house (a filter Spark applies per file)."""
-    src = path if path.endswith(".csv") else path.rstrip("/") + "/House_*.csv"
-    raw = spark.read.option("header", True).option("mode", "FAILFAST").csv(src)
-    cols = raw.columns
+def _files_by_header(spark: SparkSession, src: str) -> list[tuple[str, list[str]]]:
+    """Header line and the files that begin with it: the only line of a file
+    that names a Time or Unix column. One row for each file comes back."""
+    lines = spark.read.text(src).filter(F.col("value").rlike(r"(^|,)\s*\"?(Time|Unix)\"?\s*(,|$)"))
+    found = lines.select("value", F.col("_metadata.file_path").alias("file")).distinct().collect()
+    by_header: dict[str, list[str]] = {}
+    for row in sorted(found, key=lambda r: (r["value"], r["file"])):
+        by_header.setdefault(row["value"], []).append(row["file"])
+    return list(by_header.items())
+
+
+def _read_files(spark: SparkSession, files: list[str], header: str) -> DataFrame:
+    """Files of one header, read by its column names."""
+    cols = [c.strip().strip('"') for c in header.lstrip("\ufeff").strip().split(",")]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
+    raw = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(files)
     hid = F.regexp_extract(F.col("_metadata.file_name"), r"House_(\d+)", 1).cast("bigint")
     if "Time" in cols:
         t = F.col("Time").cast("timestamp_ntz")
-    elif "Unix" in cols:
-        t = F.expr(f"timestampadd(MICROSECOND, CAST(CAST(Unix AS DOUBLE) * 1000000 AS BIGINT), {_EPOCH_NTZ})")
     else:
-        raise ValueError(f"{path}: neither 'Time' nor 'Unix' column present")
+        t = F.expr(f"timestampadd(MICROSECOND, CAST(CAST(Unix AS DOUBLE) * 1000000 AS BIGINT), {_EPOCH_NTZ})")
     out = [hid.alias("house_id"), t.alias("Time")]
     for c in cols:
         if c in ("Time", "Unix"):
@@ -49,7 +54,23 @@ def read_readings(spark: SparkSession, path: str, house: int | None = None) -> D
             out.append(F.expr("try_cast(Issues AS INT)").alias("Issues"))
         else:
             out.append(_nan_to_null(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(c))
-    df = raw.select(*out)
+    return raw.select(*out)
+
+
+def read_readings(spark: SparkSession, path: str, house: int | None = None) -> DataFrame:
+    """Read house CSV files (``House_<n>.csv``) under ``path``, one scan for
+    each header that occurs; a column that a file lacks is null.
+
+    ``house_id`` comes from the file name. ``Time`` is parsed as ISO-8601;
+    without it, ``Unix`` epoch seconds are used. ``Unix`` is dropped.
+    ``house`` selects one house (a filter Spark applies per file)."""
+    src = path if path.endswith(".csv") else path.rstrip("/") + "/House_*.csv"
+    parts = [_read_files(spark, files, header) for header, files in _files_by_header(spark, src)]
+    if not parts:
+        raise ValueError(f"{path}: neither 'Time' nor 'Unix' column present")
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.unionByName(part, allowMissingColumns=True)
     if house is not None:
         df = df.filter(F.col("house_id") == house)
     return df

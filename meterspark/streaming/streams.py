@@ -159,13 +159,14 @@ def stream_alerts(features: DataFrame, hourly: DataFrame | None = None, forest=N
 
 
 def write_batches(stream: DataFrame, out_path: str, checkpoint: str, trigger_once: bool = True):
-    """T-5: each micro-batch's alerts appended as Parquet, plus per-batch
-    counts per house and severity (``foreachBatch``: idempotent per batch id)."""
+    """T-5: each micro-batch's alerts as Parquet in a folder of its own
+    (``batch_id=<id>``, which readers see as a column), plus counts per house
+    and severity. A batch that is run again replaces what it wrote before."""
     def sink(batch: DataFrame, batch_id: int):
-        batch = batch.withColumn("batch_id", F.lit(batch_id))
-        batch.write.mode("append").parquet(f"{out_path}/alerts")
-        (batch.groupBy("batch_id", "house_id", "severity").agg(F.count(F.lit(1)).alias("alerts"))
-         .write.mode("append").parquet(f"{out_path}/batch_summary"))
+        alerts_path = f"{out_path}/alerts/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(alerts_path)
+        (batch.sparkSession.read.schema(batch.schema).parquet(alerts_path).groupBy("house_id", "severity").agg(F.count(F.lit(1)).alias("alerts"))
+         .write.mode("overwrite").parquet(f"{out_path}/batch_summary/batch_id={batch_id}"))
 
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     if trigger_once:

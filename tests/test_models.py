@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import meterspark as ms
 from conftest import SF_SMALL
 from meterspark.functions.percentile import exact_percentile
 from meterspark.models import forest as FO
@@ -167,3 +168,27 @@ def test_pipeline_report_and_model_reuse(spark, tmp_dir):
     a = scored.select("house_id", "Time", "anomaly_score").toPandas().sort_values(["house_id", "Time"])
     b = again.select("house_id", "Time", "anomaly_score").toPandas().sort_values(["house_id", "Time"])
     np.testing.assert_allclose(a["anomaly_score"].to_numpy(), b["anomaly_score"].to_numpy(), rtol=1e-12)
+
+
+def test_another_window_or_bin_refits(spark, tmp_dir):
+    import os
+    from meterspark.plans.pipeline import run_pipeline
+    r = ms.load_readings(spark, SF_SMALL).filter("house_id <= 2")
+    for window in (30, 10):
+        run_pipeline(r, model_path=tmp_dir, trees=5, restarts=1, k=2, window=window)
+    assert len([d for d in os.listdir(tmp_dir) if d.startswith("forest")]) == 2
+
+
+def test_unseen_houses_stay(spark):
+    from meterspark.models.forest import fit_forest, score_forest
+    from meterspark.models.kmeans import assign_clusters, fit_kmeans
+    from meterspark.plans.pipeline import prepare
+    f = prepare(ms.load_readings(spark, SF_SMALL)).cache()
+    seen = f.filter("house_id <= 5")
+    scored = score_forest(f, fit_forest(seen, trees=5))
+    assert scored.count() == f.count()
+    assert scored.filter("house_id > 5 and (anomaly_score is not null or is_anomaly <> 0)").count() == 0
+    assert scored.filter("house_id <= 5 and anomaly_score is null").count() == 0
+    placed = assign_clusters(f, fit_kmeans(seen, k=2, restarts=1))
+    assert placed.count() == f.count()
+    assert {r["cluster_label"] for r in placed.filter("house_id > 5").select("cluster_label").distinct().collect()} == {"Unknown"}

@@ -3,6 +3,7 @@
 import os
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 import meterspark as ms
@@ -33,9 +34,12 @@ def test_read_house_csvs(spark, tmp_dir):
     assert p1["Aggregate"].isna().sum() == e1["Aggregate"].isna().sum()
     both = ms.read_readings(spark, tmp_dir).toPandas()
     assert sorted(both["house_id"].unique()) == [1, 2, 3]
-    p3 = both[both.house_id == 3].sort_values("Time").reset_index(drop=True)
-    e3 = src[src.house_id == 3].sort_values("Time").reset_index(drop=True)
-    assert (abs(p3["Time"] - e3["Time"]) <= pd.Timedelta(microseconds=1)).all()
+    for h in (1, 2, 3):
+        p = both[both.house_id == h].sort_values("Time").reset_index(drop=True)
+        e = src[src.house_id == h].sort_values("Time").reset_index(drop=True)
+        assert len(p) == len(e) and (abs(p["Time"] - e["Time"]) <= pd.Timedelta(microseconds=1)).all()
+        for c in ("Aggregate", "Appliance1", "Appliance9"):
+            assert p[c].fillna(-1).tolist() == pytest.approx(e[c].fillna(-1).tolist()), (h, c)
     assert ms.list_houses(ms.read_readings(spark, tmp_dir)).count() == 3
     assert ms.read_readings(spark, tmp_dir, house=2).select("house_id").distinct().count() == 1
 
@@ -45,3 +49,20 @@ def test_clean_counts_match_fixture_table(spark):
     r = ms.load_readings(spark, SF_SMALL)
     rep = ms.cleaning_report(r).agg(F.sum("rows_in"), F.sum("rows_removed"), F.count("*")).first()
     assert tuple(rep) == (1000, 20, 15)
+
+
+def test_columns_go_by_name_in_each_file(spark, tmp_dir):
+    with open(os.path.join(tmp_dir, "House_1.csv"), "w") as f:
+        f.write("Time,Aggregate,Appliance1\n2014-01-01 00:00:00,100,10\n")
+    with open(os.path.join(tmp_dir, "House_2.csv"), "w") as f:
+        f.write("Unix,Appliance1,Aggregate,Appliance2\n1388534400,20,200,2\n")
+    got = {r["house_id"]: r for r in ms.read_readings(spark, tmp_dir).collect()}
+    assert (got[1]["Aggregate"], got[1]["Appliance1"], got[1]["Appliance2"]) == (100.0, 10.0, None)
+    assert (got[2]["Aggregate"], got[2]["Appliance1"], got[2]["Appliance2"]) == (200.0, 20.0, 2.0)
+    assert got[1]["Time"] == got[2]["Time"]
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1, float("nan"), 1.0), (1, 5.0, float("nan")), (1, 6.0, -2.0)], "house_id bigint, Aggregate double, Appliance1 double")
+    assert sorted((r["Aggregate"], r["Appliance1"]) for r in ms.clean(df).collect()) == [(5.0, 0.0), (6.0, 0.0)]
+    assert ms.cleaning_report(df).first()["rows_removed"] == 1
