@@ -8,9 +8,10 @@ of each document in a run of equal hashes is an occurrence of the key.
 
 Scale: a line that stands in a third of all documents would fill one range,
 so documents are dealt over ``SALTS`` parts of each range. Each part streams on
-its own and gives a key's number of documents and largest document; those
-few numbers meet in a second step with map-side sums. What goes back to a
-document is the list of its dropped runs of lines, not text.
+its own and gives a key's number of documents and largest document; the at
+most ``SALTS`` such rows of a key meet in a second step, and the verdict goes
+back to each part. What goes back to a document is the list of its dropped
+runs of lines, not text.
 """
 
 from __future__ import annotations
@@ -51,9 +52,12 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
     rows = rows.repartition("range", "salt").sortWithinPartitions("range", "salt", "h1", "h2", F.desc("doc"), "pos")
     run = Window.partitionBy("range", "salt", "h1", "h2").orderBy(F.desc("doc"), "pos")
     first = (~F.lag("doc").over(run).eqNullSafe(F.col("doc"))).cast("int")   # the first line of its document in the run
-    keys = (rows.withColumn("first", first).groupBy("h1", "h2").agg(F.sum("first").alias("n_docs"), F.max("doc").alias("keeper"))
-            .filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"))
-    return rows.join(keys, ["h1", "h2"]).filter("doc < keeper").select("doc", "version", "pos")
+    part = ["range", "salt", "h1", "h2"]
+    found = rows.withColumn("first", first).groupBy(part).agg(F.sum("first").alias("n"), F.max("doc").alias("last"))
+    key = Window.partitionBy("h1", "h2")                                      # at most SALTS rows
+    keys = (found.withColumn("n_docs", F.sum("n").over(key)).withColumn("keeper", F.max("last").over(key))
+            .filter(F.col("n_docs") >= min_docs).select(*part, "keeper"))
+    return rows.join(keys, part).filter("doc < keeper").select("doc", "version", "pos")
 
 
 def _runs(positions: Column) -> Column:
