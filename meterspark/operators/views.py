@@ -119,6 +119,13 @@ def view_at(df: DataFrame, i: int, size: int = 200, step: int = 5) -> DataFrame:
             .withColumnRenamed("_idx", "row_idx").drop("_total"))
 
 
+def last_rows(df: DataFrame, n: int = 200) -> DataFrame:
+    """The newest ``n`` rows per house (window group limit: no more than ``n``
+    rows of a house leave a map task)."""
+    w = Window.partitionBy("house_id").orderBy(F.desc("Time"))
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+
+
 def preview(df: DataFrame, n: int = 3) -> DataFrame:
     """First ``n`` rows per house by time (window group limit)."""
     w = Window.partitionBy("house_id").orderBy("Time")

@@ -30,7 +30,12 @@ from meterspark.functions.lookup import lookup_join
 
 
 def day_counts(df: DataFrame, key: str = "house_id") -> DataFrame:
-    return df.groupBy(key, F.to_date("Time").alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    return df.groupBy(key, _day_of_row().alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _day_of_row() -> Column:
+    """The day of a row; rows without a time sort first, as a day before all others."""
+    return F.coalesce(F.to_date("Time"), F.lit("0001-01-01").cast("date"))
 
 
 class HouseStats:
@@ -59,7 +64,7 @@ def with_row_index(df: DataFrame, order: Sequence[str] = ("Time",), key: str = "
         F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_day")
                                     .rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"))
-    x = lookup_join(df.withColumn("_day", F.to_date("Time")), offs, [key, "_day"], "inner",
+    x = lookup_join(df.withColumn("_day", _day_of_row()), offs, [key, "_day"], "inner",
                     known_rows=stats.cells)
     w = Window.partitionBy(key, "_day").orderBy(*order)
     return x.withColumn("_idx", F.col("_off") + F.row_number().over(w) - 1).drop("_off", "_day")

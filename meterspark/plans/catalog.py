@@ -446,6 +446,12 @@ def q_view_at(spark, sf_dir):
         "house_id", "Time", "Aggregate", "row_idx")
 
 
+@register("last_rows", "WITH " + _SCORED.strip() + "," + _IDX + """
+SELECT house_id, "Time", Aggregate FROM idx WHERE j >= n - 200""", ["Aggregate"])
+def q_last_rows(spark, sf_dir):
+    return ms_views.last_rows(scored_standin(spark, sf_dir), 200).select("house_id", "Time", "Aggregate")
+
+
 # --- models ----------------------------------------------------------------
 # Fixed centers (scaled space; features Aggregate, hour, rolling_mean,
 # is_weekend) so that assignment, labels and distances have an oracle.
@@ -635,9 +641,7 @@ def q_kmeans_assign_fixed_labels(spark, sf_dir):
 
 
 @register("metric_row", "WITH " + _SCORED.strip() + "," + _IDX + """,
-vw AS (SELECT * FROM idx
-       WHERE j >= 200 + (7 % (greatest(floor((n - 200) / 5), 0) + 1)) * 5 - 200
-         AND j < 200 + (7 % (greatest(floor((n - 200) / 5), 0) + 1)) * 5),
+vw AS (SELECT * FROM idx WHERE j >= n - 200),
 lastrow AS (SELECT house_id, "Time" AS latest_time, Aggregate AS current_w, deviation AS current_deviation_w
             FROM vw QUALIFY row_number() OVER (PARTITION BY house_id ORDER BY "Time" DESC) = 1),
 summ AS (""" + _SUMMARY_SQL.replace("FROM scored", "FROM vw") + """)
@@ -645,8 +649,7 @@ SELECT * FROM lastrow JOIN summ USING (house_id)""",
           ["current_w", "current_deviation_w", "anomaly_pct", "avg_consumption_w", "peak_consumption_w",
            "estimated_kwh"])
 def q_metric_row(spark, sf_dir):
-    view = ms_views.view_at(scored_standin(spark, sf_dir), 7, size=200, step=5)
-    return ms_views.metric_row(view)
+    return ms_views.metric_row(ms_views.last_rows(scored_standin(spark, sf_dir), 200))
 
 
 # --- streaming, run to completion (availableNow) ------------------------------

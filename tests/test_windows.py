@@ -90,3 +90,14 @@ def test_row_views_chunked_index_equals_single_task(spark, monkeypatch):
     b2 = view_at(t, 3, size=20, step=4).toPandas().sort_values(["house_id", "Time"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(a1, b1[a1.columns])
     pd.testing.assert_frame_equal(a2, b2[a2.columns])
+
+
+def test_chunks_keep_rows_without_a_time(spark):
+    from meterspark.operators.windows import row_windows
+    t = ms.downsample(ms.clean(ms.load_readings(spark, SF_SMALL))).filter("house_id <= 3").withColumn(
+        "Time", F.when(F.col("Aggregate") > 1500, None).otherwise(F.col("Time")))
+    assert t.filter("Time is null").count() > 0
+    build = lambda w: [F.count(F.lit(1)).over(w.rowsBetween(-4, 0)).alias("k")]
+    a, b = (row_windows(t, build, halo=4, chunk_rows=c) for c in (0, 10))
+    assert a.count() == b.count() == t.count()
+    assert a.groupBy("k").count().exceptAll(b.groupBy("k").count()).count() == 0
