@@ -135,8 +135,16 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The documents that quality() keeps, with their own columns and whole texts."""
-    return quality(docs.select(F.struct(*docs.columns).alias("_row"), "text")).filter("kept").select("_row.*")
+    """The documents that quality() keeps, with their own columns and without
+    their failing lines; n_chars follows the text. A text with no failing line
+    comes out as it was."""
+    rows = quality(docs.select(F.struct(*docs.columns).alias("_row"), "text")).filter("kept")
+    left = F.array_join(F.filter(F.split(_text(), "\n", -1), lambda x: ~line_fails(x)), "\n")
+    rows = rows.select("_row", F.when(_may_fail(_text()), left).otherwise(_text()).alias("text"))
+    own = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[own.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,6 +181,20 @@ def test_line_dedup_odd(spark, odd, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def brute_line_fails(line):
+    n = len(re.findall(r"[^\x20\x09-\x0D]+", line))
+    punctuation = n >= 3 and (4 * len(re.findall("[#*$%&|<>]+", line)) > n or 2 * len(re.findall("[!?]{2,}", line)) > n)
+    return punctuation or len(re.findall("[|»›]", line)) >= 2 or any(p in line for p in quality.BOILERPLATE)
+
+
+def test_quality_removes_failing_lines(spark):
+    good, bad = [prose(i, 25) for i in range(3)], ["home | news | about", "Click here for more", "## a ** b ## c"]
+    mixed = "\n".join([bad[0], good[0], "", bad[1], good[1], bad[2], good[2]])
+    got = {r["doc_id"]: r for r in quality.clean(frame(spark, [(1, mixed, "a"), (2, "\n".join(good), "a"), (3, "\n".join(bad * 9), "a")]).withColumn("kept", F.lit(5))).collect()}
+    assert got[1]["text"] == "\n".join([good[0], "", good[1], good[2]]) and got[1]["n_chars"] == len(got[1]["text"]) and got[1]["kept"] == 5
+    assert got[2]["text"] == "\n".join(good) and set(got) == {1, 2}
+
+
 def test_quality_odd(spark, odd, empty):
     got = quality.quality(odd).toPandas()
     assert len(got) == 8 and got[got["doc_id"] == 1]["n_words"].item() == 0 and not got[got["doc_id"] == 1]["kept"].item()
@@ -390,7 +404,7 @@ def test_pipeline(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF_SMALL}/documents.parquet')")
     good = {r[0] for r in con.execute(f"SELECT doc_id FROM ({registry.ORACLE['op4_quality_rules']}) WHERE kept").fetchall()}
-    lines = {i: docs[i]["text"].split("\n") for i in good}
+    lines = {i: [x for x in docs[i]["text"].split("\n") if not brute_line_fails(x)] for i in good}
     holders = {}
     for i, own in lines.items():
         for line in own:
