@@ -15,7 +15,7 @@ from meterspark.llm.common import read, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Lines that fail a rule go, and documents that the rules reject."""
     return quality.clean(docs)
 
 
