@@ -4,12 +4,13 @@ without holding a whole group in one task.
 ``percentile_approx`` has a rank error of at most ``n / accuracy``; a bracket
 of twice that around the wanted rank therefore contains the exact order
 statistics. Rows below the bracket are only counted, and just the bracket's
-values (about ``4 n / accuracy`` per group) are sorted. If a bracket misses
-(it cannot by the error bound, but it is checked), it is widened."""
+distinct values (about ``4 n / accuracy`` per group, ties counted once) are
+sorted, with their counts. If a bracket misses (it cannot by the error bound,
+but it is checked), it is widened."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterspark.functions.lookup import lookup_join
@@ -41,23 +42,26 @@ def exact_percentile(df: DataFrame, keys: list[str], col: str, p: float, out: st
             F.percentile_approx("_v", [lo_p, hi_p], accuracy).alias("_br"))
         br = br.select(*keys, "_n", F.col("_br")[0].alias("_a"), F.col("_br")[1].alias("_b"))
         x = lookup_join(base, br, keys, "inner")
-        a, b = F.col("_a"), F.col("_b")
-        stats = (x.groupBy(*keys).agg(
-            F.first("_n").alias("_n"),
-            F.count_if(F.col("_v") < a).alias("_below"),
-            F.sort_array(F.collect_list(F.when((F.col("_v") >= a) & (F.col("_v") <= b), F.col("_v")))).alias("_in")))
+        # (value, count) pairs: ties of any number are one row, and all
+        # values below the bracket are one row of their own.
+        below = F.lit(float("-inf"))
+        counts = (x.filter(F.col("_v") <= F.col("_b"))
+                  .withColumn("_v", F.when(F.col("_v") < F.col("_a"), below).otherwise(F.col("_v")))
+                  .groupBy(*keys, "_n", "_v").agg(F.count(F.lit(1)).alias("_c")))
         pos = F.lit(p) * (F.col("_n") - 1)
-        stats = stats.select(*keys, "_below", "_in",
-                             F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"), (pos - F.floor(pos)).alias("_f"))
+        upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))
+        counts = counts.withColumns({"_upto": upto, "_pos": pos})
+        at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+        stats = counts.groupBy(*keys).agg(
+            at(F.floor("_pos")).alias("_lo"), at(F.ceil("_pos")).alias("_hi"),
+            F.first(F.col("_pos") - F.floor("_pos")).alias("_f"), F.min("_v").alias("_least"))
         stats = stats.cache()
-        ok = stats.filter((F.col("_lo") < F.col("_below"))
-                          | (F.col("_hi") >= F.col("_below") + F.size("_in"))).isEmpty()
+        ok = stats.filter(((F.col("_lo") == below) & (F.col("_least") == below)) | F.col("_hi").isNull()).isEmpty()
         if ok or width >= 1.0:      # width 1: the bracket is the whole range
             break
         stats.unpersist()
         width *= 4
-    lo = F.element_at("_in", (F.col("_lo") - F.col("_below") + 1).cast("int"))
-    hi = F.element_at("_in", (F.col("_hi") - F.col("_below") + 1).cast("int"))
+    lo, hi = F.col("_lo"), F.col("_hi")
     # NumPy's interpolation: a + (b - a) t, or b - (b - a)(1 - t) from t = 0.5.
     f = F.col("_f")
     val = F.when(f >= 0.5, hi - (hi - lo) * (1 - f)).otherwise(lo + (hi - lo) * f)

@@ -2,13 +2,12 @@
 
 Fit, as Spark jobs:
 1. scale features (population std; nulls as 0);
-2. sample: every row gets hash-based uniforms from its content, so the
-   sample does not depend on partitioning. A pool of about
-   1.25 * trees * psi rows per scope key is kept (all rows when fewer), each
-   pool row joins the trees whose per-tree uniform falls below a rate that
-   gives ~1.5 * psi candidates per tree, and each tree keeps the psi
-   candidates with the smallest second uniform: a uniform psi-row sample
-   per tree with psi = min(max_samples, rows);
+2. sample: every row joins each tree of its key with one probability, which
+   gives a tree ~1.5 * psi candidates; the trees a row joins are drawn by
+   geometric gaps from hashes of its content (rows that join none are left
+   out before any Python, and partitioning changes nothing). Each tree keeps the
+   psi candidates with the smallest second uniform: a uniform psi-row sample
+   of all rows per tree, independent of the other trees, psi = min(max_samples, rows);
 3. build the trees ``TREES_PER_TASK`` at a time with ``applyInPandas``
    grouped by (key, block of trees): groups hold about
    1.5 * psi * TREES_PER_TASK candidate rows;
@@ -93,16 +92,48 @@ def _builder(keys: list[str], d: int, seed: int):
     return build
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 well-mixed bits of each number (the splitmix64 finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _tree_picker(trees: int, seed: int):
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def pick(rid: pd.Series, q: pd.Series, first: pd.Series) -> pd.Series:
+        """The trees a row joins, each with probability q: the gaps between
+        them are geometric, so the work is one step per joined tree."""
+        ids = rid.to_numpy(np.int64).view(np.uint64)
+        with np.errstate(divide="ignore"):
+            rate = np.log1p(-q.to_numpy(np.float64))            # -inf where q is 1: no gaps
+        at, row = first.to_numpy(np.int64), np.arange(len(rid))
+        rows, picked, step = [], [], 0
+        while len(row):
+            rows.append(row)
+            picked.append(at)
+            step += 1
+            salt = np.uint64((seed * 0x9E3779B97F4A7C15 + step * 0xD1B54A32D192ED03) % 2**64)
+            u = ((_mixed(ids[row] ^ salt) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+            at = at + 1 + np.minimum(np.floor(np.log(u) / rate[row]), trees).astype(np.int64)
+            row, at = row[at < trees], at[at < trees]
+        if not rows:
+            return pd.Series([], dtype=object)
+        rows, picked = np.concatenate(rows), np.concatenate(picked)
+        order = np.argsort(rows, kind="stable")
+        ends = np.cumsum(np.bincount(rows, minlength=len(rid)))[:-1]
+        return pd.Series(np.split(picked[order].astype(np.int32), ends))
+
+    return pick
+
+
 def _sample(z: DataFrame, keys: list[str], d: int, trees: int, seed: int) -> DataFrame:
     """Per (key, tree) a uniform sample of psi rows (see module doc)."""
-    n, psi = F.col("_n").cast("double"), F.col("_psi")
-    p0 = F.least(F.lit(1.0), (F.lit(trees * 1.25) * psi + 64) / n)
-    q = F.least(F.lit(1.0), (F.lit(1.5) * psi + 32) / (n * p0))
-    pool = z.filter(uniform(seed, -1, F.col("_rid")) < p0).withColumn("_q", q)
-    # explode + filter stays in generated code (a lambda filter would not)
-    cand = (pool.select(*keys, "_rid", "_psi", "_depth", "_q", *[f"_z{f}" for f in range(d)],
-                        F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-            .filter(uniform(F.lit(seed), F.col("tree"), F.col("_rid")) < F.col("_q")).drop("_q"))
+    q = F.least(F.lit(1.0), (F.lit(1.5) * F.col("_psi") + 32) / F.col("_n").cast("double"))
+    first = F.coalesce(F.floor(F.log(uniform(F.lit(seed), F.lit(-1), F.col("_rid"))) / F.log1p(-q)), F.lit(0))
+    rows = z.withColumn("_q", q).withColumn("_first", first).filter(F.col("_first") < trees)
+    joined = _tree_picker(trees, seed)(F.col("_rid"), F.col("_q"), F.col("_first"))
+    cand = rows.select(*keys, "_rid", "_psi", "_depth", *[f"_z{f}" for f in range(d)], F.explode(joined).alias("tree"))
     # each tree then keeps its psi candidates with the smallest _h (in the build task)
     return cand.withColumn("_h", uniform(F.lit(seed + 7919), F.col("tree"), F.col("_rid")))
 

@@ -662,38 +662,52 @@ def _stream_dir(spark) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/meterspark-stream-{uuid.uuid4().hex}"
 
 
+ARRIVALS = 3
+
+
 def _run_to_parquet(stream_df, wd: str, name: str, mode: str = "append"):
     q = (stream_df.writeStream.format("parquet").outputMode(mode)
          .option("path", f"{wd}/{name}").option("checkpointLocation", f"{wd}/{name}_ckpt")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return stream_df.sparkSession.read.parquet(f"{wd}/{name}")
+    return stream_df.sparkSession.read.schema(stream_df.schema).parquet(f"{wd}/{name}")
 
 
-@register("stream_minute_mean", """
-SELECT * FROM minute
-WHERE "Time" + INTERVAL 1 MINUTE <= (SELECT max("Time") FROM cleaned) - INTERVAL 10 MINUTE""",
-          ["Aggregate"] + APPLIANCES)
+def _run_as_it_arrives(rows, arrived, stream_of, wd: str, name: str):
+    """Deliver ``rows`` in ARRIVALS parts by the time ``arrived``, and then the
+    end mark; after each the query ``stream_of(source)`` runs on from its checkpoint."""
+    from meterspark.streaming import streams as S
+    spark = rows.sparkSession
+    rows.withColumn("_arrived", arrived).write.parquet(f"{wd}/{name}_all")
+    every = spark.read.parquet(f"{wd}/{name}_all")
+    first, last = every.select(F.unix_micros(F.min("_arrived").cast("timestamp")), F.unix_micros(F.max("_arrived").cast("timestamp"))).first()
+    step = ((last or 0) - (first or 0)) / ARRIVALS + 1
+    part = F.floor((F.unix_micros(F.col("_arrived").cast("timestamp")) - F.lit(first or 0)) / F.lit(step))
+    parts = [every.filter(part == i).drop("_arrived") for i in range(ARRIVALS)] + [S.end_mark(every.drop("_arrived"))]
+    for i, df in enumerate(parts):
+        df.write.parquet(f"{wd}/{name}_in/{i}")
+        src = S.stream_readings(spark, f"{wd}/{name}_in/*", schema=rows.schema, max_files_per_trigger=None)
+        found = _run_to_parquet(stream_of(src), wd, name)
+    return found
+
+
+@register("stream_minute_mean", "SELECT * FROM minute", ["Aggregate"] + APPLIANCES)
 def q_stream_minute_mean(spark, sf_dir):
-    """T-1 + T-2: readings files as a stream, watermarked 1-minute means;
-    bins still open under the 10-minute watermark at the end are not emitted."""
+    """T-1 + T-2: readings files as a stream, watermarked 1-minute means."""
     from meterspark.streaming import streams as S
-    wd = _stream_dir(spark)
-    readings(spark, sf_dir).write.parquet(f"{wd}/in")
-    src = S.stream_readings(spark, f"{wd}/in", max_files_per_trigger=None)
-    return _run_to_parquet(S.stream_minute_mean(src), wd, "minute")
+    return _run_as_it_arrives(readings(spark, sf_dir), F.col("Time"), S.stream_minute_mean, _stream_dir(spark), "minute")
 
 
 _STREAM_FEATURES = ["house_id", "Time", "Aggregate", "rolling_mean", "rolling_std", "deviation", "z_score",
                     "diff_1", "diff_5", "pct_change"]
 
 
-def _stream_features(spark, sf_dir, wd):
+def _stream_features(spark, sf_dir, wd, late_seconds: int = 0):
+    """Minute rows, each up to ``late_seconds`` after its time, through T-3."""
     from meterspark.streaming import streams as S
     m = minute(spark, sf_dir)
-    m.write.parquet(f"{wd}/minute_in")
-    src = spark.readStream.schema(m.schema).parquet(f"{wd}/minute_in")
-    return _run_to_parquet(S.stream_features(src), wd, "features")
+    delay = F.pmod(F.xxhash64("house_id", "Time"), F.lit(late_seconds + 1)).cast("int")
+    return _run_as_it_arrives(m, F.col("Time") + F.make_dt_interval(secs=delay), S.stream_features, wd, "features")
 
 
 @register("stream_features", "SELECT " + ", ".join(f'"{c}"' for c in _STREAM_FEATURES) + " FROM features",
@@ -703,6 +717,13 @@ def q_stream_features(spark, sf_dir):
     return _stream_features(spark, sf_dir, _stream_dir(spark))
 
 
+@register("stream_features_multi", "SELECT " + ", ".join(f'"{c}"' for c in _STREAM_FEATURES) + " FROM features",
+          [c for c in _STREAM_FEATURES if c not in ("house_id", "Time")])
+def q_stream_features_multi(spark, sf_dir):
+    """T-3 over rows that arrive up to 9 minutes late and out of order."""
+    return _stream_features(spark, sf_dir, _stream_dir(spark), late_seconds=540)
+
+
 @register("stream_alerts", "WITH " + _alerts_sql("(SELECT *, CAST(hour(\"Time\") AS INTEGER) AS hour, "
                                                  "CAST(hour(\"Time\") >= 23 OR hour(\"Time\") < 5 AS INTEGER) AS is_night "
                                                  "FROM features)", with_model=False).strip()
@@ -712,7 +733,7 @@ def q_stream_alerts(spark, sf_dir):
     from meterspark.streaming import streams as S
     wd = _stream_dir(spark)
     feats = _stream_features(spark, sf_dir, wd)
-    src = spark.readStream.schema(feats.schema).parquet(f"{wd}/features")
+    src = S.stream_readings(spark, f"{wd}/features", schema=feats.schema, max_files_per_trigger=None)
     S.write_batches(S.stream_alerts(src), f"{wd}/out", f"{wd}/out_ckpt").awaitTermination()
     return spark.read.parquet(f"{wd}/out/alerts").drop("batch_id")
 

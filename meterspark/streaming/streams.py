@@ -4,7 +4,8 @@ T-1 ``stream_readings``: readings files (Parquet or CSV) as a stream.
 T-2 ``stream_minute_mean``: event-time tumbling means per house with a
     watermark; append mode emits each bin once it is closed.
 T-3 ``stream_features``: rolling / lag features per house with
-    ``applyInPandasWithState``; the state is the last ``window - 1`` values.
+    ``applyInPandasWithState``; the state is the last ``window - 1`` values
+    and the rows that the watermark has not passed yet.
 T-4 ``stream_alerts``: stateless scoring, clustering and rules with the
     batch-fitted models (small model tables joined to the stream).
 T-5 ``write_batches``: ``foreachBatch`` sink writing alerts and a per-batch
@@ -18,6 +19,7 @@ taken as UTC. Run streams with ``spark.sql.session.timeZone=UTC`` (as
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,67 +80,94 @@ FEATURE_STREAM_SCHEMA = T.StructType([
     T.StructField("diff_5", T.DoubleType()), T.StructField("pct_change", T.DoubleType()),
 ])
 STATE_SCHEMA = T.StructType([
-    T.StructField("vals", T.ArrayType(T.DoubleType())), T.StructField("last_us", T.LongType()),
-    T.StructField("seen", T.LongType()), T.StructField("late", T.LongType()),
+    T.StructField("vals", T.ArrayType(T.DoubleType())),          # the last released values
+    T.StructField("wait_us", T.ArrayType(T.LongType())),         # rows not yet released: time, value
+    T.StructField("wait", T.ArrayType(T.DoubleType())),
 ])
 
 
+def _features_after(vals: np.ndarray, new: np.ndarray, window: int, min_rows: int) -> dict:
+    """Rolling and lag features of ``new``, which follow ``vals``."""
+    a = pd.Series(np.concatenate([vals, new]))
+    roll = a.rolling(window, min_periods=min_rows)
+    mean, std = roll.mean(), roll.std()
+    dev = a - mean
+    l1, l5 = a.shift(1), a.shift(5)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        pct = ((a / l1) - 1) * 100
+    cols = {"Aggregate": a, "rolling_mean": mean, "rolling_std": std, "deviation": dev,
+            "z_score": dev / (std + ROLLING_EPS), "diff_1": (a - l1).clip(-DIFF_CLIP, DIFF_CLIP),
+            "diff_5": (a - l5).clip(-DIFF_CLIP, DIFF_CLIP), "pct_change": pct.clip(-PCT_CLIP, PCT_CLIP)}
+    return {c: v.to_numpy()[len(vals):] for c, v in cols.items()}
+
+
 def _feature_fn(window: int, min_rows: int):
     keep = max(window - 1, 5)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            vals, last_us, seen, late = state.get
-            vals = list(vals)
-        else:
-            vals, last_us, seen, late = [], None, 0, 0
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        pdf = pdf.sort_values("Time", kind="mergesort")
-        us = pdf["Time"].astype("int64") // 1000 if pdf["Time"].dtype.kind == "M" else pdf["Time"]
-        if last_us is not None:
-            fresh = us.to_numpy() > last_us
-            late += int((~fresh).sum())
-            pdf, us = pdf[fresh], us[fresh]
-        if pdf.empty:
-            state.update((vals, last_us, seen, late))
-            return
-        a = pd.Series(np.concatenate([np.asarray(vals, np.float64), pdf["Aggregate"].to_numpy(np.float64)]))
-        roll = a.rolling(window, min_periods=min_rows)
-        mean, std = roll.mean(), roll.std()
-        dev = a - mean
-        l1, l5 = a.shift(1), a.shift(5)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            pct = ((a / l1) - 1) * 100
-        n_old = len(vals)
-        sl = slice(n_old, None)
-        out = pd.DataFrame({
-            "house_id": pdf["house_id"].to_numpy(), "Time": pdf["Time"].to_numpy(),
-            "Aggregate": a[sl].to_numpy(), "rolling_mean": mean[sl].to_numpy(), "rolling_std": std[sl].to_numpy(),
-            "deviation": dev[sl].to_numpy(), "z_score": (dev / (std + ROLLING_EPS))[sl].to_numpy(),
-            "diff_1": (a - l1).clip(-DIFF_CLIP, DIFF_CLIP)[sl].to_numpy(),
-            "diff_5": (a - l5).clip(-DIFF_CLIP, DIFF_CLIP)[sl].to_numpy(),
-            "pct_change": pct.clip(-PCT_CLIP, PCT_CLIP)[sl].to_numpy(),
-        })
-        state.update((a.to_numpy()[-keep:].tolist(), int(us.to_numpy()[-1]), seen + len(pdf), late))
-        yield out
+        vals, wait_us, wait = (np.asarray(x) for x in state.get) if state.exists else ([], [], [])
+        us, new = [np.asarray(wait_us, np.int64)], [np.asarray(wait, np.float64)]
+        for pdf in pdfs:
+            us.append(pdf["Time"].astype("datetime64[us]").astype("int64").to_numpy())
+            new.append(pdf["Aggregate"].to_numpy(np.float64))
+        us, new = np.concatenate(us), np.concatenate(new)
+        order = np.argsort(us, kind="stable")
+        us, new = us[order], new[order]
+        watermark = state.getCurrentWatermarkMs()
+        n = int(np.searchsorted(us, watermark * 1000, "right"))       # no row up to the watermark can follow
+        vals = np.asarray(vals, np.float64)
+        out = _features_after(vals, new[:n], window, min_rows)
+        state.update((np.concatenate([vals, new[:n]])[-keep:].tolist(), us[n:].tolist(), new[n:].tolist()))
+        if n < len(us):
+            state.setTimeoutTimestamp(max(int(us[n]) // 1000, watermark + 1))
+        if n:
+            yield pd.DataFrame({"house_id": key[0], "Time": us[:n].astype("datetime64[us]"), **out})
 
     return fn
 
 
 def stream_features(minute: DataFrame, window: int = ROLLING_WINDOW, min_rows: int = ROLLING_MIN_ROWS,
-                    drop_warmup: bool = True) -> DataFrame:
+                    drop_warmup: bool = True, watermark: str = "10 minutes") -> DataFrame:
     """T-3: per-house rolling stats and rate features over arriving bins.
-    Rows older than the house's last processed bin are late: dropped and
-    counted in the state. Warm-up rows (fewer than ``min_rows``) are dropped
-    as in batch."""
-    out = (minute.select("house_id", "Time", "Aggregate").groupBy("house_id")
-           .applyInPandasWithState(_feature_fn(window, min_rows), FEATURE_STREAM_SCHEMA, STATE_SCHEMA,
-                                   "append", GroupStateTimeout.NoTimeout))
+
+    Rows wait in the house's state until the watermark has passed them and
+    leave it in order of time, so rows that arrive up to ``watermark`` out of
+    order count as in batch. Later ones are dropped and counted (see
+    ``late_rows``); rows without a time have no place in a stream. Warm-up rows
+    (fewer than ``min_rows``) are dropped as in batch. The state of a house is
+    ``window - 1`` values and the rows newer than the watermark."""
+    rows = (minute.select("house_id", "Time", "Aggregate").filter(F.col("Time").isNotNull())
+            .withColumn("_ts", to_event_time("Time")).withWatermark("_ts", watermark))
+    out = rows.groupBy("house_id").applyInPandasWithState(
+        _feature_fn(window, min_rows), FEATURE_STREAM_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     if drop_warmup:
         out = out.filter(F.col("rolling_mean").isNotNull() & F.col("rolling_std").isNotNull())
     return out
 
 
+def late_rows(query) -> int:
+    """Rows that a query dropped because they came after the watermark, over
+    the progress reports that the session keeps."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress
+               for op in json.loads(p.json if hasattr(p, "json") else json.dumps(p))["stateOperators"])
+
+
+END_HOUSE = -1
+
+
+def end_mark(rows: DataFrame) -> DataFrame:
+    """One row of no house, two days after the last of ``rows``. Appended to a
+    stream's input when nothing more will come, it moves the watermark past
+    all rows, so that open bins and waiting rows come out. The mark itself
+    stays behind the watermark and is never emitted."""
+    last = rows.agg(F.max("Time").alias("Time"))
+    return last.select(*[
+        F.lit(END_HOUSE).cast(f.dataType).alias(f.name) if f.name == "house_id"
+        else (F.col("Time") + F.expr("INTERVAL 2 DAYS")).alias("Time") if f.name == "Time"
+        else F.lit(1).cast(f.dataType).alias(f.name) if isinstance(f.dataType, T.NumericType)     # a valid reading
+        else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+
+
 def stream_alerts(features: DataFrame, hourly: DataFrame | None = None, forest=None, kmeans=None,
                   thresholds: dict | None = None) -> DataFrame:
     """T-4: calendar columns, the (batch) hourly profile, model scores and

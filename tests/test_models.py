@@ -25,6 +25,33 @@ def test_exact_percentile_matches_numpy(spark):
             assert got[g] == pytest.approx(np.percentile(sub["v"], 100 * p), rel=1e-12, abs=1e-15)
 
 
+def test_percentile_of_ties_and_extremes(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": np.repeat([1, 2, 3], [20000, 300, 2]),
+                        "v": np.concatenate([np.full(20000, 0.5), rng.integers(0, 4, 300) / 4.0, [-np.inf, 1.0]])})
+    df = spark.createDataFrame(pdf)
+    for p in (0.05, 0.5, 1.0):
+        got = {r.g: r.percentile for r in exact_percentile(df, ["g"], "v", p, accuracy=100).collect()}
+        for g, sub in pdf[pdf["g"] < 3].groupby("g"):
+            assert got[g] == pytest.approx(np.percentile(sub["v"], 100 * p), rel=1e-12, abs=1e-15)
+
+
+def test_every_row_may_join_a_tree(spark):
+    """Each tree draws from all rows, and trees draw independently."""
+    n, trees = 20000, 100
+    z = spark.range(n).selectExpr("1 AS house_id", "xxhash64(id) AS _rid", "CAST(32 AS BIGINT) AS _psi", "5 AS _depth",
+                                  f"CAST({n} AS BIGINT) AS _n", "CAST(id AS DOUBLE) AS _z0")
+    s = FO._sample(z, ["house_id"], 1, trees, 3).toPandas()
+    mean = 1.5 * 32 + 32
+    per_tree = s.groupby("tree").size()
+    assert set(per_tree.index) == set(range(trees)) and abs(per_tree.mean() - mean) < 0.1 * mean
+    assert per_tree.min() >= 40 and not s.duplicated(["tree", "_rid"]).any()
+    per_row = s.groupby("_rid").size()                     # Poisson with mean trees * mean / n = 0.4
+    assert abs(len(per_row) / n - (1 - np.exp(-trees * mean / n))) < 0.02
+    again = FO._sample(z.repartition(5), ["house_id"], 1, trees, 3).toPandas()
+    assert set(zip(again["tree"], again["_rid"])) == set(zip(s["tree"], s["_rid"]))
+
+
 def _blob_frame(spark, seed=0):
     rng = np.random.default_rng(seed)
     centers = np.array([[0, 0, 0, 0], [8, 8, 0, 0], [0, 8, 8, 0], [8, 0, 8, 8]], float)

@@ -25,10 +25,13 @@ def test_minute_mean_and_features_stream_equal_batch(spark, tmp_dir):
     assert got.select("house_id", "Time").exceptAll(batch.select("house_id", "Time")).count() == 0
 
     batch.write.parquet(f"{tmp_dir}/minute")
-    ms_src = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_dir}/minute")
+    ms_src = spark.readStream.schema(batch.schema).parquet(f"{tmp_dir}/minute")
     q = S.stream_features(ms_src).writeStream.format("memory").queryName("t_fs").outputMode("append").start()
     q.processAllAvailable()
+    S.end_mark(batch).write.mode("append").parquet(f"{tmp_dir}/minute")
+    q.processAllAvailable()
     q.stop()
+    assert S.late_rows(q) == 0
     sf = spark.table("t_fs").toPandas().sort_values(["house_id", "Time"]).reset_index(drop=True)
     bf = ms.engineer_features(ms.add_time_features(batch)).toPandas().sort_values(["house_id", "Time"])
     bf = bf.reset_index(drop=True)
@@ -53,25 +56,29 @@ def test_stream_alerts_sink(spark, tmp_dir):
 
 
 def test_late_rows_are_dropped_not_reordered(spark, tmp_dir):
-    """A bin older than the last one processed for its house is late."""
+    """A bin older than the watermark is late: dropped and counted."""
     from datetime import datetime, timedelta
     import pandas as pd
     t0 = datetime(2024, 1, 1)
     first = pd.DataFrame({"house_id": 1, "Time": [t0 + timedelta(minutes=i) for i in range(10)],
                           "Aggregate": [float(100 + i) for i in range(10)]})
-    late = pd.DataFrame({"house_id": 1, "Time": [t0 + timedelta(minutes=3), t0 + timedelta(minutes=10)],
-                         "Aggregate": [999.0, 110.0]})
-    for i, pdf in enumerate([first, late]):
+    then = pd.DataFrame({"house_id": 1, "Time": [t0 + timedelta(minutes=10)], "Aggregate": [110.0]})
+    late = pd.DataFrame({"house_id": 1, "Time": [t0 + timedelta(minutes=3), t0 + timedelta(minutes=11)],
+                         "Aggregate": [999.0, 111.0]})
+    for i, pdf in enumerate([first, then, late]):
         pdf["Time"] = pdf["Time"].astype("datetime64[us]")
         spark.createDataFrame(pdf).withColumn("Time", F.col("Time").cast("timestamp_ntz")).coalesce(1) \
             .write.parquet(f"{tmp_dir}/in/b{i}")
     schema = spark.read.parquet(f"{tmp_dir}/in/b0").schema
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_dir}/in/*")
-    q = S.stream_features(src).writeStream.format("memory").queryName("t_late").outputMode("append").start()
+    q = S.stream_features(src, watermark="0 seconds").writeStream.format("memory").queryName("t_late").outputMode("append").start()
+    q.processAllAvailable()
+    S.end_mark(spark.read.parquet(f"{tmp_dir}/in/b2")).write.parquet(f"{tmp_dir}/in/b3")
     q.processAllAvailable()
     q.stop()
     got = spark.table("t_late").orderBy("Time").toPandas()
     assert 999.0 not in set(got["Aggregate"])                 # the late 00:03 row is dropped
-    assert got["Time"].is_monotonic_increasing and len(got) == 11 - 4
+    assert S.late_rows(q) == 1
+    assert got["Time"].is_monotonic_increasing and len(got) == 12 - 4
     last = got.iloc[-1]
-    assert last["Aggregate"] == 110.0 and last["diff_1"] == 1.0   # state carried across batches
+    assert last["Aggregate"] == 111.0 and last["diff_1"] == 1.0   # state carried across batches
