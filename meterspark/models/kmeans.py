@@ -1,12 +1,12 @@
 """K-means per model scope (default: one model per house) as Spark jobs.
 
 Fit: k-means++ seeding (D^2 sampling with the exponential-race trick, one
-partial aggregation per seed) and Lloyd iterations; every restart runs in
-the same pass (restart id exploded in-stage, then map-side partial sums per
-(scope, restart, cluster)). Centers live in a small table that is
-checkpointed each iteration and broadcast back as one flat array per scope
-key, so rows never meet all centers as join pairs. The restart with the
-least inertia wins, as with several initialisations."""
+partial aggregation per seed) and Lloyd iterations; every restart, and every k
+of an elbow table, is a run in the same pass (runs exploded in-stage, then
+map-side partial sums per (scope, run, cluster)), until it has converged.
+Centers live in a small table that is checkpointed each iteration and joined
+back as one array per scope key, so rows never meet centers as join pairs. The
+restart with the least inertia wins."""
 
 from __future__ import annotations
 
@@ -43,22 +43,13 @@ def _z(d: int) -> list[Column]:
     return [F.col(f"_z{f}") for f in range(d)]
 
 
-# Largest centers table (scope keys x restarts x k rows) kept as a driver-side
-# local relation between iterations; larger ones are checkpointed instead.
-MAX_LOCAL_CENTER_ROWS = 200_000
-
-
-def _pack(centers: DataFrame, keys: list[str], d: int) -> DataFrame:
-    """keys -> array of (restart, flat centers ordered by cluster, feature)."""
-    per_r = (centers.groupBy(*keys, "r")
-             .agg(F.sort_array(F.collect_list(F.struct("j", F.array(*[F.col(f"c{f}") for f in range(d)]).alias("cs"))))
-                  .alias("_it"))
-             .select(*keys, F.struct("r", F.flatten(F.transform("_it", lambda s: s["cs"])).alias("cf")).alias("p")))
-    return per_r.groupBy(*keys).agg(F.collect_list("p").alias("_cr"))
+#: Largest centers table, in bytes, that is broadcast to the rows.
+BROADCAST_BYTES = 64 << 20
 
 
 def _d2(j: int, d: int, arr: str = "_cf") -> Column:
-    return sum((F.col(f"_z{f}") - F.element_at(arr, j * d + f + 1)) ** 2 for f in range(d))
+    """Squared distance to center ``j`` of a flat array; null beyond its end."""
+    return sum((F.col(f"_z{f}") - F.get(F.col(arr), F.lit(j * d + f))) ** 2 for f in range(d))
 
 
 def _argmin(ds: list[Column]) -> tuple[Column, Column]:
@@ -69,159 +60,57 @@ def _argmin(ds: list[Column]) -> tuple[Column, Column]:
     return idx, m
 
 
-def _row_id(keys: list[str], d: int, extra: list[str]) -> Column:
-    return F.xxhash64(*[F.col(c) for c in keys + extra], *_z(d))
-
-
 def _checkpoint(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def _small(df: DataFrame, limit: int = MAX_LOCAL_CENTER_ROWS):
-    """Materialise a small model table: as a local relation when it has at
-    most ``limit`` rows (returned with its rows), else checkpointed."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        return df.sparkSession.createDataFrame(rows, df.schema), rows
-    return _checkpoint(df), None
+def _flat_centers(centers: DataFrame, keys: list[str], d: int) -> DataFrame:
+    """keys, _cf: the centers of a scope as one flat array."""
+    cs = F.struct("cluster", F.array(*[F.col(f"c{f}") for f in range(d)]).alias("cs"))
+    rows = centers.groupBy(*keys).agg(F.sort_array(F.collect_list(cs)).alias("_it"))
+    return rows.select(*keys, F.flatten(F.transform("_it", lambda s: s["cs"])).alias("_cf"))
 
 
-def _per_restart(z: DataFrame, packed: DataFrame, keys: list[str], d: int, n_groups: int,
-                 extra: list[str] = ()) -> DataFrame:
-    """Each row once per restart, next to that restart's flat centers."""
-    x = lookup_join(z, packed, keys, "inner", known_rows=n_groups)
+def _per_run(p: dict, runs: DataFrame, size: int, extra: list[str] = ()) -> DataFrame:
+    """Each row once per run of its scope that goes on, next to the run's centers."""
+    keys, d = p["keys"], p["d"]
+    packed = runs.filter(~F.col("conv")).groupBy(*keys).agg(F.collect_list(F.struct("run", "cf")).alias("_cr"))
+    x = lookup_join(p["z"], packed, keys, "inner", known_rows=p["n_groups"], max_broadcast_rows=BROADCAST_BYTES // (8 * size))
     x = x.select(*keys, *extra, *_z(d), F.explode("_cr").alias("p"))
-    return x.select(*keys, *extra, *_z(d), F.col("p.r").alias("r"), F.col("p.cf").alias("_cf"))
-
-
-def _seed_centers(z: DataFrame, keys: list[str], k: int, d: int, restarts: int, seed: int,
-                  n_groups: int) -> DataFrame:
-    """k-means++ seeding for every (scope, restart) at once."""
-    rs = F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("r")
-    zs = F.struct(*[F.col(f"_z{f}").alias(f"c{f}") for f in range(d)])
-    first = (z.select(*keys, "_rid", *_z(d), rs)
-             .withColumn("_u", uniform(F.lit(seed), F.col("r"), F.lit(0), F.col("_rid")))
-             .groupBy(*keys, "r").agg(F.min_by(zs, "_u").alias("c"))
-             .select(*keys, "r", F.lit(0).alias("j"), *[F.col(f"c.c{f}").alias(f"c{f}") for f in range(d)]))
-    centers, _ = _small(first)
+    return x.select(*keys, *extra, *_z(d), F.col("p.run").alias("run"), F.col("p.cf").alias("_cf"))
+
+
+def _seed_runs(p: dict, k: int, restarts: int, seed: int) -> DataFrame:
+    """k-means++ seeds for every (scope, restart) at once: keys, run, cf, conv.
+    The first seeds of ``k`` are those of any smaller number of clusters."""
+    keys, d = p["keys"], p["d"]
+    point = F.array(*_z(d))
+    every = F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("run")
+    u = uniform(F.lit(seed), F.col("run"), F.lit(0), F.col("_rid"))
+    runs = (p["z"].select(*keys, "_rid", *_z(d), every).groupBy(*keys, "run").agg(F.min_by(point, u).alias("cf"))
+            .withColumn("conv", F.lit(False)))
+    runs = _checkpoint(runs)
     for s in range(1, k):
-        x = _per_restart(z, _pack(centers, keys, d), keys, d, n_groups, ["_rid"])
         dd = F.least(*[_d2(j, d) for j in range(s)]) if s > 1 else _d2(0, d)
-        u = uniform(F.lit(seed), F.col("r"), F.lit(s), F.col("_rid"))
-        key = F.when(dd > 0, -F.log(u) / dd)
-        nxt = (x.withColumn("_key", key).groupBy(*keys, "r").agg(F.min_by(zs, "_key").alias("c"))
-               .select(*keys, "r", F.lit(s).alias("j"), *[F.col(f"c.c{f}").alias(f"c{f}") for f in range(d)]))
-        # Fewer distinct points than k: repeat the first center.
-        prev0 = centers.filter(F.col("j") == 0).select(*keys, "r", *[F.col(f"c{f}").alias(f"p{f}") for f in range(d)])
-        nxt = nxt.join(prev0, keys + ["r"], "inner").select(
-            *keys, "r", "j", *[F.coalesce(F.col(f"c{f}"), F.col(f"p{f}")).alias(f"c{f}") for f in range(d)])
-        centers, _ = _small(centers.unionByName(nxt))
-    return centers
-
-
-def _assign_stats(z: DataFrame, packed: DataFrame, keys: list[str], k: int, d: int,
-                  n_groups: int) -> DataFrame:
-    """Per (scope, restart, cluster): rows, coordinate sums and squared distances."""
-    x = _per_restart(z, packed, keys, d, n_groups)
-    x = x.select(*keys, "r", *_z(d), F.array(*[_d2(jj, d) for jj in range(k)]).alias("_d"))
-    m = F.array_min("_d")
-    x = x.select(*keys, "r", *_z(d), (F.array_position("_d", m) - 1).cast("int").alias("j"), m.alias("_m"))
-    return x.groupBy(*keys, "r", "j").agg(
-        F.count(F.lit(1)).alias("_cnt"), F.sum("_m").alias("_sse"),
-        *[F.sum(f"_z{f}").alias(f"_s{f}") for f in range(d)])
-
-
-_DEBUG = False
-# Scope keys with at most this many rows are fit inside one task each
-# (bounded group); larger ones run the distributed Lloyd iterations.
-LOCAL_FIT_ROWS = 2_000_000
-
-
-def _packed_local(spark, keys: list[str], key_types, centers: dict, restarts_only=None) -> DataFrame:
-    """Local relation: one row per scope key with [(restart, flat centers)]."""
-    from pyspark.sql import types as T
-    schema = T.StructType([T.StructField(k_, t) for k_, t in zip(keys, key_types)] + [
-        T.StructField("_cr", T.ArrayType(T.StructType([T.StructField("r", T.IntegerType()),
-                                                       T.StructField("cf", T.ArrayType(T.DoubleType()))])))])
-    import pandas as pd
-    rows = []
-    for key, arr in centers.items():
-        rs = range(arr.shape[0]) if restarts_only is None else [restarts_only[key]]
-        rows.append({**dict(zip(keys, key)),
-                     "_cr": [{"r": int(r), "cf": [float(v) for v in arr[r].ravel()]} for r in rs]})
-    # From pandas through Arrow: a local table scan, no Python workers in tasks.
-    return spark.createDataFrame(pd.DataFrame(rows, columns=[*keys, "_cr"]), schema)
-
-
-def _fit_local(z, keys, key_types, k, d, restarts, max_iter, tol_by_key, seed, n_groups, n_rows):
-    """Lloyd iterations with the centers table on the driver (bounded size):
-    one Spark job per iteration, center updates in NumPy."""
-    import numpy as np
-    spark = z.sparkSession
-    zs = F.struct(*[F.col(f"_z{f}").alias(f"c{f}") for f in range(d)])
-    rs = F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("r")
-    rows = (z.select(*keys, "_rid", *_z(d), rs)
-            .withColumn("_u", uniform(F.lit(seed), F.col("r"), F.lit(0), F.col("_rid")))
-            .groupBy(*keys, "r").agg(F.min_by(zs, "_u").alias("c")).collect())
-    cen: dict = {}
-    for row in rows:
-        key = tuple(row[k_] for k_ in keys)
-        cen.setdefault(key, np.zeros((restarts, k, d)))[row["r"], 0] = [row["c"][f"c{f}"] for f in range(d)]
-    for s in range(1, k):
-        packed = _packed_local(spark, keys, key_types, {kk: v[:, :s] for kk, v in cen.items()})
-        x = _per_restart(z, packed, keys, d, n_groups, ["_rid"])
-        dd = F.least(*[_d2(j, d) for j in range(s)]) if s > 1 else _d2(0, d)
-        u = uniform(F.lit(seed), F.col("r"), F.lit(s), F.col("_rid"))
-        rows = (x.withColumn("_key", F.when(dd > 0, -F.log(u) / dd)).groupBy(*keys, "r")
-                .agg(F.min_by(zs, "_key").alias("c")).collect())
-        for kk in cen:
-            cen[kk][:, s] = cen[kk][:, 0]          # fewer distinct points than k
-        for row in rows:
-            if row["c"] is not None:
-                key = tuple(row[k_] for k_ in keys)
-                cen[key][row["r"], s] = [row["c"][f"c{f}"] for f in range(d)]
-    conv = {kk: np.zeros(restarts, bool) for kk in cen}
-    iters = {kk: np.zeros(restarts, int) for kk in cen}
-    import time as _t
-    for it in range(1, max_iter + 1):
-        _t0 = _t.time()
-        stats = _assign_stats(z, _packed_local(spark, keys, key_types, cen), keys, k, d, n_groups).collect()
-        if _DEBUG:
-            print("iteration", it, round(_t.time() - _t0, 3))
-        sums = {kk: np.zeros((restarts, k, d)) for kk in cen}
-        cnts = {kk: np.zeros((restarts, k)) for kk in cen}
-        for row in stats:
-            key = tuple(row[k_] for k_ in keys)
-            sums[key][row["r"], row["j"]] = [row[f"_s{f}"] for f in range(d)]
-            cnts[key][row["r"], row["j"]] = row["_cnt"]
-        for kk, c in cen.items():
-            has = cnts[kk] > 0
-            new = np.where(has[..., None], sums[kk] / np.maximum(cnts[kk], 1)[..., None], c)
-            new[conv[kk]] = c[conv[kk]]
-            shift = ((new - c) ** 2).sum(axis=(1, 2))
-            iters[kk][~conv[kk]] = it
-            conv[kk] |= shift <= tol_by_key[kk]
-            cen[kk] = new
-        if all(v.all() for v in conv.values()):
-            break
-    final = _assign_stats(z, _packed_local(spark, keys, key_types, cen), keys, k, d, n_groups).collect()
-    inertia = {kk: np.zeros(restarts) for kk in cen}
-    for row in final:
-        inertia[tuple(row[k_] for k_ in keys)][row["r"]] += row["_sse"]
-    best_rows, center_rows = [], []
-    for kk, c in cen.items():
-        r = int(np.lexsort((np.arange(restarts), inertia[kk]))[0])
-        best_rows.append((*kk, r, float(inertia[kk][r]), int(iters[kk][r])))
-        center_rows += [(*kk, j, *[float(v) for v in c[r, j]]) for j in range(k)]
-    from pyspark.sql import types as T
-    kf = [T.StructField(k_, t) for k_, t in zip(keys, key_types)]
-    best = spark.createDataFrame(best_rows, T.StructType(kf + [
-        T.StructField("restart", T.IntegerType()), T.StructField("inertia", T.DoubleType()),
-        T.StructField("iterations", T.IntegerType())]))
-    chosen = spark.createDataFrame(center_rows, T.StructType(kf + [T.StructField("cluster", T.IntegerType())] + [
-        T.StructField(f"c{f}", T.DoubleType()) for f in range(d)]))
-    return best, chosen
+        race = F.when(dd > 0, -F.log(uniform(F.lit(seed), F.col("run"), F.lit(s), F.col("_rid"))) / dd)
+        drawn = _per_run(p, runs, restarts * k * d, ["_rid"]).groupBy(*keys, "run").agg(F.min_by(point, race).alias("_c"))
+        # Fewer distinct points than k: the first center again.
+        more = F.concat("cf", F.coalesce("_c", F.slice("cf", 1, d)))
+        runs = _checkpoint(runs.join(drawn, [*keys, "run"]).select(*keys, "run", more.alias("cf"), "conv"))
+    return runs
+
+
+def _stats(p: dict, runs: DataFrame, k: int, size: int) -> DataFrame:
+    """Per (scope, run): _m, the mean of the rows nearest to each center, and
+    _sse. Rows are summed on the map side by (scope, run, cluster)."""
+    keys, d = p["keys"], p["d"]
+    x = _per_run(p, runs, size)
+    x = x.select(*keys, "run", *_z(d), F.array(*[_d2(j, d) for j in range(k)]).alias("_d"))
+    least = F.array_min("_d")
+    x = x.select(*keys, "run", *_z(d), (F.array_position("_d", least) - 1).cast("int").alias("j"), least.alias("_least"))
+    sums = x.groupBy(*keys, "run", "j").agg(F.sum("_least").alias("_sse"), F.array(*[F.avg(c) for c in _z(d)]).alias("_mean"))
+    return sums.groupBy(*keys, "run").agg(F.map_from_entries(F.collect_list(F.struct("j", "_mean"))).alias("_m"), F.sum("_sse").alias("_sse"))
 
 
 def _prepare(df: DataFrame, features: list[str] | None, scope: str) -> dict:
@@ -242,131 +131,58 @@ def _prepare(df: DataFrame, features: list[str] | None, scope: str) -> dict:
     z = apply_scaler(filled, scaler, feats, keys, known_rows=n_groups)
     z = _checkpoint(z.select(*keys, "_rid", *_z(d)))
     filled.unpersist()
-    small = scaler.filter(F.col("_n") <= LOCAL_FIT_ROWS)
-    return dict(keys=keys, feats=feats, d=d, scaler=scaler, z=z, n_groups=n_groups, scope=scope,
-                key_types=[scaler.schema[k_].dataType for k_ in keys], small=small, n_small=small.count())
-
-
-def _fit_prepared(p: dict, ks: list[int], restarts: int, max_iter: int, tol: float, seed: int) -> dict:
-    """Fits for every k in ``ks``: {k: (best, chosen)}. Scope keys with at
-    most LOCAL_FIT_ROWS rows run all ks in one task each (one job); larger
-    ones run distributed Lloyd per k."""
-    keys, d, key_types, z, scaler = p["keys"], p["d"], p["key_types"], p["z"], p["scaler"]
-    out = {}
-    local = None
-    if p["n_small"]:
-        local = _fit_in_tasks(z, p["small"], keys, key_types, ks, d, restarts, max_iter, tol, seed)
-    if p["n_small"] == p["n_groups"]:
-        for k in ks:
-            out[k] = (local[0].filter(F.col("k") == k).drop("k"), local[1].filter(F.col("k") == k).drop("k"))
-        return out
-    zb, sb = z, scaler
-    if p["n_small"]:
-        zb = _checkpoint(lookup_join(z, p["small"].select(*keys).withColumn("_small", F.lit(True)), keys, "left",
-                                     known_rows=p["n_small"]).filter(F.col("_small").isNull()).drop("_small"))
-        sb = scaler.filter(F.col("_n") > LOCAL_FIT_ROWS)
-    for k in ks:
-        best, chosen = _fit_distributed(zb, sb, keys, key_types, k, d, restarts, max_iter, tol, seed,
-                                        p["n_groups"] - p["n_small"])
-        if local is not None:
-            best = local[0].filter(F.col("k") == k).drop("k").unionByName(best)
-            chosen = local[1].filter(F.col("k") == k).drop("k").unionByName(chosen)
-        out[k] = (best, chosen)
-    return out
+    return dict(keys=keys, feats=feats, d=d, scaler=scaler, z=z, n_groups=n_groups, scope=scope)
+
+
+def _lloyd(p: dict, ks: list[int], restarts: int, max_iter: int, tol: float, seed: int,
+           init: list[list[float]] | None) -> tuple[DataFrame, DataFrame]:
+    """Runs of Lloyd's iterations for every k and restart of every scope, one
+    job each iteration over the runs that still move. Returns best (keys, k,
+    restart, inertia, iterations) and centers (keys, k, cluster, c0...)."""
+    keys, d = p["keys"], p["d"]
+    if init is None:
+        runs = _seed_runs(p, max(ks), restarts, seed)
+    else:
+        restarts = 1
+        runs = p["scaler"].select(*keys, F.lit(0).alias("run"), F.array(*[F.lit(float(v)) for c in init for v in c]).alias("cf"))
+    which = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(ks)])).alias("_k")
+    runs = runs.select(*keys, which, "run", "cf").select(
+        *keys, F.col("_k.k").alias("k"), F.col("run").alias("restart"), (F.col("_k.i") * restarts + F.col("run")).alias("run"),
+        F.slice("cf", F.lit(1), F.col("_k.k") * d).alias("cf"), F.lit(False).alias("conv"), F.lit(0).alias("it"))
+    limit = p["scaler"].select(*keys, (F.lit(float(tol)) * F.col("_nonconst") / d).alias("_tol"))
+    runs = _checkpoint(runs.join(limit, keys))
+    size = restarts * sum(ks) * d
+    for it in range(1, max_iter + 1):
+        x = runs.join(_stats(p, runs, max(ks), size), [*keys, "run"], "left")
+        mean = lambda i: F.get(F.try_element_at(F.col("_m"), F.floor(i / d).cast("int")), i % d)
+        x = x.withColumn("_new", F.transform("cf", lambda c, i: F.coalesce(mean(i), c)))
+        moved = F.aggregate(F.zip_with("_new", "cf", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
+        runs = _checkpoint(x.select(*keys, "run", "k", "restart", F.col("_new").alias("cf"), (F.col("conv") | (moved <= F.col("_tol"))).alias("conv"),
+                                    F.when(F.col("conv"), F.col("it")).otherwise(F.lit(it)).alias("it"), "_tol"))
+        if runs.filter(~F.col("conv")).isEmpty():
+            break
+    last = _stats(p, runs.withColumn("conv", F.lit(False)), max(ks), size).select(*keys, "run", "_sse")
+    ended = runs.join(last, [*keys, "run"])
+    win = F.min_by(F.struct("restart", F.col("_sse").alias("inertia"), F.col("it").alias("iterations"), "cf"), F.struct("_sse", "restart"))
+    best = _checkpoint(ended.groupBy(*keys, "k").agg(win.alias("b")).select(*keys, "k", "b.*"))
+    one = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(
+        j.alias("cluster"), *[F.get(F.col("cf"), j * d + f).alias(f"c{f}") for f in range(d)]))
+    return best.drop("cf"), best.select(*keys, "k", F.explode(one).alias("c")).select(*keys, "k", "c.*")
 
 
 def fit_kmeans(df: DataFrame, k: int = 4, restarts: int = 10, max_iter: int = 300, tol: float = 1e-4,
-               seed: int = 42, features: list[str] | None = None, scope: str = "house") -> KMeansModel:
+               seed: int = 42, features: list[str] | None = None, scope: str = "house",
+               init: list[list[float]] | None = None) -> KMeansModel:
     """Fit k-means on scaled features (nulls as 0, population std).
 
-    Scope keys with at most ``LOCAL_FIT_ROWS`` rows are fit inside one task
-    each (bounded group). Larger ones run one Spark job per Lloyd iteration:
-    rows x restarts -> nearest center -> partial sums per (scope, restart,
-    cluster). A restart stops once its squared center shift is within
-    ``tol`` x the mean feature variance. Centers stay on the driver while
-    scope keys x restarts x k is within ``MAX_LOCAL_CENTER_ROWS``; beyond
-    that they are a checkpointed table."""
+    One Spark job per Lloyd iteration: rows x runs -> nearest center ->
+    partial sums per (scope, run, cluster), for houses of any size alike. A
+    run stops once its squared center shift is within ``tol`` x the mean feature
+    variance; a cluster without rows keeps its center. ``init`` gives the
+    first centers (scaled space) of a single run instead of seeding."""
     p = _prepare(df, features, scope)
-    best, chosen = _fit_prepared(p, [k], restarts, max_iter, tol, seed)[k]
-    return KMeansModel(p["keys"], p["feats"], k, scope, p["scaler"], chosen, best)
-
-
-def _fit_in_tasks(z, small, keys, key_types, ks, d, restarts, max_iter, tol, seed):
-    """Scope keys with at most LOCAL_FIT_ROWS rows: each fit in one task."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-    from meterspark.functions.lloyd import fit_group
-    zc = [f"_z{f}" for f in range(d)]
-    rows = lookup_join(z, small.select(*keys, "_nonconst"), keys, "inner")
-    schema = T.StructType([T.StructField(k_, t) for k_, t in zip(keys, key_types)] + [
-        T.StructField("k", T.IntegerType()),
-        T.StructField("restart", T.IntegerType()), T.StructField("inertia", T.DoubleType()),
-        T.StructField("iterations", T.IntegerType()), T.StructField("cluster", T.IntegerType())] + [
-        T.StructField(f"c{f}", T.DoubleType()) for f in range(d)])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rid", kind="mergesort")
-        kv = [pdf[k_].iloc[0] for k_ in keys]
-        key_seed = int(kv[0]) & 0x7FFFFFFF if isinstance(kv[0], (int, np.integer)) else 0
-        tol_g = tol * float(pdf["_nonconst"].iloc[0]) / d
-        x = pdf[zc].to_numpy(np.float64)
-        parts = []
-        for k in ks:
-            r, c, inertia, it = fit_group(x, k, restarts, max_iter, tol_g, seed, key_seed)
-            out = {k_: [v] * k for k_, v in zip(keys, kv)}
-            out.update(k=[k] * k, restart=[r] * k, inertia=[inertia] * k, iterations=[it] * k,
-                       cluster=list(range(k)))
-            for f in range(d):
-                out[f"c{f}"] = c[:, f]
-            parts.append(pd.DataFrame(out))
-        return pd.concat(parts, ignore_index=True)
-
-    parts = max(1, min(small.count(), 4 * z.sparkSession.sparkContext.defaultParallelism))
-    res = _checkpoint(rows.repartition(parts, *keys).groupBy(*keys).applyInPandas(fit, schema))
-    best = res.filter(F.col("cluster") == 0).select(*keys, "k", "restart", "inertia", "iterations")
-    chosen = res.select(*keys, "k", "cluster", *[f"c{f}" for f in range(d)])
-    return best, chosen
-
-
-def _fit_distributed(z, scaler, keys, key_types, k, d, restarts, max_iter, tol, seed, n_groups):
-    """Lloyd iterations as Spark jobs (scope keys too large for one task)."""
-    if n_groups * restarts * k <= MAX_LOCAL_CENTER_ROWS:
-        srows = scaler.select(*keys, "_nonconst", "_n").collect()
-        tol_by_key = {tuple(r[k_] for k_ in keys): tol * r["_nonconst"] / d for r in srows}
-        return _fit_local(z, keys, key_types, k, d, restarts, max_iter, tol_by_key, seed, n_groups,
-                          sum(r["_n"] for r in srows))
-
-    tol_tab = scaler.select(*keys, (F.lit(tol) * F.col("_nonconst") / d).alias("_tol"))
-    centers = _seed_centers(z, keys, k, d, restarts, seed, n_groups)
-    centers, _ = _small(centers.join(tol_tab, keys, "inner").withColumn("conv", F.lit(False))
-                        .withColumn("it", F.lit(0)))
-    for it in range(1, max_iter + 1):
-        stats = _assign_stats(z, _pack(centers, keys, d), keys, k, d, n_groups)
-        x = centers.join(stats, keys + ["r", "j"], "left")
-        frozen, has = F.col("conv"), F.coalesce(F.col("_cnt"), F.lit(0)) > 0
-        new = {f"n{f}": F.when(frozen | ~has, F.col(f"c{f}")).otherwise(F.col(f"_s{f}") / F.col("_cnt"))
-               for f in range(d)}
-        x = x.withColumns(new)
-        g = Window.partitionBy(*keys, "r")
-        shift = F.sum(sum((F.col(f"n{f}") - F.col(f"c{f}")) ** 2 for f in range(d))).over(g)
-        x = x.select(*keys, "r", "j", *[F.col(f"n{f}").alias(f"c{f}") for f in range(d)], "_tol",
-                     (frozen | (shift <= F.col("_tol"))).alias("conv"),
-                     F.when(frozen, F.col("it")).otherwise(F.lit(it)).alias("it"))
-        centers, _ = _small(x, limit=0)
-        if centers.filter(~F.col("conv")).isEmpty():
-            break
-    final = _assign_stats(z, _pack(centers, keys, d), keys, k, d, n_groups)
-    inertia = final.groupBy(*keys, "r").agg(F.sum("_sse").alias("inertia"))
-    iters = centers.groupBy(*keys, "r").agg(F.max("it").alias("iterations"))
-    best = (inertia.join(iters, keys + ["r"]).groupBy(*keys)
-            .agg(F.min_by(F.struct("r", "inertia", "iterations"), F.struct("inertia", "r")).alias("b"))
-            .select(*keys, F.col("b.r").alias("restart"), F.col("b.inertia").alias("inertia"),
-                    F.col("b.iterations").alias("iterations")))
-    best = _checkpoint(best)
-    chosen = (centers.join(best.select(*keys, F.col("restart").alias("r")), keys + ["r"], "inner")
-              .select(*keys, F.col("j").alias("cluster"), *[F.col(f"c{f}") for f in range(d)]))
-    return best, _checkpoint(chosen)
+    best, centers = _lloyd(p, [k], restarts, max_iter, tol, seed, init)
+    return KMeansModel(p["keys"], p["feats"], k, scope, p["scaler"], centers.drop("k"), best.drop("k"))
 
 
 def centroid_profile(model: KMeansModel, digits: int | None = 1) -> DataFrame:
@@ -412,9 +228,7 @@ def assign_clusters(df: DataFrame, model: KMeansModel, labels: str = "auto") ->
     src = with_scope(df, model.scope)
     n_groups = None
     x = apply_scaler(src, model.scaler, model.features, keys, how="left")
-    packed = _pack(model.centers.withColumnRenamed("cluster", "j").withColumn("r", F.lit(0)), keys, d)
-    x = lookup_join(x, packed.select(*keys, F.col("_cr")[0]["cf"].alias("_cf")), keys, "left",
-                    known_rows=n_groups)
+    x = lookup_join(x, _flat_centers(model.centers, keys, d), keys, "left", known_rows=n_groups)
     j, m = _argmin([_d2(jj, d) for jj in range(k)])
     known = F.col("_cf").isNotNull()
     x = x.withColumn("cluster", F.when(known, j)).withColumn("cluster_distance", F.when(known, F.sqrt(m)))
@@ -431,16 +245,13 @@ def assign_clusters(df: DataFrame, model: KMeansModel, labels: str = "auto") ->
 
 
 def elbow(df: DataFrame, ks=range(2, 9), restarts: int = 10, max_iter: int = 300, tol: float = 1e-4,
-          seed: int = 42, features: list[str] | None = None, scope: str = "house") -> DataFrame:
-    """Inertia of the best restart for each k. The scaler and scaled rows are
-    prepared once; bounded scope keys fit every k in the same task."""
+          seed: int = 42, features: list[str] | None = None, scope: str = "house",
+          init: list[list[float]] | None = None) -> DataFrame:
+    """Inertia of the best restart for each k. All ks run in the same
+    iterations; each starts from the first k seeds (or ``init`` centers)."""
     p = _prepare(df, features, scope)
-    fits = _fit_prepared(p, list(ks), restarts, max_iter, tol, seed)
-    parts = [best.select(*p["keys"], F.lit(k).alias("k"), "inertia") for k, (best, _) in fits.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    best, _ = _lloyd(p, list(ks), restarts, max_iter, tol, seed, init)
+    return best.select(*p["keys"], "k", "inertia")
 
 
 def fixed_model(df: DataFrame, centers: list[list[float]], features: list[str] | None = None,

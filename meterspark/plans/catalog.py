@@ -538,6 +538,40 @@ def q_cluster_distribution(spark, sf_dir):
     return ms_reports.cluster_distribution(a)
 
 
+def _lloyd_sql(k: int, iterations: int) -> str:
+    """CTEs l<k>_0.. (centers after each iteration) and sse<k>: Lloyd from the first k fixed centers."""
+    out = [f"l{k}_0 AS (SELECT house_id, cluster, c0, c1, c2, c3 FROM kst CROSS JOIN kcent WHERE cluster < {k})"]
+    for t in range(iterations + 1):
+        d = " + ".join(f"pow(z{f} - c{f}, 2)" for f in range(4))
+        out.append(f"""a{k}_{t} AS (SELECT * FROM (SELECT kz.*, cluster, {d} AS d FROM kz JOIN l{k}_{t} USING (house_id))
+        QUALIFY row_number() OVER (PARTITION BY house_id, "Time" ORDER BY d, cluster) = 1)""")
+        if t < iterations:
+            means = ", ".join(f"coalesce(avg(z{f}), max(c{f})) AS c{f}" for f in range(4))
+            out.append(f"l{k}_{t + 1} AS (SELECT house_id, cluster, {means} FROM l{k}_{t} LEFT JOIN a{k}_{t} USING (house_id, cluster) GROUP BY house_id, cluster)")
+    out.append(f"sse{k} AS (SELECT house_id, sum(d) AS inertia FROM a{k}_{iterations} GROUP BY house_id)")
+    return ",\n".join(out)
+
+
+_KZ = f"""{_stats_sql(KMEANS_FEATURES, 'kst', True)},
+kcent AS (SELECT * FROM ({_KC}) t(cluster, c0, c1, c2, c3)),
+kz AS (SELECT features.house_id, features."Time", {_z_sql(KMEANS_FEATURES, 'kst')} FROM features JOIN kst USING (house_id))"""
+
+
+@register("kmeans_lloyd_fixed_init", f"""WITH {_KZ}, {_lloyd_sql(4, 3)}
+SELECT house_id, CAST(cluster AS INTEGER) AS cluster, c0, c1, c2, c3, inertia FROM l4_3 JOIN sse4 USING (house_id)""",
+          ["c0", "c1", "c2", "c3", "inertia"])
+def q_kmeans_lloyd_fixed_init(spark, sf_dir):
+    """Three Lloyd iterations from given centers."""
+    m = ms_kmeans.fit_kmeans(features(spark, sf_dir), k=4, max_iter=3, tol=0.0, init=FIXED_CENTERS)
+    return m.centers.join(m.inertia.select("house_id", "inertia"), "house_id")
+
+
+@register("elbow_fixed_init", f"""WITH {_KZ}, {", ".join(_lloyd_sql(k, 2) for k in (2, 3, 4))}
+""" + " UNION ALL ".join(f"SELECT house_id, {k} AS k, inertia FROM sse{k}" for k in (2, 3, 4)), ["inertia"])
+def q_elbow_fixed_init(spark, sf_dir):
+    return ms_kmeans.elbow(features(spark, sf_dir), ks=[2, 3, 4], max_iter=2, tol=0.0, init=FIXED_CENTERS)
+
+
 def _tree_sql(tree: dict, node: int = 0) -> str:
     if node in tree["leaf"]:
         depth, size = tree["leaf"][node]

@@ -63,9 +63,7 @@ def _blob_frame(spark, seed=0):
     return spark.createDataFrame(pdf).withColumn("Time", F.col("Time").cast("timestamp_ntz"))
 
 
-@pytest.mark.parametrize("local_rows", [KM.LOCAL_FIT_ROWS, 0])
-def test_kmeans_recovers_blobs(spark, local_rows, monkeypatch):
-    monkeypatch.setattr(KM, "LOCAL_FIT_ROWS", local_rows)
+def test_kmeans_recovers_blobs(spark):
     df = _blob_frame(spark)
     m = KM.fit_kmeans(df, k=4, restarts=3, max_iter=50, seed=7)
     a = KM.assign_clusters(df, m).toPandas()
@@ -168,10 +166,9 @@ def test_global_scope_models(spark):
     assert s.count() == f.count() and "_scope" not in s.columns
 
 
-def test_kmeans_distributed_with_center_table(spark, monkeypatch):
-    """Large-house path with the centers kept as a checkpointed table."""
-    monkeypatch.setattr(KM, "LOCAL_FIT_ROWS", 0)
-    monkeypatch.setattr(KM, "MAX_LOCAL_CENTER_ROWS", 0)
+def test_kmeans_without_broadcast(spark, monkeypatch):
+    """Centers too large to broadcast meet the rows in a shuffle join."""
+    monkeypatch.setattr(KM, "BROADCAST_BYTES", 0)
     df = _blob_frame(spark)
     m = KM.fit_kmeans(df, k=4, restarts=2, max_iter=30, seed=7)
     a = KM.assign_clusters(df, m).toPandas()
