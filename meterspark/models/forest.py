@@ -262,10 +262,10 @@ def _score_cogroup(z: DataFrame, model: ForestModel) -> DataFrame:
     """Forest too large to broadcast: rows are cut into chunks of at most
     ``COGROUP_CHUNK_ROWS`` per key, each chunk meets its key's trees."""
     keys, d = model.keys, len(model.features)
-    chunks = lookup_join(z, model.scaler.select(*keys, "_n"), keys, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
-    nch = F.greatest(F.ceil(F.col("_n") / COGROUP_CHUNK_ROWS), F.lit(1))
-    rows = chunks.withColumn("_chunk", F.pmod(F.col("_rid"), nch)).drop("_n")
-    trees = (model.nodes.join(model.params, keys, "inner").join(model.scaler.select(*keys, "_n"), keys, "inner")
+    counts = _checkpoint(z.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))         # of the rows to score
+    nch = F.ceil(F.col("_n") / COGROUP_CHUNK_ROWS)
+    rows = lookup_join(z, counts, keys, "inner").withColumn("_chunk", F.pmod(F.col("_rid"), nch)).drop("_n")
+    trees = (model.nodes.join(model.params, keys, "inner").join(counts, keys, "inner")
              .withColumn("_chunk", F.explode(F.sequence(F.lit(0), (nch - 1).cast("long")))).drop("_n"))
     schema = T.StructType(rows.schema.fields + [T.StructField("_score", T.DoubleType())])
     zc = [f"_z{f}" for f in range(d)]
@@ -290,7 +290,8 @@ def score_forest(df: DataFrame, model: ForestModel) -> DataFrame:
     scope that the model has not seen stay, without a score and not flagged."""
     keys = model.keys
     src = with_scope(df, model.scope)
-    src = src.withColumn("_rid", F.xxhash64(*[F.col(c) for c in keys + model.features]))
+    time = ["Time"] if "Time" in src.columns else []
+    src = src.withColumn("_rid", F.xxhash64(*[F.col(c) for c in keys + time + model.features]))
     z = apply_scaler(src, model.scaler, model.features, keys, how="left")
     return _finish_scores(_score_samples(z, model), df, model)
 
@@ -334,10 +335,3 @@ def fixed_forest(df: DataFrame, contamination: float = 0.05, scope: str = "house
     return model
 
 
-def fixed_leaf_value(depth: int, size: int) -> float:
-    return depth + float(average_path_length([size])[0])
-
-
-def fixed_c_psi() -> float:
-    return float(average_path_length([FIXED_PSI])[0])
-

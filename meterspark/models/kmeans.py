@@ -45,6 +45,8 @@ def _z(d: int) -> list[Column]:
 
 #: Largest centers table, in bytes, that is broadcast to the rows.
 BROADCAST_BYTES = 64 << 20
+#: Iterations between two looks at whether any run still moves; runs that have converged stay as they are.
+LOOK_EVERY = 4
 
 
 def _d2(j: int, d: int, arr: str = "_cf") -> Column:
@@ -159,7 +161,7 @@ def _lloyd(p: dict, ks: list[int], restarts: int, max_iter: int, tol: float, see
         moved = F.aggregate(F.zip_with("_new", "cf", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
         runs = _checkpoint(x.select(*keys, "run", "k", "restart", F.col("_new").alias("cf"), (F.col("conv") | (moved <= F.col("_tol"))).alias("conv"),
                                     F.when(F.col("conv"), F.col("it")).otherwise(F.lit(it)).alias("it"), "_tol"))
-        if runs.filter(~F.col("conv")).isEmpty():
+        if it % LOOK_EVERY == 0 and runs.filter(~F.col("conv")).isEmpty():
             break
     last = _stats(p, runs.withColumn("conv", F.lit(False)), max(ks), size).select(*keys, "run", "_sse")
     ended = runs.join(last, [*keys, "run"])

@@ -46,9 +46,12 @@ def _rate_derived(df: DataFrame) -> DataFrame:
     }).drop("_lag1", "_lag5"))
 
 
-def row_order(df: DataFrame) -> list[str]:
-    """Time, then the readings themselves: without resampling two readings of
-    a house may share a timestamp, and row windows need one fixed order."""
+def row_order(df: DataFrame, unique_time: bool = False) -> list[str]:
+    """Time alone where it is unique within a house (after downsampling), else
+    Time and then the readings themselves: two readings of a house may share
+    a timestamp, and row windows need one fixed order."""
+    if unique_time:
+        return ["Time"]
     return ["Time"] + [c for c in ["Aggregate"] + appliance_columns(df) if c in df.columns]
 
 
@@ -100,15 +103,16 @@ def add_hourly_pattern(df: DataFrame, houses: int | None = None) -> DataFrame:
 
 
 def engineer_features(df: DataFrame, window: int = ROLLING_WINDOW, min_rows: int = ROLLING_MIN_ROWS,
-                      chunk_rows: int | None = None) -> DataFrame:
+                      chunk_rows: int | None = None, unique_time: bool = False) -> DataFrame:
     """All features, then the warm-up rows (null rolling stats) are dropped.
+    ``unique_time``: a house has one row for each Time (see ``row_order``).
 
     Rolling and lag columns share one window pass (one exchange, one sort);
     the hourly means are a partial aggregation joined back by (house, hour)."""
     halo = max(window - 1, 5)
     stats = HouseStats(df)
     out = row_windows(df, lambda w: _rolling_cols(w, window, min_rows) + _lag_cols(w),
-                      halo=halo, order=row_order(df), chunk_rows=chunk_rows, stats=stats)
+                      halo=halo, order=row_order(df, unique_time), chunk_rows=chunk_rows, stats=stats)
     out = _rate_derived(_rolling_derived(out))
     order = [c for c in df.columns] + ["rolling_mean", "rolling_std", "deviation", "z_score",
                                        "diff_1", "diff_5", "pct_change"]

@@ -16,10 +16,11 @@ from meterspark.operators import rules as ms_rules
 from meterspark.operators import views as ms_views
 from meterspark.models import forest as ms_forest
 from meterspark.models import kmeans as ms_kmeans
+from meterspark.sources import readings as ms_sources
 from meterspark.config import FOREST_FEATURES, KMEANS_FEATURES
 from meterspark.sources.readings import APPLIANCES, ORACLE_READINGS_SQL
 
-DIGITS = 4
+DIGITS = 6
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -27,7 +28,8 @@ ORACLE: dict = {}
 def _round_col(name: str):
     # Through DECIMAL(38, 9) first: summation-order noise (~1e-13) is gone
     # before the half-up rounding, so exact decimal ties round alike.
-    return F.round(F.expr(f"try_cast(`{name}` AS DECIMAL(38, 9))"), DIGITS).cast("double")
+    # NaN, infinities and values beyond the type come out as they are.
+    return F.coalesce(F.round(F.expr(f"try_cast(`{name}` AS DECIMAL(38, 9))"), DIGITS).cast("double"), F.col(name))
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def register(name: str, sql: str | None = None, doubles: list[str] | None = None
 
 
 def oracle(select_sql: str, doubles: list[str]) -> str:
-    rep = ", ".join(f"CAST(round(TRY_CAST({c} AS DECIMAL(38, 9)), {DIGITS}) AS DOUBLE) AS {c}" for c in doubles)
+    rep = ", ".join(f"coalesce(CAST(round(TRY_CAST({c} AS DECIMAL(38, 9)), {DIGITS}) AS DOUBLE), {c}) AS {c}" for c in doubles)
     outer = f"SELECT * REPLACE ({rep}) FROM q" if doubles else "SELECT * FROM q"
     return f"WITH {_CTES},\nq AS (\n{select_sql}\n)\n{outer}"
 
@@ -134,7 +136,7 @@ def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ms.engineer_features(timed(spark, sf_dir))
+    return ms.engineer_features(timed(spark, sf_dir), unique_time=True)
 
 
 # --- stage queries ---------------------------------------------------------
@@ -186,6 +188,15 @@ def q_rolling_features(spark, sf_dir):
     return ms.add_rolling_features(minute(spark, sf_dir).select("house_id", "Time", "Aggregate"))
 
 
+@register("rolling_features_chunked", """
+SELECT house_id, "Time", Aggregate, rolling_mean, rolling_std,
+       Aggregate - rolling_mean AS deviation, (Aggregate - rolling_mean) / (rolling_std + 1e-5) AS z_score
+FROM win""", ["Aggregate", "rolling_mean", "rolling_std", "deviation", "z_score"])
+def q_rolling_features_chunked(spark, sf_dir):
+    """The plan for huge houses: chunks of rows with a halo, here of 64 rows."""
+    return ms.add_rolling_features(minute(spark, sf_dir).select("house_id", "Time", "Aggregate"), chunk_rows=64)
+
+
 @register("rate_features", "SELECT house_id, \"Time\", Aggregate, diff_1, diff_5, pct_change FROM feat_all",
           ["Aggregate", "diff_1", "diff_5", "pct_change"])
 def q_rate_features(spark, sf_dir):
@@ -208,6 +219,22 @@ def q_hourly_pattern(spark, sf_dir):
     return ms.add_hourly_pattern(timed(spark, sf_dir).select("house_id", "Time", "Aggregate", "hour"))
 
 
+@register("hourly_pattern_derived_hour", """
+SELECT house_id, "Time", Aggregate, hour, hourly_avg, CAST(coalesce(Aggregate > hourly_avg, false) AS INTEGER) AS above_hourly
+FROM (SELECT *, avg(Aggregate) OVER (PARTITION BY house_id, hour) AS hourly_avg FROM timed)""",
+          ["Aggregate", "hourly_avg"])
+def q_hourly_pattern_derived_hour(spark, sf_dir):
+    """P12: a frame without an hour column gets it from Time."""
+    return ms.add_hourly_pattern(minute(spark, sf_dir).select("house_id", "Time", "Aggregate"))
+
+
+@register("features_without_appliances", 'SELECT * EXCLUDE (' + _APP + ', appliance_sum, unaccounted_load, active_appliances) FROM features',
+          [c for c in _FEATURE_DOUBLES if c not in APPLIANCES and c not in ("appliance_sum", "unaccounted_load")])
+def q_features_without_appliances(spark, sf_dir):
+    """R4f: houses without appliance channels have no appliance features."""
+    return ms.engineer_features(timed(spark, sf_dir).drop(*APPLIANCES), unique_time=True)
+
+
 @register("engineered_features", "SELECT * FROM features", _FEATURE_DOUBLES)
 def q_engineered_features(spark, sf_dir):
     return features(spark, sf_dir)
@@ -509,6 +536,15 @@ def q_scaler_stats(spark, sf_dir):
     return fixed_kmeans(spark, sf_dir).scaler.drop("_nonconst")
 
 
+@register("scaler_stats_available", f"""WITH {_stats_sql(["Aggregate", "rolling_mean"], 'kst', True)}
+SELECT house_id, n AS _n, m0 AS "Aggregate_mean", s0 AS "Aggregate_scale", m1 AS rolling_mean_mean, s1 AS rolling_mean_scale
+FROM kst""", ["Aggregate_mean", "Aggregate_scale", "rolling_mean_mean", "rolling_mean_scale"])
+def q_scaler_stats_available(spark, sf_dir):
+    """P13: a model is fitted on those of its features that the frame has."""
+    f = features(spark, sf_dir).drop("hour", "is_weekend")
+    return ms_kmeans.fixed_model(f, [c[:2] for c in FIXED_CENTERS]).scaler.drop("_nonconst")
+
+
 @register("kmeans_assign_fixed", f"""WITH {_KMEANS_CTES.strip()}
 SELECT kasg.house_id, kasg."Time", kasg.cluster, klab.cluster_label, kasg.cluster_distance
 FROM kasg JOIN klab USING (house_id, cluster)""", ["cluster_distance"])
@@ -572,10 +608,15 @@ def q_elbow_fixed_init(spark, sf_dir):
     return ms_kmeans.elbow(features(spark, sf_dir), ks=[2, 3, 4], max_iter=2, tol=0.0, init=FIXED_CENTERS)
 
 
+def _path_sql(size: int) -> str:
+    """Mean path length of an unsuccessful search among ``size`` rows."""
+    return f"(2.0::DOUBLE * (ln({size} - 1) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * ({size} - 1) / {size})"
+
+
 def _tree_sql(tree: dict, node: int = 0) -> str:
     if node in tree["leaf"]:
         depth, size = tree["leaf"][node]
-        return repr(ms_forest.fixed_leaf_value(depth, size))
+        return f"({depth} + {_path_sql(size)})"
     f, thr, lft, rgt = tree["inner"][node]
     return f"CASE WHEN z{f} <= {repr(float(thr))} THEN {_tree_sql(tree, lft)} ELSE {_tree_sql(tree, rgt)} END"
 
@@ -583,7 +624,7 @@ def _tree_sql(tree: dict, node: int = 0) -> str:
 _FH = " + ".join(f"({_tree_sql(t)})" for t in ms_forest.FIXED_TREES)
 _FOREST_SQL = f"""WITH {_stats_sql(FOREST_FEATURES, 'fst', False)},
 fz AS (SELECT features.house_id, features."Time", {_z_sql(FOREST_FEATURES, 'fst')} FROM features JOIN fst USING (house_id)),
-fs AS (SELECT house_id, "Time", -pow(2.0, -(({_FH}) / {len(ms_forest.FIXED_TREES)}.0) / {repr(ms_forest.fixed_c_psi())}) AS s FROM fz),
+fs AS (SELECT house_id, "Time", -pow(2.0, -(({_FH}) / {len(ms_forest.FIXED_TREES)}.0) / {_path_sql(256)}) AS s FROM fz),
 fr AS (SELECT s, house_id, row_number() OVER (PARTITION BY house_id ORDER BY s) - 1 AS rk,
               count(*) OVER (PARTITION BY house_id) AS n FROM fs),
 fp AS (SELECT house_id, 0.05 * (n - 1) AS pos, floor(0.05 * (n - 1)) AS lo, ceil(0.05 * (n - 1)) AS hi FROM fr GROUP BY house_id, n),
@@ -615,6 +656,44 @@ def q_forest_score_fixed(spark, sf_dir):
     return ms_forest.score_forest(f, ms_forest.fixed_forest(f)).select("house_id", "Time", "anomaly_score", "is_anomaly")
 
 
+@register("model_round_trip", f"""WITH k AS (WITH {_KMEANS_CTES.strip()} SELECT * FROM kasg JOIN klab USING (house_id, cluster)),
+s AS ({_FOREST_SQL})
+SELECT k.house_id, k."Time", s.anomaly_score, s.is_anomaly, k.cluster, k.cluster_label, k.cluster_distance
+FROM k JOIN s ON k.house_id = s.house_id AND k."Time" = s."Time\"""", ["anomaly_score", "cluster_distance"])
+def q_model_round_trip(spark, sf_dir):
+    """Models saved to the shared folder, loaded again and applied."""
+    from meterspark.sources.model_store import load_model, save_model
+    f = features(spark, sf_dir)
+    wd = _stream_dir(spark)
+    save_model(ms_forest.fixed_forest(f), f"{wd}/forest")
+    save_model(fixed_kmeans(spark, sf_dir), f"{wd}/kmeans")
+    scored = ms_forest.score_forest(f, load_model(spark, f"{wd}/forest"))
+    return ms_kmeans.assign_clusters(scored, load_model(spark, f"{wd}/kmeans")).select(
+        "house_id", "Time", "anomaly_score", "is_anomaly", "cluster", "cluster_label", "cluster_distance")
+
+
+@register("forest_fit_report", """
+SELECT house_id, n AS "rows", CAST(200 AS BIGINT) AS trees, least(256, n) AS psi, CAST(ceil(log2(greatest(least(256, n), 2))) AS INTEGER) AS max_depth,
+       CASE WHEN least(256, n) > 2 THEN 2.0::DOUBLE * (ln(least(256, n) - 1) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * (least(256, n) - 1) / least(256, n)
+            WHEN n = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c_psi,
+       true AS whole_trees, true AS share_as_asked
+FROM (SELECT house_id, count(*) AS n FROM features GROUP BY house_id)""", ["c_psi"])
+def q_forest_fit_report(spark, sf_dir):
+    """A fitted forest of each house: its size and depth, whether each tree is
+    a whole binary tree, and whether no more rows are flagged than the
+    contamination asks for and none is missed but by a tie."""
+    model, scored = ms_forest.fit_score_forest(features(spark, sf_dir), contamination=0.05, trees=200, seed=42)
+    inner = F.col("feature") >= 0
+    by_tree = model.nodes.groupBy("house_id", "tree").agg((F.count_if(~inner) == F.count_if(inner) + 1).alias("whole"))
+    trees = by_tree.groupBy("house_id").agg(F.count("*").alias("trees"), F.every("whole").alias("whole_trees"))
+    found = scored.groupBy("house_id").agg(F.count("*").alias("rows"), F.sum("is_anomaly").alias("flagged"),
+                                           F.count_if(F.col("anomaly_score") <= 1e-12).alias("reached"))
+    asked = F.ceil(0.05 * (F.col("rows") - 1))
+    return (found.join(trees, "house_id").join(model.params, "house_id")
+            .select("house_id", "rows", "trees", "psi", "max_depth", "c_psi", "whole_trees",
+                    ((F.col("flagged") <= asked) & (F.col("reached") >= asked)).alias("share_as_asked")))
+
+
 # --- fitted models and the whole pipeline (no SQL oracle: randomised fits;
 # checked by invariants in tests) --------------------------------------------
 @register("kmeans_fit")
@@ -772,6 +851,49 @@ def q_stream_alerts(spark, sf_dir):
     return spark.read.parquet(f"{wd}/out/alerts").drop("batch_id")
 
 
+_MODEL_SCORED = f"""
+fsc AS ({_FOREST_SQL}),
+ksc AS (WITH {_KMEANS_CTES.strip()} SELECT * FROM kasg),
+scored AS (SELECT f.*, fsc.is_anomaly, ksc.cluster_distance FROM features f
+           JOIN fsc ON f.house_id = fsc.house_id AND f."Time" = fsc."Time"
+           JOIN ksc ON f.house_id = ksc.house_id AND f."Time" = ksc."Time")"""
+
+
+@register("stream_scored_alerts", "WITH " + _MODEL_SCORED.strip() + "," + _alerts_sql("scored") + "\nSELECT * FROM alerts", _ALERT_DOUBLES)
+def q_stream_scored_alerts(spark, sf_dir):
+    """T-2 -> T-5 with models: readings arrive in parts, minute means, features,
+    scores and clusters by models of given trees and centers, rules K1-K6, sink."""
+    from meterspark.streaming import streams as S
+    wd = _stream_dir(spark)
+    f = features(spark, sf_dir)
+    forest, kmeans = ms_forest.fixed_forest(f), fixed_kmeans(spark, sf_dir)
+    minutes = _run_as_it_arrives(readings(spark, sf_dir), F.col("Time"), S.stream_minute_mean, wd, "minute")
+    feats = _run_as_it_arrives(minutes, F.col("Time"), S.stream_features, wd, "features")
+    src = S.stream_readings(spark, f"{wd}/features", schema=feats.schema)
+    S.write_batches(S.stream_alerts(src, forest=forest, kmeans=kmeans), f"{wd}/out", f"{wd}/out_ckpt").awaitTermination()
+    return spark.read.parquet(f"{wd}/out/alerts").drop("batch_id")
+
+
+@register("csv_round_trip", "SELECT * FROM readings", ["Aggregate"] + APPLIANCES)
+def q_csv_round_trip(spark, sf_dir):
+    """S1: readings written as house CSV files to the shared folder and read back."""
+    wd = _stream_dir(spark)
+    ms_sources.write_house_csv(readings(spark, sf_dir), f"{wd}/houses")
+    return ms.read_readings(spark, f"{wd}/houses")
+
+
+@register("stream_csv_readings", "SELECT * FROM readings", ["Aggregate"] + APPLIANCES)
+def q_stream_csv_readings(spark, sf_dir):
+    """T-1 over house CSV files."""
+    from meterspark.streaming import streams as S
+    wd = _stream_dir(spark)
+    rows = readings(spark, sf_dir)
+    ms_sources.write_house_csv(rows, f"{wd}/houses")
+    schema = ms_sources.file_schema([c for c in rows.columns if c != "house_id"])
+    src = S.stream_readings(spark, f"{wd}/houses/house_id=*", fmt="csv", schema=schema, max_files_per_trigger=200)
+    return _run_to_parquet(src, wd, "readings")
+
+
 @register("raw_features", "SELECT * FROM raw_features", _FEATURE_DOUBLES)
 def q_raw_features(spark, sf_dir):
     """Features without resampling (every cleaned reading is a row)."""

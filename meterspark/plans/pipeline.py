@@ -27,7 +27,7 @@ def prepare(readings: DataFrame, freq: str | None = "1 minute", window: int = 30
         x = downsample(x, freq)
     if materialize:
         x = x.checkpoint(eager=True)
-    return engineer_features(add_time_features(x), window)
+    return engineer_features(add_time_features(x), window, unique_time=bool(freq))
 
 
 def run_pipeline(readings: DataFrame, contamination: float = 0.05, k: int = 4, freq: str | None = "1 minute",

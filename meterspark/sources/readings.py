@@ -16,6 +16,11 @@ READINGS_SCHEMA = T.StructType(
     + [T.StructField("Issues", T.IntegerType())]
 )
 
+#: Columns of a house file, in order.
+HOUSE_FILE_COLUMNS = ["Time", "Unix", "Aggregate", *APPLIANCES, "Issues"]
+#: House_<n>.csv, or a folder house_id=<n> as Spark writes it.
+HOUSE_OF_PATH = r"(?:House_|house_id=)(\d+)(?:[^/]*|/[^/]*)$"
+
 _EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -36,12 +41,21 @@ def _files_by_header(spark: SparkSession, src: str) -> list[tuple[str, list[str]
     return list(by_header.items())
 
 
+def file_schema(cols: list[str]) -> T.StructType:
+    """Columns of a house file, as text."""
+    return T.StructType([T.StructField(c, T.StringType()) for c in cols])
+
+
 def _read_files(spark: SparkSession, files: list[str], header: str) -> DataFrame:
     """Files of one header, read by its column names."""
     cols = [c.strip().strip('"') for c in header.lstrip("\ufeff").strip().split(",")]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
-    raw = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(files)
-    hid = F.regexp_extract(F.col("_metadata.file_name"), r"House_(\d+)", 1).cast("bigint")
+    raw = spark.read.schema(file_schema(cols)).option("header", True).option("mode", "FAILFAST").csv(files)
+    return parse_house_rows(raw, cols)
+
+
+def parse_house_rows(raw: DataFrame, cols: list[str]) -> DataFrame:
+    """Readings from the text columns ``cols`` of house files, batch or stream."""
+    hid = F.regexp_extract(F.col("_metadata.file_path"), HOUSE_OF_PATH, 1).cast("bigint")
     if "Time" in cols:
         t = F.col("Time").cast("timestamp_ntz")
     else:
@@ -58,13 +72,14 @@ def _read_files(spark: SparkSession, files: list[str], header: str) -> DataFrame
 
 
 def read_readings(spark: SparkSession, path: str, house: int | None = None) -> DataFrame:
-    """Read house CSV files (``House_<n>.csv``) under ``path``, one scan for
-    each header that occurs; a column that a file lacks is null.
+    """Read house CSV files (``House_<n>.csv``, or folders ``house_id=<n>`` as
+    ``write_house_csv`` makes them) under ``path``, one scan for each header
+    that occurs; a column that a file lacks is null.
 
     ``house_id`` comes from the file name. ``Time`` is parsed as ISO-8601;
     without it, ``Unix`` epoch seconds are used. ``Unix`` is dropped.
     ``house`` selects one house (a filter Spark applies per file)."""
-    src = path if path.endswith(".csv") else path.rstrip("/") + "/House_*.csv"
+    src = path if path.endswith(".csv") else path.rstrip("/") + "/{House_*.csv,house_id=*}"
     parts = [_read_files(spark, files, header) for header, files in _files_by_header(spark, src)]
     if not parts:
         raise ValueError(f"{path}: neither 'Time' nor 'Unix' column present")
@@ -76,6 +91,13 @@ def read_readings(spark: SparkSession, path: str, house: int | None = None) -> D
     return df
 
 
+def write_house_csv(readings: DataFrame, path: str) -> None:
+    """Readings as CSV files with a header, one folder for each house."""
+    cols = [c for c in readings.columns if c not in ("house_id", "Time")]
+    (readings.select("house_id", F.date_format("Time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("Time"), *cols)
+     .repartition("house_id", F.to_date("Time")).write.partitionBy("house_id").option("header", True).csv(path))
+
+
 def readings_from_events(events: DataFrame, layout: str = "events") -> DataFrame:
     """Readings derived from the driver's ``events`` table.
 

@@ -31,7 +31,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from meterspark.config import (DIFF_CLIP, PCT_CLIP, ROLLING_EPS, ROLLING_MIN_ROWS, ROLLING_WINDOW)
 from meterspark.operators.resample import freq_seconds
-from meterspark.sources.readings import READINGS_SCHEMA
+from meterspark.sources.readings import HOUSE_FILE_COLUMNS, READINGS_SCHEMA, file_schema, parse_house_rows
 
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -46,13 +46,18 @@ def from_event_time(ts_col: str):
 
 def stream_readings(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None,
                     max_files_per_trigger: int | None = 1) -> DataFrame:
-    """T-1: new files under ``path`` become micro-batches."""
-    r = spark.readStream.schema(schema or READINGS_SCHEMA).format(fmt)
-    if fmt == "csv":
-        r = r.option("header", True)
+    """T-1: new files under ``path`` become micro-batches. CSV files are house
+    files whose columns are those of ``schema``, by default HOUSE_FILE_COLUMNS;
+    they are parsed as ``read_readings`` does, and a file with another header
+    stops the stream."""
+    csv = fmt == "csv"
+    schema = schema or (file_schema(HOUSE_FILE_COLUMNS) if csv else READINGS_SCHEMA)
+    r = spark.readStream.schema(file_schema(schema.names) if csv else schema).format(fmt)
+    if csv:
+        r = r.option("header", True).option("enforceSchema", False)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.load(path)
+    return parse_house_rows(r.load(path), schema.names) if csv else r.load(path)
 
 
 def stream_minute_mean(readings: DataFrame, freq: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
