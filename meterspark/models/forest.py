@@ -313,7 +313,8 @@ def fixed_forest(df: DataFrame, contamination: float = 0.05, scope: str = "house
     src = with_scope(df, scope)
     feats = list(FOREST_FEATURES)
     x = src.select(*keys, *[F.col(c).cast("double").alias(c) for c in feats])
-    scaler = fit_scaler(x, feats, keys)
+    scaler = _checkpoint(fit_scaler(x, feats, keys))
+    n_groups = scaler.count()
     rows = []
     for t, tr in enumerate(FIXED_TREES):
         for node, (f, thr, lft, rgt) in tr["inner"].items():
@@ -328,10 +329,12 @@ def fixed_forest(df: DataFrame, contamination: float = 0.05, scope: str = "house
     params = scaler.select(*keys, F.lit(FIXED_PSI).alias("psi"), F.lit(2).alias("max_depth"), F.lit(c).alias("c_psi"),
                            F.lit(0.0).alias("offset"))
     model = ForestModel(keys, feats, scope, len(FIXED_TREES), contamination, scaler, nodes, params)
-    z = apply_scaler(x, scaler, feats, keys)
-    z = z.withColumn("_rid", F.lit(0))
-    offset = exact_percentile(_score_samples(z, model), keys, "_score", contamination, out="offset")
-    model.params = params.drop("offset").join(offset, keys, "inner")
+    z = apply_scaler(x, scaler, feats, keys, known_rows=n_groups)
+    z = z.withColumn("_rid", F.xxhash64(*feats))
+    scored = _checkpoint(_score_samples(z, model, known_groups=n_groups).select(*keys, "_score"))
+    biggest = scaler.agg(F.max("_n")).first()[0]
+    offset = exact_percentile(scored, keys, "_score", contamination, out="offset", max_group_rows=biggest)
+    model.params = _checkpoint(params.drop("offset").join(offset, keys, "inner"))
     return model
 
 
