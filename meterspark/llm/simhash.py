@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterspark.llm.common import cut, rows_of
+from meterspark.llm.common import cut, known_id, rows_of
 
 SEED = 42
 LIST_ROWS = 8192
@@ -59,17 +59,22 @@ def fingerprint(raw: bytes, shingle: int) -> int:
 def _fingerprint_batches(shingle: int, batches):
     for batch in batches:
         for part in rows_of(batch):
-            raws = part.column(1).cast(pa.binary()).to_pylist()
+            raws = part.column(2).cast(pa.binary()).to_pylist()
             prints = np.array([fingerprint(r or b"", shingle) for r in raws], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(prints)], ["doc_id", "version", "fp"])
+
+
+def _version(docs: DataFrame) -> Column:
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """One row per input row: doc_id, fp (the 64 bits as a signed integer).
-    A null, empty or blank text has fingerprint zero; fewer words than
-    ``shingle`` make one shingle."""
-    rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(partial(_fingerprint_batches, shingle), "doc_id bigint, fp bigint")
+    """One row per input row: doc_id, version (a hash of the text), fp (the 64
+    bits as a signed integer). A null, empty or blank text has fingerprint
+    zero; fewer words than ``shingle`` make one shingle."""
+    rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), _version(docs).alias("version"), docs["text"].cast("string").alias("text"))
+    return rows.mapInArrow(partial(_fingerprint_batches, shingle), "doc_id bigint, version bigint, fp bigint")
 
 
 def byte_sets(max_bits: int, size: int = 3) -> list[tuple[int, ...]]:
@@ -177,7 +182,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """doc_id, fp, component_id for each input row.
+    """doc_id, version, fp, root, component_id for each input row. root is the
+    least fingerprint of the component and names it.
 
     component_id is the smallest doc_id whose fingerprint is reachable through
     links of at most ``max_bits`` differing bits. Rows repeated in the input
@@ -189,16 +195,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     found = components(links(prints.select("fp"), max_bits))
     named = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(roots, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named.join(roots, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "version", "fp", "root", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The documents without their near copies: of each component the row of
-    its smallest doc_id stays (one of them where rows repeat that id); a
-    component without any doc_id keeps one row."""
-    found = near_duplicates(docs, shingle, max_bits)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
+    """The documents without their near copies: one row of each component, of
+    its smallest doc_id. Where rows of the component repeat that id, and in a
+    component without any doc_id, the text with the least hash stays. An id
+    whose rows lie in several components may stay once in each."""
+    found = near_duplicates(docs, shingle, max_bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = found.groupBy("root", "component_id").agg(F.min("version").alias("_text"))
+    keep = least.select(known_id("component_id").alias("_id"), "_text")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), known_id().alias("_id"), _version(docs).alias("_text"))
+    return rows.join(keep, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select("_row.*")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

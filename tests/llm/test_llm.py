@@ -115,6 +115,14 @@ def test_simhash_odd(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_keeps_one_row_of_each_component(spark):
+    a, b, c, d = (prose(70 + i, 30) for i in range(4))
+    rows = frame(spark, [(5, a, "s"), (5, b, "s"), (7, a, "s"), (None, c, "s"), (None, c, "t"), (None, d, "s"), (9, b, None)])
+    left = simhash.representatives(rows)
+    assert left.columns == rows.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == sorted([(5, a), (5, b), (0, c), (0, d)])
+
+
 # --- decontamination
 
 def brute_coverage(doc, item, seed=5):
