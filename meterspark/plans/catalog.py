@@ -869,7 +869,7 @@ def q_stream_scored_alerts(spark, sf_dir):
     forest, kmeans = ms_forest.fixed_forest(f), fixed_kmeans(spark, sf_dir)
     minutes = _run_as_it_arrives(readings(spark, sf_dir), F.col("Time"), S.stream_minute_mean, wd, "minute")
     feats = _run_as_it_arrives(minutes, F.col("Time"), S.stream_features, wd, "features")
-    src = S.stream_readings(spark, f"{wd}/features", schema=feats.schema)
+    src = S.stream_readings(spark, f"{wd}/features", schema=feats.schema, max_files_per_trigger=8)
     S.write_batches(S.stream_alerts(src, forest=forest, kmeans=kmeans), f"{wd}/out", f"{wd}/out_ckpt").awaitTermination()
     return spark.read.parquet(f"{wd}/out/alerts").drop("batch_id")
 
