@@ -18,8 +18,6 @@ READINGS_SCHEMA = T.StructType(
 
 #: Columns of a house file, in order.
 HOUSE_FILE_COLUMNS = ["Time", "Unix", "Aggregate", *APPLIANCES, "Issues"]
-#: House_<n>.csv, or a folder house_id=<n> as Spark writes it.
-HOUSE_OF_PATH = r"(?:House_|house_id=)(\d+)(?:[^/]*|/[^/]*)$"
 
 _EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -55,7 +53,9 @@ def _read_files(spark: SparkSession, files: list[str], header: str) -> DataFrame
 
 def parse_house_rows(raw: DataFrame, cols: list[str]) -> DataFrame:
     """Readings from the text columns ``cols`` of house files, batch or stream."""
-    hid = F.regexp_extract(F.col("_metadata.file_path"), HOUSE_OF_PATH, 1).cast("bigint")
+    named = F.nullif(F.regexp_extract(F.col("_metadata.file_name"), r"House_(\d+)", 1), F.lit(""))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/house_id=(\d+)/[^/]*$", 1)
+    hid = F.coalesce(named, folder).try_cast("bigint")
     if "Time" in cols:
         t = F.col("Time").cast("timestamp_ntz")
     else:
