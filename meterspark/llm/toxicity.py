@@ -2,7 +2,8 @@
 
 The lexicon is learned from labelled rows: words that toxic documents hold far
 more often than others, and stems (prefixes) under which several such words
-gather. Its words form a trie. The Levenshtein automaton of a term accepts
+gather. A stem stands for words never seen and is matched without edits; the
+learned words below it stay terms with theirs. All of them form a trie. The Levenshtein automaton of a term accepts
 whatever is within one edit of it (two for long terms); running the
 automata of all terms along the trie at once gives a deterministic automaton,
 which is built state by state as words are read and remembered.
@@ -178,38 +179,38 @@ class Lexicon:
 
 
 def _term_batches(batches):
-    """The distinct words and stems of each training document."""
+    """The distinct words and the distinct stems of each training document."""
     for batch in batches:
-        terms, stem, word, toxic = [], [], [], []
+        terms, stem, toxic = [], [], []
         for part in rows_of(batch, 64):
             for label, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 words = {w for w in TOKEN.findall((text or "").lower()) if len(w) <= 32}
-                for w in words:
-                    own = [w[:k] for k in STEMS if k < len(w)]
-                    terms += [w, *own]
-                    stem += [False] + [True] * len(own)
-                    word += [w] * (1 + len(own))
-                    toxic += [label] * (1 + len(own))
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(stem, pa.bool_()), pa.array(word, pa.string()), pa.array(toxic, pa.int32())], ["term", "is_stem", "word", "toxic"])
+                stems = {w[:k] for w in words for k in STEMS if k < len(w)}
+                terms += [*words, *stems]
+                stem += [False] * len(words) + [True] * len(stems)
+                toxic += [label] * (len(words) + len(stems))
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(stem, pa.bool_()), pa.array(toxic, pa.int32())], ["term", "is_stem", "toxic"])
 
 
 def learn_lexicon(train: DataFrame) -> list[tuple[str, bool, float]]:
-    """Terms from training rows (toxic, text). Stems stand for the words below
-    them, the shortest stem for longer ones; at most MAX_TERMS by support."""
+    """Terms from training rows (toxic, text), the shortest stem for longer
+    ones; at most MAX_TERMS by support, which is the number of toxic documents.
+    Words below a stem stay terms, so that they are found with edits too."""
     n = train.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     toxic, clean = max(1, n[0]), max(1, n[1] - n[0])
-    seen = train.mapInArrow(_term_batches, "term string, is_stem boolean, word string, toxic int")
-    by_word = seen.groupBy("term", "is_stem", "word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    counts = by_word.groupBy("term", "is_stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum((F.col("t") > 0).cast("int")).alias("words"))
+    seen = train.mapInArrow(_term_batches, "term string, is_stem boolean, toxic int")
+    counts = cut(seen.groupBy("term", "is_stem").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
+    below = F.explode(F.array(*[F.when(F.length("term") > k, F.substring("term", 1, k)) for k in STEMS]))
+    words = (counts.filter(~F.col("is_stem") & (F.col("t") > 0)).select(below.alias("term")).filter(F.col("term").isNotNull())
+             .groupBy("term").agg(F.count("*").alias("words")).withColumn("is_stem", F.lit(True)))
     lift = (F.col("t") / toxic) / ((F.col("c") + 0.5) / clean)
-    good = (counts.withColumn("lift", lift).filter((F.col("t") >= MIN_TOXIC) & (F.col("lift") >= MIN_LIFT) & (~F.col("is_stem") | (F.col("words") >= MIN_STEM_WORDS)))
-            .orderBy(F.desc("t"), "is_stem", "term").limit(MAX_TERMS).collect())
+    good = (counts.withColumn("lift", lift).filter((F.col("t") >= MIN_TOXIC) & (F.col("lift") >= MIN_LIFT)).join(words, ["term", "is_stem"], "left")
+            .filter(~F.col("is_stem") | (F.col("words") >= MIN_STEM_WORDS)).orderBy(F.desc("t"), "is_stem", "term").limit(MAX_TERMS).collect())
     stems: set[str] = set()
     for row in sorted((r for r in good if r["is_stem"]), key=lambda r: len(r["term"])):
         if not any(row["term"][:k] in stems for k in STEMS if k < len(row["term"])):
             stems.add(row["term"])
-    out = [(r["term"], True, math.log(r["lift"])) for r in good if r["is_stem"] and r["term"] in stems]
-    return out + [(r["term"], False, math.log(r["lift"])) for r in good if not r["is_stem"] and not any(r["term"][:k] in stems for k in STEMS)]
+    return [(r["term"], r["is_stem"], math.log(r["lift"])) for r in good if not r["is_stem"] or r["term"] in stems]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:

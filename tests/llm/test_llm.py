@@ -348,6 +348,16 @@ def test_toxicity_query_held_out(spark):
     assert (labels["toxic"] == labels["predicted"]).mean() >= 0.95
 
 
+def test_words_under_a_stem_keep_their_edits(spark):
+    words = [f"zorvak{x}" for x in ("ling", "menta", "rosti", "dulin", "pesco")]
+    rows = [(1, f"{prose(i, 20)} {words[i % 5]}") for i in range(40)] + [(0, prose(100 + i, 20)) for i in range(400)]
+    rows += [(1, f"mixolana mixolbeta mixolgama mixoldelta {prose(900 + i, 20)}") for i in range(3)]
+    learned = toxicity.learn_lexicon(spark.createDataFrame(rows, "toxic int, text string"))
+    assert {t for t, is_stem, _ in learned if not is_stem} >= set(words) and {t for t, is_stem, _ in learned if is_stem} == {"zor"}
+    lexicon = toxicity.Lexicon(learned)
+    assert all(lexicon.find(w) for w in ("zrvakling", "zzorvakmenta", "zarvakrosti", "xorvakdulin")) and lexicon.find("zorunseen")
+
+
 def test_toxicity_odd(spark, odd, empty):
     model = toxicity.train(odd, spark.createDataFrame([(5, 1), (None, 1), (6, None)], "doc_id bigint, toxic int"))
     assert model[0] == [] and toxicity.score_toxicity(odd, model).filter("predicted = 0").count() == 8
