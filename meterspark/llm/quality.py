@@ -13,7 +13,7 @@ sorting window hashes inside the document, in n log n steps.
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +32,12 @@ MAX_SHOUT_PER_WORD = 0.5        # punctuation: "!!" or "??" after words
 SHOUT = "[!?]{2,}"
 MIN_BARS = 2                    # navigation: separators between entries
 NAVIGATION = r"[|»›]"
-#: Boilerplate, without the first letter, which may be of either case.
+#: Boilerplate by its number of words. Phrases count in any case and as whole words, and
+#: fail a line where they make up this part of its words.
+PHRASES = {2: ["privacy policy", "accept cookies", "enable javascript", "lorem ipsum", "click here", "read more", "subscribe to"],
+           3: ["all rights reserved", "terms of use", "terms of service", "use of cookies", "back to top"]}
+MIN_BOILERPLATE = 0.3
+#: Phrases of OP4_SQL, which tests for them as bare parts of a line.
 BOILERPLATE = ["ll rights reserved", "erms of use", "erms of service", "rivacy policy", "se of cookies", "ccept cookies",
                "nable javascript", "orem ipsum", "lick here", "ead more", "ubscribe to", "ack to top"]
 FEW = 64                        # repeated hashes that are looked up one by one
@@ -88,8 +93,15 @@ def _places_sorted(hashes: Column) -> Column:
     return let(ordered, places)
 
 
-def _boilerplate(text: Column) -> Column:
-    return reduce(or_, [text.contains(phrase) for phrase in BOILERPLATE])
+def _may_hold_phrase(text: Column) -> Column:
+    """False only where the text has no phrase; a quick test without word boundaries."""
+    return let(F.lower(text), lambda low: reduce(or_, [low.contains(p) for own in PHRASES.values() for p in own]))
+
+
+def _boilerplate(line: Column, n: Column) -> Column:
+    """Whether phrases make up MIN_BOILERPLATE of the n words of a line."""
+    found = [k * F.regexp_count(F.lower(line), F.lit(r"(?<![\p{L}\p{N}])(?:" + "|".join(own) + r")(?![\p{L}\p{N}])")) for k, own in PHRASES.items()]
+    return F.when(_may_hold_phrase(line), reduce(add, found) >= F.greatest(F.lit(1), MIN_BOILERPLATE * n)).otherwise(F.lit(False))
 
 
 def line_fails(line: Column) -> Column:
@@ -98,12 +110,12 @@ def line_fails(line: Column) -> Column:
     decorated = F.regexp_count(line, F.lit(SYMBOLS + "+")) > MAX_SYMBOLS_PER_WORD * n
     shouted = F.regexp_count(line, F.lit(SHOUT)) > MAX_SHOUT_PER_WORD * n
     navigation = F.regexp_count(line, F.lit(NAVIGATION)) >= MIN_BARS
-    return ((n >= MIN_LINE_WORDS) & (decorated | shouted)) | navigation | _boilerplate(line)
+    return ((n >= MIN_LINE_WORDS) & (decorated | shouted)) | navigation | _boilerplate(line, n)
 
 
 def _may_fail(text: Column) -> Column:
     """False only where no line of the text can fail: it has none of what the rules look for."""
-    return text.rlike(SYMBOLS + "|" + SHOUT + "|" + NAVIGATION) | _boilerplate(text)
+    return text.rlike(SYMBOLS + "|" + SHOUT + "|" + NAVIGATION) | _may_hold_phrase(text)
 
 
 def quality(docs: DataFrame) -> DataFrame:

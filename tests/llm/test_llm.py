@@ -203,6 +203,17 @@ def test_quality_removes_failing_lines(spark):
     assert got[2]["text"] == "\n".join(good) and set(got) == {1, 2}
 
 
+def test_boilerplate_is_whole_words_and_a_large_part_of_its_line(spark):
+    head, tail = prose(5, 60)[:-1], prose(6, 60)
+    fine = [f"{head} spread more {tail}", f"{head} because of cookies {tail}", f"{head} and then I read more {tail}", "Because of cookies she spread more and flick here was instead more."]
+    bad = ["ALL RIGHTS RESERVED", "READ MORE", "CLICK HERE", "(c) 2020 Acme. All rights reserved.", "Read more | Back to top", "»Click here«"]
+    got = [r["fails"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(fine + bad)], "i int, t string").select("i", quality.line_fails(F.col("t")).alias("fails")).orderBy("i").collect()]
+    assert got == [False] * len(fine) + [True] * len(bad)
+    found = {r["doc_id"]: r for r in quality.quality(frame(spark, [(i, t, "a") for i, t in enumerate(fine[:3])])).collect()}
+    assert all(found[i]["kept"] and found[i]["lost_share"] == 0 for i in range(3))
+    assert [r["text"] for r in quality.clean(frame(spark, [(1, "\n".join([fine[0], *bad]), "a")])).collect()] == [fine[0]]
+
+
 def test_quality_odd(spark, odd, empty):
     got = quality.quality(odd).toPandas()
     assert len(got) == 8 and got[got["doc_id"] == 1]["n_words"].item() == 0 and not got[got["doc_id"] == 1]["kept"].item()
