@@ -5,7 +5,11 @@ least ``seed`` equal tokens that overlap neither in the item nor in the
 document, cover enough of the item. Tiles may come in any order, so passages
 that were put together anew are found too.
 
-Every stretch of ``seed`` tokens gets a Karp-Rabin hash, in numpy over the bytes
+Tokens are runs of Unicode letters, marks and digits; in scripts written without
+spaces (Chinese, Japanese, Thai and so on) each character is one. Everything
+else, ASCII or not, separates.
+
+Every stretch of ``seed`` tokens gets a Karp-Rabin hash, in numpy over the characters
 of a text: prefix sums give the hash of each word, and a running polynomial
 over the words that of each stretch. The hashes of the items fill a bitmap of
 a fixed size, which tasks use to leave out stretches that no item holds; what
@@ -23,6 +27,7 @@ number of items; more items only make it pass more.
 from __future__ import annotations
 
 import heapq
+import unicodedata
 from functools import partial
 
 import numpy as np
@@ -37,32 +42,55 @@ COVERAGE = 0.5
 BITS = 23
 BASE = 0x9E3779B97F4A7C15          # odd, so that it has an inverse modulo 2 ** 64
 STEP = 0xD6E8FEB86659FD93
-PART = 1 << 18                     # bytes hashed at once
+PART = 1 << 18                     # characters hashed at once
+
+#: Characters of scripts written without spaces, by first and last one.
+SINGLES = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1980, 0x19DF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x30FF),
+           (0x3100, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F),
+           (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFE)]
+SEPARATOR, IN_WORD, SINGLE, NOTHING = range(4)
+
+
+def _kinds() -> np.ndarray:
+    """What each character is. Invisible ones inside words (soft hyphens, joiners,
+    variation selectors) are nothing; the last entry stands for all higher characters."""
+    category = [unicodedata.category(chr(i)) for i in range(0x40000)]
+    kinds = np.array([IN_WORD if c[0] in "LNM" else NOTHING if c == "Cf" else SEPARATOR for c in category], np.uint8)
+    for first, last in SINGLES:
+        own = kinds[first:last + 1]
+        own[own == IN_WORD] = SINGLE
+    kinds[0x200B] = kinds[-1] = SEPARATOR                # the zero-width space
+    kinds[0xFE00:0xFE10] = NOTHING
+    return kinds
 
-#: Bytes that are part of a token: letters and digits of ASCII, and all of other characters.
-TOKEN_BYTE = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
+
+KINDS = _kinds()
 POWERS = np.concatenate(([np.uint64(1)], np.cumprod(np.full(PART, BASE, np.uint64), dtype=np.uint64)))
 INVERSES = np.concatenate(([np.uint64(1)], np.cumprod(np.full(PART, pow(BASE, -1, 2**64), np.uint64), dtype=np.uint64)))
 
 
 def token_hashes(text: str) -> np.ndarray:
     """A 64-bit hash for each token of the text, in lower case."""
-    raw = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
+    low = text.lower()
     out, start = [], 0
-    while start < len(raw):
-        part = raw[start:start + PART]
-        token = TOKEN_BYTE[part]
-        if start + PART < len(raw) and token[-1]:       # end between two tokens; one that fills the whole part is cut
-            gaps = np.flatnonzero(~token)
+    while start < len(low):
+        part = np.frombuffer(low[start:start + PART].encode("utf-32-le", "replace"), np.uint32)
+        kind = KINDS[np.minimum(part, len(KINDS) - 1)]
+        if start + PART < len(low) and kind[-1] in (IN_WORD, NOTHING):      # end between two tokens; one that fills the whole part is cut
+            gaps = np.flatnonzero((kind == SEPARATOR) | (kind == SINGLE))
             if len(gaps):
-                part, token = part[:gaps[-1] + 1], token[:gaps[-1] + 1]
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], token, [False]))))
-        begins, ends = edges[::2], edges[1::2]
+                part, kind = part[:gaps[-1] + 1], kind[:gaps[-1] + 1]
+        start += len(part)
+        seen = kind != NOTHING
+        if not seen.all():
+            part, kind = part[seen], kind[seen]
+        single, word = kind == SINGLE, np.concatenate(([False], kind == IN_WORD, [False]))
+        begins = np.flatnonzero(single | (word[1:-1] & ~word[:-2]))
+        ends = np.flatnonzero(single | (word[1:-1] & ~word[2:])) + 1
         sums = np.concatenate(([np.uint64(0)], np.cumsum((part.astype(np.uint64) + np.uint64(1)) * POWERS[:len(part)], dtype=np.uint64)))
         hashes = (sums[ends] - sums[begins]) * INVERSES[begins]
         hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(STEP)
         out.append(hashes ^ (hashes >> np.uint64(32)))
-        start += len(part)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -166,8 +194,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: flo
     n_tiles, covered (tokens under tiles), coverage: one row for each document
     and item with at least ``coverage``.
 
-    Tokens are runs of letters and digits in lower case. Items of fewer than
-    ``seed`` tokens, null and empty texts have no stretch and never match.
+    Tokens are in lower case. Items of fewer than ``seed`` tokens, null and
+    empty texts have no stretch and never match.
     Repeated rows give one row; rows of one doc_id with different texts are
     told apart; a null doc_id is reported as such, a null item_id too; items
     that repeat an item_id count as parts of one row each. Empty tables give

@@ -162,6 +162,17 @@ def test_decontamination(spark, odd, empty):
     assert decontam.leaks(empty, bench).count() == 0 and decontam.leaks(rows, bench.limit(0)).count() == 0
 
 
+def test_decontamination_beyond_ascii(spark):
+    plain = 'He said - "stop the old car" - and, then, the "green door" fell - so they "ran" off.'
+    set_well = plain.replace(' "', " “").replace('"', "”").replace(" - ", "—").replace(" old ", "\u00a0old ").replace("fell", "fe\u00adll")
+    items = [(1, plain), (2, "机器学习模型需要大量数据，才能正确回答问题。"), (3, "東京は日本の首都であり、世界最大の都市です。"), (4, "Größe und Maß, Ärger über Öl.")]
+    docs = {1: f"{prose(1, 30)} {set_well} {prose(2, 30)}", 2: "今天天气很好。机器学习模型需要大量数据,才能正确回答问题!谢谢", 3: "「東京は日本の首都であり 世界最大の都市です」と言った", 4: "„GRÖSSE“ – «größe und maß»… ärger\u202füber öl", 5: prose(3, 90)}
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontam.leaks(frame(spark, [(i, t, "a") for i, t in docs.items()]), bench).collect()}
+    assert got == {(i, i): 1.0 for i in range(1, 5)}
+    assert len(decontam.token_hashes("机" * decontam.PART + "ab " * 9)) == decontam.PART + 9
+
+
 def test_decontamination_query(spark):
     got = {(r["doc_id"], r["item_id"]) for r in registry.QUERIES["op2_decontamination"](spark, SF_SMALL).collect()}
     con = duck(SF_SMALL)
