@@ -41,6 +41,7 @@ STEMS = range(3, 9)
 ONE_EDIT, TWO_EDITS = 5, 9  # letters from which a term may differ by so many edits
 WINDOW = 10
 KNOWN_WORDS = 400_000
+KNOWN_LETTERS = 64          # longer words are looked up again each time
 KNOWN_STATES = 50_000
 THRESHOLD = 0.7
 
@@ -76,12 +77,16 @@ class Lexicon:
             (self.stem if is_stem else self.word)[node] = weight
             for n in path:
                 self.edits[n] = max(self.edits[n], allowed)
+        self.most = KNOWN_STATES + max(self.depth)      # no word alone needs more states than the depth
         self._reset()
         self.known: dict[str, tuple[float, bool] | None] = {}
 
+    # A state is (node, edits); (~node, 0) is a word that went past the stem at the node.
+
     def _reset(self) -> None:
         self.moves: list[dict[str, int]] = []
         self.sets: list[frozenset] = []
+        self.settled: list[bool] = []       # no more letters can change the outcome
         self.numbers: dict[frozenset, int] = {}
         self._number(self._close({(0, 0)}))
 
@@ -90,6 +95,8 @@ class Lexicon:
         todo, out = list(states), set(states)
         while todo:
             node, edits = todo.pop()
+            if node < 0:
+                continue
             for below in self.next[node].values():
                 if edits < self.edits[below] and (below, edits + 1) not in out:
                     out.add((below, edits + 1))
@@ -100,14 +107,18 @@ class Lexicon:
         if states not in self.numbers:
             self.numbers[states] = len(self.sets)
             self.sets.append(states)
+            self.settled.append(all(node < 0 for node, _ in states))
             self.moves.append({})
         return self.numbers[states]
 
     def _step(self, states: frozenset, c: str) -> frozenset:
         out = set()
         for node, edits in states:
+            if node < 0:
+                out.add((node, 0))
+                continue
             if self.stem[node] and not edits:
-                out.add((node, 0))                              # a stem goes on with any letters
+                out.add((~node, 0))                             # a stem goes on with any letters
             for letter, below in self.next[node].items():
                 if letter == c:
                     out.add((below, edits))
@@ -123,17 +134,19 @@ class Lexicon:
         for c in word:
             move = self.moves[state]
             if c not in move:
-                if len(self.sets) > KNOWN_STATES:
+                if len(self.sets) > self.most:
                     self._reset()
                     return self.find(word)
                 move[c] = self._number(self._step(self.sets[state], c))
             state = move[c]
-            if not self.sets[state]:
-                return None
+            if self.settled[state]:
+                break
         best = None
         for node, edits in self.sets[state]:
+            past = node < 0
+            node = ~node if past else node
             allowed = (self.depth[node] >= ONE_EDIT) + (self.depth[node] >= TWO_EDITS)
-            weight = max(self.word[node] if edits <= allowed else 0.0, self.stem[node] if not edits else 0.0)
+            weight = max(self.word[node] if edits <= allowed and not past else 0.0, self.stem[node] if not edits else 0.0)
             if weight and (best is None or (not edits, weight) > (best[1], best[0])):
                 best = (weight, not edits)
         return best
@@ -147,7 +160,9 @@ class Lexicon:
             try:
                 hit = known[word]
             except KeyError:
-                hit = known[word] = self.find(word) if len(word) <= 64 else None
+                hit = self.find(word)
+                if len(word) <= KNOWN_LETTERS:
+                    known[word] = hit
             if hit:
                 out.append((i, *hit))
         return out
@@ -184,7 +199,7 @@ def _term_batches(batches):
         terms, stem, toxic = [], [], []
         for part in rows_of(batch, 64):
             for label, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                words = {w for w in TOKEN.findall((text or "").lower()) if len(w) <= 32}
+                words = set(TOKEN.findall((text or "").lower()))
                 stems = {w[:k] for w in words for k in STEMS if k < len(w)}
                 terms += [*words, *stems]
                 stem += [False] * len(words) + [True] * len(stems)

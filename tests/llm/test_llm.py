@@ -380,6 +380,14 @@ def test_words_under_a_stem_keep_their_edits(spark):
     assert all(lexicon.find(w) for w in ("zrvakling", "zzorvakmenta", "zarvakrosti", "xorvakdulin")) and lexicon.find("zorunseen")
 
 
+def test_long_words_are_looked_up(spark):
+    lexicon = toxicity.Lexicon([("zorvak", True, 2.0), ("zorvakling", False, 5.0)])
+    assert lexicon.features("a zorvak" + "x" * 70)[0] == 1.0 and lexicon.features("a zorvak_" + "_".join(["word"] * 30))[0] == 1.0
+    assert lexicon.find("zorvakxxling") == (2.0, True) and lexicon.find("zorvakling") == (5.0, True) and lexicon.find("y" * 10**5) is None
+    rows = [(1, f"zorvak{x * 40} {prose(i, 20)}") for i, x in enumerate("abcdefgh")] + [(0, prose(100 + i, 20)) for i in range(400)]
+    assert ("zor", True) in {t[:2] for t in toxicity.learn_lexicon(spark.createDataFrame(rows, "toxic int, text string"))}
+
+
 def test_toxicity_odd(spark, odd, empty):
     model = toxicity.train(odd, spark.createDataFrame([(5, 1), (None, 1), (6, None)], "doc_id bigint, toxic int"))
     assert model[0] == [] and toxicity.score_toxicity(odd, model).filter("predicted = 0").count() == 8
