@@ -13,9 +13,9 @@ behind a verb of reporting, and more where it is addressed to someone or stands
 among other hits. Sums over the windows are the features of a logistic
 regression, fitted on the labelled rows that are not held out.
 
-Scale: the lexicon comes from a grouped count over at most ``TRAIN_ROWS``
-labelled documents, chosen by hash, and has at most ``MAX_TERMS`` terms; the
-regression is fitted on the same documents. Scoring is one pass over each
+Scale: the lexicon comes from a grouped count over all labelled documents that
+are not held out, and has at most ``MAX_TERMS`` terms; the regression is fitted
+on at most ``TRAIN_ROWS`` of these documents, chosen by hash. Scoring is one pass over each
 document with no shuffle; a worker's word cache and automaton are bounded.
 """
 
@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 
 from meterspark.llm.common import cut, read, rows_of
 
-TRAIN_ROWS = 6000           # labelled documents that the lexicon and the regression are learned from
+TRAIN_ROWS = 6000           # labelled documents that the regression is fitted on
 MAX_TERMS = 2000
 MIN_TOXIC = 4               # toxic documents that hold a term
+MIN_SHARE = 0.0005          # part of all toxic documents that hold it
 MIN_STEM_WORDS = 4          # words of toxic documents under a stem
 MIN_LIFT = 15.0             # how much more often toxic documents hold a term
 STEMS = range(3, 9)
@@ -194,17 +195,25 @@ class Lexicon:
 
 
 def _term_batches(batches):
-    """The distinct words and the distinct stems of each training document."""
+    """How many toxic and clean training documents hold each word and each stem, for a few documents at a time."""
     for batch in batches:
-        terms, stem, toxic = [], [], []
         for part in rows_of(batch, 64):
+            counts = {True: {}, False: {}}
             for label, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 words = set(TOKEN.findall((text or "").lower()))
-                stems = {w[:k] for w in words for k in STEMS if k < len(w)}
-                terms += [*words, *stems]
-                stem += [False] * len(words) + [True] * len(stems)
-                toxic += [label] * (len(words) + len(stems))
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(stem, pa.bool_()), pa.array(toxic, pa.int32())], ["term", "is_stem", "toxic"])
+                for is_stem, own in ((False, words), (True, {w[:k] for w in words for k in STEMS if k < len(w)})):
+                    held = counts[is_stem]
+                    for term in own:
+                        t, c = held.get(term, (0, 0))
+                        held[term] = (t + label, c + 1 - label)
+            for is_stem, held in counts.items():
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([is_stem] * len(held), pa.bool_()), pa.array([t for t, _ in held.values()], pa.int64()), pa.array([c for _, c in held.values()], pa.int64())],
+                                                 ["term", "is_stem", "t", "c"])
+
+
+def _shorter():
+    """The stems that a term is longer than."""
+    return F.explode(F.array_compact(F.array(*[F.when(F.length("term") > k, F.substring("term", 1, k)) for k in STEMS])))
 
 
 def learn_lexicon(train: DataFrame) -> list[tuple[str, bool, float]]:
@@ -213,29 +222,26 @@ def learn_lexicon(train: DataFrame) -> list[tuple[str, bool, float]]:
     Words below a stem stay terms, so that they are found with edits too."""
     n = train.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     toxic, clean = max(1, n[0]), max(1, n[1] - n[0])
-    seen = train.mapInArrow(_term_batches, "term string, is_stem boolean, toxic int")
-    counts = cut(seen.groupBy("term", "is_stem").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
-    below = F.explode(F.array(*[F.when(F.length("term") > k, F.substring("term", 1, k)) for k in STEMS]))
-    words = (counts.filter(~F.col("is_stem") & (F.col("t") > 0)).select(below.alias("term")).filter(F.col("term").isNotNull())
-             .groupBy("term").agg(F.count("*").alias("words")).withColumn("is_stem", F.lit(True)))
+    seen = train.mapInArrow(_term_batches, "term string, is_stem boolean, t bigint, c bigint")
+    counts = cut(seen.groupBy("term", "is_stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter("t > 0"))
+    words = counts.filter(~F.col("is_stem")).select(_shorter().alias("term")).groupBy("term").agg(F.count("*").alias("words")).withColumn("is_stem", F.lit(True))
     lift = (F.col("t") / toxic) / ((F.col("c") + 0.5) / clean)
-    good = (counts.withColumn("lift", lift).filter((F.col("t") >= MIN_TOXIC) & (F.col("lift") >= MIN_LIFT)).join(words, ["term", "is_stem"], "left")
-            .filter(~F.col("is_stem") | (F.col("words") >= MIN_STEM_WORDS)).orderBy(F.desc("t"), "is_stem", "term").limit(MAX_TERMS).collect())
-    stems: set[str] = set()
-    for row in sorted((r for r in good if r["is_stem"]), key=lambda r: len(r["term"])):
-        if not any(row["term"][:k] in stems for k in STEMS if k < len(row["term"])):
-            stems.add(row["term"])
-    return [(r["term"], r["is_stem"], math.log(r["lift"])) for r in good if not r["is_stem"] or r["term"] in stems]
+    good = cut(counts.withColumn("lift", lift).filter((F.col("t") >= max(MIN_TOXIC, MIN_SHARE * toxic)) & (F.col("lift") >= MIN_LIFT)).join(words, ["term", "is_stem"], "left")
+               .filter(~F.col("is_stem") | (F.col("words") >= MIN_STEM_WORDS)))
+    stems = good.filter("is_stem").select("term")
+    nested = stems.select("term", _shorter().alias("shorter")).join(stems.withColumnRenamed("term", "shorter"), "shorter").select("term", F.lit(True).alias("is_stem")).distinct()
+    terms = good.join(nested, ["term", "is_stem"], "left_anti").orderBy(F.desc("t"), "is_stem", "term").limit(MAX_TERMS).collect()
+    return [(r["term"], r["is_stem"], math.log(r["lift"])) for r in terms]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
-    """Weights (the constant first) by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30, times: np.ndarray | float = 1.0) -> np.ndarray:
+    """Weights (the constant first) by Newton steps; a row counts ``times`` times."""
     x = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w))
-        w = w + np.linalg.solve(hessian, x.T @ (y - p) - ridge * w)
+        hessian = (x * (times * (p * (1 - p) + 1e-6))[:, None]).T @ x + ridge * np.eye(len(w))
+        w = w + np.linalg.solve(hessian, x.T @ (times * (y - p)) - ridge * w)
     return w
 
 
@@ -260,18 +266,21 @@ def fold():
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list, np.ndarray]:
-    """(lexicon terms, weights) from labelled documents that are not held out,
-    the first ``train_rows`` of them by hash. Without any toxic or any clean
-    one there is no lexicon and every score is 0."""
+    """(lexicon terms, weights) from labelled documents that are not held out:
+    the terms from all of them, the weights from the first ``train_rows`` by
+    hash. Without any toxic or any clean one there is no lexicon and every
+    score is 0."""
     usable = (labels.filter((fold() != 1) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
+    own = docs.select("doc_id", "text").filter((fold() != 1) & F.col("doc_id").isNotNull())
+    terms = learn_lexicon(own.join(usable, "doc_id").select("toxic", "text"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)         # bounded, so it may be broadcast
-    rows = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"))
-    terms = learn_lexicon(rows)
-    sample = rows.mapInArrow(partial(_feature_batches, docs.sparkSession.sparkContext.broadcast(terms)), "key int, features array<double>").limit(2 * train_rows).collect()
+    rows = own.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    found = rows.mapInArrow(partial(_feature_batches, docs.sparkSession.sparkContext.broadcast(terms)), "key int, features array<double>")
+    sample = found.groupBy("key", "features").count().collect()                        # repeated rows come once, with their number
     y = np.array([r["key"] for r in sample], np.float64)
     if not terms or y.min(initial=1) == y.max(initial=0):
         return [], np.array([-30.0] + [0.0] * FEATURES)
-    return terms, fit_logistic(np.array([r["features"] for r in sample]), y)
+    return terms, fit_logistic(np.array([r["features"] for r in sample]), y, times=np.array([r["count"] for r in sample], np.float64))
 
 
 def score_toxicity(docs: DataFrame, model: tuple[list, np.ndarray]) -> DataFrame:

@@ -388,6 +388,21 @@ def test_long_words_are_looked_up(spark):
     assert ("zor", True) in {t[:2] for t in toxicity.learn_lexicon(spark.createDataFrame(rows, "toxic int, text string"))}
 
 
+def test_lexicon_is_learned_from_all_labelled_rows(spark, monkeypatch):
+    word = lambda i: "".join(chr(97 + int(c)) * 2 for c in f"{i:03d}")
+    rows = [(i, f"{word(i % 10)} {prose(i, 20)}" if i % 10 < 3 else prose(i, 20), "a") for i in range(1200)]
+    docs = frame(spark, rows + rows[:50])
+    labels = spark.createDataFrame([(i, int(i % 10 < 3)) for i in range(1200)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "MIN_LIFT", 2.0)                  # a third of the rows is toxic here
+    few, _ = toxicity.train(docs, labels, train_rows=20)
+    every, weights = toxicity.train(docs, labels)
+    assert few == every and {t for t, is_stem, _ in every if not is_stem} >= {word(0), word(1), word(2)}
+    nested = [(1, f"zorvakling{x} {prose(i, 5)}") for i, x in enumerate("abcdef" * 4)] + [(0, prose(100 + i, 20)) for i in range(400)]
+    monkeypatch.setattr(toxicity, "MAX_TERMS", 7)
+    learned = toxicity.learn_lexicon(spark.createDataFrame(nested, "toxic int, text string"))
+    assert {t for t, _, _ in learned} == {"zor", *(f"zorvakling{x}" for x in "abcdef")}
+
+
 def test_toxicity_odd(spark, odd, empty):
     model = toxicity.train(odd, spark.createDataFrame([(5, 1), (None, 1), (6, None)], "doc_id bigint, toxic int"))
     assert model[0] == [] and toxicity.score_toxicity(odd, model).filter("predicted = 0").count() == 8
