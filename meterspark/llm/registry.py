@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterspark.llm import chat, decontam, linededup, mixing, pii, quality, simhash, tokens, toxicity, urlfilter
+from meterspark.llm import alignment, audit, chat, decontam, linededup, mixing, pii, quality, simhash, tokens, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_pii": pii.op9_pii,
     "op10_simhash": simhash.op10_simhash,
+    "op12_token_alignment": alignment.op12_token_alignment,
+    "op13_filter_audit": audit.op13_filter_audit,
 }
 ORACLE = {
     "op3_line_dedup": linededup.OP3_SQL,
     "op4_quality_rules": quality.OP4_SQL,
     "op5_url_filters": urlfilter.OP5_SQL,
     "op7_source_mixing": mixing.OP7_SQL,
+    "op13_filter_audit": audit.OP13_SQL,
 }
