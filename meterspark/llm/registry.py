@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterspark.llm import alignment, audit, chat, decontam, linededup, mixing, pii, quality, simhash, tokens, toxicity, urlfilter
+from meterspark.llm import alignment, audit, chat, decontam, htmltext, linededup, mixing, pii, quality, simhash, tokens, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_pii": pii.op9_pii,
     "op10_simhash": simhash.op10_simhash,
+    "op11_html_extraction": htmltext.op11_html_extraction,
     "op12_token_alignment": alignment.op12_token_alignment,
     "op13_filter_audit": audit.op13_filter_audit,
 }
