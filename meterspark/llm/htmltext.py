@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from meterspark.llm.common import read, rows_of, scratch
 
-NEAR = 0.5                  # a page votes for its paths of at least this part of its best score
+NEAR = 0.8                  # a page votes for its paths of at least this part of its best score; above DECAY, so not for a mere wrapper
 MIN_SHARE = 0.1             # part of the best path's votes that a winner needs
 DECAY = 0.75                # what a container gets of the text of a container inside it
 
