@@ -19,10 +19,15 @@ row for each id of the vocabulary at most, and is broadcast.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+import zlib
 from functools import partial
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +38,8 @@ from meterspark.llm.tokens import GAP, PieceCounter
 
 LANE = 64                   # values that one lane of the galloping search walks in order
 PART_CHARS = 200_000        # characters from which a text is encoded in parts
-BLOCK_LINKS = 1_000_000     # links after which a block is closed; a longer text is a block of its own
-ROWS = 256                  # documents encoded at once
+BLOCK_LINKS = 500_000       # links after which a block is closed, with the texts encoded at once; a longer text is a block of its own
+ROWS = 64                   # documents encoded at once
 WIDE = 1 << 32              # a pair is A's id * WIDE + B's id
 
 
@@ -103,16 +108,40 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def plain_ranks(spec: dict) -> dict[bytes, int] | None:
+    """The tokenizer's vocabulary as {bytes: rank}, if its file says that it is
+    byte-level BPE whose merges come in the order of their ids, with nothing
+    else before or after: then another library's ranks give the same tokens."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    letters, vocab = byte_letters(), model.get("vocab", {})
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    usual = (model.get("type") == "BPE" and not spec.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+             and not any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")))
+    if not usual or any(vocab.get("".join(m)) != 256 + i for i, m in enumerate(merges)) or sorted(vocab.get(c, -1) for c in letters) != list(range(256)):
+        return None
+    return {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in special}
+
+
+#: How a byte-level tokenizer of this kind splits a text (fixed value).
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Beyond these characters the libraries' tables of letters may differ by their version.
+RARE = re.compile("[^\x00-\u024f\u2010-\u2027]")
+
+
 class Pair:
     """Both tokenizers, with the bytes and the written form of each id."""
 
     def __init__(self, a_file: bytes, b_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_buffer(a_file)
         self.a.encode_special_tokens = True
+        ranks = plain_ranks(json.loads(a_file))
+        self.quick = ranks and tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         self.divisible = PieceCounter(b_model).divisible
         letters = byte_letters()
@@ -137,28 +166,46 @@ class Pair:
             start = end + 1
         return out
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def a_ids(self, text: str) -> list[int]:
+        if self.quick and not RARE.search(text):
+            return self.quick.encode_ordinary(text)
+        return self.a.encode(text, add_special_tokens=False).ids
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """A's and B's ids of each text; none where a text is empty or the
         bytes of either differ from a space and the text."""
-        parts, whose = [], []
-        for i, text in enumerate(texts):
+        out = []
+        for text in texts:
+            own_a, own_b = [], []
             for part in self.parts(text) if text else []:
-                parts.append(part)
-                whose.append(i)
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        b = self.b.encode(parts, num_threads=1) if parts else []
-        ids = [([], [], []) for _ in texts]
-        for i, own_a, own_b, part in zip(whose, a, b, parts):
-            want = (" " + part).encode()
-            same = b"".join(map(self.a_bytes.__getitem__, own_a)) == want == b"".join(map(self.b_bytes.__getitem__, own_b))
-            for kept, new in zip(ids[i], (own_a, own_b, [same])):
-                kept.append(new) if kept is ids[i][2] else kept.extend(new)
-        return [(np.array(x, np.int64), np.array(y, np.int64)) if all(map(all, ok)) else (np.zeros(0, np.int64),) * 2 for x, y, ok in ids]
-
-    def write_groups(self, a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> str:
-        """``a1,a2|b1;a3|b2,b3``: the ids of each group, A's before B's."""
-        if not len(a):
-            return ""
+                a, b, want = self.a_ids(" " + part), self.b.encode(part), (" " + part).encode()
+                if b"".join(map(self.a_bytes.__getitem__, a)) != want or b"".join(map(self.b_bytes.__getitem__, b)) != want:
+                    own_a, own_b = [], []
+                    break
+                own_a += a
+                own_b += b
+            out.append((own_a, own_b))
+        return out
+
+    def align_texts(self, texts: list[str]) -> tuple[list[tuple], np.ndarray]:
+        """(n_a, n_b, n_groups, groups, n_links) of each text, and the pairs of
+        all links in order. The texts' tokens make up one sequence: both lists
+        of ends have every text's end, so nothing crosses from one to the next."""
+        ids = self.encode(texts)
+        n_a, n_b = (np.array([len(own[side]) for own in ids], np.int64) for side in (0, 1))
+        a, b = (np.fromiter(chain.from_iterable(own[side] for own in ids), np.int64, n.sum()) for side, n in ((0, n_a), (1, n_b)))
+        own_a, own_b, a_cuts, b_cuts = align(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
+        text_of = np.repeat(np.arange(len(texts)), n_a)         # by A's tokens
+        n_groups = np.bincount(text_of[a_cuts - 1], minlength=len(texts))
+        n_links = np.bincount(text_of[own_a], minlength=len(texts))
+        names, ends, start, told = self.group_names(a, b, a_cuts, b_cuts), np.cumsum(n_a + n_b).tolist(), 0, []
+        for end in ends:
+            told.append("".join(names[start:end])[:-1])
+            start = end
+        return list(zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), told, n_links.tolist())), a[own_a] * WIDE + b[own_b]
+
+    def group_names(self, a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> list[str]:
+        """``a1,`` ``a2|`` ``b1;`` ``a3|`` ...: the ids of each group, A's before B's."""
         out = np.empty(len(a) + len(b), np.int64)
         a_mark, b_mark = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         a_mark[a_cuts - 1], b_mark[b_cuts - 1] = 1, 2
@@ -166,19 +213,29 @@ class Pair:
         group_b = np.repeat(np.arange(len(b_cuts)), np.diff(b_cuts, prepend=0))
         out[np.arange(len(a)) + np.concatenate([[0], b_cuts])[group_a]] = a * 3 + a_mark
         out[np.arange(len(b)) + a_cuts[group_b]] = b * 3 + b_mark
-        return "".join(map(self.names.__getitem__, out.tolist()))[:-1]
+        return list(map(self.names.__getitem__, out.tolist()))
 
 
 DOC = [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string()), ("n_links", pa.int64())]
 BLOCK_SCHEMA = ("block bigint, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, groups_sha256 array<string>, n_links array<bigint>, "
-                "links array<int>, pair array<bigint>, n array<bigint>")
+                "links binary, pair array<bigint>, n array<bigint>")
+
+
+def _number_type(pairs: int) -> type:
+    return np.uint16 if pairs <= 1 << 16 else np.uint32
 
 
 def _block(number: int, docs: list[tuple], links: list[np.ndarray]) -> pa.RecordBatch:
-    pairs, at, n = np.unique(np.concatenate(links) if links else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    """A block's row. Its pairs come by falling frequency, so that most links are small numbers, which are stored deflated."""
+    at, pairs = pd.factorize(np.concatenate(links))
+    n = np.bincount(at, minlength=len(pairs))
+    order = np.argsort(-n, kind="stable")
+    place = np.empty(len(order), _number_type(len(order)))
+    place[order] = np.arange(len(order))
     columns = [pa.array([list(c)], pa.list_(t)) for c, (_, t) in zip(zip(*docs), DOC)]
-    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (at.astype(np.int32), pairs, n.astype(np.int64))]
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns, *lists], ["block", *(name for name, _ in DOC), "links", "pair", "n"])
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (pairs[order], n[order].astype(np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns, pa.array([zlib.compress(place[at].tobytes(), 1)], pa.binary()), *lists],
+                                      ["block", *(name for name, _ in DOC), "links", "pair", "n"])
 
 
 def _align_batches(files, batches):
@@ -186,16 +243,14 @@ def _align_batches(files, batches):
     number, docs, links, total = TaskContext.get().partitionId() << 32, [], [], 0
     for batch in batches:
         for part in rows_of(batch, ROWS):
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            for doc_id, (a, b) in zip(part.column(0).to_pylist(), pair.encode(texts)):
-                own_a, own_b, a_cuts, b_cuts = align(np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b]))
-                groups = pair.write_groups(a, b, a_cuts, b_cuts)
-                docs.append((doc_id, len(a), len(b), len(a_cuts), hashlib.sha256(groups.encode()).hexdigest() if groups else "", len(own_a)))
-                links.append(a[own_a] * WIDE + b[own_b])
-                total += len(own_a)
-                if total >= BLOCK_LINKS:
-                    yield _block(number, docs, links)
-                    number, docs, links, total = number + 1, [], [], 0
+            told, found = pair.align_texts([t or "" for t in part.column(1).to_pylist()])
+            for doc_id, (n_a, n_b, n_groups, groups, n_links) in zip(part.column(0).to_pylist(), told):
+                docs.append((doc_id, n_a, n_b, n_groups, hashlib.sha256(groups.encode()).hexdigest() if groups else "", n_links))
+            links.append(found)
+            total += len(found)
+            if total >= BLOCK_LINKS:
+                yield _block(number, docs, links)
+                number, docs, links, total = number + 1, [], [], 0
     if docs:
         yield _block(number, docs, links)
 
@@ -227,8 +282,8 @@ def _digest_batches(batches):
         for row in rows_of(batch, 1):
             names = [name for name, _ in DOC]
             columns = [row.column(i).flatten() for i in range(len(names))]
-            links = row.column(len(names)).flatten().to_numpy()
             known = [row.column(len(names) + i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2)]
+            links = np.frombuffer(zlib.decompress(row.column(len(names))[0].as_py()), _number_type(len(known[0])))
             ends = np.cumsum(columns[-1].to_numpy())
             starts = ends - columns[-1].to_numpy()
             sums = []
