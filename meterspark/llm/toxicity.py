@@ -13,10 +13,10 @@ behind a verb of reporting, and more where it is addressed to someone or stands
 among other hits. Sums over the windows are the features of a logistic
 regression, fitted on the labelled rows that are not held out.
 
-Scale: the lexicon comes from a grouped count over all labelled documents that
-are not held out, and has at most ``MAX_TERMS`` terms; the regression is fitted
-on at most ``TRAIN_ROWS`` of these documents, chosen by hash. Scoring is one pass over each
-document with no shuffle; a worker's word cache and automaton are bounded.
+Scale: the lexicon is learned from at most ``LEXICON_ROWS`` labelled documents that
+are not held out, chosen by hash, and has at most ``MAX_TERMS`` terms; the regression is
+fitted on the first ``TRAIN_ROWS`` of them. Their ids are broadcast, so no text is
+shuffled. Scoring is one pass over each document; a worker's word cache and automaton are bounded.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from meterspark.llm.common import cut, read, rows_of
 
-TRAIN_ROWS = 6000           # labelled documents that the regression is fitted on
+LEXICON_ROWS = 20_000       # labelled documents that the lexicon is learned from, the first by hash
+TRAIN_ROWS = 6000           # the first of these, that the regression is fitted on
 MAX_TERMS = 2000
 MIN_TOXIC = 4               # toxic documents that hold a term
 MIN_SHARE = 0.0005          # part of all toxic documents that hold it
@@ -80,7 +81,8 @@ class Lexicon:
                 self.edits[n] = max(self.edits[n], allowed)
         self.most = KNOWN_STATES + max(self.depth)      # no word alone needs more states than the depth
         self._reset()
-        self.known: dict[str, tuple[float, bool] | None] = {}
+        self.known: dict[str, tuple[float, bool]] = {}      # words looked up before: those with a term
+        self.missed: set[str] = set()                       # and those without
 
     # A state is (node, edits); (~node, 0) is a word that went past the stem at the node.
 
@@ -153,20 +155,21 @@ class Lexicon:
         return best
 
     def look_up(self, words: list[str]) -> list[tuple[int, float, bool]]:
-        """(place, weight, exact) of the hits."""
-        known, out = self.known, []
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        for i, word in enumerate(words):
-            try:
-                hit = known[word]
-            except KeyError:
-                hit = self.find(word)
-                if len(word) <= KNOWN_LETTERS:
-                    known[word] = hit
+        """(place, weight, exact) of the hits. Distinct words are looked up; places are worked out where there are hits."""
+        if len(self.missed) + len(self.known) > KNOWN_WORDS:
+            self.missed.clear()
+            self.known.clear()
+        found = {}
+        for word in set(words) - self.missed:
+            hit = self.known.get(word) or self.find(word)
             if hit:
-                out.append((i, *hit))
-        return out
+                found[word] = hit
+            if len(word) <= KNOWN_LETTERS:
+                if hit:
+                    self.known[word] = hit
+                else:
+                    self.missed.add(word)
+        return [(i, *found[word]) for i, word in enumerate(words) if word in found] if found else []
 
     def features(self, text: str) -> list[float]:
         """The features of a whole text; all zero where nothing hits."""
@@ -175,15 +178,15 @@ class Lexicon:
         hits = self.look_up(words)
         if not hits:
             return [0.0] * FEATURES
-        spans = [m.span() for m in TOKEN.finditer(low)]
         quotes = [m.start() for m in QUOTES.finditer(low)]
-        marks = np.searchsorted(quotes, [spans[i][0] for i, _, _ in hits])
+        starts = [m.start() for m in TOKEN.finditer(low)] if quotes else [0] * len(words)      # only to compare with quotation marks
+        marks = np.searchsorted(quotes, [starts[i] for i, _, _ in hits])
         places = np.array([h[0] for h in hits])
         near = np.searchsorted(places, places + WINDOW, "right") - np.searchsorted(places, places - WINDOW) - 1
         total = top = quoted = 0.0
         for (i, weight, exact), before, company in zip(hits, marks, near):
             window = words[max(0, i - WINDOW):i + WINDOW + 1]
-            inside = before % 2 == 1 and before < len(quotes) and spans[i][0] - quotes[before - 1] <= 12 * WINDOW
+            inside = before % 2 == 1 and before < len(quotes) and starts[i] - quotes[before - 1] <= 12 * WINDOW
             told = not REPORTING.isdisjoint(words[max(0, i - 5):i])
             factor = (0.3 if inside else 1.0) * (0.6 if told else 1.0) * (1.0 if ADDRESS.isdisjoint(window) else 1.3) * (1 + 0.5 * min(company, 3))
             total += weight * factor * (1.0 if exact else 0.6)
@@ -265,16 +268,19 @@ def fold():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, lexicon_rows: int = LEXICON_ROWS) -> tuple[list, np.ndarray]:
     """(lexicon terms, weights) from labelled documents that are not held out:
-    the terms from all of them, the weights from the first ``train_rows`` by
-    hash. Without any toxic or any clean one there is no lexicon and every
+    the terms from the first ``lexicon_rows`` by hash, the weights from the
+    first ``train_rows``. Without any toxic or any clean one there is no lexicon and every
     score is 0."""
     usable = (labels.filter((fold() != 1) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
+
+    def first(n: int) -> DataFrame:
+        return F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n))            # bounded by n
     own = docs.select("doc_id", "text").filter((fold() != 1) & F.col("doc_id").isNotNull())
-    terms = learn_lexicon(own.join(usable, "doc_id").select("toxic", "text"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)         # bounded, so it may be broadcast
-    rows = own.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    sample = cut(own.join(first(max(train_rows, lexicon_rows)), "doc_id"))
+    terms = learn_lexicon(sample.join(first(lexicon_rows).select("doc_id"), "doc_id", "left_semi").select("toxic", "text"))
+    rows = sample.join(first(train_rows).select("doc_id"), "doc_id", "left_semi").select("toxic", "text")
     found = rows.mapInArrow(partial(_feature_batches, docs.sparkSession.sparkContext.broadcast(terms)), "key int, features array<double>")
     sample = found.groupBy("key", "features").count().collect()                        # repeated rows come once, with their number
     y = np.array([r["key"] for r in sample], np.float64)
