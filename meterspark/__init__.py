@@ -7,7 +7,7 @@ Structured Streaming versions.
 
 from meterspark.config import THRESHOLDS, build_session, ensure_checkpoint_dir  # noqa: F401
 from meterspark.sources.readings import (  # noqa: F401
-    READINGS_SCHEMA, list_houses, read_readings, readings_from_events, load_readings,
+    READINGS_SCHEMA, house_files, list_houses, read_readings, readings_from_events, load_readings,
 )
 from meterspark.operators.cleaning import clean, cleaning_report, appliance_columns  # noqa: F401
 from meterspark.operators.resample import downsample  # noqa: F401

@@ -891,7 +891,61 @@ def q_stream_csv_readings(spark, sf_dir):
     ms_sources.write_house_csv(rows, f"{wd}/houses")
     schema = ms_sources.file_schema([c for c in rows.columns if c != "house_id"])
     src = S.stream_readings(spark, f"{wd}/houses/house_id=*", fmt="csv", schema=schema, max_files_per_trigger=200)
-    return _run_to_parquet(src, wd, "readings")
+    return _run_to_parquet(src.drop("bad_values"), wd, "readings")
+
+
+def _write_csv(rows, path):
+    rows.repartition("house_id").write.partitionBy("house_id").option("header", True).csv(path)
+
+
+_TIME_TEXT = F.date_format("Time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("Time")
+
+
+@register("csv_mixed_files", """
+SELECT house_id, Time, Aggregate, Appliance1, Appliance2,
+       CASE WHEN house_id % 3 < 2 THEN Appliance3 END AS Appliance3, CASE WHEN house_id % 3 < 2 THEN Appliance4 END AS Appliance4,
+       CASE WHEN house_id % 3 < 2 THEN Appliance5 END AS Appliance5, CASE WHEN house_id % 3 < 2 THEN Appliance6 END AS Appliance6,
+       CASE WHEN house_id % 3 < 2 THEN Appliance7 END AS Appliance7, CASE WHEN house_id % 3 < 2 THEN Appliance8 END AS Appliance8,
+       CASE WHEN house_id % 3 < 2 THEN Appliance9 END AS Appliance9, CASE WHEN house_id % 3 < 2 THEN Issues ELSE -1 END AS Issues
+FROM readings""", ["Aggregate"] + APPLIANCES)
+def q_csv_mixed_files(spark, sf_dir):
+    """S1-S4: files of three layouts in one folder: ISO times, epoch seconds with
+    the columns in another order, and fewer columns beside one that no reading has."""
+    wd = _stream_dir(spark)
+    rows = readings(spark, sf_dir)
+    unix = (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', Time)").cast("decimal(26,6)") / 1000000).cast("decimal(20,6)").alias("Unix")
+    layouts = [["house_id", _TIME_TEXT, "Aggregate", *APPLIANCES, "Issues"], ["house_id", "Issues", *reversed(APPLIANCES), "Aggregate", unix],
+               ["house_id", "Appliance2", "Appliance1", F.lit("x").alias("Room"), _TIME_TEXT, "Aggregate", unix]]
+    for i, cols in enumerate(layouts):
+        _write_csv(rows.filter(F.col("house_id") % 3 == i).select(*cols), f"{wd}/houses/layout{i}")
+    return ms.read_readings(spark, f"{wd}/houses").fillna(-1, ["Issues"])
+
+
+@register("csv_bad_values", """
+SELECT house_id, CASE WHEN minute(Time) % 7 = 3 THEN NULL ELSE Time END AS Time,
+       CASE WHEN minute(Time) % 5 = 1 THEN NULL ELSE Aggregate END AS Aggregate, Appliance1,
+       CASE WHEN minute(Time) % 11 = 2 THEN -1 ELSE Issues END AS Issues,
+       nullif(concat_ws('; ', CASE WHEN minute(Time) % 7 = 3 THEN 'Time=yesterday' END,
+                        CASE WHEN minute(Time) % 5 = 1 THEN 'Aggregate=1,5 W' END,
+                        CASE WHEN minute(Time) % 11 = 2 THEN 'Issues=0.5' END), '') AS bad_values
+FROM readings""", ["Aggregate", "Appliance1"])
+def q_csv_bad_values(spark, sf_dir):
+    """S1: values of the wrong type are null in their columns and kept as text."""
+    wd = _stream_dir(spark)
+    minute = F.minute("Time")
+    rows = readings(spark, sf_dir).select("house_id", F.when(minute % 7 == 3, F.lit("yesterday")).otherwise(_TIME_TEXT).alias("Time"),
+                                          F.when(minute % 5 == 1, F.lit("1,5 W")).otherwise(F.col("Aggregate").cast("string")).alias("Aggregate"), "Appliance1",
+                                          F.when(minute % 11 == 2, F.lit("0.5")).otherwise(F.col("Issues").cast("string")).alias("Issues"))
+    _write_csv(rows, f"{wd}/houses")
+    return ms.read_readings(spark, f"{wd}/houses", bad_values=True).select("house_id", "Time", "Aggregate", "Appliance1", "Issues", "bad_values").fillna(-1, ["Issues"])
+
+
+@register("csv_house_files", "SELECT DISTINCT house_id FROM readings")
+def q_csv_house_files(spark, sf_dir):
+    """S2: the house list from the files' names."""
+    wd = _stream_dir(spark)
+    _write_csv(readings(spark, sf_dir).select("house_id", _TIME_TEXT, "Aggregate"), f"{wd}/houses")
+    return ms.list_houses(ms.house_files(spark, f"{wd}/houses"))
 
 
 @register("raw_features", "SELECT * FROM raw_features", _FEATURE_DOUBLES)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-APPLIANCES = [f"Appliance{i}" for i in range(1, 10)]
+from meterspark.sources.house_files import APPLIANCES, MISSING, HouseFiles, house_file_schema
 
 # Readings after ingest: one row per reading, watts as DOUBLE (null, never NaN).
 READINGS_SCHEMA = T.StructType(
@@ -28,67 +30,62 @@ def _nan_to_null(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
-def _files_by_header(spark: SparkSession, src: str) -> list[tuple[str, list[str]]]:
-    """Header line and the files that begin with it: the only line of a file
-    that names a Time or Unix column. One row for each file comes back."""
-    lines = spark.read.text(src).filter(F.col("value").rlike(r"(^|,)\s*\"?(Time|Unix)\"?\s*(,|$)"))
-    found = lines.select("value", F.col("_metadata.file_path").alias("file")).distinct().collect()
-    by_header: dict[str, list[str]] = {}
-    for row in sorted(found, key=lambda r: (r["value"], r["file"])):
-        by_header.setdefault(row["value"], []).append(row["file"])
-    return list(by_header.items())
-
-
 def file_schema(cols: list[str]) -> T.StructType:
     """Columns of a house file, as text."""
     return T.StructType([T.StructField(c, T.StringType()) for c in cols])
 
 
-def _read_files(spark: SparkSession, files: list[str], header: str) -> DataFrame:
-    """Files of one header, read by its column names."""
-    cols = [c.strip().strip('"') for c in header.lstrip("\ufeff").strip().split(",")]
-    raw = spark.read.schema(file_schema(cols)).option("header", True).option("mode", "FAILFAST").csv(files)
-    return parse_house_rows(raw, cols)
+def _bad(cols: list[str], missing: list[str] = MISSING) -> Column:
+    """What could not be read, as the data source writes it."""
+    def wrong(c):
+        text = F.trim(F.col(c))
+        value = F.expr(f"try_cast(trim(`{c}`) AS {'TIMESTAMP_NTZ' if c == 'Time' else 'INT' if c == 'Issues' else 'DOUBLE'})")
+        return F.when(value.isNull() & ~text.isin(missing), F.concat(F.lit(f"{c}="), text))
+    return F.nullif(F.concat_ws("; ", *[wrong(c) for c in cols]), F.lit(""))
 
 
 def parse_house_rows(raw: DataFrame, cols: list[str]) -> DataFrame:
-    """Readings from the text columns ``cols`` of house files, batch or stream."""
-    named = F.nullif(F.regexp_extract(F.col("_metadata.file_name"), r"House_(\d+)", 1), F.lit(""))
+    """Readings from the text columns ``cols`` of streamed house files, in the
+    schema of ``read_readings`` with ``bad_values``."""
+    named = F.nullif(F.regexp_extract(F.col("_metadata.file_name"), r"(?i)house_?(\d+)", 1), F.lit(""))
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"/house_id=(\d+)/[^/]*$", 1)
     hid = F.coalesce(named, folder).try_cast("bigint")
     if "Time" in cols:
-        t = F.col("Time").cast("timestamp_ntz")
+        t = F.col("Time").try_cast("timestamp_ntz")
     else:
-        t = F.expr(f"timestampadd(MICROSECOND, CAST(CAST(Unix AS DOUBLE) * 1000000 AS BIGINT), {_EPOCH_NTZ})")
+        t = F.expr(f"timestampadd(MICROSECOND, CAST(round(try_cast(Unix AS DOUBLE) * 1000000) AS BIGINT), {_EPOCH_NTZ})")
     out = [hid.alias("house_id"), t.alias("Time")]
-    for c in cols:
-        if c in ("Time", "Unix"):
-            continue
-        if c == "Issues":
-            out.append(F.expr("try_cast(Issues AS INT)").alias("Issues"))
+    for f in house_file_schema().fields[2:-1]:
+        if f.name == "Issues":
+            out.append((F.expr("try_cast(Issues AS INT)") if f.name in cols else F.lit(None).cast("int")).alias("Issues"))
         else:
-            out.append(_nan_to_null(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(c))
-    return raw.select(*out)
-
-
-def read_readings(spark: SparkSession, path: str, house: int | None = None) -> DataFrame:
-    """Read house CSV files (``House_<n>.csv``, or folders ``house_id=<n>`` as
-    ``write_house_csv`` makes them) under ``path``, one scan for each header
-    that occurs; a column that a file lacks is null.
-
-    ``house_id`` comes from the file name. ``Time`` is parsed as ISO-8601;
-    without it, ``Unix`` epoch seconds are used. ``Unix`` is dropped.
-    ``house`` selects one house (a filter Spark applies per file)."""
-    src = path if path.endswith(".csv") else path.rstrip("/") + "/{House_*.csv,house_id=*}"
-    parts = [_read_files(spark, files, header) for header, files in _files_by_header(spark, src)]
-    if not parts:
-        raise ValueError(f"{path}: neither 'Time' nor 'Unix' column present")
-    df = parts[0]
-    for part in parts[1:]:
-        df = df.unionByName(part, allowMissingColumns=True)
+            out.append((_nan_to_null(F.expr(f"try_cast(`{f.name}` AS DOUBLE)")) if f.name in cols else F.lit(None).cast("double")).alias(f.name))
+    return raw.select(*out, _bad([c for c in cols if c != "Unix" or "Time" not in cols]).alias("bad_values"))
+
+
+def read_readings(spark: SparkSession, path: str, house: int | None = None, extra: Sequence[str] = (), bad_values: bool = False) -> DataFrame:
+    """Readings of the house CSV files under ``path`` (see ``house_files``).
+
+    Every ``*.csv`` is read by its own header; ``Time`` is ISO 8601, without it
+    ``Unix`` epoch seconds are used. A column that a file lacks is null.
+    ``house`` opens the files of one house alone. A value of the wrong type is
+    null; ``bad_values`` adds a column that shows it, and keeps lines of a wrong
+    number of fields there, which are an error otherwise."""
+    spark.dataSource.register(HouseFiles)
+    reader = spark.read.format("house_csv").option("path", path).option("extra", ",".join(extra))
     if house is not None:
-        df = df.filter(F.col("house_id") == house)
-    return df
+        reader = reader.option("house", house)
+    return reader.option("bad_lines", "keep").load() if bad_values else reader.load().drop("bad_values")
+
+
+def house_files(spark: SparkSession, path: str) -> DataFrame:
+    """house_id, path, bytes of the house files, from their names; none is opened."""
+    found = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(path)
+             .select("path", F.col("length").alias("bytes")))
+    name, folder = F.regexp_extract("path", "[^/]*$", 0), F.regexp_extract("path", r"house_id=(\d+)/[^/]*$", 1)
+    last = F.when(~name.startswith("part-"), F.regexp_extract(name, r"(\d+)\D*$", 1))
+    house = F.coalesce(*[F.nullif(c, F.lit("")) for c in (F.regexp_extract(name, r"(?i)house_?(\d+)", 1), folder, last)])
+    return found.select(house.try_cast("bigint").alias("house_id"), "path", "bytes")
 
 
 def write_house_csv(readings: DataFrame, path: str) -> None:
@@ -140,7 +137,8 @@ def load_readings(spark: SparkSession, sf_dir: str, layout: str = "events") -> D
 
 
 def list_houses(df: DataFrame) -> DataFrame:
-    """Sorted distinct house ids (the house selector's options)."""
+    """Sorted distinct house ids (the house selector's options), of readings or
+    of ``house_files``, which needs no rows."""
     return df.select("house_id").distinct().orderBy("house_id")
 
 
