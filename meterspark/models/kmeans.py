@@ -1,11 +1,9 @@
 """K-means per model scope (default: one model per house) as Spark jobs.
 
-Fit: k-means++ seeding (D^2 sampling with the exponential-race trick, one
-partial aggregation per seed) and Lloyd iterations; every restart, and every k
-of an elbow table, is a run in the same pass (runs exploded in-stage, then
-map-side partial sums per (scope, run, cluster)), until it has converged.
-Centers live in a small table that is checkpointed each iteration and joined
-back as one array per scope key, so rows never meet centers as join pairs. The
+Fit: k-means++ seeding (D^2 sampling with the exponential-race trick) and Lloyd
+iterations; every restart, and every k of an elbow table, is a run in the same
+pass over blocks of rows (``lloyd``), until it has converged. Several steps make
+up one job; then the small table of centers is checkpointed. The
 restart with the least inertia wins."""
 
 from __future__ import annotations
@@ -20,7 +18,7 @@ from meterspark.config import (CLUSTER_LABELS, KMEANS_FEATURES, LABEL_DAYTIME, L
                                LABEL_PEAK, LABEL_STANDBY, LABEL_UNKNOWN, ensure_checkpoint_dir)
 from meterspark.functions.columns import round_half_even
 from meterspark.functions.lookup import lookup_join
-from meterspark.functions.random import uniform
+from meterspark.models.lloyd import Steps, to_blocks
 from meterspark.models.scaler import apply_scaler, available, fit_scaler, scope_keys, with_scope
 
 
@@ -43,10 +41,8 @@ def _z(d: int) -> list[Column]:
     return [F.col(f"_z{f}") for f in range(d)]
 
 
-#: Largest centers table, in bytes, that is broadcast to the rows.
-BROADCAST_BYTES = 64 << 20
-#: Iterations between two looks at whether any run still moves; runs that have converged stay as they are.
-LOOK_EVERY = 4
+#: Steps in one job. Then their state is written, and looked at whether any run still moves; runs that have converged stay as they are.
+LOOK_EVERY = 6
 
 
 def _d2(j: int, d: int, arr: str = "_cf") -> Column:
@@ -74,99 +70,47 @@ def _flat_centers(centers: DataFrame, keys: list[str], d: int) -> DataFrame:
     return rows.select(*keys, F.flatten(F.transform("_it", lambda s: s["cs"])).alias("_cf"))
 
 
-def _per_run(p: dict, runs: DataFrame, size: int, extra: list[str] = ()) -> DataFrame:
-    """Each row once per run of its scope that goes on, next to the run's centers."""
-    keys, d = p["keys"], p["d"]
-    packed = runs.filter(~F.col("conv")).groupBy(*keys).agg(F.collect_list(F.struct("run", "cf")).alias("_cr"))
-    x = lookup_join(p["z"], packed, keys, "inner", known_rows=p["n_groups"], max_broadcast_rows=BROADCAST_BYTES // (8 * size))
-    x = x.select(*keys, *extra, *_z(d), F.explode("_cr").alias("p"))
-    return x.select(*keys, *extra, *_z(d), F.col("p.run").alias("run"), F.col("p.cf").alias("_cf"))
-
-
-def _seed_runs(p: dict, k: int, restarts: int, seed: int) -> DataFrame:
-    """k-means++ seeds for every (scope, restart) at once: keys, run, cf, conv.
-    The first seeds of ``k`` are those of any smaller number of clusters."""
-    keys, d = p["keys"], p["d"]
-    point = F.array(*_z(d))
-    every = F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("run")
-    u = uniform(F.lit(seed), F.col("run"), F.lit(0), F.col("_rid"))
-    runs = (p["z"].select(*keys, "_rid", *_z(d), every).groupBy(*keys, "run").agg(F.min_by(point, u).alias("cf"))
-            .withColumn("conv", F.lit(False)))
-    runs = _checkpoint(runs)
-    for s in range(1, k):
-        dd = F.least(*[_d2(j, d) for j in range(s)]) if s > 1 else _d2(0, d)
-        race = F.when(dd > 0, -F.log(uniform(F.lit(seed), F.col("run"), F.lit(s), F.col("_rid"))) / dd)
-        drawn = _per_run(p, runs, restarts * k * d, ["_rid"]).groupBy(*keys, "run").agg(F.min_by(point, race).alias("_c"))
-        # Fewer distinct points than k: the first center again.
-        more = F.concat("cf", F.coalesce("_c", F.slice("cf", 1, d)))
-        runs = _checkpoint(runs.join(drawn, [*keys, "run"]).select(*keys, "run", more.alias("cf"), "conv"))
-    return runs
-
-
-def _stats(p: dict, runs: DataFrame, k: int, size: int) -> DataFrame:
-    """Per (scope, run): _m, the mean of the rows nearest to each center, and
-    _sse. Rows are summed on the map side by (scope, run, cluster)."""
-    keys, d = p["keys"], p["d"]
-    x = _per_run(p, runs, size)
-    x = x.select(*keys, "run", *_z(d), F.array(*[_d2(j, d) for j in range(k)]).alias("_d"))
-    least = F.array_min("_d")
-    x = x.select(*keys, "run", *_z(d), (F.array_position("_d", least) - 1).cast("int").alias("j"), least.alias("_least"))
-    sums = x.groupBy(*keys, "run", "j").agg(F.sum("_least").alias("_sse"), F.array(*[F.avg(c) for c in _z(d)]).alias("_mean"))
-    return sums.groupBy(*keys, "run").agg(F.map_from_entries(F.collect_list(F.struct("j", "_mean"))).alias("_m"), F.sum("_sse").alias("_sse"))
-
-
-def _prepare(df: DataFrame, features: list[str] | None, scope: str) -> dict:
-    """Scaler fit and the scaled, checkpointed rows every fit reads."""
+def _prepare(df: DataFrame, features: list[str] | None, scope: str, rid: Column | None = None) -> dict:
+    """Scaler fit and the scaled rows in blocks, which every step reads."""
     keys = scope_keys(scope)
     src = with_scope(df, scope)
     feats = available(src, features or KMEANS_FEATURES)
     d = len(feats)
     filled = src.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats],
-                        *([F.col("Time")] if "Time" in src.columns else []))
+                        *([rid.cast("bigint").alias("_rid")] if rid is not None else []), *([F.col("Time")] if "Time" in src.columns else []))
     filled = filled.persist(StorageLevel.MEMORY_AND_DISK)     # read by the scaler and the scaled copy
     scaler = _checkpoint(fit_scaler(filled, feats, keys))
     n_groups = scaler.count()
     # Row identity from the raw inputs (not from scaled values, whose last
     # bits depend on summation order), so fits do not depend on partitioning.
-    filled = filled.withColumn("_rid", F.xxhash64(*[F.col(c) for c in keys + feats + (
-        ["Time"] if "Time" in filled.columns else [])]))
+    if rid is None:
+        filled = filled.withColumn("_rid", F.xxhash64(*[F.col(c) for c in keys + feats + (["Time"] if "Time" in filled.columns else [])]))
     z = apply_scaler(filled, scaler, feats, keys, known_rows=n_groups)
-    z = _checkpoint(z.select(*keys, "_rid", *_z(d)))
+    z = lookup_join(z, scaler.select(*keys, "_n"), keys, "inner", known_rows=n_groups)
+    blocks = _checkpoint(to_blocks(z.select(*keys, "_rid", "_n", *_z(d)), keys, d))
     filled.unpersist()
-    return dict(keys=keys, feats=feats, d=d, scaler=scaler, z=z, n_groups=n_groups, scope=scope)
+    return dict(keys=keys, feats=feats, d=d, scaler=scaler, blocks=blocks, n_groups=n_groups, scope=scope)
 
 
 def _lloyd(p: dict, ks: list[int], restarts: int, max_iter: int, tol: float, seed: int,
            init: list[list[float]] | None) -> tuple[DataFrame, DataFrame]:
-    """Runs of Lloyd's iterations for every k and restart of every scope, one
-    job each iteration over the runs that still move. Returns best (keys, k,
-    restart, inertia, iterations) and centers (keys, k, cluster, c0...)."""
+    """Runs of Lloyd's iterations for every k and restart of every scope, in
+    the same steps. A run's seeds are drawn by its restart alone, so those of a smaller k are the
+    first ones of a larger. Returns best (keys, k, restart, inertia, iterations) and centers (keys, k, cluster, c0...)."""
     keys, d = p["keys"], p["d"]
+    restarts = 1 if init is not None else restarts
+    steps = Steps(p["blocks"], keys, d, [k for k in ks for _ in range(restarts)], restarts, seed, p["n_groups"])
+    state = steps.first_state(p["scaler"].select(*keys, (F.lit(float(tol)) * F.col("_nonconst") / d).alias("_tol")), init)
     if init is None:
-        runs = _seed_runs(p, max(ks), restarts, seed)
-    else:
-        restarts = 1
-        runs = p["scaler"].select(*keys, F.lit(0).alias("run"), F.array(*[F.lit(float(v)) for c in init for v in c]).alias("cf"))
-    which = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(ks)])).alias("_k")
-    runs = runs.select(*keys, which, "run", "cf").select(
-        *keys, F.col("_k.k").alias("k"), F.col("run").alias("restart"), (F.col("_k.i") * restarts + F.col("run")).alias("run"),
-        F.slice("cf", F.lit(1), F.col("_k.k") * d).alias("cf"), F.lit(False).alias("conv"), F.lit(0).alias("it"))
-    limit = p["scaler"].select(*keys, (F.lit(float(tol)) * F.col("_nonconst") / d).alias("_tol"))
-    runs = _checkpoint(runs.join(limit, keys))
-    size = restarts * sum(ks) * d
+        for s in range(max(ks)):
+            state = steps.seed_step(state, s)
     for it in range(1, max_iter + 1):
-        x = runs.join(_stats(p, runs, max(ks), size), [*keys, "run"], "left")
-        mean = lambda i: F.get(F.try_element_at(F.col("_m"), F.floor(i / d).cast("int")), i % d)
-        x = x.withColumn("_new", F.transform("cf", lambda c, i: F.coalesce(mean(i), c)))
-        moved = F.aggregate(F.zip_with("_new", "cf", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
-        runs = _checkpoint(x.select(*keys, "run", "k", "restart", F.col("_new").alias("cf"), (F.col("conv") | (moved <= F.col("_tol"))).alias("conv"),
-                                    F.when(F.col("conv"), F.col("it")).otherwise(F.lit(it)).alias("it"), "_tol"))
-        if it % LOOK_EVERY == 0 and runs.filter(~F.col("conv")).isEmpty():
-            break
-    last = _stats(p, runs.withColumn("conv", F.lit(False)), max(ks), size).select(*keys, "run", "_sse")
-    ended = runs.join(last, [*keys, "run"])
-    win = F.min_by(F.struct("restart", F.col("_sse").alias("inertia"), F.col("it").alias("iterations"), "cf"), F.struct("_sse", "restart"))
-    best = _checkpoint(ended.groupBy(*keys, "k").agg(win.alias("b")).select(*keys, "k", "b.*"))
+        state = steps.move_step(state, it)
+        if it % LOOK_EVERY == 0:
+            state = _checkpoint(state)
+            if state.filter("live > 0").isEmpty():
+                break
+    best = _checkpoint(steps.result(state))
     one = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(
         j.alias("cluster"), *[F.get(F.col("cf"), j * d + f).alias(f"c{f}") for f in range(d)]))
     return best.drop("cf"), best.select(*keys, "k", F.explode(one).alias("c")).select(*keys, "k", "c.*")
@@ -174,15 +118,16 @@ def _lloyd(p: dict, ks: list[int], restarts: int, max_iter: int, tol: float, see
 
 def fit_kmeans(df: DataFrame, k: int = 4, restarts: int = 10, max_iter: int = 300, tol: float = 1e-4,
                seed: int = 42, features: list[str] | None = None, scope: str = "house",
-               init: list[list[float]] | None = None) -> KMeansModel:
+               init: list[list[float]] | None = None, rid: Column | None = None) -> KMeansModel:
     """Fit k-means on scaled features (nulls as 0, population std).
 
-    One Spark job per Lloyd iteration: rows x runs -> nearest center ->
-    partial sums per (scope, run, cluster), for houses of any size alike. A
+    Each Lloyd iteration is one pass over blocks of rows, all runs at once, for
+    houses of any size alike (see ``lloyd``). A
     run stops once its squared center shift is within ``tol`` x the mean feature
     variance; a cluster without rows keeps its center. ``init`` gives the
-    first centers (scaled space) of a single run instead of seeding."""
-    p = _prepare(df, features, scope)
+    first centers (scaled space) of a single run instead of seeding; ``rid`` (an
+    integer for each row) is what seeds are drawn by instead of a hash of the row."""
+    p = _prepare(df, features, scope, rid)
     best, centers = _lloyd(p, [k], restarts, max_iter, tol, seed, init)
     return KMeansModel(p["keys"], p["feats"], k, scope, p["scaler"], centers.drop("k"), best.drop("k"))
 

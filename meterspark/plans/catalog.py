@@ -602,6 +602,53 @@ def q_kmeans_lloyd_fixed_init(spark, sf_dir):
     return m.centers.join(m.inertia.select("house_id", "inertia"), "house_id")
 
 
+def _uniform_sql(run: int, step: int, seed: int = 7) -> str:
+    """The uniform of a row (minutes since 1970) for a run and a step, modulo 2147483647."""
+    def part(salt):
+        h = f"((minutes % 2147483647 * 48271 + {seed + salt}) % 2147483647)"
+        h = f"(({h} * {h} + {step * 16807 + salt}) % 2147483647)"
+        h = f"(({h} * {h} + {run * 69621 + salt}) % 2147483647)"
+        return f"(({h} * {h} + 40692) % 2147483647)"
+    return f"(({part(1)} * 2147483647 + {part(2)} + 0.5::DOUBLE) / 4611686014132420609.0::DOUBLE)"
+
+
+def _seeds_sql(run: int, k: int) -> str:
+    """CTEs: for each house the row of the least uniform, then rows that win -ln(u) / (squared distance to the nearest seed)."""
+    out = []
+    for s in range(k):
+        if s == 0:
+            score, source = _uniform_sql(run, 0), "kmin"
+        else:
+            near = "least(" + ", ".join("(" + " + ".join(f"pow(z{f} - p{j}.z{f}, 2)".replace(f"(z{f}", f"(kmin.z{f}") for f in range(4)) + ")" for j in range(s)) + ")"
+            score = f"-ln({_uniform_sql(run, s)}) / nullif({near}, 0)"
+            source = "kmin " + " ".join(f"JOIN s{run}_{j} p{j} ON p{j}.house_id = kmin.house_id" for j in range(s))
+        out.append(f"""s{run}_{s} AS (SELECT kmin.house_id, arg_min(kmin.z0, {score}) AS z0, arg_min(kmin.z1, {score}) AS z1,
+        arg_min(kmin.z2, {score}) AS z2, arg_min(kmin.z3, {score}) AS z3 FROM {source} GROUP BY kmin.house_id)""")
+    one = " UNION ALL ".join(f"SELECT house_id, {s} AS cluster, z0 AS c0, z1 AS c1, z2 AS c2, z3 AS c3 FROM s{run}_{s}" for s in range(k))
+    return ",\n".join(out) + f",\nl{run}_0 AS ({one})"
+
+
+def _seeded_sql(runs: int, k: int, iterations: int) -> str:
+    """CTEs of every run: seeds, Lloyd's iterations, error."""
+    out = [f"kmin AS (SELECT *, epoch_us(\"Time\") // 60000000 AS minutes FROM kz)"]
+    for run in range(runs):
+        out += [_seeds_sql(run, k), _lloyd_sql(run, iterations).split(",\n", 1)[1]]
+    return ",\n".join(out)
+
+
+@register("kmeans_seeded_fit", f"""WITH {_KZ}, {_seeded_sql(2, 3, 2)},
+runs AS (SELECT house_id, 0 AS restart, inertia FROM sse0 UNION ALL SELECT house_id, 1, inertia FROM sse1),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY house_id ORDER BY inertia, restart) = 1),
+every AS (SELECT 0 AS restart, * FROM l0_2 UNION ALL SELECT 1, * FROM l1_2)
+SELECT house_id, CAST(cluster AS INTEGER) AS cluster, c0, c1, c2, c3, inertia, CAST(restart AS INTEGER) AS restart
+FROM every JOIN best USING (house_id, restart)""", ["c0", "c1", "c2", "c3", "inertia"])
+def q_kmeans_seeded_fit(spark, sf_dir):
+    """M5 with its own seeds: two restarts of three clusters, two iterations, the better one."""
+    minutes = F.expr("timestampdiff(MINUTE, TIMESTAMP_NTZ'1970-01-01 00:00:00', Time)")
+    m = ms_kmeans.fit_kmeans(features(spark, sf_dir), k=3, restarts=2, max_iter=2, tol=0.0, seed=7, rid=minutes)
+    return m.centers.join(m.inertia.select("house_id", "inertia", "restart"), "house_id")
+
+
 @register("elbow_fixed_init", f"""WITH {_KZ}, {", ".join(_lloyd_sql(k, 2) for k in (2, 3, 4))}
 """ + " UNION ALL ".join(f"SELECT house_id, {k} AS k, inertia FROM sse{k}" for k in (2, 3, 4)), ["inertia"])
 def q_elbow_fixed_init(spark, sf_dir):
@@ -898,7 +945,8 @@ def _write_csv(rows, path):
     rows.repartition("house_id").write.partitionBy("house_id").option("header", True).csv(path)
 
 
-_TIME_TEXT = F.date_format("Time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("Time")
+def _time_text():
+    return F.date_format("Time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("Time")
 
 
 @register("csv_mixed_files", """
@@ -914,8 +962,8 @@ def q_csv_mixed_files(spark, sf_dir):
     wd = _stream_dir(spark)
     rows = readings(spark, sf_dir)
     unix = (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', Time)").cast("decimal(26,6)") / 1000000).cast("decimal(20,6)").alias("Unix")
-    layouts = [["house_id", _TIME_TEXT, "Aggregate", *APPLIANCES, "Issues"], ["house_id", "Issues", *reversed(APPLIANCES), "Aggregate", unix],
-               ["house_id", "Appliance2", "Appliance1", F.lit("x").alias("Room"), _TIME_TEXT, "Aggregate", unix]]
+    layouts = [["house_id", _time_text(), "Aggregate", *APPLIANCES, "Issues"], ["house_id", "Issues", *reversed(APPLIANCES), "Aggregate", unix],
+               ["house_id", "Appliance2", "Appliance1", F.lit("x").alias("Room"), _time_text(), "Aggregate", unix]]
     for i, cols in enumerate(layouts):
         _write_csv(rows.filter(F.col("house_id") % 3 == i).select(*cols), f"{wd}/houses/layout{i}")
     return ms.read_readings(spark, f"{wd}/houses").fillna(-1, ["Issues"])
@@ -933,7 +981,7 @@ def q_csv_bad_values(spark, sf_dir):
     """S1: values of the wrong type are null in their columns and kept as text."""
     wd = _stream_dir(spark)
     minute = F.minute("Time")
-    rows = readings(spark, sf_dir).select("house_id", F.when(minute % 7 == 3, F.lit("yesterday")).otherwise(_TIME_TEXT).alias("Time"),
+    rows = readings(spark, sf_dir).select("house_id", F.when(minute % 7 == 3, F.lit("yesterday")).otherwise(_time_text()).alias("Time"),
                                           F.when(minute % 5 == 1, F.lit("1,5 W")).otherwise(F.col("Aggregate").cast("string")).alias("Aggregate"), "Appliance1",
                                           F.when(minute % 11 == 2, F.lit("0.5")).otherwise(F.col("Issues").cast("string")).alias("Issues"))
     _write_csv(rows, f"{wd}/houses")
@@ -944,7 +992,7 @@ def q_csv_bad_values(spark, sf_dir):
 def q_csv_house_files(spark, sf_dir):
     """S2: the house list from the files' names."""
     wd = _stream_dir(spark)
-    _write_csv(readings(spark, sf_dir).select("house_id", _TIME_TEXT, "Aggregate"), f"{wd}/houses")
+    _write_csv(readings(spark, sf_dir).select("house_id", _time_text(), "Aggregate"), f"{wd}/houses")
     return ms.list_houses(ms.house_files(spark, f"{wd}/houses"))
 
 

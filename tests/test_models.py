@@ -10,6 +10,7 @@ from conftest import SF_SMALL
 from meterspark.functions.percentile import exact_percentile
 from meterspark.models import forest as FO
 from meterspark.models import kmeans as KM
+from meterspark.models import lloyd
 from meterspark.plans import catalog
 
 
@@ -168,7 +169,7 @@ def test_global_scope_models(spark):
 
 def test_kmeans_without_broadcast(spark, monkeypatch):
     """Centers too large to broadcast meet the rows in a shuffle join."""
-    monkeypatch.setattr(KM, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(lloyd, "BROADCAST_BYTES", 0)
     df = _blob_frame(spark)
     m = KM.fit_kmeans(df, k=4, restarts=2, max_iter=30, seed=7)
     a = KM.assign_clusters(df, m).toPandas()
@@ -216,3 +217,44 @@ def test_unseen_houses_stay(spark):
     placed = assign_clusters(f, fit_kmeans(seen, k=2, restarts=1))
     assert placed.count() == f.count()
     assert {r["cluster_label"] for r in placed.filter("house_id > 5").select("cluster_label").distinct().collect()} == {"Unknown"}
+
+
+def _plain_kmeans(z, rid, k, restarts, max_iter, tol, seed):
+    """Seeds and Lloyd's iterations of one scope, row by row: (inertia, restart, iterations, centers) of the best run."""
+    found = []
+    for run in range(restarts):
+        u = [lloyd.hashed_uniform(rid, seed, np.array([run]), s)[:, 0] for s in range(k)]
+        c = [z[u[0].argmin()]]
+        for s in range(1, k):
+            least = np.array([min(((x - y) ** 2).sum() for y in c) for x in z])
+            c.append(z[np.where(least > 0, -np.log(u[s]) / np.maximum(least, 1e-300), np.inf).argmin()] if least.any() else c[0])
+        c, it = np.array(c), 0
+        for it in range(1, max_iter + 1):
+            near = np.array([((x - c) ** 2).sum(axis=1).argmin() for x in z])
+            fresh = np.array([z[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(k)])
+            moved, c = ((fresh - c) ** 2).sum(), fresh
+            if moved <= tol:
+                break
+        found.append((sum(((x - c) ** 2).sum(axis=1).min() for x in z), run, it, c))
+    return min(found, key=lambda f: f[:2])
+
+
+@pytest.mark.parametrize("slice_rows, block_rows, look", [(1 << 17, 1 << 13, 6), (16, 5, 1)])
+def test_kmeans_brute(spark, monkeypatch, slice_rows, block_rows, look):
+    """Whole fits of several scopes against plain loops; rows dealt over many slices and blocks give the same."""
+    monkeypatch.setattr(lloyd, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(lloyd, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(KM, "LOOK_EVERY", look)
+    rng = np.random.default_rng(3)
+    rows = [(h, i, float(x), float(y)) for h, n in ((1, 90), (2, 40), (3, 2), (4, 5)) for i, (x, y) in enumerate(rng.normal(size=(n, 2)) * (0 if h == 4 else 1) + rng.integers(0, 4, (n, 1)) * (0 if h == 4 else 3))]
+    df = spark.createDataFrame(rows, "house_id bigint, rid bigint, Aggregate double, hour double")
+    m = KM.fit_kmeans(df, k=3, restarts=3, max_iter=25, seed=9, features=["Aggregate", "hour"], rid=F.col("rid"))
+    got = {r["house_id"]: r for r in m.inertia.collect()}
+    centers = m.centers.toPandas().sort_values(["house_id", "cluster"])
+    for h in (1, 2, 3, 4):
+        x = np.array([r[2:] for r in rows if r[0] == h])
+        sd = x.std(axis=0)
+        z = (x - x.mean(axis=0)) / np.where(sd == 0, 1, sd)
+        inertia, run, it, c = _plain_kmeans(z, np.array([r[1] for r in rows if r[0] == h]), 3, 3, 25, 1e-4 * (sd > 0).sum() / 2, 9)
+        assert got[h]["inertia"] == pytest.approx(inertia, abs=1e-9) and (got[h]["restart"], got[h]["iterations"]) == (run, it)
+        assert np.allclose(centers[centers.house_id == h][["c0", "c1"]].to_numpy(), c)
