@@ -79,6 +79,8 @@ class Lexicon:
             (self.stem if is_stem else self.word)[node] = weight
             for n in path:
                 self.edits[n] = max(self.edits[n], allowed)
+        self.terms = [(text, 0 if is_stem else (len(text) >= ONE_EDIT) + (len(text) >= TWO_EDITS), is_stem) for text, is_stem, _ in terms]
+        self.pieces: dict[int, list[tuple[int, int, int, int, frozenset]]] = {}
         self.most = KNOWN_STATES + max(self.depth)      # no word alone needs more states than the depth
         self._reset()
         self.known: dict[str, tuple[float, bool]] = {}      # words looked up before: those with a term
@@ -131,6 +133,53 @@ class Lexicon:
                 out.add((node, edits + 1))                          # a letter too many
         return self._close(out)
 
+    def _pieces_for(self, size: int) -> list[tuple[int, int, int, int, frozenset]]:
+        """What a word of that size must hold to be within the edits of a term: places
+        of two pieces, and the terms' letters there.
+
+        Of a term in quarters, one edit spares three and two spare two at least. Pieces
+        before all edits keep their distance from the word's start, those
+        behind all edits that from its end, and those between two edits are moved by one place at most."""
+        wanted: dict[tuple[int, int, int, int], set[str]] = {}
+
+        def want(a: int, one: str, b: int = 0, two: str = "") -> None:
+            if a >= 0 and b >= 0:
+                wanted.setdefault((a, a + len(one), b, b + len(two)), set()).add(one + two)
+        for text, edits, is_stem in self.terms:
+            n = len(text)
+            q, h, r = n // 4, n // 2, 3 * n // 4
+            more = size - n
+            if is_stem or not edits:
+                if n <= size if is_stem else n == size:
+                    want(0, text)
+            elif abs(more) > edits:
+                continue
+            elif edits == 1:
+                want(0, text[:r])
+                want(0, text[:h], r + more, text[r:])
+                want(0, text[:q], h + more, text[h:])
+                want(q + more, text[q:])
+            else:
+                want(0, text[:h])
+                want(h + more, text[h:])
+                want(0, text[:q], r + more, text[r:])
+                for moved in (-1, 0, 1):
+                    want(0, text[:q], h + moved, text[h:r])
+                    want(q + moved, text[q:h], r + more, text[r:])
+                    want(q + moved, text[q:r])
+        return [(*places, frozenset(pieces)) for places, pieces in wanted.items()]
+
+    def may_hit(self, word: str) -> bool:
+        """False for most words that have no term; the automaton decides on the others."""
+        if len(word) not in self.pieces:
+            if len(self.pieces) > KNOWN_LETTERS:
+                self.pieces.clear()
+            self.pieces[len(word)] = self._pieces_for(len(word))
+        for a, b, c, d, pieces in self.pieces[len(word)]:
+            if word[a:b] + word[c:d] in pieces:
+                return True
+        return False
+
     def find(self, word: str) -> tuple[float, bool] | None:
         """(weight, exact) of the best term for the word, or None."""
         state = 0
@@ -161,7 +210,7 @@ class Lexicon:
             self.known.clear()
         found = {}
         for word in set(words) - self.missed:
-            hit = self.known.get(word) or self.find(word)
+            hit = self.known.get(word) or (self.find(word) if self.may_hit(word) else None)
             if hit:
                 found[word] = hit
             if len(word) <= KNOWN_LETTERS:
