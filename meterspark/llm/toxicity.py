@@ -42,9 +42,9 @@ MIN_LIFT = 15.0             # how much more often toxic documents hold a term
 STEMS = range(3, 9)
 ONE_EDIT, TWO_EDITS = 5, 9  # letters from which a term may differ by so many edits
 WINDOW = 10
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 800_000
 KNOWN_LETTERS = 64          # longer words are looked up again each time
-KNOWN_STATES = 50_000
+KNOWN_STATES = 100_000
 THRESHOLD = 0.7
 
 TOKEN = re.compile(r"\w+")
@@ -297,8 +297,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
     return w
 
 
+_LAST: dict[tuple, Lexicon] = {}
+
+
+def shared_lexicon(terms: list[tuple[str, bool, float]]) -> Lexicon:
+    """The lexicon of these terms, with what it remembers, for all tasks of a worker; one at a time."""
+    key = tuple(terms)
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Lexicon(terms)
+    return _LAST[key]
+
+
 def _feature_batches(terms, batches):
-    lexicon = Lexicon(terms.value)
+    lexicon = shared_lexicon(terms.value)
     for batch in batches:
         for part in rows_of(batch):
             found = [lexicon.features(t or "") for t in part.column(1).to_pylist()]
