@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from meterspark.config import (ACTIVE_APPLIANCE_W, DIFF_CLIP, PCT_CLIP, ROLLING_EPS,
                                ROLLING_MIN_ROWS, ROLLING_WINDOW)
 from meterspark.functions.columns import clip, row_count_if, row_sum
-from meterspark.functions.lookup import lookup_join
 from meterspark.operators.cleaning import appliance_columns
-from meterspark.operators.windows import HouseStats, row_windows
+from meterspark.operators.windows import row_windows
 
 
 def _a():
@@ -90,14 +89,13 @@ def hourly_profile(df: DataFrame) -> DataFrame:
     return df.groupBy("house_id", "hour").agg(F.avg(_a()).alias("hourly_avg"))
 
 
-def add_hourly_pattern(df: DataFrame, houses: int | None = None) -> DataFrame:
+def add_hourly_pattern(df: DataFrame) -> DataFrame:
     """hourly_avg (mean for this hour over the whole frame) and above_hourly.
-    The profile has at most 24 rows per house; with ``houses`` known that
-    bound decides the broadcast without counting the table."""
+    The profile has at most 24 rows per house; Spark broadcasts it where its
+    size at run time is below the session's threshold, else it splits large houses."""
     if "hour" not in df.columns:
         df = df.withColumn("hour", F.hour("Time"))
-    known = 24 * houses if houses is not None else None
-    out = lookup_join(df, hourly_profile(df), ["house_id", "hour"], "left", known_rows=known)
+    out = df.join(hourly_profile(df), ["house_id", "hour"], "left")
     cols = [c for c in df.columns] + ["hourly_avg"]
     return out.select(*cols, F.coalesce((_a() > F.col("hourly_avg")).cast("int"), F.lit(0)).alias("above_hourly"))
 
@@ -107,17 +105,16 @@ def engineer_features(df: DataFrame, window: int = ROLLING_WINDOW, min_rows: int
     """All features, then the warm-up rows (null rolling stats) are dropped.
     ``unique_time``: a house has one row for each Time (see ``row_order``).
 
-    Rolling and lag columns share one window pass (one exchange, one sort);
+    Rolling and lag columns share one window pass;
     the hourly means are a partial aggregation joined back by (house, hour)."""
     halo = max(window - 1, 5)
-    stats = HouseStats(df)
     out = row_windows(df, lambda w: _rolling_cols(w, window, min_rows) + _lag_cols(w),
-                      halo=halo, order=row_order(df, unique_time), chunk_rows=chunk_rows, stats=stats)
+                      halo=halo, order=row_order(df, unique_time), chunk_rows=chunk_rows)
     out = _rate_derived(_rolling_derived(out))
     order = [c for c in df.columns] + ["rolling_mean", "rolling_std", "deviation", "z_score",
                                        "diff_1", "diff_5", "pct_change"]
     out = add_appliance_features(out.select(*order))
-    out = add_hourly_pattern(out, houses=stats.houses)
+    out = add_hourly_pattern(out)
     return out.filter(F.col("rolling_mean").isNotNull() & F.col("rolling_std").isNotNull())
 
 

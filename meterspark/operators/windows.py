@@ -1,21 +1,23 @@
 """Exact row-count windows per house that stay balanced when one house is huge.
 
-Row frames ("the previous 29 rows") need every row of a house in order. The
+Row frames ("the previous 29 rows") need the rows of a house in order. The
 plain plan, ``Window.partitionBy('house_id').orderBy('Time')``, puts a whole
 house into one task, so a house holding a third of all rows becomes a third
-of the job in one task. When any house is larger than ``chunk_rows`` we
-instead:
+of the job in one task. ``row_windows`` windows each day of a house
+on its own, whatever the house's size, next to the rows that its frames reach back to:
 
-1. count rows per (house, day): a partial aggregation, tiny output;
-2. prefix-sum the counts per house (a window over the tiny table), giving
-   each day's first row index;
-3. number rows within (house, day) -> a dense per-house row index ``_idx``;
-4. cut the index into chunks of ``chunk_rows`` rows, copy the last ``halo``
-   rows of each chunk into the next one, run the window per (house, chunk)
-   ordered by ``_idx`` and drop the copies.
+1. the last ``halo`` rows of every (house, day) are its tail (a group limit, applied
+   before the shuffle, so few rows move);
+2. the rows before a day are the last ``halo`` rows of the tails of earlier days, so
+   a tail row is carried to each day that begins within the next ``halo`` tail rows
+   of its house (a window over the tails alone, at most ``halo`` rows a day);
+3. the window runs per (house, day) over its own rows and the carried ones, which are dropped.
 
 Frames of at most ``halo + 1`` rows and lags up to ``halo`` are then exact,
-and every task holds at most ``chunk_rows + halo`` rows.
+a task holds a day's rows and ``halo`` more, and nothing is counted first.
+
+With ``chunk_rows`` the rows are numbered instead (day counts, prefix sums, positions within
+a day) and cut into chunks of so many, as the views do, which need positions.
 """
 
 from __future__ import annotations
@@ -98,17 +100,31 @@ def indexed(df: DataFrame, stats: HouseStats | None = None, with_total: bool = F
     return x
 
 
+def with_carried_rows(df: DataFrame, halo: int, order: Sequence[str], key: str = "house_id") -> DataFrame:
+    """The rows with ``_day``, and again, with ``_own`` false, the ``halo`` rows before each day of a house."""
+    rows = df.withColumn("_day", _day_of_row())
+    newest = Window.partitionBy(key, "_day").orderBy(*[F.desc(c) for c in order])
+    tails = rows.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= halo).drop("_r")
+    ahead = Window.partitionBy(key).orderBy("_day", *order).rowsBetween(1, halo)
+    reach = tails.withColumn("_days", F.collect_set("_day").over(ahead))
+    carried = reach.withColumn("_day", F.explode(F.array_except("_days", F.array("_day")))).drop("_days")
+    return rows.withColumn("_own", F.lit(True)).unionByName(carried.withColumn("_own", F.lit(False)))
+
+
 def row_windows(df: DataFrame, build: Callable[[WindowSpec], list[Column]], halo: int,
                 order: Sequence[str] = ("Time",), key: str = "house_id",
                 chunk_rows: int | None = None, stats: HouseStats | None = None) -> DataFrame:
     """Add the columns ``build(w)`` makes from a per-house window spec ``w``
-    ordered by ``order``. ``build`` may use ``w.rowsBetween(-k, 0)`` with
+    ordered by ``order``, which begins with Time. ``build`` may use ``w.rowsBetween(-k, 0)`` with
     ``k <= halo`` and ``lag(.., n)`` with ``n <= halo``.
 
-    ``chunk_rows``: None = decide from the largest house (checked on the day
-    counts); 0 = one window task per house; N = chunks of N rows.
-    ``stats``: sizes already gathered for ``df`` (saves a pass)."""
-    if chunk_rows is None or chunk_rows > 0:
+    ``chunk_rows``: None = by days with carried rows; 0 = one window task per house;
+    N = chunks of N numbered rows (``stats``: sizes already gathered for ``df``)."""
+    if chunk_rows is None:
+        rows = with_carried_rows(df, halo, order, key)
+        w = Window.partitionBy(key, "_day").orderBy(*order)
+        return rows.select("*", *build(w)).filter("_own").drop("_own", "_day")
+    if chunk_rows > 0:
         stats = stats or HouseStats(df, key)
         chunk_rows = chunk_size(stats, halo, chunk_rows)
     if not chunk_rows:

@@ -2,11 +2,13 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 import meterspark as ms
 import meterspark.operators.views  # noqa: F401
 from conftest import SF_SMALL
+from meterspark.operators.windows import row_windows
 from meterspark.plans import catalog
 
 
@@ -101,3 +103,34 @@ def test_chunks_keep_rows_without_a_time(spark):
     a, b = (row_windows(t, build, halo=4, chunk_rows=c) for c in (0, 10))
     assert a.count() == b.count() == t.count()
     assert a.groupBy("k").count().exceptAll(b.groupBy("k").count()).count() == 0
+
+
+@pytest.mark.parametrize("halo", [1, 5, 29])
+def test_days_with_carried_rows_equal_whole_houses(spark, halo):
+    """Days of one row, of many, gaps, rows without a time, equal times: the same as one window for each house."""
+    import random
+    rng = random.Random(halo)
+    rows = []
+    for house, days, most in ((1, 40, 3), (2, 3, 80), (3, 1, 1), (4, 25, 12)):
+        for d in range(days):
+            if rng.random() < 0.7:
+                rows += [(house, f"2024-0{1 + d // 28}-{1 + d % 28:02d} {rng.randrange(24):02d}:{rng.randrange(60):02d}:00", float(rng.randrange(1000))) for _ in range(rng.randrange(1, most + 1))]
+        rows += [(house, None, 5.0 + house), (house, None, 6.0)]
+    df = spark.createDataFrame(rows, "house_id bigint, t string, Aggregate double").select("house_id", F.col("t").cast("timestamp_ntz").alias("Time"), "Aggregate").repartition(5)
+
+    def build(w):
+        frame = w.rowsBetween(-halo, 0)
+        return [F.sum("Aggregate").over(frame).alias("s"), F.count("*").over(frame).alias("n"), F.collect_list("Aggregate").over(frame).alias("seen"), F.lag("Aggregate", halo).over(w).alias("back")]
+    a, b = (sorted(map(repr, row_windows(df, build, halo, order=["Time", "Aggregate"], chunk_rows=c).collect())) for c in (None, 0))
+    assert a == b and len(a) == len(rows)
+
+
+def test_features_need_no_job_before_they_are_read(spark):
+    df = ms.add_time_features(ms.downsample(ms.clean(ms.load_readings(spark, SF_SMALL)), "1 minute"))
+    spark.sparkContext.setJobGroup("features", "none yet")
+    try:
+        out = ms.engineer_features(df, unique_time=True)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("features")) == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert out.count() > 0
