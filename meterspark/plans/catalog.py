@@ -719,6 +719,17 @@ def q_model_round_trip(spark, sf_dir):
         "house_id", "Time", "anomaly_score", "is_anomaly", "cluster", "cluster_label", "cluster_distance")
 
 
+@register("model_fingerprint", """
+SELECT count(*) AS n_rows, CAST(sum(CAST(concat('0x', substr(d, 1, 15)) AS BIGINT)) AS VARCHAR) AS sum1,
+       CAST(sum(CAST(concat('0x', substr(d, 16, 15)) AS BIGINT)) AS VARCHAR) AS sum2
+FROM (SELECT md5(concat(house_id, '|', epoch_us(Time), '|', CAST(CAST(Aggregate AS DECIMAL(38, 6)) AS VARCHAR), '|',
+                        CAST(CAST(Appliance9 AS DECIMAL(38, 6)) AS VARCHAR), '|', Issues)) AS d FROM readings)""")
+def q_model_fingerprint(spark, sf_dir):
+    """S6: what tells the rows of a saved model from others."""
+    from meterspark.sources.model_store import fingerprint
+    return fingerprint(readings(spark, sf_dir).repartition(7), ["house_id", "Time", "Aggregate", "Appliance9", "Issues"])
+
+
 @register("forest_fit_report", """
 SELECT house_id, n AS "rows", CAST(200 AS BIGINT) AS trees, least(256, n) AS psi, CAST(ceil(log2(greatest(least(256, n), 2))) AS INTEGER) AS max_depth,
        CASE WHEN least(256, n) > 2 THEN 2.0::DOUBLE * (ln(least(256, n) - 1) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * (least(256, n) - 1) / least(256, n)

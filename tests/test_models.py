@@ -1,5 +1,7 @@
 """Model invariants: percentile, forest, k-means (local and distributed)."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -145,6 +147,23 @@ def test_model_store_round_trip(spark, tmp_dir):
     assert f1.nodes.count() > 0 and f1.params.count() == 1
 
 
+def test_saved_models_go_with_their_rows(spark, tmp_dir):
+    """Other rows are fitted anew, the same rows in another order are not."""
+    from meterspark.sources.model_store import fingerprint, fit_or_load
+    df = _blob_frame(spark)
+    fit = lambda rows: fit_or_load(rows, tmp_dir, "kmeans", k=2, restarts=1, seed=1, max_iter=3)
+    fit(df)
+    fit(df.repartition(5))
+    assert len([d for d in os.listdir(tmp_dir) if d.startswith("kmeans")]) == 1
+    fit(df.withColumn("Aggregate", F.col("Aggregate") + F.when(F.rand(3) < 0.01, 1.0).otherwise(0.0)))
+    fit(df.limit(df.count() - 1))
+    assert len([d for d in os.listdir(tmp_dir) if d.startswith("kmeans")]) == 3
+    odd = spark.createDataFrame([(1, None, float("nan")), (1, None, None), (None, "x", float("inf"))], "house_id bigint, s string, v double")
+    a, b = fingerprint(odd, odd.columns).first(), fingerprint(odd.filter("s is null"), odd.columns).first()
+    assert a["n_rows"] == 3 and b["n_rows"] == 2 and a["sum1"] != b["sum1"]
+    assert tuple(fingerprint(odd.limit(0), odd.columns).first()) == (0, "0", "0")
+
+
 def test_fit_score_equals_fit_then_score(spark):
     df = _outlier_frame(spark)
     m, scored = FO.fit_score_forest(df, contamination=0.05, trees=20, seed=3)
