@@ -30,16 +30,15 @@ MIN_LINE_WORDS = 3              # shorter lines are not judged by their punctuat
 MAX_SYMBOLS_PER_WORD = 0.25     # punctuation: decoration around the words
 MAX_SHOUT_PER_WORD = 0.5        # punctuation: "!!" or "??" after words
 SHOUT = "[!?]{2,}"
-MIN_BARS = 2                    # navigation: separators between entries
+MIN_BARS = 2                    # navigation: separators between entries,
+MAX_ENTRY_WORDS = 4             # which have no more words than that on average
+BARS, RIGHT, LEFT = "[|›]", "»", "«"    # » separates only in a line without «; the two are quotation marks
 NAVIGATION = r"[|»›]"
 #: Boilerplate by its number of words. Phrases count in any case and as whole words, and
 #: fail a line where they make up this part of its words.
 PHRASES = {2: ["privacy policy", "accept cookies", "enable javascript", "lorem ipsum", "click here", "read more", "subscribe to"],
            3: ["all rights reserved", "terms of use", "terms of service", "use of cookies", "back to top"]}
 MIN_BOILERPLATE = 0.3
-#: Phrases of OP4_SQL, which tests for them as bare parts of a line.
-BOILERPLATE = ["ll rights reserved", "erms of use", "erms of service", "rivacy policy", "se of cookies", "ccept cookies",
-               "nable javascript", "orem ipsum", "lick here", "ead more", "ubscribe to", "ack to top"]
 FEW = 64                        # repeated hashes that are looked up one by one
 MAX_LOST = 0.5                  # part of the words that a kept document may lose
 
@@ -109,7 +108,8 @@ def line_fails(line: Column) -> Column:
     n = F.regexp_count(line, F.lit(WORD))
     decorated = F.regexp_count(line, F.lit(SYMBOLS + "+")) > MAX_SYMBOLS_PER_WORD * n
     shouted = F.regexp_count(line, F.lit(SHOUT)) > MAX_SHOUT_PER_WORD * n
-    navigation = F.regexp_count(line, F.lit(NAVIGATION)) >= MIN_BARS
+    bars = F.regexp_count(line, F.lit(BARS)) + F.when(line.contains(LEFT), F.lit(0)).otherwise(F.regexp_count(line, F.lit(RIGHT)))
+    navigation = F.when(line.rlike(NAVIGATION), (bars >= MIN_BARS) & (n <= MAX_ENTRY_WORDS * (bars + 1))).otherwise(F.lit(False))
     return ((n >= MIN_LINE_WORDS) & (decorated | shouted)) | navigation | _boilerplate(line, n)
 
 
@@ -178,12 +178,15 @@ WITH t AS (
   SELECT doc_id, sum(CASE WHEN step IS NULL OR step > 8 THEN 8 ELSE step END) AS n FROM twice GROUP BY doc_id
 ), judged AS (
   SELECT doc_id, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, len(regexp_extract_all(line, '[#*$%&|<>]+')) AS symbols,
-         len(regexp_extract_all(line, '[!?]{2,}')) AS shouts, len(regexp_extract_all(line, '[|»›]')) AS bars, line
-  FROM (SELECT doc_id, unnest(lines) AS line FROM t)
+         len(regexp_extract_all(line, '[!?]{2,}')) AS shouts,
+         len(regexp_extract_all(line, '[|›]')) + CASE WHEN contains(line, '«') THEN 0 ELSE len(regexp_extract_all(line, '»')) END AS bars,
+         -- what is no letter or digit stands twice, so that neighbouring phrases need not share it
+         2 * len(regexp_extract_all(twice, '(?:^|[^\p{L}\p{N}])(?:privacy  policy|accept  cookies|enable  javascript|lorem  ipsum|click  here|read  more|subscribe  to)(?:[^\p{L}\p{N}]|$)'))
+         + 3 * len(regexp_extract_all(twice, '(?:^|[^\p{L}\p{N}])(?:all  rights  reserved|terms  of  use|terms  of  service|use  of  cookies|back  to  top)(?:[^\p{L}\p{N}]|$)')) AS phrase_words
+  FROM (SELECT doc_id, line, regexp_replace(lower(line), '([^\p{L}\p{N}])', '\1\1', 'g') AS twice FROM (SELECT doc_id, unnest(lines) AS line FROM t))
 ), lost AS (
   SELECT doc_id, sum(n) AS n FROM judged
-  WHERE (n >= 3 AND (symbols > 0.25 * n OR shouts > 0.5 * n)) OR bars >= 2 OR
-        len(list_filter([PHRASES], lambda p: contains(line, p))) > 0
+  WHERE (n >= 3 AND (symbols > 0.25 * n OR shouts > 0.5 * n)) OR (bars >= 2 AND n <= 4 * (bars + 1)) OR (phrase_words >= 1 AND phrase_words >= 0.3 * n)
   GROUP BY doc_id
 ), base AS (
   SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
@@ -195,4 +198,4 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(coalesce(c.n,
        n_words < 20 OR 100 * coalesce(c.n, 0) > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * coalesce(c.n, 0) > 30 * n_words) AND coalesce(l.n, 0) <= 0.5 * n_words AS kept
 FROM base b LEFT JOIN covered c ON b.doc_id = c.doc_id LEFT JOIN lost l ON b.doc_id = l.doc_id
-""".replace("PHRASES", ", ".join(f"'{p}'" for p in BOILERPLATE))
+"""

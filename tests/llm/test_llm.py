@@ -203,7 +203,44 @@ def test_line_dedup_odd(spark, odd, empty):
 def brute_line_fails(line):
     n = len(re.findall(r"[^\x20\x09-\x0D]+", line))
     punctuation = n >= 3 and (4 * len(re.findall("[#*$%&|<>]+", line)) > n or 2 * len(re.findall("[!?]{2,}", line)) > n)
-    return punctuation or len(re.findall("[|»›]", line)) >= 2 or any(p in line for p in quality.BOILERPLATE)
+    bars = len(re.findall("[|›]", line)) + (0 if "«" in line else line.count("»"))
+    two = "privacy policy|accept cookies|enable javascript|lorem ipsum|click here|read more|subscribe to"
+    three = "all rights reserved|terms of use|terms of service|use of cookies|back to top"
+    told = sum(k * len(re.findall(rf"(?<![^\W_])(?:{p})(?![^\W_])", line.lower())) for k, p in ((2, two), (3, three)))
+    return punctuation or (bars >= 2 and n <= 4 * (bars + 1)) or (told >= 1 and 10 * told >= 3 * n)
+
+
+LANGUAGES = ["Il a dit « viens avec moi » puis elle a répondu « pas avant la fin de la semaine » et ils sont partis ensemble vers la gare du nord.",
+             "Er sagte »komm doch mit uns nach Hause« und sie antwortete »erst wenn der Zug am Abend wieder in die Stadt fährt« und dann gingen beide.",
+             "The shell runs a | b or b | c in the same way, and whoever reads the manual with some care will find both forms explained there at length.",
+             "El autor escribe «vuelve pronto a casa» y después «no sin ver el mar otra vez» porque la carta quedó abierta sobre la mesa del salón."]
+
+
+def test_quotations_and_bars_in_sentences_are_kept(spark):
+    """Lines, also whole documents of one line, with quotation marks or a few bars among their words; menus of short entries go."""
+    rows = [(i, line + " " + prose(i, 40), "a") for i, line in enumerate(LANGUAGES)]
+    got = {r["doc_id"]: r for r in quality.quality(frame(spark, rows)).collect()}
+    assert all(got[i]["kept"] and got[i]["lost_share"] == 0 for i in got) and len(got) == 4
+    menus = ["Home | News | About us", "Start » Themen » Wetter", "Inicio › Noticias › El tiempo", "Accueil | Sports et loisirs | Nous écrire | Plan du site", "a | b | c d e"]
+    fails = [r["f"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(menus + LANGUAGES)], "i int, t string").select("i", quality.line_fails(F.col("t")).alias("f")).orderBy("i").collect()]
+    assert fails == [True] * 5 + [False] * 4
+    assert fails == [brute_line_fails(t) for t in menus + LANGUAGES]
+    docs = [(i, "\n".join([prose(i, 90), *menus]), "a") for i in range(2)]
+    assert {r["text"] for r in quality.clean(frame(spark, docs)).collect()} == {prose(0, 90), prose(1, 90)}
+
+
+def test_quality_sql_states_the_rules(spark):
+    """The SQL against the operator on lines that each rule decides, near its limits."""
+    lines = LANGUAGES + ["Read more read more", "READ MORE, click here!", "spread more", "x " * 5 + "read more", "x " * 4 + "read more", "a | b", "a | b | " + "c " * 10, "a | b | " + "c " * 11,
+                         "» a » b", "« a » b »", "wow!! really?? yes", "## a b c", "# a b c d", "Ⅸ read more Ⅸ", "back to top back to top x y z", "_read more_", "read  more", ""]
+    rows = [(i, line + "\n" + prose(i, len(line.split()) or 1), "a") for i, line in enumerate(lines)] + [(100 + i, "\n".join([line] * 3 + [prose(i, 25)]), "a") for i, line in enumerate(lines)]
+    docs = frame(spark, rows)
+    got = quality.quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").toPandas()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert digest(got) == digest(con.execute(quality.OP4_SQL).df())
+    lost = {r["doc_id"]: r["lost_share"] > 0 for r in quality.quality(docs).collect()}
+    assert [lost[i] for i in range(len(lines))] == [brute_line_fails(t) and bool(t.split()) for t in lines]
 
 
 def test_quality_removes_failing_lines(spark):
