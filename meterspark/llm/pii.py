@@ -5,9 +5,11 @@ field adds spans that the patterns miss. It labels the tokens of a text with a
 kind or none, from the shapes of a token and its neighbours and from checks of
 its digits; Viterbi finds the best labels, in numpy over batches of sequences.
 
-The model is trained here on a small labelled table: the tokens around the base
-spans, and around other tokens with digits, of at most ``TRAIN_DOCS`` documents
-(chosen by hash), each labelled with the kind of the base span that covers it.
+The model is trained here on a small labelled table (``pii_table``): ``TABLE_ROWS``
+written texts whose spans are known, among them spans that the patterns miss and
+look-alikes that are no personal data. A kind of its own, secret, comes after the base
+kinds. A span that the field adds must pass an exact check of its kind (digits, Luhn,
+address syntax) and must not meet a base span.
 
 By the model's definition only a token with a digit or '@' can have a kind; all
 others are labelled none. A run of such tokens is then independent of the
@@ -19,6 +21,7 @@ no shuffle; the model is a few thousand numbers.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from functools import partial
 
@@ -28,22 +31,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterspark.llm.common import read, rows_of
+from meterspark.llm.pii_table import KINDS, TABLE_ROWS, labelled_table
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = KINDS[:4]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+GAP = " \t\n\x0b\x0c\r=\"'<>|"      # between tokens
+TOKEN = re.compile(r"[^\x20\x09-\x0D=\"'<>|]+")
+MAIL = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")
 MARK = re.compile("[0-9@]")
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|"
 
-TRAIN_DOCS = 600            # documents that the labelled table is made from
-TRAIN_RUNS = 4000           # runs of tokens in the labelled table
 STEPS = 120
-LABELS = len(KINDS) + 1     # 0: none
+AHEAD = 2                   # tokens before a run that its features see
+LABELS = 2 * len(KINDS) + 1     # 0: none; 1 + 2 k begins a span of kind k, 2 + 2 k goes on with it
 MIN_SEEN = 2                # runs that hold a feature of the model
+COUNTS = ("n_email", "n_ip", "n_card", "n_phone")
 
 
 def digits_of(text: str) -> str:
@@ -100,40 +106,72 @@ def shape(token: str) -> str:
     return out if len(out) <= 40 else out[:20] + "~" + out[-20:]
 
 
+def _address(text: str) -> bool:
+    try:
+        return bool(ipaddress.ip_address(text))
+    except ValueError:
+        return False
+
+
 def token_features(tokens: list[str], i: int) -> list[str]:
     core = tokens[i].strip(EDGE)
     d = digits_of(core)
-    before, after = (shape(tokens[i - 1].strip(EDGE)) if i else "^"), (shape(tokens[i + 1].strip(EDGE)) if i + 1 < len(tokens) else "$")
-    own = shape(core)
-    return ["shape " + own, "kinds " + re.sub(r"\d+", "", own), f"digits {min(len(d), 20)}", f"at {core.count('@')}", f"dots {min(core.count('.'), 4)}",
-            f"luhn {len(d)} {luhn(d)}" if 14 <= len(d) <= 19 else "luhn -", f"octets {_octets(core)}" if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", core) else "octets -",
-            "plus" if tokens[i][:1] == "+" else "no plus", "before " + before, "after " + after, "both " + before + " " + own]
+    near = [tokens[j].strip(EDGE) if 0 <= j < len(tokens) else "^" for j in (i - 2, i - 1, i + 1)]
+    own, before, after = shape(core), shape(near[1]), shape(near[2])
+    mix = "".join(c for c, p in zip("aA9.", ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")) if re.search(p, core))
+    switches = len(re.findall("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])", core))
+    out = ["shape " + own, "kinds " + re.sub(r"\d+", "", own), f"digits {min(len(d), 20)}", f"at {core.count('@')}", f"mail {MAIL.fullmatch(core) is not None}", f"dots {min(core.count('.'), 4)}",
+           f"luhn {luhn(d)}" if 14 <= len(d) <= 19 else "luhn -", f"address {_address(core)}" if 2 < len(core) < 46 and core.count(".") + core.count(":") > 1 else "address -",
+           "plus" if tokens[i][:1] == "+" else "no plus", "bracket" if tokens[i][:1] == "(" else "no bracket", "before " + before, "after " + after, "both " + before + " " + own,
+           "mix " + mix, f"size {min(len(core), 64) // 4} {mix}", f"switches {min(switches, 12) // 2}"]
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", core) and len(d) < len(core):
+        out.append(f"hex {min(len(core), 64) // 8}")
+    for place, word in zip(("second", "first"), near):
+        word = word.rstrip("-_.").lower()
+        if len(word) <= 16 and re.fullmatch("[a-z_-]+", word):
+            out += [f"{place} {word}", f"{place} {word} {mix} {len(core) > 15}"]
+    return out
+
+
+def _before(text: str, start: int) -> list[str]:
+    """Up to ``AHEAD`` tokens that end before ``start``."""
+    out = []
+    while len(out) < AHEAD:
+        while start and text[start - 1] in GAP:
+            start -= 1
+        if not start:
+            break
+        end = start
+        while start and text[start - 1] not in GAP:
+            start -= 1
+        out.append(text[start:end])
+    return out[::-1]
 
 
-def runs(text: str) -> list[tuple[list[str], list[tuple[int, int]]]]:
+def runs(text: str) -> list[tuple[list[str], list[tuple[int, int]], int]]:
     """Runs of neighbouring tokens that have a digit or '@': the tokens with
-    one more on each side, and the spans of the run's own tokens without outer punctuation."""
+    some before and one after, the spans of the run's own tokens without outer
+    punctuation, and the number of tokens before."""
     out, current = [], []
     if not MARK.search(text):
         return out
     marked = [m.span() for m in TOKEN.finditer(text) if MARK.search(m.group())]
     for span in marked:
-        if current and text[current[-1][1]:span[0]].strip(" \t\n\x0b\x0c\r"):
+        if current and text[current[-1][1]:span[0]].strip(GAP):
             out.append(current)
             current = []
         current.append(span)
     out += [current] if current else []
     found = []
     for spans in out:
-        left = TOKEN.findall(text, max(0, spans[0][0] - 40), spans[0][0])[-1:]
-        right = TOKEN.findall(text, spans[-1][1], spans[-1][1] + 40)[:1]
+        left, right = _before(text, spans[0][0]), TOKEN.search(text, spans[-1][1])
         cores = []
         for a, b in spans:
             token = text[a:b]
             head = len(token) - len(token.lstrip(EDGE))
             cores.append((a + head, max(a + head, a + len(token.rstrip(EDGE)))))
-        found.append((left, [text[a:b] for a, b in spans], right, cores))
-    return [(l + own + r, cores, len(l)) for l, own, r, cores in found]
+        found.append((left + [text[a:b] for a, b in spans] + ([right.group()] if right else []), cores, len(left)))
+    return found
 
 
 def run_features(tokens: list[str], n: int, lead: int) -> list[list[str]]:
@@ -179,9 +217,8 @@ class Model:
         return [out[i, :k].tolist() for i, k in enumerate(lengths)]
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=1, keepdims=True)
 
 
 def fit(table: list[tuple[list[list[str]], list[int]]], steps: int = STEPS, ridge: float = 0.02) -> Model:
@@ -206,6 +243,9 @@ def fit(table: list[tuple[list[list[str]], list[int]]], steps: int = STEPS, ridg
             at += known
             places += [i * steps_in + j] * len(known)
     at, places = np.array(at), np.array(places)
+    used, starts = np.unique(places, return_index=True)        # places ascend
+    by_feature = np.argsort(at, kind="stable")
+    features, feature_starts = np.unique(at[by_feature], return_index=True)
     inside = np.arange(steps_in)[None] < lengths[:, None]
     truth = np.zeros((n, steps_in, LABELS))
     truth[np.arange(n)[:, None], np.arange(steps_in)[None], gold] = 1
@@ -219,27 +259,27 @@ def fit(table: list[tuple[list[list[str]], list[int]]], steps: int = STEPS, ridg
     slopes = [(np.zeros_like(p), np.zeros_like(p)) for p in (model.weights, model.moves)]
     for step in range(1, steps + 1):
         emit = np.zeros((n * steps_in, LABELS))
-        np.add.at(emit, places, model.weights[at])
+        emit[used] = np.add.reduceat(model.weights[at], starts)
         emit = emit.reshape(n, steps_in, LABELS)
-        ahead, back = np.zeros_like(emit), np.zeros_like(emit)
-        ahead[:, 0] = emit[:, 0] + model.moves[0]
+        here, through = np.exp(emit - emit.max(axis=2, keepdims=True)), np.exp(model.moves)
+        ahead, back = np.zeros_like(emit), np.zeros_like(emit)          # each row scaled to a sum of one
+        ahead[:, 0] = _scaled(here[:, 0] * through[0])
         for j in range(1, steps_in):
-            now = _logsum(ahead[:, j - 1, :, None] + model.moves[None], 1) + emit[:, j]
-            ahead[:, j] = np.where(inside[:, j, None], now, ahead[:, j - 1])
-        z = _logsum(ahead[:, -1] + model.moves[:, 0], 1)
-        back[:, -1] = model.moves[:, 0]
+            ahead[:, j] = np.where(inside[:, j, None], _scaled(ahead[:, j - 1] @ through * here[:, j]), ahead[:, j - 1])
+        back[:, -1] = through[:, 0]
         for j in range(steps_in - 2, -1, -1):
-            now = _logsum(model.moves[None] + (emit[:, j + 1] + back[:, j + 1])[:, None, :], 2)
-            back[:, j] = np.where(inside[:, j + 1, None], now, model.moves[:, 0])
-        some = np.exp(ahead + back - z[:, None, None]) * inside[..., None]
+            back[:, j] = np.where(inside[:, j + 1, None], _scaled(here[:, j + 1] * back[:, j + 1] @ through.T), through[:, 0])
+        some = ahead * back
+        some *= inside[..., None] / some.sum(axis=2, keepdims=True)
         both = np.zeros((LABELS, LABELS))
         both[0] += some[:, 0].sum(axis=0)
         both[:, 0] += some[np.arange(n), lengths - 1].sum(axis=0)
         for j in range(1, steps_in):
-            joint = np.exp(ahead[:, j - 1, :, None] + model.moves[None] + (emit[:, j] + back[:, j])[:, None, :] - z[:, None, None])
-            both += joint[inside[:, j]].sum(axis=0)
+            on = inside[:, j]
+            before, after = ahead[on, j - 1], here[on, j] * back[on, j]
+            both += through * (before.T @ (after / (before @ through * after).sum(axis=1, keepdims=True)))
         slope = np.zeros_like(model.weights)
-        np.add.at(slope, at, (truth - some).reshape(-1, LABELS)[places])
+        slope[features] = np.add.reduceat((truth - some).reshape(-1, LABELS)[places[by_feature]], feature_starts)
         for p, g, (m, v) in zip((model.weights, model.moves), (slope - ridge * model.weights, pairs - both - ridge * model.moves), slopes):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -247,27 +287,46 @@ def fit(table: list[tuple[list[list[str]], list[int]]], steps: int = STEPS, ridg
     return model
 
 
-def labelled(text: str) -> list[tuple[list[list[str]], list[int]]]:
-    """The runs of a text, each token labelled with the kind of the base span over it."""
-    base, out = base_spans(text), []
+def labelled(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[list[list[str]], list[int]]]:
+    """The runs of a text, each token labelled by the span over it."""
+    out = []
     for tokens, cores, lead in runs(text):
-        kinds = [next((k + 1 for s, k, e in base if s < b and a < e), 0) for a, b in cores]
-        out.append((run_features(tokens, len(cores), lead), kinds))
+        over = [next((s for s in spans if s[0] < b and a < s[2]), None) for a, b in cores]
+        labels = [0 if s is None else 1 + 2 * s[1] + (i > 0 and over[i - 1] == s) for i, s in enumerate(over)]
+        out.append((run_features(tokens, len(cores), lead), labels))
     return out
 
 
+def holds(kind: int, text: str) -> bool:
+    """The exact check of an added span."""
+    d, name = digits_of(text), KINDS[kind]
+    if name == "email":
+        return MAIL.fullmatch(text) is not None
+    if name == "ip":
+        return _address(text)
+    if name == "secret":
+        return len(text) >= 8 and not any(c in GAP for c in text.rstrip("="))
+    return not re.search(r"[^\W\d_]", text) and (14 <= len(d) <= 19 and luhn(d) if name == "card" else 7 <= len(d) <= 15)
+
+
 def added_spans(text: str, found: list, labels: list[list[int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Neighbouring tokens of one kind as spans, without those that meet a base span."""
+    """Spans of the labelled tokens that pass their check, without those that meet a base span."""
     out = []
     for (_, cores, _), row in zip(found, labels):
         i = 0
         while i < len(row):
             j = i
-            while j + 1 < len(row) and row[j + 1] == row[i]:
-                j += 1
-            a, b = cores[i][0], cores[j][1]
-            if row[i] and a < b and not any(s < b and a < e for s, _, e in base):
-                out.append((a, row[i] - 1, b))
+            if row[i]:
+                kind = (row[i] - 1) // 2
+                while j + 1 < len(row) and row[j + 1] == 2 + 2 * kind:
+                    j += 1
+                a, b = cores[i][0], cores[j][1]
+                if text[a - 1:a] in ("+", "("):                 # outer punctuation that belongs to a number
+                    a -= KINDS[kind] == "phone"
+                if KINDS[kind] == "secret":                     # base64 padding
+                    b += 2 if text[b:b + 2] == "==" else text[b:b + 1] == "="
+                if a < b and holds(kind, text[a:b]) and not any(s < b and a < e for s, _, e in base):
+                    out.append((a, kind, b))
             i = j + 1
     return out
 
@@ -276,53 +335,40 @@ def _find_batches(model, batches):
     crf = model.value
     for batch in batches:
         for part in rows_of(batch):
-            out = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")}
+            out = {k: [] for k in COUNTS + ("base_sha256", "spans", "n_added")}
             texts = [t or "" for t in part.column(1).to_pylist()]
             found = [runs(t) for t in texts]
             asked = [run_features(tokens, len(cores), lead) for f in found for tokens, cores, lead in f]
             labels = iter([x for at in range(0, len(asked), 512) for x in crf.viterbi(asked[at:at + 512])])
             for text, f in zip(texts, found):
                 base = base_spans(text)
-                every = sorted(base + added_spans(text, f, [next(labels) for _ in f], base))
-                for k, kind in enumerate(KINDS):
+                added = added_spans(text, f, [next(labels) for _ in f], base)
+                for k, kind in enumerate(BASE_KINDS):
                     out["n_" + kind].append(sum(s[1] == k for s in base))
                 out["base_sha256"].append(hashlib.sha256(written(base).encode()).hexdigest())
-                out["spans"].append(written(every))
+                out["spans"].append(written(sorted(base + added)))
+                out["n_added"].append(len(added))
             yield pa.RecordBatch.from_arrays([part.column(0)] + [pa.array(v, pa.string() if k in ("base_sha256", "spans") else pa.int64()) for k, v in out.items()], ["doc_id", *out])
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_runs: int = TRAIN_RUNS) -> Model:
-    """The model from the first ``train_docs`` documents by hash that have a
-    digit or '@'; of their runs the first ``train_runs`` by hash."""
-    ids = docs.filter(F.col("text").rlike("[0-9@]")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")             # bounded by train_docs
-    windows = rows.mapInArrow(_window_batches, "text string").orderBy(F.xxhash64("text"), "text").limit(train_runs).collect()
-    table = [x for r in windows for x in labelled(r["text"])]
-    return fit(table)
-
-
-def _window_batches(batches):
-    """The labelled table's texts: each run with some text on both sides."""
-    for batch in batches:
-        out = []
-        for text in batch.column(1).to_pylist():
-            for _, cores, _ in runs(text or ""):
-                if len(cores) <= 40:                 # longer runs are no use for training
-                    out.append(text[max(0, cores[0][0] - 60):cores[-1][1] + 60])
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
+def train(table: list[tuple[str, list[tuple[int, int, int]]]] | None = None) -> Model:
+    """The model from a labelled table of texts with their spans (start, kind, end);
+    without one, from the ``TABLE_ROWS`` written rows of ``pii_table``."""
+    table = labelled_table(TABLE_ROWS) if table is None else table
+    return fit([x for text, spans in table for x in labelled(text, spans)])
 
 
 def find_pii(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans
-    (all spans) for each input row.
+    (all spans), n_added (spans that the field adds) for each input row.
 
     A null or empty text has no spans. Repeated rows and null doc_ids come out
     as they came in; an empty table gives no rows. Other columns are ignored."""
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(partial(_find_batches, docs.sparkSession.sparkContext.broadcast(model)),
-                           "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+                           "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return find_pii(docs, train(docs))
+    return find_pii(docs, train())

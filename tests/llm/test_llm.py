@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SF_SMALL
-from meterspark.llm import chat, decontam, linededup, mixing, pii, quality, registry, simhash, tokens, toxicity, urlfilter
+from meterspark.llm import chat, decontam, linededup, mixing, pii, pii_table, quality, registry, simhash, tokens, toxicity, urlfilter
 from meterspark.llm.common import scratch
 from oracle_check import digest, duck
 
@@ -488,12 +488,36 @@ def test_pii_query(spark):
         assert set(pii.written(base).split(",")) <= set(row.spans.split(",")) or not base
 
 
+def test_crf_on_a_held_out_table():
+    """Spans that the patterns miss, of written rows that the field was not fitted on."""
+    model, hit, extra, lost = pii.train(), 0, 0, 0
+    for text, spans in pii_table.labelled_table(1000, seed=99):
+        base, found = plain_spans(text), pii.runs(text)
+        got = set(pii.added_spans(text, found, model.viterbi([pii.run_features(t, len(c), n) for t, c, n in found]), base))
+        want = {s for s in spans if not any(a < s[2] and s[0] < b for a, _, b in base)}
+        hit, extra, lost = hit + len(got & want), extra + len(got - want), lost + len(want - got)
+    assert hit > 500 and hit / (hit + extra) > 0.97 and hit / (hit + lost) > 0.97
+
+
+def test_crf_finds_the_secrets_of_the_documents(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.find_pii(docs, pii.train()).collect()}
+    for r in docs.collect():
+        for m in re.finditer('(?i)token = "([0-9a-f]{40})"', r["text"] or ""):
+            assert f"secret:{m.start(1)}:{m.end(1)}" in got[r["doc_id"]]
+
+
 def test_crf_adds_what_patterns_miss(spark, odd, empty):
-    model = pii.train(spark.read.parquet(f"{SF_SMALL.replace('sf0.001', 'sf0.1')}/documents.parquet"))
+    model = pii.train()
     joined = "pay 7536784127813050 4845168114407329 now"                  # the pattern takes both as one number and drops it
     assert not pii.base_spans(joined) and pii.luhn("7536784127813050")
     got = pii.find_pii(frame(spark, [(1, joined, "a")]), model).first()["spans"]
     assert "card:4:20" in got
+    hexes = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    cases = {f'set token = "{hexes}" now': f"secret:13:{13 + len(hexes)}", f"in commit {hexes} fixed": "", f"TOKEN = \"{hexes.upper()}\"!!": f"secret:9:{9 + len(hexes)}", "Licensed under CC BY-NC 4.0.": "", "mail jürgen@müller.de please": "email:5:21",
+             "host 2001:db8::7 is up": "ip:5:16", "card 4929/3483/8514/6306 here": "card:5:24", "card 4929/3483/8514/6307 here": "", "call (030) 555-7713 now": "phone:5:19", "on 2020-01-02 at 12:30": "", "x " * 50000 + "y9": ""}
+    rows = pii.find_pii(frame(spark, [(i, t, "a") for i, t in enumerate(cases)]), model).orderBy("doc_id").collect()
+    assert [r["spans"] for r in rows] == list(cases.values()) and all(r["n_added"] == (r["spans"] != "") for r in rows)
     assert pii.find_pii(odd, model).count() == 8 and pii.find_pii(empty, model).count() == 0
 
 
