@@ -13,22 +13,26 @@ Every stretch of ``seed`` tokens gets a Karp-Rabin hash, in numpy over the chara
 of a text: prefix sums give the hash of each word, and a running polynomial
 over the words that of each stretch. The hashes of the items fill a bitmap of
 a fixed size, which tasks use to leave out stretches that no item holds; what
-passes joins the items' stretches by hash. Equal stretches on one diagonal
-of an item and a document are one match; the longest unmarked match becomes a
-tile again and again.
+passes joins the items' stretches by hash. A document and an item then come
+together as the places of their shared stretches, never as pairs of places.
+Running Karp-Rabin finds the longest unmarked match, which becomes a tile, again and
+again: for each match length, from the longest that occurs down to a stretch,
+the windows of that length in the item go into a table by rolling hash, and those of
+the document are looked up; every hit is compared in full.
 
 Scale: texts never leave the scan, only stretches that (with few exceptions)
 some item holds. The join has one row per shared stretch, and a stretch that
 a third of all documents share is split by the skew join. A tiling group is
-one document and one item. The bitmap is ``2 ** bits`` bits (1 MB) at any
+one document and one item, as many places as both have. A token above ``PART``
+characters is hashed in pieces. The bitmap is ``2 ** bits`` bits (1 MB) at any
 number of items; more items only make it pass more.
 """
 
 from __future__ import annotations
 
-import heapq
 import unicodedata
-from functools import partial
+from collections import deque
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -105,34 +109,42 @@ def stretch_hashes(tokens: np.ndarray, seed: int) -> np.ndarray:
     return (total ^ (total >> np.uint64(31))) * np.uint64(STEP)
 
 
+def _by_hash(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The distinct hashes, and for each the list of its places."""
+    order = np.argsort(hashes, kind="stable")
+    found, starts = np.unique(hashes[order], return_index=True)
+    return found, pa.ListArray.from_arrays(pa.array(np.append(starts, len(places)), pa.int32()), pa.array(places[order], pa.int32()))
+
+
+def _stretch_batches(batch, keys: int, text_at: int, name: str, seed: int, passes):
+    """For each text of a batch a row for each of its stretches that ``passes``:
+    the first ``keys`` columns, the text's tokens, the hash and its places."""
+    for part in rows_of(batch):
+        rows, sizes, hashes, places = [np.zeros(0, np.int64)], [], [np.zeros(0, np.uint64)], [pa.array([], pa.list_(pa.int32()))]
+        for row, text in enumerate(part.column(text_at).to_pylist()):
+            tokens = token_hashes(text or "")
+            found = stretch_hashes(tokens, seed)
+            at = np.flatnonzero(passes(found))
+            own, lists = _by_hash(found[at], at)
+            rows.append(np.full(len(own), row, np.int64))
+            sizes += [len(tokens)] * len(own)
+            hashes.append(own)
+            places.append(lists)
+        rows = pa.array(np.concatenate(rows))
+        yield pa.RecordBatch.from_arrays([part.column(i).take(rows) for i in range(keys)] + [pa.array(sizes, pa.int32()), pa.array(np.concatenate(hashes).view(np.int64)), pa.concat_arrays(places)],
+                                         [*part.schema.names[:keys], "n_tokens", "h", name])
+
+
 def _item_batches(seed: int, batches):
     for batch in batches:
-        for part in rows_of(batch):
-            ids, pos, hashes, sizes = [], [], [], []
-            for item, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                tokens = token_hashes(text or "")
-                found = stretch_hashes(tokens, seed)
-                ids += [item] * len(found)
-                pos += range(len(found))
-                sizes += [len(tokens)] * len(found)
-                hashes.append(found)
-            joined = np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(sizes, pa.int32()), pa.array(joined)], ["item_id", "ipos", "n_tokens", "h"])
+        yield from _stretch_batches(batch, 2, 2, "ipos", seed, lambda found: np.ones(len(found), bool))
 
 
 def _doc_batches(seed: int, bitmap, bits: int, batches):
     table = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).astype(bool)
     for batch in batches:
-        for part in rows_of(batch):
-            rows, pos, hashes = [], [], []
-            for row, text in enumerate(part.column(2).to_pylist()):
-                found = stretch_hashes(token_hashes(text or ""), seed)
-                at = np.flatnonzero(table[found >> np.uint64(64 - bits)]).astype(np.int32)
-                rows.append(np.full(len(at), row, np.int64))
-                pos.append(at)
-                hashes.append(found[at])
-            rows = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(np.concatenate(pos)), pa.array(np.concatenate(hashes).view(np.int64))], ["doc_id", "version", "dpos", "h"])
+        for found in _stretch_batches(batch, 2, 2, "dpos", seed, lambda found: table[found >> np.uint64(64 - bits)]):
+            yield found.select(["doc_id", "version", "h", "dpos"])
 
 
 def seed_bitmap(items: DataFrame, bits: int = BITS) -> bytes:
@@ -147,42 +159,112 @@ def seed_bitmap(items: DataFrame, bits: int = BITS) -> bytes:
     return table.tobytes()
 
 
-def tiles(pairs: list[tuple[int, int]], seed: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (document position, item position, length) from the
-    positions of equal stretches. Of equally long matches the first in the
-    document goes first."""
-    pairs = sorted(set(pairs), key=lambda x: (x[0] - x[1], x[0]))
-    heap, start = [], 0
-    for i in range(1, len(pairs) + 1):
-        if i == len(pairs) or pairs[i][0] - pairs[i][1] != pairs[i - 1][0] - pairs[i - 1][1] or pairs[i][0] != pairs[i - 1][0] + 1:
-            heap.append((-(i - start + seed - 1), *pairs[start]))
-            start = i
-    heapq.heapify(heap)
-    doc_marks, item_marks, out = set(), set(), []
-    while heap:
-        n, d, q = heapq.heappop(heap)
-        free = [d + i not in doc_marks and q + i not in item_marks for i in range(-n)]
-        if all(free):
-            out.append((d, q, -n))
-            doc_marks.update(range(d, d - n))
-            item_marks.update(range(q, q - n))
-            continue
-        i = 0
-        while i < -n:                              # what is left of the match between the marks
-            j = i
-            while j < -n and free[j]:
-                j += 1
-            if j - i >= seed:
-                heapq.heappush(heap, (i - j, d + i, q + i))
-            i = max(j, i + 1)
-    return out
+class Side:
+    """The shared stretches of one text that lie on no tile yet: their places, ascending, and what they are."""
+
+    def __init__(self, places: np.ndarray, kinds: np.ndarray):
+        order = np.argsort(places, kind="stable")
+        self.places, self.kinds = places[order], kinds[order]
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where ``n`` stretches follow each other without a gap (indices), and the rolling hash of each such window."""
+        at = np.flatnonzero(self.places[n - 1:] - self.places[:len(self.places) - n + 1] == n - 1)
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(self.kinds * self.powers[:len(self.kinds)], dtype=np.uint64)))
+        return at, (sums[at + n] - sums[at]) * self.inverses[at]
+
+    @property
+    def powers(self):
+        return _powers(BASE, len(self.kinds))
+
+    @property
+    def inverses(self):
+        return _powers(pow(BASE, -1, 2**64), len(self.kinds))
+
+    def without(self, starts: list[int], n_tokens: int, seed: int) -> "Side":
+        """The stretches that meet none of the tiles of ``n_tokens`` at ``starts``."""
+        starts = np.sort(np.array(starts))
+        before = np.searchsorted(starts, self.places + seed) - 1          # the last tile that begins before a stretch ends
+        free = (before < 0) | (starts[np.maximum(before, 0)] + n_tokens <= self.places)
+        return Side(self.places[free], self.kinds[free])
+
+
+@lru_cache(maxsize=4)
+def _all_powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, base, np.uint64), dtype=np.uint64)))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return _all_powers(base, 1 << max(10, n.bit_length()))
+
+
+def _shared(doc: Side, item: Side, n: int):
+    """Windows of ``n`` stretches of the document (indices, hashes) whose hash the item has too, and the item's."""
+    d, dh = doc.windows(n)
+    q, qh = item.windows(n)
+    known = np.sort(qh)
+    if not len(known):
+        return d[:0], dh[:0], q, qh
+    hit = known[np.minimum(np.searchsorted(known, dh), len(known) - 1)] == dh
+    return d[hit], dh[hit], q, qh
+
+
+def tiles(doc: Side, item: Side, seed: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (document place, item place, length in tokens). Of equally
+    long matches the first in the document goes first, then the first in the item."""
+    out, top = [], min(len(doc.places), len(item.places))
+    while True:
+        low, high = 0, min(top, len(doc.places), len(item.places))         # the longest match: if n stretches match, so do n - 1
+        while low < high:
+            n = (low + high + 1) // 2
+            low, high = (n, high) if len(_shared(doc, item, n)[0]) else (low, n - 1)
+        if not low:
+            return out
+        n, size = low, low + seed - 1
+        d, dh, q, qh = _shared(doc, item, n)
+        table: dict[int, deque] = {}
+        for i, h in zip(q.tolist(), qh.tolist()):
+            table.setdefault(h, deque()).append(i)
+        starts, ends, free = [], [], 0
+        taken = np.zeros(int(item.places[-1]) + seed + 1, bool)
+        for i, h in zip(d.tolist(), dh.tolist()):
+            place = int(doc.places[i])
+            if place < free or h not in table:
+                continue
+            places = table[h]
+            while places and (taken[item.places[places[0]]] or taken[item.places[places[0]] + size - 1]):
+                places.popleft()
+            if not places:
+                del table[h]
+                if not table:
+                    break
+                continue
+            j = places[0]
+            if np.array_equal(doc.kinds[i:i + n], item.kinds[j:j + n]):
+                at = int(item.places[j])
+                out.append((place, at, size))
+                starts.append(place)
+                ends.append(at)
+                taken[at:at + size] = True
+                free = place + size
+        if starts:
+            doc, item = doc.without(starts, size, seed), item.without(ends, size, seed)
+        top = n - 1
+
+
+def _places(found: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """All places of a pair's shared stretches, and for each the stretch's hash."""
+    lists = found.field(name)
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(found.field("h").to_numpy().view(np.uint64), sizes)
 
 
 def _tile_batches(seed: int, batches):
     for batch in batches:
         n_tiles, covered = [], []
-        for pairs in batch.column(4).to_pylist():
-            found = tiles([(p["dpos"], p["ipos"]) for p in pairs], seed)
+        shared = batch.column(batch.num_columns - 1)
+        for i in range(batch.num_rows):
+            pair = shared[i].values
+            found = tiles(Side(*_places(pair, "dpos")), Side(*_places(pair, "ipos")), seed)
             n_tiles.append(len(found))
             covered.append(sum(t[2] for t in found))
         yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.array(n_tiles, pa.int32()), pa.array(covered, pa.int32())],
@@ -197,19 +279,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: flo
     Tokens are in lower case. Items of fewer than ``seed`` tokens, null and
     empty texts have no stretch and never match.
     Repeated rows give one row; rows of one doc_id with different texts are
-    told apart; a null doc_id is reported as such, a null item_id too; items
-    that repeat an item_id count as parts of one row each. Empty tables give
+    told apart; a null doc_id is reported as such, a null item_id too; different
+    texts of one item_id give a row each. Empty tables give
     no rows, other columns are ignored. Two different stretches share a 64-bit
     hash about once in 2e19 pairs; one such seed cannot cover half an item
     that is longer than ten tokens."""
     spark = docs.sparkSession
     items = benchmark.select(benchmark["item_id"].cast("bigint").alias("item_id"), benchmark["text"].cast("string").alias("text")).distinct()
-    items = cut(items.mapInArrow(partial(_item_batches, seed), "item_id bigint, ipos int, n_tokens int, h bigint"))
+    items = items.select("item_id", F.xxhash64("text").alias("iversion"), "text")
+    items = cut(items.mapInArrow(partial(_item_batches, seed), "item_id bigint, iversion bigint, n_tokens int, h bigint, ipos array<int>"))
     bitmap = spark.sparkContext.broadcast(seed_bitmap(items, bits))
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("version"), docs["text"].cast("string").alias("text"))
-    found = rows.mapInArrow(partial(_doc_batches, seed, bitmap, bits), "doc_id bigint, version bigint, dpos int, h bigint")
-    pairs = found.join(items, "h").groupBy("doc_id", "version", "item_id", "n_tokens").agg(F.collect_set(F.struct("dpos", "ipos")).alias("pairs"))
-    tiled = pairs.mapInArrow(partial(_tile_batches, seed), "doc_id bigint, version bigint, item_id bigint, n_tokens int, n_tiles int, covered int")
+    found = rows.mapInArrow(partial(_doc_batches, seed, bitmap, bits), "doc_id bigint, version bigint, h bigint, dpos array<int>")
+    shared = found.join(items, "h").groupBy("doc_id", "version", "item_id", "n_tokens", "iversion").agg(F.collect_set(F.struct("h", "dpos", "ipos")).alias("shared"))
+    tiled = shared.drop("iversion").mapInArrow(partial(_tile_batches, seed), "doc_id bigint, version bigint, item_id bigint, n_tokens int, n_tiles int, covered int")
     return tiled.withColumn("coverage", F.col("covered") / F.col("n_tokens")).filter(F.col("coverage") >= coverage)
 
 

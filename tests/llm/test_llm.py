@@ -162,6 +162,28 @@ def test_decontamination(spark, odd, empty):
     assert decontam.leaks(empty, bench).count() == 0 and decontam.leaks(rows, bench.limit(0)).count() == 0
 
 
+def test_tiles_of_texts_of_few_words(spark):
+    rng, docs, items, want = random.Random(5), [], [], {}
+    for i in range(60):
+        words = "abcd"[:1 + i % 4]
+        docs.append((i, " ".join(rng.choice(words) for _ in range(rng.randrange(5, 40))), "a"))
+    for j in range(12):
+        items.append((j, " ".join(rng.choice("abcd"[:1 + j % 4]) for _ in range(rng.randrange(5, 25)))))
+    for i, text, _ in docs:
+        for j, item in items:
+            c = brute_coverage(text, item)
+            want |= {(i, j): c} if c else {}
+    got = decontam.leaks(frame(spark, docs + docs[:9]), spark.createDataFrame(items, "item_id bigint, text string"), coverage=0.01)
+    assert {(r["doc_id"], r["item_id"]): r["coverage"] for r in got.collect()} == pytest.approx(want) and got.count() == len(want)
+
+
+def test_long_texts_of_one_word(spark):
+    bench = spark.createDataFrame([(1, "word " * 100), (2, "word " * 3000), (2, prose(4, 30))], "item_id bigint, text string")
+    rows = frame(spark, [(1, "word " * 1_000_000, "a"), (2, "word " * 99, "a")])
+    got = {(r["doc_id"], r["item_id"], r["n_tokens"]): (r["n_tiles"], r["covered"]) for r in decontam.leaks(rows, bench).collect()}
+    assert got == {(1, 1, 100): (1, 100), (1, 2, 3000): (1, 3000), (2, 1, 100): (1, 99)}
+
+
 def test_decontamination_beyond_ascii(spark):
     plain = 'He said - "stop the old car" - and, then, the "green door" fell - so they "ran" off.'
     set_well = plain.replace(' "', " “").replace('"', "”").replace(" - ", "—").replace(" old ", "\u00a0old ").replace("fell", "fe\u00adll")
