@@ -387,6 +387,22 @@ def test_chat_formatting(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
+def test_turns_without_numbers_go_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK_PARTS", 7)                        # several blocks
+    rng = random.Random(8)
+    roles = ["user", "assistant", "system", None]
+    kinds = {(c, n): [(c, n, rng.choice(roles), f"text {i}") for i in range(k)] for c, n, k in ((1, None, 20000), (2, 5, 6000), (3, None, 3))}
+    rows = [t for turns in kinds.values() for t in turns]
+    turns = spark.createDataFrame(rows + rows[:50], "conv_id bigint, turn bigint, role string, text string").withColumn("part", F.lit("x")).withColumn("rank", F.lit(1)).withColumn("code", F.lit(None)).withColumn("task", F.lit(0))
+    got = chat.format_chats(turns).orderBy("conv_id", "part").toPandas()
+    for (conv, _), own in kinds.items():
+        own = sorted(own, key=lambda t: (t[2] is not None, t[2] or "", t[3]))
+        mine = got[got["conv_id"] == conv]
+        assert list(mine["part"]) == list(range(-(-len(own) // 256))) and (mine["n_turns"][:-1] == 256).all() and mine["n_turns"].sum() == len(own)
+        assert set(mine["cost"]) == {cheapest([chat._kind({"role": t[2], "text": t[3]}) for t in own])}
+        assert re.findall(r"text \d+", "".join(mine["rendered"])) == [t[3] for t in own]
+
+
 # --- toxicity and personal data
 
 def distance(a, b):
