@@ -19,13 +19,16 @@ from pyspark.sql import functions as F
 from meterspark.llm.common import read
 
 SALTS = 16
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
-PART = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
+SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
+HOST = SCHEME + r"(?>[^/?#]*@)?+(\[[^\]/?#]*\]|[^/:?#\[][^/:?#]*)"
+PART = SCHEME + r"[^/?#]+/([^/?#]+)"
+ADDRESS = r"^\[|^[0-9]+(\.[0-9]+){3}$"
 
 
 def host(url: Column) -> Column:
-    """The host of a URL in lower case; '' where there is none."""
-    return F.coalesce(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
+    """The host of a URL in lower case, without final dots; an IPv6 address
+    keeps its brackets. The scheme may be left out before '//'. '' where there is none."""
+    return F.coalesce(F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(".")), F.lit(""))
 
 
 def first_part(url: Column) -> Column:
@@ -34,9 +37,10 @@ def first_part(url: Column) -> Column:
 
 def patterns(site: Column, part: Column) -> Column:
     """All patterns that cover a site: the host and its parent domains of two
-    labels or more, and host/part."""
+    labels or more (an address has none), and host/part."""
     labels = F.split(site, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parents = F.when(site.rlike(ADDRESS), F.array(site)).otherwise(parents)
     return F.array_distinct(F.when(part == "", parents).otherwise(F.concat(parents, F.array(F.concat(site, F.lit("/"), part)))))
 
 
@@ -67,11 +71,13 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     hits = asked.join(held, ["pattern", "salt"]).filter("fetched >= since and (until is null or fetched < until)")
     best = F.min(F.struct((-F.length("pattern")).alias("n"), F.col("pattern"), F.col("category")))
     found = hits.groupBy("host", "_part", "fetched").agg(F.count("*").alias("n_active"), best.alias("best"))
-    out = rows.join(found, ["host", "_part", "fetched"], "left")
     own = [c for c in captures.columns if c not in ("host", "n_active", "pattern", "category", "blocked")]
-    return out.select(*own, "host",
-                      F.coalesce("n_active", F.lit(0)).alias("n_active"), F.col("best.pattern").alias("pattern"), F.col("best.category").alias("category"),
-                      F.col("best").isNotNull().alias("blocked"))
+    known = F.coalesce((F.col("host") != "") & F.col("fetched").isNotNull(), F.lit(False))
+    added = ["host", F.coalesce("n_active", F.lit(0)).alias("n_active"), F.col("best.pattern").alias("pattern"), F.col("best.category").alias("category"), F.col("best").isNotNull().alias("blocked")]
+    out = rows.filter(known).join(found, ["host", "_part", "fetched"], "left").select(*own, *added)
+    null = F.lit(None).cast("string")
+    rest = rows.filter(~known).select(*own, "host", F.lit(0).cast("bigint").alias("n_active"), null.alias("pattern"), null.alias("category"), F.lit(False).alias("blocked"))
+    return out.unionByName(rest)                     # captures that no entry can meet stay out of the join
 
 
 def _digits(text: Column, start: int, n: int) -> Column:
@@ -108,16 +114,19 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH p AS (
-  SELECT page_id, coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host,
-         coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1), '') AS part,
-         DATE '2024-01-01' + CAST(CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 4) AS INTEGER) % 731 AS INTEGER) AS fetched
+WITH authorities AS (
+  SELECT page_id, regexp_replace(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1), '^.*@', '') AS a,
+         regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]+/([^/?#]+)', 1) AS part
   FROM pages
+), p AS (
+  SELECT page_id, part, rtrim(lower(CASE WHEN starts_with(a, '[') THEN regexp_extract(a, '^\[[^\]]*\]') ELSE split_part(a, ':', 1) END), '.') AS host,
+         DATE '2024-01-01' + CAST(CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 4) AS INTEGER) % 731 AS INTEGER) AS fetched
+  FROM authorities
 ), labels AS (
-  SELECT *, string_split(host, '.') AS l FROM p
+  SELECT *, string_split(host, '.') AS l, starts_with(host, '[') OR regexp_full_match(host, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS address FROM p
 ), covering AS (
   SELECT page_id, host, fetched, unnest(list_distinct(list_concat(
-           list_transform(range(1, greatest(len(l) - 1, 1) + 1), lambda i: array_to_string(l[i:], '.')),
+           list_transform(range(1, CASE WHEN address THEN 1 ELSE greatest(len(l) - 1, 1) END + 1), lambda i: array_to_string(l[i:], '.')),
            CASE WHEN part = '' THEN [] ELSE [host || '/' || part] END))) AS pattern
   FROM labels
 ), sites AS (

@@ -325,6 +325,18 @@ def test_url_filters(spark):
     assert urlfilter.filter_urls(rows.limit(0), entries).count() == 0 and not urlfilter.filter_urls(rows, entries.limit(0)).filter("blocked").count()
 
 
+def test_hosts_of_urls(spark):
+    cases = {"http://[2001:DB8::1]:80/a": ("[2001:db8::1]", ["[2001:db8::1]", "[2001:db8::1]/a"]), "http://10.0.0.1/": ("10.0.0.1", ["10.0.0.1"]), "//cdn.Example.COM./x?y": ("cdn.example.com", ["cdn.example.com", "example.com", "cdn.example.com/x"]),
+             "http://a@b:c@www.site.org": ("www.site.org", ["www.site.org", "site.org"]), "http://[::ffff:1.2.3.4]": ("[::ffff:1.2.3.4]", ["[::ffff:1.2.3.4]"]), "/a//b.com": ("", [""]), "http://a:b@/x": ("", None), "http://[broken/x": ("", None), "http://:80/": ("", [""]), "localhost": ("", [""])}
+    rows = spark.createDataFrame([(u,) for u in cases], "url string")
+    got = {r["url"]: (r["host"], r["p"]) for r in rows.select("url", urlfilter.host(F.col("url")).alias("host"), urlfilter.patterns(urlfilter.host(F.col("url")), urlfilter.first_part(F.col("url"))).alias("p")).collect()}
+    assert {u: h for u, (h, _) in got.items()} == {u: h for u, (h, _) in cases.items()}
+    assert all(sorted(got[u][1]) == sorted(p) for u, (_, p) in cases.items() if p is not None)
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame({"page_id": range(len(cases)), "url": list(cases)}))
+    assert dict(con.execute(urlfilter.OP5_SQL.replace("SELECT p.page_id, p.host", "SELECT p.page_id AS page_id, p.host")).df()[["page_id", "host"]].values.tolist()) == {i: h for i, (h, _) in enumerate(cases.values())}
+
+
 def test_token_counts(spark, odd, empty):
     import public_tokenizers
     import sentencepiece
