@@ -51,9 +51,6 @@ ACTIVE_APPLIANCE_W = 10
 APPLIANCE_MARKER = "Appliance"
 # ---------------------------------------------------------------------------
 
-# Rows per house above which row windows switch from one task per house to
-# row-index chunks with a halo (see operators/windows.py).
-DEFAULT_CHUNK_ROWS = 1_000_000
 # Largest lookup table (rows) that is broadcast; bigger ones use a shuffle
 # join, where AQE's skew handling splits hot keys.
 DEFAULT_BROADCAST_ROWS = 2_000_000

@@ -173,9 +173,8 @@ def assign_clusters(df: DataFrame, model: KMeansModel, labels: str = "auto") ->
     scope that the model has not seen stay, without a cluster and 'Unknown'."""
     keys, d, k = model.keys, model.d, model.k
     src = with_scope(df, model.scope)
-    n_groups = None
     x = apply_scaler(src, model.scaler, model.features, keys, how="left")
-    x = lookup_join(x, _flat_centers(model.centers, keys, d), keys, "left", known_rows=n_groups)
+    x = lookup_join(x, _flat_centers(model.centers, keys, d), keys, "left")
     j, m = _argmin([_d2(jj, d) for jj in range(k)])
     known = F.col("_cf").isNotNull()
     x = x.withColumn("cluster", F.when(known, j)).withColumn("cluster_distance", F.when(known, F.sqrt(m)))

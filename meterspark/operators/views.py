@@ -1,16 +1,15 @@
 """Row views of the replay: series, sliding windows, batches, positions, latest.
 
 Positions are per-house row indexes from ``with_row_index`` (parallel over
-(house, day)); sliding windows reuse the chunked row-window plan, so no view
-needs a whole house in one task."""
+(house, day)); sliding windows run by day with carried rows, so no view
+needs a whole house in one task, and none counts anything before it is read."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterspark.functions.lookup import lookup_join
-from meterspark.operators.windows import HouseStats, chunk_size, indexed, row_windows, with_row_index
+from meterspark.operators.windows import row_windows, with_row_index
 
 
 def baseline_band(df: DataFrame) -> DataFrame:
@@ -20,10 +19,6 @@ def baseline_band(df: DataFrame) -> DataFrame:
                      (m - s).alias("band_low"), (m + s).alias("band_high"))
 
 
-def series(df: DataFrame) -> DataFrame:
-    return baseline_band(df)
-
-
 def anomaly_markers(df: DataFrame) -> DataFrame:
     return df.filter(F.col("is_anomaly") == 1).select("house_id", "Time", "Aggregate")
 
@@ -46,11 +41,9 @@ def latest(df: DataFrame) -> DataFrame:
             .select("house_id", "r.*"))
 
 
-
-
 def row_batches(df: DataFrame, size: int = 10) -> DataFrame:
     """Consecutive batches of ``size`` rows per house (the last may be short)."""
-    x = indexed(df).withColumn("batch_id", F.floor(F.col("_idx") / size))
+    x = with_row_index(df).withColumn("batch_id", F.floor(F.col("_idx") / size))
     aggs = [F.count(F.lit(1)).alias("rows"), F.min("Time").alias("start_time"), F.max("Time").alias("end_time"),
             F.avg("Aggregate").alias("avg_w"), F.max("Aggregate").alias("peak_w")]
     if "is_anomaly" in df.columns:
@@ -66,7 +59,6 @@ def sliding_views(df: DataFrame, size: int = 100, step: int = 1, chunk_rows: int
     window is the ``size``-row frame ending at row ``e - 1``. The frames are
     one rolling pass; the rows that end a window are kept and the last row
     of a house is repeated for the tail windows that all end there."""
-    stats = HouseStats(df)
     has_anom = "is_anomaly" in df.columns
 
     def build(w):
@@ -77,19 +69,8 @@ def sliding_views(df: DataFrame, size: int = 100, step: int = 1, chunk_rows: int
             cols.append(F.sum("is_anomaly").over(f).cast("bigint").alias("anomalies"))
         return cols
 
-    chunk = chunk_size(stats, size - 1, chunk_rows)
-    if not chunk:
-        # every house fits one task: index, house total and frames come from
-        # one Window node (one exchange, one sort)
-        w = Window.partitionBy("house_id").orderBy("Time")
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        x = df.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("_j"),
-                      F.count(F.lit(1)).over(whole).alias("_total"), *build(w))
-    else:
-        x = with_row_index(df, stats=stats)
-        x = lookup_join(x, stats.totals(), ["house_id"], "inner", known_rows=stats.houses)
-        x = row_windows(x.withColumn("_j", F.col("_idx")), build, halo=size - 1, order=("_idx",),
-                        chunk_rows=chunk, stats=stats)
+    x = with_row_index(df, with_total=True).withColumnRenamed("_idx", "_j")
+    x = row_windows(x, build, halo=max(size - 1, 1), chunk_rows=chunk_rows)
     j, n = F.col("_j"), F.col("_total")
     n_windows = F.ceil(n / step)
     first_tail = F.greatest(F.ceil((n - size) / step), F.lit(0))
@@ -112,7 +93,7 @@ def view_at(df: DataFrame, i: int, size: int = 200, step: int = 5) -> DataFrame:
     ``size`` once it passes the end, so after ``i`` calls it is at
     ``size + (i mod (M + 1)) * step`` with ``M = max(0, (n - size) div step)``;
     the view is rows ``[pos - size, pos)``."""
-    x = indexed(df, with_total=True)
+    x = with_row_index(df, with_total=True)
     m = F.greatest(F.floor((F.col("_total") - size) / step), F.lit(0))
     pos = F.lit(size) + (F.lit(i) % (m + 1)) * step
     return (x.filter((F.col("_idx") >= pos - size) & (F.col("_idx") < pos))

@@ -17,7 +17,8 @@ Frames of at most ``halo + 1`` rows and lags up to ``halo`` are then exact,
 a task holds a day's rows and ``halo`` more, and nothing is counted first.
 
 With ``chunk_rows`` the rows are numbered instead (day counts, prefix sums, positions within
-a day) and cut into chunks of so many, as the views do, which need positions.
+a day) and cut into chunks of so many. The views number their rows the same way. All of
+this is part of the query's plan: no job runs and nothing is cached before the result is read.
 """
 
 from __future__ import annotations
@@ -27,9 +28,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from meterspark.config import DEFAULT_CHUNK_ROWS
-from meterspark.functions.lookup import lookup_join
-
 
 def day_counts(df: DataFrame, key: str = "house_id") -> DataFrame:
     return df.groupBy(key, _day_of_row().alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
@@ -40,64 +38,18 @@ def _day_of_row() -> Column:
     return F.coalesce(F.to_date("Time"), F.lit("0001-01-01").cast("date"))
 
 
-class HouseStats:
-    """Sizes gathered in one pass: rows per (house, day) (cached, tiny),
-    number of houses, of (house, day) cells, and the largest house."""
-
-    def __init__(self, df: DataFrame, key: str = "house_id"):
-        self.key = key
-        self.counts = day_counts(df, key).cache()
-        per_house = self.counts.groupBy(key).agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("d"))
-        r = per_house.agg(F.count(F.lit(1)).alias("houses"), F.sum("d").alias("cells"),
-                          F.max("n").alias("biggest")).first()
-        self.houses, self.cells, self.biggest = r["houses"] or 0, r["cells"] or 0, r["biggest"] or 0
-
-    def totals(self) -> DataFrame:
-        return self.counts.groupBy(self.key).agg(F.sum("_n").alias("_total"))
-
-
-def with_row_index(df: DataFrame, order: Sequence[str] = ("Time",), key: str = "house_id",
-                   stats: HouseStats | None = None) -> DataFrame:
-    """Add ``_idx``: 0-based position of each row within its house by ``order``.
-    Parallel over (house, day); the only per-house step runs on day counts."""
-    stats = stats or HouseStats(df, key)
-    offs = stats.counts.select(
-        key, "_day",
-        F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_day")
-                                    .rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    x = lookup_join(df.withColumn("_day", _day_of_row()), offs, [key, "_day"], "inner",
-                    known_rows=stats.cells)
+def with_row_index(df: DataFrame, order: Sequence[str] = ("Time",), key: str = "house_id", with_total: bool = False) -> DataFrame:
+    """Add ``_idx``: 0-based position of each row within its house by ``order``, and
+    optionally ``_total`` (rows of the house). Parallel over (house, day); the only
+    per-house step runs on day counts, whose join is left to Spark's threshold at run time."""
+    days = Window.partitionBy(key)
+    before = F.sum("_n").over(days.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
+    offs = day_counts(df, key).select(F.col(key).alias("_key"), F.col("_day").alias("_on"), F.coalesce(before, F.lit(0)).alias("_off"),
+                                      *([F.sum("_n").over(days).alias("_total")] if with_total else []))
     w = Window.partitionBy(key, "_day").orderBy(*order)
-    return x.withColumn("_idx", F.col("_off") + F.row_number().over(w) - 1).drop("_off", "_day")
-
-
-def chunk_size(stats: HouseStats, halo: int, chunk_rows: int | None = None) -> int:
-    """0 = one window task per house is fine (largest house within the
-    bound), else the chunk size in rows (always above the halo)."""
-    if chunk_rows is not None:
-        return chunk_rows
-    size = max(DEFAULT_CHUNK_ROWS, 4 * halo)
-    return 0 if stats.biggest <= size else size
-
-
-def indexed(df: DataFrame, stats: HouseStats | None = None, with_total: bool = False,
-            order: Sequence[str] = ("Time",), key: str = "house_id") -> DataFrame:
-    """Add ``_idx`` (0-based row position per house) and optionally ``_total``
-    (rows of the house). One Window node when every house fits one task,
-    else the parallel index from day counts plus a size-checked join."""
-    stats = stats or HouseStats(df, key)
-    if not chunk_size(stats, 0):
-        w = Window.partitionBy(key).orderBy(*order)
-        cols = [(F.row_number().over(w) - 1).cast("bigint").alias("_idx")]
-        if with_total:
-            whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            cols.append(F.count(F.lit(1)).over(whole).alias("_total"))
-        return df.select("*", *cols)
-    x = with_row_index(df, order, key, stats)
-    if with_total:
-        x = lookup_join(x, stats.totals(), [key], "inner", known_rows=stats.houses)
-    return x
+    x = df.withColumn("_day", _day_of_row()).withColumn("_at", F.row_number().over(w) - 1)
+    x = x.join(offs, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_day") == F.col("_on")))
+    return x.withColumn("_idx", F.col("_off") + F.col("_at")).drop("_off", "_day", "_at", "_key", "_on")
 
 
 def with_carried_rows(df: DataFrame, halo: int, order: Sequence[str], key: str = "house_id") -> DataFrame:
@@ -113,26 +65,23 @@ def with_carried_rows(df: DataFrame, halo: int, order: Sequence[str], key: str =
 
 def row_windows(df: DataFrame, build: Callable[[WindowSpec], list[Column]], halo: int,
                 order: Sequence[str] = ("Time",), key: str = "house_id",
-                chunk_rows: int | None = None, stats: HouseStats | None = None) -> DataFrame:
+                chunk_rows: int | None = None) -> DataFrame:
     """Add the columns ``build(w)`` makes from a per-house window spec ``w``
     ordered by ``order``, which begins with Time. ``build`` may use ``w.rowsBetween(-k, 0)`` with
     ``k <= halo`` and ``lag(.., n)`` with ``n <= halo``.
 
     ``chunk_rows``: None = by days with carried rows; 0 = one window task per house;
-    N = chunks of N numbered rows (``stats``: sizes already gathered for ``df``)."""
+    N = chunks of N numbered rows."""
     if chunk_rows is None:
         rows = with_carried_rows(df, halo, order, key)
         w = Window.partitionBy(key, "_day").orderBy(*order)
         return rows.select("*", *build(w)).filter("_own").drop("_own", "_day")
-    if chunk_rows > 0:
-        stats = stats or HouseStats(df, key)
-        chunk_rows = chunk_size(stats, halo, chunk_rows)
     if not chunk_rows:
         w = Window.partitionBy(key).orderBy(*order)
         return df.select("*", *build(w))
     if chunk_rows <= halo:
         raise ValueError("chunk_rows must exceed the halo")
-    x = with_row_index(df, order, key, stats)
+    x = with_row_index(df, order, key)
     home = F.floor(F.col("_idx") / chunk_rows)
     x = x.withColumn("_home", home).withColumn(
         "_wchunk",

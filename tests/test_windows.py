@@ -78,20 +78,37 @@ def test_sliding_views_chunked(spark):
     t = catalog.minute(spark, SF_SMALL)
     a = sliding_views(t, size=10, step=4, chunk_rows=0).toPandas().sort_values(["house_id", "window_id"])
     b = sliding_views(t, size=10, step=4, chunk_rows=23).toPandas().sort_values(["house_id", "window_id"])
+    c = sliding_views(t, size=10, step=4).toPandas().sort_values(["house_id", "window_id"])
     pd.testing.assert_frame_equal(a.reset_index(drop=True), b.reset_index(drop=True))
+    pd.testing.assert_frame_equal(a.reset_index(drop=True), c.reset_index(drop=True))
 
 
-def test_row_views_chunked_index_equals_single_task(spark, monkeypatch):
-    from meterspark.operators import windows as W
-    from meterspark.operators.views import row_batches, view_at
+def test_row_views_equal_numbered_rows(spark):
+    from meterspark.operators.views import row_batches, sliding_views, view_at
     t = catalog.minute(spark, SF_SMALL)
-    a1 = row_batches(t, 7).toPandas().sort_values(["house_id", "batch_id"]).reset_index(drop=True)
-    a2 = view_at(t, 3, size=20, step=4).toPandas().sort_values(["house_id", "Time"]).reset_index(drop=True)
-    monkeypatch.setattr(W, "DEFAULT_CHUNK_ROWS", 10)          # every house now "too big"
-    b1 = row_batches(t, 7).toPandas().sort_values(["house_id", "batch_id"]).reset_index(drop=True)
-    b2 = view_at(t, 3, size=20, step=4).toPandas().sort_values(["house_id", "Time"]).reset_index(drop=True)
-    pd.testing.assert_frame_equal(a1, b1[a1.columns])
-    pd.testing.assert_frame_equal(a2, b2[a2.columns])
+    rows = t.toPandas().sort_values(["house_id", "Time"]).reset_index(drop=True)
+    rows["at"] = rows.groupby("house_id").cumcount()
+    rows["total"] = rows.groupby("house_id")["at"].transform("size")
+    want = rows.assign(batch_id=rows["at"] // 7).groupby(["house_id", "batch_id"]).agg(rows=("at", "size"), start_time=("Time", "min"), end_time=("Time", "max"), avg_w=("Aggregate", "mean"), peak_w=("Aggregate", "max")).reset_index()
+    got = row_batches(t, 7).toPandas().sort_values(["house_id", "batch_id"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got[want.columns], want, check_dtype=False)
+    steps = ((rows["total"] - 20) // 4).clip(lower=0)
+    end = 20 + (3 % (steps + 1)) * 4
+    want = rows[(rows["at"] >= end - 20) & (rows["at"] < end)]
+    got = view_at(t, 3, size=20, step=4).toPandas().sort_values(["house_id", "Time"])
+    assert got[["house_id", "Time", "row_idx"]].values.tolist() == want[["house_id", "Time", "at"]].values.tolist()
+    assert sliding_views(t, size=1, step=1).count() == len(rows)
+
+
+def test_views_start_no_jobs(spark):
+    from meterspark.operators.views import row_batches, sliding_views, view_at
+    t, sc = catalog.minute(spark, SF_SMALL), spark.sparkContext
+    sc.setJobGroup("views", "plans only")
+    try:
+        sliding_views(t, size=10, step=4), row_batches(t, 7), view_at(t, 3, size=20, step=4)
+        assert not list(sc.statusTracker().getJobIdsForGroup("views"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_chunks_keep_rows_without_a_time(spark):
