@@ -1,12 +1,16 @@
 """K-means steps on blocks of rows.
 
-The scaled rows are packed once into blocks: some thousand rows of one
-scope (a house) as a matrix. A step is one pass over the blocks: each meets its
-scope's state (the centers of all runs: every restart, and every k of an elbow table) in
-one matrix product, tasks add up partial sums for each scope, and one row for each scope
+The scaled rows are packed once into blocks: up to ``BLOCK_ROWS`` rows of one
+scope (a house) as a matrix, near rows side by side. A step is one pass over the blocks: each meets its
+scope's state (the centers of all runs: every restart, and every k of an elbow table),
+tasks add up partial sums for each scope, and one row for each scope
 and task goes on to be summed and turned into the next state. A scope of any size
 goes the same way; its rows are dealt over slices by a hash. State rows are joined, not
 collected, and the runs of a scope that have converged cost nothing but their row.
+
+A group of neighbouring rows whose box lies wholly on one center's side is added as
+one sum (the filtering of k-d tree k-means); only the rows of the other groups are compared
+with the centers one by one. Seeds are drawn once for each restart, for all ks.
 """
 
 from __future__ import annotations
@@ -22,7 +26,10 @@ from pyspark.sql import functions as F
 from meterspark.functions.lookup import lookup_join
 
 SLICE_ROWS = 1 << 17        # rows of a scope that go to one partition together
-BLOCK_ROWS = 1 << 13
+BLOCK_ROWS = 1 << 17
+GROUP_ROWS = 32             # most rows of a group
+FEW_ROWS = 1 << 9           # blocks of fewer rows are not grouped
+CHUNK_ROWS = 1 << 13        # rows compared with centers at once
 TASK_SCOPES = 2000          # scopes whose sums a task holds at once
 #: Largest state table, in bytes, that is broadcast to the blocks.
 BROADCAST_BYTES = 64 << 20
@@ -48,21 +55,108 @@ def _runs_of(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[int, int]]:
         v = batch.column(i).to_numpy(zero_copy_only=False)
         change[1:] |= v[1:] != v[:-1]
     begin = np.flatnonzero(change)
-    for a, b in zip(begin, np.append(begin[1:], batch.num_rows)):
-        for at in range(a, b, BLOCK_ROWS):
-            yield at, min(b, at + BLOCK_ROWS)
+    yield from zip(begin.tolist(), [*begin[1:].tolist(), batch.num_rows])
+
+
+def _group_cuts(n: int, level: int) -> np.ndarray:
+    """Where n rows are cut by halving them ``level`` times: begins, and the end."""
+    return n * np.arange((1 << level) + 1) >> level
+
+
+def _levels(n: int) -> int:
+    return max(0, int(np.ceil(np.log2(n / GROUP_ROWS))))
+
+
+def _near_order(z: np.ndarray) -> np.ndarray:
+    """An order in which near rows are neighbours: halved by the widest feature, down to groups."""
+    order = np.arange(len(z))
+    for level in range(_levels(len(z))):
+        cuts = _group_cuts(len(z), level + 1).tolist()
+        for a, half, b in zip(cuts[:-1:2], cuts[1::2], cuts[2::2]):
+            x = z[order[a:b]]
+            widest = (x.max(axis=0) - x.min(axis=0)).argmax()
+            order[a:b] = order[a:b][np.argpartition(x[:, widest], half - a)]
+    return order
 
 
-def _pack(n_keys: int, batches):
+def _pack(n_keys: int, block_rows: int, batches):
+    held, key, n = [], None, 0
+
+    def block():
+        rows = pa.Table.from_batches(held)
+        rid = rows.column(n_keys).to_numpy()
+        z = np.column_stack([c.to_numpy() for c in rows.columns[n_keys + 1:]])
+        order = _near_order(z)
+        columns = [pa.array([k], held[0].schema.field(i).type) for i, k in enumerate(key)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([rid[order].tobytes()], pa.binary()), pa.array([z[order].tobytes()], pa.binary())],
+                                          [*held[0].schema.names[:n_keys], "rid", "z"])
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rid = batch.column(n_keys).to_numpy()
-        z = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys + 1, batch.num_columns)])
-        cuts = list(_runs_of(batch, n_keys))
-        at = pa.array([a for a, _ in cuts])
-        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(n_keys)), pa.array([rid[a:b].tobytes() for a, b in cuts]), pa.array([z[a:b].tobytes() for a, b in cuts])],
-                                         [*batch.schema.names[:n_keys], "rid", "z"])
+        for a, b in _runs_of(batch, n_keys):
+            own = tuple(batch.column(i)[a].as_py() for i in range(n_keys))
+            while a < b:
+                if held and (own != key or n == block_rows):
+                    yield block()
+                    held, n = [], 0
+                key, more = own, min(b - a, block_rows - n)
+                held.append(batch.slice(a, more))
+                a, n = a + more, n + more
+    if held:
+        yield block()
+
+
+def _nearest(zt: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest center of each column of zt; of equal ones the first."""
+    dist = _distances(zt, c)
+    best, near, less = dist[0].copy(), np.zeros(zt.shape[1], np.int64), np.empty(zt.shape[1], bool)
+    for j in range(1, len(c)):
+        np.less(dist[j], best, out=less)
+        np.copyto(near, j, where=less)
+        np.minimum(best, dist[j], out=best)
+    return dist.argmin(axis=0) if np.isnan(best).any() else near
+
+
+def _distances(zt: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """(center, column of zt): squared distances but for |z|^2, the same for all centers; a missing center is at no distance."""
+    far = np.isnan(c[:, 0])
+    c = np.where(far[:, None], 0.0, c)
+    dist = (c * c).sum(axis=1)[:, None] - 2.0 * (c @ zt)
+    dist[far] = np.inf
+    return dist
+
+
+def _sums_by(near: np.ndarray, one_t: np.ndarray, k: int) -> np.ndarray:
+    return np.array([np.bincount(near, weights=w, minlength=k) for w in one_t], np.float64).T     # without rows bincount's are integers
+
+
+class _Groups:
+    """A block's groups of neighbouring rows: their boxes and sums."""
+
+    def __init__(self, z: np.ndarray):
+        self.z, self.one = z, np.hstack([z, np.ones((len(z), 1))])
+        cuts = _group_cuts(len(z), _levels(len(z)))
+        self.rows = np.diff(cuts)
+        low, high = np.minimum.reduceat(z, cuts[:-1]), np.maximum.reduceat(z, cuts[:-1])
+        self.mid_t, self.half = ((low + high) / 2).T.copy(), (high - low) / 2
+        self.size = (np.maximum(abs(low), abs(high)) ** 2).sum(axis=1)
+        self.sums_t = np.add.reduceat(self.one, cuts[:-1]).T.copy()
+
+    def sums(self, c: np.ndarray) -> np.ndarray:
+        """(center, feature and count): sums of the rows that are nearest to each center.
+
+        Of centers a and b, all of a box is nearer to a if its middle is, by more than the
+        difference of the two squared distances can change within the box (linear, as |z|^2 cancels)."""
+        dist, every = _distances(self.mid_t, c), np.arange(len(self.rows))
+        near = dist.argmin(axis=0)
+        apart = abs(c[:, None] - c[None])
+        ahead = dist - dist[near, every] - 2.0 * np.einsum("gd,gjd->jg", self.half, apart[near])
+        ahead[near, every] = np.inf
+        sure = ahead.min(axis=0) > 1e-12 * ((c * c).sum(axis=1).max() + self.size)      # well above what rounding can do
+        out = _sums_by(near[sure], self.sums_t[:, sure], len(c))
+        rest = np.flatnonzero(np.repeat(~sure, self.rows))
+        for at in range(0, len(rest), CHUNK_ROWS):
+            one_t = self.one[rest[at:at + CHUNK_ROWS]].T.copy()
+            out += _sums_by(_nearest(one_t[:-1], c), one_t, len(c))
+        return out
 
 
 def _key_schema(df: DataFrame, keys: list[str]) -> str:
@@ -74,7 +168,7 @@ def to_blocks(rows: DataFrame, keys: list[str], d: int) -> DataFrame:
     slices = F.ceil(F.col("_n") / SLICE_ROWS)
     dealt = rows.repartition(*keys, F.pmod(F.col("_rid"), slices)).sortWithinPartitions(*keys, "_rid")
     return (dealt.select(*keys, "_rid", *[f"_z{f}" for f in range(d)])
-            .mapInArrow(partial(_pack, len(keys)), f"{_key_schema(rows, keys)}, rid binary, z binary"))
+            .mapInArrow(partial(_pack, len(keys), BLOCK_ROWS), f"{_key_schema(rows, keys)}, rid binary, z binary"))
 
 
 def _on_table(call):
@@ -99,41 +193,52 @@ class Steps:
     def _centers(self, cf: bytes) -> np.ndarray:
         return np.frombuffer(cf).reshape(len(self.ks), self.most, self.d)
 
-    def _nearest(self, z: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """(row, run): the nearest center of each run; of equal ones the first."""
-        flat = c.reshape(-1, self.d)
-        far = np.isnan(flat[:, 0])
-        flat = np.where(far[:, None], 0.0, flat)
-        dist = (flat * flat).sum(axis=1) - 2.0 * (z @ flat.T)               # but for |z|^2, the same for all centers
-        dist[:, far] = np.inf
-        return dist.reshape(len(z), len(c), self.most).argmin(axis=2)
-
-    def _sums(self, kind: str, step: int, rid: np.ndarray, z: np.ndarray, cf: bytes, conv: bytes) -> np.ndarray | None:
-        """What a block adds: sums and counts by (run, cluster), the runs' errors, or their best candidates for a seed."""
-        runs = np.arange(len(self.ks))
-        if kind == "seed":
-            u = hashed_uniform(rid, self.seed, runs % self.restarts, step)
-            if step:
-                c = self._centers(cf)[:, :step]
-                least = np.min([((z[:, None, :] - c[None, :, j]) ** 2).sum(axis=2) for j in range(step)], axis=0)
-                with np.errstate(divide="ignore"):
-                    race = np.where(least > 0, -np.log(u) / least, np.inf)
-            else:
-                race = u
-            row = race.argmin(axis=0)
-            return np.hstack([race[row, runs][:, None], z[row]])
-        moving = ~np.frombuffer(conv, bool) if kind == "move" else np.ones(len(runs), bool)
-        if not moving.any():
-            return None
+    def _seeded(self) -> np.ndarray:
+        """The runs of the most clusters, by restart: their seeds are those of the other runs too."""
+        return np.flatnonzero(self.ks == self.most)[:self.restarts]
+
+    def _race(self, step: int, rid: np.ndarray, z: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """(restart, row): the row of the least becomes the restart's next seed."""
+        u = hashed_uniform(rid, self.seed, np.arange(self.restarts), step).T
+        if not step:
+            return u
+        least = np.full(u.shape, np.inf)
+        for j in range(step):
+            d2 = np.zeros(u.shape)
+            for f in range(self.d):
+                d2 += (z[None, :, f] - c[:, j, f, None]) ** 2
+            least = np.minimum(least, d2)
+        with np.errstate(divide="ignore"):
+            return np.where(least > 0, -np.log(u) / least, np.inf)
+
+    def _sums(self, kind: str, step: int, rid: np.ndarray | None, z: np.ndarray, cf: bytes, conv: bytes) -> np.ndarray | None:
+        """What a block adds: sums and counts by (run, cluster), the runs' errors, or the restarts' best candidates for a seed."""
         c = self._centers(cf)
-        near = np.zeros((len(z), len(runs)), np.int64)
-        near[:, moving] = self._nearest(z, c[moving])
+        chunks = [slice(at, at + CHUNK_ROWS) for at in range(0, len(z), CHUNK_ROWS)]
+        if kind == "seed":
+            race = np.hstack([self._race(step, rid[s], z[s], c[self._seeded()]) for s in chunks])
+            least = race.min(axis=1)
+            row = np.where(race == least[:, None], rid[None], np.iinfo(np.int64).max).argmin(axis=1)    # of equal ones the least rid
+            return np.hstack([least[:, None], z[row]])
         if kind == "error":
-            return np.array([((z - c[r][near[:, r]]) ** 2).sum() for r in runs])
-        out = np.zeros((len(runs), self.most, self.d + 1))
-        one = np.hstack([z, np.ones((len(z), 1))])
-        for r in np.flatnonzero(moving):
-            out[r] = (near[:, r][None, :] == np.arange(self.most)[:, None]).astype(np.float64) @ one
+            error = np.zeros(len(self.ks))
+            for s in chunks:
+                zt = z[s].T.copy()
+                for r, k in enumerate(self.ks):
+                    error[r] += ((zt - c[r].T[:, _nearest(zt, c[r, :k])]) ** 2).sum()
+            return error
+        moving = np.flatnonzero(~np.frombuffer(conv, bool))
+        if not len(moving):
+            return None
+        out = np.zeros((len(self.ks), self.most, self.d + 1))
+        if len(z) < FEW_ROWS:
+            one = np.hstack([z, np.ones((len(z), 1))])
+            near = _distances(z.T, c[moving].reshape(-1, self.d)).reshape(len(moving), self.most, len(z)).argmin(axis=1)
+            out[moving] = (near[:, None] == np.arange(self.most)[:, None]).astype(np.float64) @ one
+        else:
+            groups = _Groups(z)
+            for r in moving:
+                out[r, :self.ks[r]] = groups.sums(c[r, :self.ks[r]])
         return out
 
     def _add(self, kind: str, a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
@@ -154,8 +259,9 @@ class Steps:
         for batch in batches:
             kinds = [batch.schema.field(i).type for i in range(n_keys)]
             for i in range(batch.num_rows):
-                *key, rid, z, cf, conv, it, tol, live = (c[i].as_py() for c in batch.columns)
-                sums = self._sums(kind, step, np.frombuffer(rid, np.int64), np.frombuffer(z).reshape(-1, self.d), cf, conv)
+                *key, z, cf, conv, it, tol, live = (c[i].as_py() for c in batch.columns[:n_keys + 6])
+                rid = np.frombuffer(batch.column("rid")[i].as_py(), np.int64) if kind == "seed" else None
+                sums = self._sums(kind, step, rid, np.frombuffer(z).reshape(-1, self.d), cf, conv)
                 before = held.get(tuple(key))
                 held[tuple(key)] = (self._add(kind, before and before[0], sums), (cf, conv, it, tol, live))
                 if len(held) >= TASK_SCOPES:
@@ -168,7 +274,7 @@ class Steps:
         row = table.slice(0, 1).to_pylist()[0]
         total = None
         for s in table.column("sums").to_pylist():
-            shape = {"seed": (len(self.ks), self.d + 1), "error": (len(self.ks),), "move": (len(self.ks), self.most, self.d + 1)}[kind]
+            shape = {"seed": (self.restarts, self.d + 1), "error": (len(self.ks),), "move": (len(self.ks), self.most, self.d + 1)}[kind]
             total = self._add(kind, total, None if s is None else np.frombuffer(s).reshape(shape))
         return {k: row[k] for k in self.keys}, total, row
 
@@ -178,10 +284,10 @@ class Steps:
         return pa.table({k: pa.array([v], types[k]) for k, v in row.items()})
 
     def _next_seed(self, step: int, table: pa.Table) -> pa.Table:
-        """Each run's next center: the row that wins the race; the first again where all rows are centers."""
+        """Each run's next center: the row that wins its restart's race; the first again where all rows are centers."""
         key, best, row = self._total("seed", table)
         c = self._centers(row["cf"]).copy()
-        fresh = np.where(np.isfinite(best[:, :1]), best[:, 1:], c[:, 0])
+        fresh = np.where(np.isfinite(best[:, :1]), best[:, 1:], c[self._seeded(), 0])[np.arange(len(self.ks)) % self.restarts]
         c[self.ks > step, step] = fresh[self.ks > step]
         return self._state(table.schema, key, c, np.frombuffer(row["conv"], bool), np.frombuffer(row["it"], np.int32), row["tol"])
 
@@ -214,7 +320,7 @@ class Steps:
     def _pass(self, state: DataFrame, kind: str, step: int):
         size = 8 * len(self.ks) * self.most * self.d + 100
         x = lookup_join(self.blocks, state, self.keys, "inner", known_rows=self.n_groups, max_broadcast_rows=BROADCAST_BYTES // size)
-        x = x.select(*self.keys, "rid", "z", "cf", "conv", "it", "tol", "live")
+        x = x.select(*self.keys, "z", "cf", "conv", "it", "tol", "live", *(["rid"] if kind == "seed" else []))
         rows = x.mapInArrow(partial(self._light()._partials, kind, step), f"{_key_schema(self.blocks, self.keys)}, sums binary, " + self.schema.split(", ", len(self.keys))[-1])
         return rows.groupBy(*self.keys)
 

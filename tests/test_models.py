@@ -277,3 +277,87 @@ def test_kmeans_brute(spark, monkeypatch, slice_rows, block_rows, look):
         inertia, run, it, c = _plain_kmeans(z, np.array([r[1] for r in rows if r[0] == h]), 3, 3, 25, 1e-4 * (sd > 0).sum() / 2, 9)
         assert got[h]["inertia"] == pytest.approx(inertia, abs=1e-9) and (got[h]["restart"], got[h]["iterations"]) == (run, it)
         assert np.allclose(centers[centers.house_id == h][["c0", "c1"]].to_numpy(), c)
+
+
+def _steps(ks, restarts, d):
+    s = object.__new__(lloyd.Steps)
+    s.ks, s.most, s.d, s.restarts, s.seed, s.keys = np.array([k for k in ks for _ in range(restarts)]), max(ks), d, restarts, 5, ["house_id"]
+    return s
+
+
+def test_kmeans_step_compares_few_rows(monkeypatch):
+    """Rows are added in groups where a whole group has one nearest center; ties, copies of rows and of centers as row by row."""
+    rng = np.random.default_rng(8)
+    n = 20000
+    z = np.column_stack([rng.exponential(size=n), rng.integers(0, 24, n) / 7, rng.normal(size=n), rng.integers(0, 2, n)])
+    z[:3000] = z[0]
+    z[3000:4000] = np.round(z[3000:4000])
+    z = z[lloyd._near_order(z)]
+    steps, compared = _steps([2, 3, 6], 2, 4), []
+    c = np.full((6, 6, 4), np.nan)
+    for r, k in enumerate(steps.ks):
+        c[r, :k] = z[rng.choice(n, k, replace=False)]
+    c[5, 3] = c[5, 1]                                    # the same center twice: the first has the rows
+    c[0, :2] = [[0, 0, 0, 0], [2, 0, 0, 0]]              # rounded rows are as far from one as from the other
+    plain = lloyd._nearest
+    monkeypatch.setattr(lloyd, "_nearest", lambda zt, c: compared.append(zt.shape[1]) or plain(zt, c))
+    conv = np.zeros(6, bool)
+    conv[3] = True
+    got = steps._sums("move", 1, None, z, c.tobytes(), conv.tobytes())
+    assert not got[3].any()
+    for r in (0, 1, 2, 4, 5):
+        near = np.array([((x - c[r, :steps.ks[r]]) ** 2).sum(axis=1).argmin() for x in z])
+        for j in range(steps.ks[r]):
+            assert got[r, j, -1] == (near == j).sum()
+            assert np.allclose(got[r, j, :-1], z[near == j].sum(axis=0))
+    assert sum(compared) < 0.5 * 5 * n                   # of five runs that move
+
+
+def test_kmeans_step_of_no_or_only_sure_groups():
+    """Every row between two centers that are the same; every group on one side; rows and centers that are not numbers."""
+    z = np.tile([[0.5, 0.25]], (1000, 1))
+    assert lloyd._Groups(z).sums(np.array([[1.0, 1], [1, 1]])).tolist() == [[500, 250, 1000], [0, 0, 0]]
+    assert lloyd._Groups(z).sums(np.array([[9.0, 9], [1, 1]])).tolist() == [[0, 0, 0], [500, 250, 1000]]
+    assert lloyd._Groups(z).sums(np.array([[np.nan, np.nan], [1, 1]])).tolist() == [[0, 0, 0], [500, 250, 1000]]
+    assert lloyd._Groups(z).sums(np.array([[1.0, 1]])).tolist() == [[500, 250, 1000]]
+    z[:, 1] = np.nan
+    got = lloyd._Groups(z[lloyd._near_order(z)]).sums(np.array([[1.0, 1], [0.5, 1]]))
+    assert got[:, ::2].tolist() == [[500, 1000], [0, 0]] and np.isnan(got[0, 1])
+
+
+def test_kmeans_seeds_are_drawn_once_a_restart(monkeypatch):
+    rng = np.random.default_rng(2)
+    z, rid, drawn = rng.normal(size=(700, 2)), np.arange(700), []
+    plain = lloyd.hashed_uniform
+    monkeypatch.setattr(lloyd, "hashed_uniform", lambda rid, seed, run, step: drawn.append(len(rid) * len(run)) or plain(rid, seed, run, step))
+    steps = _steps(range(2, 9), 10, 2)
+    c = np.full((70, 8, 2), np.nan)
+    got = steps._sums("seed", 0, rid, z, c.tobytes(), np.zeros(70, bool).tobytes())
+    assert got.shape == (10, 3) and sum(drawn) == 7000
+    assert (got[:, 1:] == z[plain(rid, 5, np.arange(10), 0).argmin(axis=0)]).all()
+
+
+def test_kmeans_blocks_span_batches(spark):
+    """One block for a scope of more rows than a batch has, with all its rows; scopes stay apart."""
+    rows = spark.range(25000).selectExpr("IF(id < 24990, 1, 2) AS house_id", "id AS _rid", "CAST(IF(id < 24990, 24990, 10) AS BIGINT) AS _n", "CAST(id % 97 AS DOUBLE) AS _z0", "CAST(id AS DOUBLE) AS _z1")
+    got = {}
+    for r in lloyd.to_blocks(rows, ["house_id"], 2).collect():
+        got.setdefault(r["house_id"], []).append((np.frombuffer(r["rid"], np.int64), np.frombuffer(r["z"]).reshape(-1, 2)))
+    assert {h: len(b) for h, b in got.items()} == {1: 1, 2: 1}
+    for h, n in ((1, range(24990)), (2, range(24990, 25000))):
+        rid, z = got[h][0]
+        assert sorted(rid) == list(n) and (z[:, 1] == rid).all() and (z[:, 0] == rid % 97).all()
+
+
+def test_elbow_of_grouped_rows_brute(spark):
+    """Scopes of enough rows to be grouped, several ks at once, against plain loops."""
+    rng = np.random.default_rng(6)
+    rows = [(h, float(x), float(y)) for h in (1, 2) for x, y in rng.exponential(size=(1200, 2)) + rng.integers(0, 3, (1200, 1)) * h]
+    df = spark.createDataFrame(rows, "house_id bigint, Aggregate double, hour double")
+    got = {(r["house_id"], r["k"]): r["inertia"] for r in KM.elbow(df, ks=[2, 4], restarts=2, max_iter=8, tol=0.0, seed=3, features=["Aggregate", "hour"]).collect()}
+    rids = df.select("house_id", F.xxhash64("house_id", "Aggregate", "hour").alias("r")).toPandas()
+    for h in (1, 2):
+        x = np.array([r[1:] for r in rows if r[0] == h])
+        z, rid = (x - x.mean(axis=0)) / x.std(axis=0), rids[rids.house_id == h]["r"].to_numpy()
+        for k in (2, 4):
+            assert got[h, k] == pytest.approx(_plain_kmeans(z, rid, k, 2, 8, 0.0, 3)[0], rel=1e-9)
